@@ -57,7 +57,7 @@ SQL_ITEMS = "items as (select * from (select *, row_number() over (partition by
 
 
 def sql_json_scalar(x: str) -> str:
-    raw = f"case when json_valid({x}) then json_extract_string({x}, '$') else {x} end"
+    raw = f"case when json_valid({x}) then try(json_extract_string({x}, '$')) else {x} end"
     return sql_plain_number(f"({sql_stripped(f'lower({raw})')})")
 
 
@@ -66,8 +66,8 @@ SQL_TERMS = f"""
 raw as (
   select 'concept' as field_name, item_id, {sql_stripped('lower(concept)')} as term from items
   union all select 'query_key', item_id, {sql_stripped('lower(query_key)')} from items
-  union all select 'gold_answer', item_id, {sql_json_scalar('gold_answer')} from items where not (json_valid(gold_answer) and json_type(gold_answer) = 'ARRAY')
+  union all select 'gold_answer', item_id, {sql_json_scalar('gold_answer')} from items where coalesce(try(json_type(gold_answer)), '') <> 'ARRAY'
   union all select 'gold_answer', item_id, {sql_plain_number(f"({sql_stripped('lower(x)')})")} from (select item_id, json_extract_string(j, '$') as x from (
-    select item_id, unnest(from_json(gold_answer, '["json"]')) as j from items where json_valid(gold_answer) and json_type(gold_answer) = 'ARRAY'))),
+    select item_id, unnest(try(from_json(gold_answer, '["json"]'))) as j from items where try(json_type(gold_answer)) = 'ARRAY'))),
 term as (select * from raw where term is not null)
 """
