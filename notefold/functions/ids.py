@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\r\x0b\x0c "
+BLANKS = " \t\n\r\x0b\x0c\u00a0"
 _SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"
 
 
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+
+
+def bound(c: Column, f) -> Column:
+    """``f`` of ``c``, which is worked out once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     """Without white space at the ends; null when nothing is left."""
     return F.nullif(F.btrim(c, F.lit(BLANKS)), F.lit(""))
@@ -36,11 +44,9 @@ def plain_number(text: Column) -> Column:
     """A text that reads as a decimal number, without needless zeros and sign; any other text as it is.
 
     Works on the digits, so numbers of any length keep them all."""
-    t = F.regexp_replace(text, r"^\+", "")
-    t = F.when(t.contains("."), F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")).otherwise(t)
-    t = F.regexp_replace(t, r"^(-?)0+([0-9])", "$1$2")
-    t = F.when(t.startswith("."), F.concat(F.lit("0"), t)).when(t.startswith("-."), F.concat(F.lit("-0"), F.substr(t, F.lit(2)))).otherwise(t)
-    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), F.when(t.isin("-0", "", "-"), F.lit("0")).otherwise(t)).otherwise(text)
+    t = F.regexp_replace(text, r"^\+?(-?)0*([0-9]*)(?:\.([0-9]*?)0*)?$", "$1$2.$3")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\.$", ""), r"^(-?)(\.|$)", "$10$2"), "^-0$", "0")
+    return F.when(text.rlike(_NUMBER), t).otherwise(text)
 
 
 def sql_stripped(x: str) -> str:
@@ -62,8 +68,6 @@ def sql_split_name(x: str, of_id: str) -> str:
 
 
 def sql_plain_number(x: str) -> str:
-    t = f"regexp_replace({x}, '^\\+', '')"
-    t = f"case when contains({t}, '.') then regexp_replace(regexp_replace({t}, '0+$', ''), '\\.$', '') else {t} end"
-    t = f"regexp_replace({t}, '^(-?)0+([0-9])', '\\1\\2')"
-    t = f"case when starts_with({t}, '.') then '0' || {t} when starts_with({t}, '-.') then '-0' || substr({t}, 2) else {t} end"
-    return f"case when regexp_matches({x}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') then (case when {t} in ('-0', '', '-') then '0' else {t} end) else {x} end"
+    t = f"regexp_replace({x}, '^\\+?(-?)0*([0-9]*)(?:\\.([0-9]*?)0*)?$', '\\1\\2.\\3')"
+    t = f"regexp_replace(regexp_replace(regexp_replace({t}, '\\.$', ''), '^(-?)(\\.|$)', '\\10\\2'), '^-0$', '0')"
+    return f"case when regexp_matches({x}, '{_NUMBER}') then {t} else {x} end"
