@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notefold.llm import families, frequency
+from notefold.llm import families, frequency, leakage, quota_sample
 
-MODULES = [families, frequency]
+MODULES = [families, frequency, quota_sample, leakage]
 
 
 def queries() -> dict:

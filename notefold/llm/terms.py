@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notefold.functions.ids import plain_number, sql_plain_number, sql_stripped, stripped
+from notefold.functions.ids import bound, plain_number, sql_plain_number, sql_stripped, stripped
 
 
 def value_term(c: Column) -> Column:
@@ -14,24 +14,25 @@ def value_term(c: Column) -> Column:
 
 
 def _json_term(text: Column) -> Column:
-    t = value_term(text)
-    return plain_number(t)
+    return bound(value_term(text), plain_number)
+
+
+def _is_list(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
 
 
 def gold_terms(c: Column) -> Column:
     """The terms of JSON text: one of a scalar, those of the elements of a list; null and blank ones
     are left out. What isn't valid JSON counts as text."""
-    v = F.try_parse_json(c)
-    items = F.try_variant_get(v, "$", "array<string>")
-    scalar = F.when(v.isNull(), c).otherwise(F.try_variant_get(v, "$", "string"))
-    raw = F.when(F.schema_of_variant(v).startswith("ARRAY"), items).otherwise(F.array(scalar))
-    return F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), _json_term), lambda x: x.isNotNull())
+    text = lambda v: F.when(v.isNull(), c).otherwise(F.try_variant_get(v, "$", "string"))
+    raw = bound(F.try_parse_json(c), lambda v: F.when(_is_list(v), F.try_variant_get(v, "$", "array<string>")).otherwise(F.array(text(v))))
+    return F.filter(F.transform(raw, _json_term), lambda x: x.isNotNull())
 
 
 def gold_category(c: Column) -> Column:
     """The term of a scalar; null for a list."""
-    v = F.try_parse_json(c)
-    return F.when(F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False)), None).otherwise(_json_term(F.when(v.isNull(), c).otherwise(F.try_variant_get(v, "$", "string"))))
+    text = bound(F.try_parse_json(c), lambda v: F.when(v.isNull(), c).when(~_is_list(v), F.try_variant_get(v, "$", "string")))
+    return _json_term(text)
 
 
 FIELDS = ("gold_answer", "concept", "query_key")
