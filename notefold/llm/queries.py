@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notefold.llm import families, frequency, leakage, quota_sample
+from notefold.llm import families, frequency, leakage, overlap, quota_sample
 
-MODULES = [families, frequency, quota_sample, leakage]
+MODULES = [families, frequency, overlap, quota_sample, leakage]
 
 
 def queries() -> dict:
