@@ -158,7 +158,8 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
-_PITCH = "list_transform({p}, lambda q: chr(cast(q - {p}[{i}] + 300 as integer)))"
+# one byte per note, as levenshtein counts bytes there; distances of 127 semitones do not occur
+_PITCH = "list_transform({p}, lambda q: chr(cast((q - {p}[{i}] + 254) % 127 + 1 as integer)))"
 ORACLE = {
     "p5_found": f"""with m as (
   select distinct id, {sql_split_name('split', 'id')} as sp, {sql_clip_id('source')} as source, semitones from manifest where source is not null),
