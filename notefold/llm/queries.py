@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notefold.llm import families, frequency, leakage, overlap, quota_sample
+from notefold.llm import families, frequency, leakage, overlap, packing, quota_sample
 
-MODULES = [families, frequency, overlap, quota_sample, leakage]
+MODULES = [families, frequency, overlap, quota_sample, packing, leakage]
 
 
 def queries() -> dict:
