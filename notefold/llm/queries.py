@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notefold.llm import families, frequency, leakage, overlap, packing, quota_sample
+from notefold.llm import families, frequency, language, leakage, overlap, packing, quota_sample
 
-MODULES = [families, frequency, overlap, quota_sample, packing, leakage]
+MODULES = [families, frequency, overlap, quota_sample, packing, leakage, language]
 
 
 def queries() -> dict:
