@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from notefold.operators import nested, references
+from notefold.plans import excerpt_queries
 
-MODULES = [references, nested]
+MODULES = [references, nested, excerpt_queries]
 
 
 def queries() -> dict:
