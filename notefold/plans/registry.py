@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from notefold.operators import nested, references
-from notefold.plans import excerpt_queries, scoring_queries, short_clip_queries
+from notefold.plans import excerpt_queries, quality_queries, scoring_queries, selection_queries, short_clip_queries
 
-MODULES = [references, nested, excerpt_queries, short_clip_queries, scoring_queries]
+MODULES = [references, nested, excerpt_queries, short_clip_queries, scoring_queries, selection_queries, quality_queries]
 
 
 def queries() -> dict:
