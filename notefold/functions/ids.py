@@ -14,7 +14,7 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 def bound(c: Column, f) -> Column:
     """``f`` of ``c``, which is worked out once however often ``f`` uses it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
 
 
 def stripped(c: Column) -> Column:

@@ -13,6 +13,9 @@ from notefold.functions.ids import bound
 from notefold.runtime import tables
 
 
+ARTICULATION = 0.02
+
+
 def excerpts(clips: DataFrame) -> DataFrame:
     """Per clip: ``ev`` (notes by start, end), the frame and the flags on which questions depend.
 
@@ -67,7 +70,7 @@ def quantised(clips: DataFrame) -> DataFrame:
     """Clips laid on the half-beat grid of two exact bars from their first note on.
 
     Each note moves to its nearest half-beat (halves to even), notes beyond the two bars are left
-    out, of notes at one place the lowest stays, and each lasts to the next onset or the end."""
+    out, of notes at one place the lowest stays, and each lasts to just before the next onset or the end."""
     beats, half = M.table(M.BEATS_PER_BAR, F.col("meter")), F.try_divide(F.lit(60.0), F.col("bpm").cast("double")) / 2
     first = F.array_min(F.transform("notes", lambda x: x["start"]))
     d = clips.withColumn("k", F.struct(F.col("notes"), first.alias("ms"), half.alias("half"), beats.alias("bpb"), (beats * 2 * half).alias("bar_dur")))
@@ -76,7 +79,7 @@ def quantised(clips: DataFrame) -> DataFrame:
         at = F.transform(k["notes"], lambda x: F.struct(F.rint((x["start"] - k["ms"]) / k["half"]).cast("int").alias("g"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity")))
         start = lambda g: k["ms"] + g * k["half"]
         one = lambda g: F.filter(g, lambda x, i: (i == 0) | (F.get(g, i - 1)["g"] != x["g"]))
-        end = lambda u, i: F.coalesce(start(F.get(u, i + 1)["g"]), k["ms"] + 2 * k["bar_dur"])
+        end = lambda u, i: F.coalesce(start(F.get(u, i + 1)["g"]), k["ms"] + 2 * k["bar_dur"]) - ARTICULATION
         timed = lambda u: F.transform(u, lambda x, i: F.struct(start(x["g"]).alias("start"), end(u, i).alias("end"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity")))
         return bound(F.array_sort(F.filter(at, lambda x: (x["g"] >= 0) & (x["g"] < 4 * k["bpb"]))), lambda g: bound(one(g), timed))
 
@@ -89,7 +92,7 @@ ON_GRID = "usable and frame_clear and grid_ok"
 
 def indices(cond) -> Column:
     """Numbers of the notes that meet a condition, in order."""
-    return F.transform(F.filter("ev", cond), lambda x: x["i"])
+    return F.transform(F.filter("ev", lambda x: cond(x)), lambda x: x["i"])
 
 
 def answered(guard: str | Column, value: Column) -> Column:

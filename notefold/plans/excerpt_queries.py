@@ -20,7 +20,7 @@ f0 as (select rid, sample_id, split, meter, bpm, bpb, list_min(list_transform(no
 fr as (select *, bpb * 2 * half as bd from f0),
 g0 as (select rid, cast(round_even((x.start - ms) / half, 0) as integer) as g, x.pitch as pitch, x.velocity as velocity, half, bpb, ms, bd from (select rid, unnest(notes) as x from cl) join fr using (rid)),
 g1 as (select *, row_number() over (partition by rid, g order by pitch, velocity) as k from g0 where g >= 0 and g < 4 * bpb),
-nt as (select rid, ms + g * half as st, coalesce(ms + lead(g) over (partition by rid order by g) * half, ms + 2 * bd) as en, pitch, velocity from g1 where k = 1),
+nt as (select rid, ms + g * half as st, coalesce(ms + lead(g) over (partition by rid order by g) * half, ms + 2 * bd) - 0.02 as en, pitch, velocity from g1 where k = 1),
 """
 _NOTES = """
 n0 as (select nt.*, fr.* exclude (rid), cast(row_number() over (partition by nt.rid order by st, en, pitch, velocity) - 1 as integer) as i, case when st < ms + bd - 0.1 then 1 else 2 end as bar from nt join fr using (rid)),
