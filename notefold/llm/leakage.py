@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from notefold.runtime import tables
 
 WORDS = 10
-MOST_PASSAGE_MB = 64
+MOST_PASSAGE_MB = 4
 
 # fixed values: characters that are dropped before words are read
 DROPPED = "\u200b\u200c\u200d\ufeff\u00ad"
@@ -43,25 +43,36 @@ def word_offsets(text: str) -> list[tuple[str, int, int]]:
 
 
 class Windows:
-    """The automaton over every run of ``size`` words of the passages; built once in a worker process."""
+    """The automaton over every run of ``size`` words of the passages; built once in a worker process.
+
+    Each different word of the passages is one character of the automaton's alphabet, any other
+    word the separator, so a window costs ``size`` nodes at most and a text is scanned by words."""
 
     _last: tuple | None = None
 
     def __init__(self, passages: list[tuple[int, str]], size: int):
         import ahocorasick
 
+        self.size, self.letter = size, {}
         of: dict[str, set] = {}
         for pid, text in passages:
             w = words(text)
-            for i in range(len(w) - size + 1):
-                of.setdefault(" " + " ".join(w[i : i + size]) + " ", set()).add(pid)
-        self.size, self.any = size, bool(of)
+            if len(w) >= size:
+                code = "".join(self.letter.setdefault(x, self._char(len(self.letter))) for x in w)
+                for i in range(len(w) - size + 1):
+                    of.setdefault(code[i : i + size], set()).add(pid)
+        self.any = bool(of)
         self.automaton = ahocorasick.Automaton()
         for window, ids in of.items():
-            self.automaton.add_word(window, (len(window), tuple(ids)))
+            self.automaton.add_word(window, tuple(ids))
         if of:
             self.automaton.make_automaton()
 
+    @staticmethod
+    def _char(i: int) -> str:
+        """The i-th character after the separator, without the surrogates."""
+        return chr(i + 1 if i + 1 < 0xD800 else i + 1 + 0x800)
+
     @classmethod
     def once(cls, shared, size: int) -> Windows:
         if cls._last is None or cls._last[0] is not shared or cls._last[1] != size:
@@ -73,29 +84,17 @@ class Windows:
         w = words(text) if self.any else []
         if len(w) < self.size:
             return {}
-        hay = " " + " ".join(w) + " "
-        ends: dict[int, list[int]] = {}
-        for end, (length, ids) in self.automaton.iter(hay):
+        letter = self.letter.get
+        runs: dict[int, list[list[int]]] = {}
+        for last, ids in self.automaton.iter("".join([letter(x, "\0") for x in w])):
+            first = last - self.size + 1
             for pid in ids:
-                ends.setdefault(pid, []).append(end - length + 1)
-        if not ends:
-            return {}
-        starts = {}
-        pos = 0
-        for i, x in enumerate(w):
-            starts[pos] = i
-            pos += len(x) + 1
-        out = {}
-        for pid, at in ends.items():
-            runs: list[list[int]] = []
-            for p in at:
-                first = starts[p]
-                if runs and first <= runs[-1][1] - self.size + 2:
-                    runs[-1][1] = first + self.size - 1
+                mine = runs.setdefault(pid, [])
+                if mine and first <= mine[-1][1] - self.size + 2:
+                    mine[-1][1] = last
                 else:
-                    runs.append([first, first + self.size - 1])
-            out[pid] = [tuple(r) for r in runs]
-        return out
+                    mine.append([first, last])
+        return {pid: [tuple(r) for r in mine] for pid, mine in runs.items()}
 
 
 def leaked(docs: DataFrame, doc_id: str, text: str, passages: DataFrame, passage_id: str, passage: str, size: int = WORDS) -> DataFrame:
@@ -103,8 +102,8 @@ def leaked(docs: DataFrame, doc_id: str, text: str, passages: DataFrame, passage
     document shares with a passage, with its place in the original text.
 
     The passages are the held-out side, which does not grow with the corpus: their size is checked
-    (at most ``MOST_PASSAGE_MB``) before they are broadcast; a larger set is scanned in that many
-    blocks. Each text is normalised and scanned once, in one pass, without a shuffle; offsets are
+    (at most ``MOST_PASSAGE_MB``, which also keeps their different words below the size of the
+    alphabet) before they are broadcast; a larger set is scanned in blocks. Each text is normalised and scanned once, in one pass, without a shuffle; offsets are
     worked out only for texts with a hit. Null and empty texts or passages, and passages shorter
     than ``size`` words, have no runs. Equal passages under several ids are all reported."""
     spark = docs.sparkSession

@@ -17,6 +17,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 BLOCK_ITEMS = 512
 NODES = 400
 FULL = 0.99
+MOST_CONTAINERS = 1000
 
 _encoders: dict = {}
 
@@ -165,11 +166,16 @@ def pack(counts: DataFrame, containers: DataFrame) -> DataFrame:
     item like any other. Items go to blocks by hash, each block is packed by bin completion, and the
     bins filled to less than ``FULL`` are opened once more: their items form a few blocks of a second
     round, so that only the last bins there stay loose. Work and memory of a task are bounded by
-    ``BLOCK_ITEMS`` whatever the data. Containers are few; without rows, or with a capacity that is
+    ``BLOCK_ITEMS`` whatever the data. There may be up to ``MOST_CONTAINERS`` containers; without rows, or with a capacity that is
     null or not positive, nothing is packed. Texts of no tokens take no room but have a place. Repeated ids are
     different texts only if their token counts differ."""
     c = containers.where("capacity_tokens > 0 and container_id is not null").groupBy("container_id").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
-    many = counts.where("doc_id is not null").distinct().crossJoin(F.broadcast(c.limit(10_000)))  # a row per text and container: what was asked for
+    boxes = c.limit(MOST_CONTAINERS + 1).collect()
+    if len(boxes) > MOST_CONTAINERS:
+        raise ValueError(f"more than {MOST_CONTAINERS} containers")
+    kind = c.schema["container_id"].dataType
+    each = F.array(*[F.struct(F.lit(r[0]).cast(kind).alias("container_id"), F.lit(r[1]).cast("long").alias("capacity")) for r in boxes]) if boxes else F.array().cast(f"array<struct<container_id:{kind.simpleString()},capacity:bigint>>")
+    many = counts.where("doc_id is not null").select("doc_id", "tokens").distinct().select("doc_id", "tokens", F.inline(each))
     full = F.when(F.col("tokens") > F.col("capacity"), F.floor(F.col("tokens") / F.col("capacity"))).otherwise(0).cast("long")
     sized = cut(many.withColumn("full", full))
     whole = sized.where("full > 0").select("container_id", "capacity", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
