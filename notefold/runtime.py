@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that they need not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_notefold_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    place = tempfile.mkdtemp(prefix="notefold-package-")  # of the driver alone: Spark serves the file from there
+    atexit.register(shutil.rmtree, place, True)
+    sc.addPyFile(shutil.make_archive(os.path.join(place, "notefold-package"), "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._notefold_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
