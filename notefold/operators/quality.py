@@ -181,3 +181,27 @@ def twins(sig: DataFrame) -> DataFrame:
     r = train.select(F.col("rhythm")).distinct().withColumn("rhythm_in_train", F.lit(True))
     e = sig.where("split in ('val', 'test')").join(t, "tune", "left").join(r, "rhythm", "left")
     return e.select("sample_id", F.coalesce("tune_in_train", F.lit(False)).alias("tune_in_train"), F.coalesce("rhythm_in_train", F.lit(False)).alias("rhythm_in_train"))
+
+
+def stale_values(clips: DataFrame) -> DataFrame:
+    """Stored facts of clips that their notes no longer bear out: ``sample_id, field``."""
+    b, notes = F.col("basic_info"), F.col("notes")
+    beats = M.table(M.BEATS_PER_BAR, b["time_signature"])
+    stale = _list((b["num_notes"] != F.size(notes), "num_notes"), (b["beats_per_bar"] != beats, "beats_per_bar"), (F.abs(b["music_end_sec"] - F.array_max(F.transform(notes, lambda x: x["end"]))) > 0.05, "music_end_sec"), (F.abs(b["music_start_sec"] - F.array_min(F.transform(notes, lambda x: x["start"]))) > 0.05, "music_start_sec"))
+    return clips.select("sample_id", F.explode(stale).alias("field"))
+
+
+def note_deviation(a: Column, b: Column) -> Column:
+    """Largest difference in time between two note arrays of the same length and pitches; null if they differ otherwise."""
+    same = (F.size(a) == F.size(b)) & (F.transform(a, lambda x: x["pitch"]) == F.transform(b, lambda x: x["pitch"]))
+    off = F.zip_with(a, b, lambda x, y: F.greatest(F.abs(x["start"] - y["start"]), F.abs(x["end"] - y["end"])))
+    return F.when(same, F.coalesce(F.array_max(off), F.lit(0.0)))
+
+
+def gate_report(gates: dict[str, DataFrame]) -> DataFrame:
+    """One row per gate: rows checked, rows failed, and whether it passed. Each gate has a column ``passed``."""
+    out = None
+    for name, g in gates.items():
+        row = g.agg(F.count("*").alias("checked"), F.count_if(~F.col("passed")).alias("failed")).select(F.lit(name).alias("gate"), "checked", "failed", (F.col("failed") == 0).alias("passed"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -144,3 +144,43 @@ def verdicts(rows: DataFrame) -> DataFrame:
     fallback = F.struct(same.cast("int").alias("instruction_following_score"), same.cast("double").alias("accuracy_score"), F.lit(None).cast("double").alias("confidence"), F.lit("no verdict").alias("error_reason"))
     ok = parsed.isNotNull() & parsed["instruction_following_score"].isNotNull()
     return rows.withColumn("verdict", F.when(ok, parsed).otherwise(fallback))
+
+
+def judged(rows: DataFrame, make_model, batch: int = 64) -> DataFrame:
+    """``output`` of a judge for every row with ``question, prediction, reference``.
+
+    ``make_model()`` is called once in each task and gives a function from a list of (question,
+    prediction, reference) to a list of texts, so a model is loaded once and sees batches. Null
+    texts reach it as empty ones."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructField, StructType
+
+    schema = StructType([*rows.schema.fields, StructField("output", StringType())])
+
+    def run(batches):
+        model = make_model()
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                asked = list(zip(*([x or "" for x in part.column(c).to_pylist()] for c in ("question", "prediction", "reference"))))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if t is None else str(t) for t in model(asked)], pa.string())], [*part.schema.names, "output"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def judge_resumable(questions: DataFrame, path: str, make_model, keys: tuple = ("sample_id", "question")) -> DataFrame:
+    """Judge what is not yet in the table at ``path`` and append it; a run that broke off goes on where it was."""
+    spark = questions.sparkSession
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        questions = remaining(questions, spark.read.parquet(path), keys)
+    judged(questions, make_model).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def score_table(scores: DataFrame) -> DataFrame:
+    """Grounding scores as lines of fixed width, overall first."""
+    f = lambda c: F.format_string("%.4f", c)
+    line = F.concat_ws("  ", F.rpad(F.coalesce("grp", F.lit("")), 18, " "), F.format_string("%5d", "n"), *[f(c) for c in ("ifr", "merged_iou", "p5", "r5", "f5", "p7", "r7", "f7")])
+    return scores.select("grp", line.alias("line")).orderBy(F.col("grp") != "overall", "grp")

@@ -170,8 +170,30 @@ def overlong(s, d, frames: int = 450, fps: int = 75):
     return a.where(F.floor(F.col("duration_sec") * F.col("sample_rate")) / F.col("sample_rate") * fps > frames).select("audio_path", "duration_sec").distinct()
 
 
+def stale_values(s, d):
+    return Q.stale_values(tables(s, d)("clips"))
+
+
+def midi_round_trip(s, d):
+    """Clips as files and back: no pitch is lost and no time moves by more than half a tick."""
+    from notefold.sources.midi import through_midi
+
+    c = through_midi(E.grid_excerpts(s, d).select("sample_id", F.transform("ev", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity"))).alias("notes")))
+    return c.select("sample_id", F.size("notes").alias("notes"), F.coalesce(Q.note_deviation(F.col("notes"), F.col("again")) <= 0.5 / 440 + 1e-9, F.lit(False)).alias("faithful"))
+
+
+def gate_report(s, d):
+    return Q.gate_report({"majority": majority_share(s, d), "yes_no": yesno_share(s, d), "empty": empty_share(s, d), "median_span": median_span_hit(s, d)})
+
+
+def split_status(s, d):
+    """Rows of clips by split and whether they are still there."""
+    c = tables(s, d)("clips").select(split_name(F.col("split"), F.col("sample_id")).alias("split"), F.when(F.col("removed_at").isNull(), "there").otherwise("removed").alias("status"))
+    return c.groupBy("split", "status").agg(F.count("*").alias("n"))
+
+
 _OVER = "select distinct audio_path, duration_sec from audio_files where floor(duration_sec * sample_rate) / sample_rate * 75 > 450"
-QUERIES = {f.__name__: f for f in (clip_issues, clip_classes, issue_tally, derived_attributes, motif_repetition, value_shares, dominant_values, numeric_summary, length_statistics, pitch_coverage, interval_histogram, majority_share, yesno_share, empty_share, median_span_hit, skeleton_counts, text_contract, rederived_moves, text_baseline, twin_flags, split_overlap, align_left_join, missing_preds, extra_preds, dup_preds, clip_recordings, overlong)}
+QUERIES = {f.__name__: f for f in (clip_issues, clip_classes, issue_tally, derived_attributes, motif_repetition, value_shares, dominant_values, numeric_summary, length_statistics, pitch_coverage, interval_histogram, majority_share, yesno_share, empty_share, median_span_hit, skeleton_counts, text_contract, rederived_moves, text_baseline, twin_flags, split_overlap, align_left_join, missing_preds, extra_preds, dup_preds, clip_recordings, overlong, stale_values, midi_round_trip, gate_report, split_status)}
 _ISS = """b as (select row_number() over () as rid, * from clips),
 x as (select rid, i, x, lag(x.start) over (partition by rid order by i) as ps, lag(x."end") over (partition by rid order by i) as pe from (select rid, unnest(notes) as x, unnest(range(len(notes))) as i from b)),
 ev as (select rid, min(i) filter (where what is not null) as i, arg_min(what, i) filter (where what is not null) as what, bool_or(x.start < pe - 1e-4) as overlap, max(x."end") as last_end, count(*) as m from (select *, case when x."end" <= x.start then 'non_positive_duration' when x.pitch not between 0 and 127 then 'pitch_range' when x.velocity not between 1 and 127 then 'velocity_range' when x.start < ps then 'unsorted_onsets' end as what from x) group by rid),
@@ -216,4 +238,9 @@ select source_fact_id, count(*) as rows, round(avg(hit::int), 6) as hits, avg(hi
     "dup_preds": "select sample_id, question, count(*) as n from qa_items where sample_id is not null group by all having count(*) > 1",
     "clip_recordings": "with a as (select distinct regexp_replace(regexp_replace(lower(trim(audio_path)), '^.*/', ''), '\\.(mid|json|wav)$', '') as id, audio_path, duration_sec from audio_files), c as (select distinct sample_id from clips) select sample_id, min(audio_path) as audio_path, round(max(duration_sec), 3) as sec from c left join a on a.id = c.sample_id group by sample_id",
     "overlong": _OVER,
+    "stale_values": "select sample_id, unnest(list_filter([case when basic_info.num_notes <> len(notes) then 'num_notes' end, case when basic_info.beats_per_bar <> case basic_info.time_signature when '2/4' then 2 when '3/4' then 3 when '4/4' then 4 when '6/8' then 6 end then 'beats_per_bar' end, case when abs(basic_info.music_end_sec - list_max(list_transform(notes, lambda x: x.\"end\"))) > 0.05 then 'music_end_sec' end, case when abs(basic_info.music_start_sec - list_min(list_transform(notes, lambda x: x.start))) > 0.05 then 'music_start_sec' end], lambda v: v is not null)) as field from clips",
+    "midi_round_trip": GRID_SQL + "select sample_id, cnt::integer as notes, true as faithful from c",
+    "split_status": f"select {sql_split_name('split', 'sample_id')} as split, case when removed_at is null then 'there' else 'removed' end as status, count(*) as n from clips group by all",
 }
+ORACLE["gate_report"] = "with m as (" + ORACLE["majority_share"] + "), y as (" + ORACLE["yesno_share"] + "), e as (" + ORACLE["empty_share"] + "), h as (" + ORACLE["median_span_hit"] + ") " + " union all ".join(f"select '{n}' as gate, count(*) as checked, count(*) filter (where not passed) as failed, count(*) filter (where not passed) = 0 as passed from {t}" for n, t in (("majority", "m"), ("yes_no", "y"), ("empty", "e"), ("median_span", "h")))
+

@@ -61,3 +61,18 @@ def test_answers(spark):
     assert one(spark, grounding_answers(F.lit("0.50|1.00;2.00|2.50"), F.lit("the notes"), F.lit(True)))[:2] == ["[0.50s, 1.00s]; [2.00s, 2.50s]", "From 0.50 seconds to 1.00 seconds; From 2.00 seconds to 2.50 seconds."]
     assert one(spark, grounding_answers(F.lit(""), F.lit("x"), F.lit(True)))[0] == "none"
     assert one(spark, numeric_answers(F.lit(1), F.lit("beats"))) == ["1", "1 beat", "The answer is 1 beat."]
+
+
+def test_judge_resumes(spark, tmp_path):
+    asked = []
+
+    def make_model():
+        return lambda batch: ['{"instruction_following_score": 1, "accuracy_score": %d}' % (p == r) for _, p, r in batch]
+
+    q = spark.createDataFrame([("a", "q1", "x", "x"), ("a", "q2", "y", "z"), ("b", "q1", None, "z")], "sample_id string, question string, prediction string, reference string")
+    path = str(tmp_path / "judged")
+    assert G.judge_resumable(q.limit(1), path, make_model).count() == 1
+    done = G.judge_resumable(q, path, make_model)
+    assert done.count() == 3 and asked == []
+    scores = {r.concept: (r.n, r.accuracy) for r in G.understanding_scores(G.verdicts(done).withColumn("concept", F.col("sample_id"))).collect()}
+    assert scores == {"overall": (3, pytest.approx(1 / 3)), "a": (2, 0.5), "b": (1, 0.0)}
