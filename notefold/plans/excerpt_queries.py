@@ -74,13 +74,13 @@ def _add(name: str, run, sql: str | None = None) -> None:
 
 
 _add("clip_flags", lambda s, d: E.clip_excerpts(s, d).select("sample_id", "n", *FLAGS),
-     RAW_SQL + "select sample_id, cnt as n, ultra_short, overlap, bar_ambiguous, frame_clear, grid_ok, end_ok, rest_free, frame_clear and end_ok as frame_full, values_ok, usable from c")
+     RAW_SQL + "select sample_id, cast(cnt as integer) as n, ultra_short, overlap, bar_ambiguous, frame_clear, grid_ok, end_ok, rest_free, frame_clear and end_ok as frame_full, values_ok, usable from c")
 _add("note_positions", lambda s, d: E.clip_excerpts(s, d).select("sample_id", F.inline("ev")).select("sample_id", "i", "bar", F.floor(F.col("pos") * 1e6 + 0.5).alias("pos_micro"), "grid", F.floor(F.col("ioi") * 1e6 + 0.5).alias("ioi_micro"), "value", "move"),
      RAW_SQL + "select sample_id, i, bar, cast(floor(pos * 1e6 + 0.5) as bigint) as pos_micro, grid, cast(floor(ioi * 1e6 + 0.5) as bigint) as ioi_micro, val as value, mv as move from n")
 _add("bar_initial_notes", _q(_t(E.bar_initial_notes)), _idx("i = 0 or (bar = 2 and pbar = 1)", "usable and frame_clear"))
-_add("notes_on_beat", _each("k", range(1, 7), lambda k: E.text(E.notes_on_beat(k))), _idx("grid = k - 1", f"{ON_GRID} and k <= bpb", "cross join range(1, 7) r(k)", "k"))
+_add("notes_on_beat", _each("k", range(1, 7), lambda k: E.text(E.notes_on_beat(k))), _idx("grid = k - 1", f"{ON_GRID} and k <= bpb", "cross join (select cast(x as integer) as k from range(1, 7) r(x)) r", "k"))
 _add("notes_at_bar_middle", _q(_t(E.notes_at_bar_middle)), _idx("grid = bpb / 2", ON_GRID))
-_add("notes_in_second_half", _each("b", (1, 2), lambda b: E.text(E.notes_in_second_half(b))), _idx("grid >= bpb / 2 and bar = b", ON_GRID, "cross join range(1, 3) r(b)", "b"))
+_add("notes_in_second_half", _each("b", (1, 2), lambda b: E.text(E.notes_in_second_half(b))), _idx("grid >= bpb / 2 and bar = b", ON_GRID, "cross join (select cast(x as integer) as b from range(1, 3) r(x)) r", "b"))
 _add("notes_with_value", _each("v", M.NOTE_VALUES, lambda v: E.text(E.notes_with_value(v))), _idx("val = v", ON_GRID + " and values_ok", "cross join (values (0.5::double), (1.0), (1.5), (2.0), (3.0)) r(v)", "v"))
 _add("value_names", lambda s, d: E.grid_excerpts(s, d).select("sample_id", "meter", F.inline("ev")).select("sample_id", "i", E.value_name(F.col("value")).alias("name")),
      GRID_SQL + "select sample_id, i, case when meter = '6/8' then case val when 0.5 then 'sixteenth note' when 1 then 'eighth note' when 1.5 then 'dotted eighth note' when 2 then 'quarter note' when 3 then 'dotted quarter note' end else case val when 0.5 then 'eighth note' when 1 then 'quarter note' when 1.5 then 'dotted quarter note' when 2 then 'half note' when 3 then 'dotted half note' end end as name from n")
@@ -104,7 +104,7 @@ m as (select c.*, case when {ON_GRID} and cnt >= 4 and slope > 0 then 60 / slope
 select sample_id, round(m, 4) as bpm, case when abs(m - bpm) <= 3 then bpm end as tempo_answer, case when abs(m - bpm) <= 3 then bpb end as beats_answer from m""")
 _add("distinct_names", _q(lambda: F.array_join(F.transform(E.played(), M.note_name), ",").alias("names"), lambda: F.size(E.played()).alias("count")), GRID_SQL + f""", p as (select distinct rid, pc from n)
 select sample_id, coalesce(string_agg(['{"', '".join(M.NOTE_NAMES)}'][pc + 1], ',' order by pc), '') as names, cast(count(pc) as integer) as count from c left join p using (rid) group by rid, sample_id""".replace('"', "'").replace("['", "['").replace("''", "'"))
-_SCALES = "cross join (select root, list_sort(list_transform([0, 2, 4, 5, 7, 9, 11], lambda s: (s + root) % 12)) as pcs from range(0, 12) r(root)) sc"
+_SCALES = "cross join (select cast(root as integer) as root, list_sort(list_transform([0, 2, 4, 5, 7, 9, 11], lambda s: (s + root) % 12)) as pcs from range(0, 12) r(root)) sc"
 _add("outside_scale", _each("root", range(12), lambda r: E.text(E.notes_outside_scale(r))), _idx("not list_contains(pcs, pc)", "true", _SCALES, "root"))
 _add("never_played", _each("root", range(12), lambda r: E.text(E.never_played(r))), GRID_SQL + f"""select sample_id, root, coalesce(string_agg(cast(p as varchar), ',' order by p) filter (where not exists (select 1 from n where n.rid = x.rid and n.pc = x.p)), '') as notes
 from (select rid, sample_id, root, unnest(pcs) as p from c {_SCALES}) x group by rid, sample_id, root""")
@@ -113,9 +113,9 @@ _add("pitch_moves", lambda s, d: E.grid_excerpts(s, d).select("sample_id", F.inl
 _add("moves_by_size", lambda s, d: E.grid_excerpts(s, d).select("sample_id", E.text(E.notes_reached_by(1, 2)).alias("small"), E.text(E.notes_reached_by(3, 5)).alias("middle"), E.text(E.notes_reached_by(6)).alias("large"), E.text(E.repeated_notes()).alias("repeated"), E.text(E.downward_notes()).alias("down"), E.largest_jump().alias("jump")),
      GRID_SQL + "select sample_id, " + ", ".join(f"coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where {c}), '') as {a}" for a, c in (("small", "abs(mv) between 1 and 2"), ("middle", "abs(mv) between 3 and 5"), ("large", "abs(mv) >= 6"), ("repeated", "mv = 0"), ("down", "mv < 0"))) + ", max(abs(mv)) as jump from c left join (select rid, i, mv from n) n using (rid) group by rid, sample_id")
 _add("named_moves", _each("semitones", range(1, 13), lambda k: F.concat_ws(";", E.text(E.notes_reached_by_named(k, "ascending")), E.text(E.notes_reached_by_named(k, "descending")), E.count_moves_of(k).cast("string"))),
-     GRID_SQL + "select sample_id, k as semitones, coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where mv = k), '') || ';' || coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where mv = -k), '') || ';' || count(*) filter (where abs(mv) = k) as notes from c cross join range(1, 13) r(k) left join (select rid, i, mv from n) n using (rid) group by rid, sample_id, k")
+     GRID_SQL + "select sample_id, cast(k as integer) as semitones, coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where mv = k), '') || ';' || coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where mv = -k), '') || ';' || count(*) filter (where abs(mv) = k) as notes from c cross join range(1, 13) r(k) left join (select rid, i, mv from n) n using (rid) group by rid, sample_id, k")
 _add("pitch_rank_notes", _each("rank", (1, 2), lambda r: F.concat_ws(";", E.text(E.pitch_rank_notes(r)), E.text(E.pitch_rank_notes(r, False)))),
-     GRID_SQL + "select sample_id, k as rank, coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where high_rank = k), '') || ';' || coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where low_rank = k), '') as notes from c cross join range(1, 3) r(k) left join (select rid, i, high_rank, low_rank from n) n using (rid) group by rid, sample_id, k")
+     GRID_SQL + "select sample_id, cast(k as integer) as rank, coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where high_rank = k), '') || ';' || coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where low_rank = k), '') as notes from c cross join range(1, 3) r(k) left join (select rid, i, high_rank, low_rank from n) n using (rid) group by rid, sample_id, k")
 _add("bar_structure", _q(lambda: F.size(E.in_bar(1)).alias("count1"), lambda: F.size(E.in_bar(2)).alias("count2"), lambda: E.bar_extreme(1).alias("high1"), lambda: E.bar_extreme(2).alias("high2"), lambda: E.bar_extreme(1, False).alias("low1"), lambda: E.bar_extreme(2, False).alias("low2"), lambda: E.text(E.last_notes_of_bars()).alias("last_notes")),
      GRID_SQL + "select sample_id, cast(count(*) filter (where bar = 1) as integer) as count1, cast(count(*) filter (where bar = 2) as integer) as count2, max(pitch) filter (where bar = 1) as high1, max(pitch) filter (where bar = 2) as high2, min(pitch) filter (where bar = 1) as low1, min(pitch) filter (where bar = 2) as low2, concat_ws(',', max(i) filter (where bar = 1), max(i) filter (where bar = 2)) as last_notes from c left join (select rid, i, bar, pitch from n) n using (rid) group by rid, sample_id")
 COVER = 0.5
@@ -135,7 +135,7 @@ fit as (select rid, bar, root, kind, pcs from (select rid, bar, pc from n) n, tr
 only_ as (select rid, bar, any_value(root) as root, any_value(kind) as kind, any_value(pcs) as pcs from fit group by rid, bar having count(*) = 1)
 """
 _NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in M.NOTE_NAMES) + "]"
-_add("harmony", _harmony, GRID_SQL + _TRIADS_SQL + f"""select sample_id, any_value({_NAMES_SQL}[a.root + 1] || ' ' || a.kind) as triad1, any_value({_NAMES_SQL}[b.root + 1] || ' ' || b.kind) as triad2, any_value((b.root - a.root + 12) % 12) as root_motion,
+_add("harmony", _harmony, GRID_SQL + _TRIADS_SQL + f"""select sample_id, any_value({_NAMES_SQL}[a.root + 1] || ' ' || a.kind) as triad1, any_value({_NAMES_SQL}[b.root + 1] || ' ' || b.kind) as triad2, cast(any_value((b.root - a.root + 12) % 12) as integer) as root_motion,
 case when any_value(a.root) is not null and any_value(b.root) is not null then coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where n.bar = 2 and not list_contains(a.pcs, pc)), '') end as foreign2,
 case when any_value(a.root) is not null then coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where n.bar = 1 and pc = a.pcs[2]), '') end as thirds1
 from c left join only_ a on a.rid = c.rid and a.bar = 1 left join only_ b on b.rid = c.rid and b.bar = 2 left join (select rid, i, bar, pc from n) n on n.rid = c.rid group by c.rid, sample_id""")
