@@ -189,4 +189,21 @@ def p3_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_metas": p3_metas, "p3_edits": p3_edits}
-ORACLE: dict[str, str] = {}
+_LIST = "case json_type({x}) when 'ARRAY' then from_json({x}, '[\"json\"]') when 'OBJECT' then [{x}] else [] end"
+_NESTED_SQL = f"""with recursive raw as (select distinct record_id, try(cast(payload as json)) as j from meta_raw where payload is not null),
+un as (select record_id, case when json_type(j) = 'OBJECT' then coalesce(j->'meta', j->'records', j) else j end as j from raw where j is not null),
+m(record_id, meta_pos, path, meta) as (
+  select record_id, k, '', x from (select record_id, unnest({_LIST.format(x='j')}) as x, cast(unnest(range(len({_LIST.format(x='j')}))) as integer) as k from un) where json_type(x) = 'OBJECT'
+  union all
+  select record_id, meta_pos, path || i || '/', s->'source' from (
+    select record_id, meta_pos, path, unnest(steps) as s, unnest(range(len(steps))) as i from (
+      select record_id, meta_pos, path, {_LIST.format(x='c')} as steps from (select *, case when json_type(meta->'construction') = 'VARCHAR' then try(cast(meta->>'construction' as json)) else meta->'construction' end as c from m)))
+  where json_type(s->'source') = 'OBJECT'),
+st as (
+  select record_id, meta_pos, path || i as step_path, s, ts from (
+    select record_id, meta_pos, path, ts, unnest(steps) as s, unnest(range(len(steps))) as i from (
+      select record_id, meta_pos, path, meta->'basic_info'->'time_signature' as ts, {_LIST.format(x='c')} as steps from (select *, case when json_type(meta->'construction') = 'VARCHAR' then try(cast(meta->>'construction' as json)) else meta->'construction' end as c from m))
+  ) where json_type(s) = 'OBJECT'),
+z as (select *, {_LIST.format(x="(s->'edits')")} as edits, coalesce(trim(s->>'kind'), '') as kind, coalesce(case json_type(ts) when 'VARCHAR' then replace(ts->>'$', ' ', '') when 'ARRAY' then (ts->>0) || '/' || (ts->>1) when 'OBJECT' then (ts->>'beats') || '/' || (ts->>'unit') end, '') as time_signature from st)
+"""
+ORACLE = {"p3_found": _NESTED_SQL + "select distinct record_id, meta_pos, step_path, cast(unnest(case when len(edits) = 0 then [-1] else range(len(edits)) end) as integer) as edit_pos, kind, time_signature from z"}
