@@ -202,12 +202,9 @@ def candidates(ex: DataFrame, generators: list[str] | None = None, cover: float
     """All candidates of analysed clips, ``sample_id, split, meter, bpm`` and the fields of ``CAND`` with the spans of their notes."""
     d = ex.withColumn("tempo_ok", E.tempo_consistent() & F.col("frame_full")).withColumn("triad1", E.triad_of_bar(1, cover)).withColumn("triad2", E.triad_of_bar(2, cover))
     d = d.withColumn("kind1", E.arpeggio_kind(1)).withColumn("kind2", E.arpeggio_kind(2)).withColumn("bar_d", E.bar_differences())
-    out = None
-    for name in generators or GENERATORS:
-        part = d.select("sample_id", "split", "meter", "bpm", "ev", F.explode(F.flatten(F.array(*[a.cast(CAND) for a in GENERATORS[name]()]))).alias("c"))
-        part = part.select("sample_id", "split", "meter", "bpm", "c.*", E.spans(F.col("c.idx")).alias("spans"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    every = [a.cast(CAND) for name in generators or GENERATORS for a in GENERATORS[name]()]
+    out = d.select("sample_id", "split", "meter", "bpm", "ev", F.explode(F.flatten(F.array(*every))).alias("c"))
+    return out.select("sample_id", "split", "meter", "bpm", "c.*", E.spans(F.col("c.idx")).alias("spans"))
 
 
 # -- clips of one to three notes ---------------------------------------------------------------------
