@@ -111,4 +111,10 @@ fam as (
   select r.x, min(o.sample_id) as family_id, count(distinct o.sp) as splits from reach r join c o on o.id = r.y group by r.x)
 """
 QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_report": p1_report}
-ORACLE = {"p1_found": _FAMILIES_SQL + "select distinct family_id, sample_id from fam join c on c.id = fam.x where splits > 1"}
+_U = "(cast('0x' || substr(md5('split|{name}|' || family_id), 1, 13) as bigint) + 0.5::double) / 4503599627370496"
+_SPLIT_SQL = ", sp as (select distinct sample_id, family_id from fam join c on c.id = fam.x), sc as (select sample_id, family_id, unnest([" + ", ".join(f"struct_pack(score := -{w}::double / ln({_U.format(name=n)}), name := '{n}')" for n, w in sorted(PROPORTIONS.items())) + "]) as s from sp), won as (select sample_id, family_id, max(s).name as new_split from sc group by all)"
+ORACLE = {
+    "p1_splits": _FAMILIES_SQL + _SPLIT_SQL + " select sample_id, family_id, new_split from won",
+    "p1_report": _FAMILIES_SQL + _SPLIT_SQL + " select new_split, count(*) as clips, count(distinct family_id) as families from won group by new_split",
+    "p1_found": _FAMILIES_SQL + "select distinct family_id, sample_id from fam join c on c.id = fam.x where splits > 1",
+}
