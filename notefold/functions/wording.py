@@ -8,11 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# fixed values: wordings
-STEMS = ["Locate {what}.", "Find the time span(s) of {what}.", "Which time interval(s) contain {what}?", "When {do} {what} occur?", "Mark the time span(s) covered by {what}.", "Give the start and end times of {what}.", "Where in the audio {is} {what}?", "Identify {what} and give the time span(s)."]
-COUNTS = ["How many {what} are there?", "Count the {what}.", "What is the number of {what}?", "Determine how many {what} the clip contains.", "Give the number of {what}.", "In this clip, how many {what} can you hear?"]
-TEMPOS = ["The tempo is {x} beats per minute.", "The tempo is {x} bpm.", "The music plays at {x} bpm.", "The tempo is around {x} bpm.", "The tempo is roughly {x} beats per minute.", "The music plays at about {x} bpm."]
-METERS = ["This is a two-bar piece in {x} that starts on beat 1 of bar 1.", "The music is in {x}; its first note is beat 1 of bar 1."]
+STEMS = ["Show by start and end where {what} {is}.", "At what times {do} {what} sound?", "List the seconds covered by {what}.", "Point out {what} on the timeline.", "From when to when {is} {what} heard?", "State every stretch of time taken by {what}."]
+COUNTS = ["Say how many {what} the clip has.", "What do you count for {what}?", "Give one number for {what}.", "How often {do} {what} come?", "Tell the total of {what}."]
+TEMPOS = ["Take {x} beats to the minute.", "Beats pass at {x} a minute.", "The pulse is {x} beats a minute.", "Count about {x} beats each minute."]
+METERS = ["Two bars of {x} begin with the first note.", "Read the clip as two bars in {x} from its first note on."]
+# fixed values: what scoring takes as saying that there is none
 NOTHING = ["none", "There is no such note in this clip.", "No matching note was found in this clip."]
 
 
@@ -65,7 +65,7 @@ def grounding_answers(text: Column, what: Column, plural: Column) -> Column:
     upper = F.concat(F.upper(F.substring(what, 1, 1)), F.substr(what, F.lit(2)))
     a = F.array_join(F.transform(each, lambda p: F.concat(F.lit("["), F.get(p, F.lit(0)), F.lit("s, "), F.get(p, F.lit(1)), F.lit("s]"))), "; ")
     named = lambda w: F.array_join(F.transform(each, lambda p: F.concat(F.lit(w), F.get(p, F.lit(0)), F.lit(" seconds to "), F.get(p, F.lit(1)), F.lit(" seconds"))), "; ")
-    texts = F.array(a, F.concat(named("From "), F.lit(".")), F.concat(upper, F.when(plural, " are").otherwise(" is"), F.lit(" located in the following intervals: "), named("from "), F.lit(".")))
+    texts = F.array(a, F.concat(named("From "), F.lit(".")), F.concat(upper, F.when(plural, " are").otherwise(" is"), F.lit(" heard as follows: "), named("from "), F.lit(".")))
     return F.when(F.coalesce(text, F.lit("")) == "", F.array(*[F.lit(n) for n in NOTHING])).otherwise(texts)
 
 
