@@ -46,13 +46,13 @@ from c {extra} left join (select rid, i, st, en, pitch, velocity, bar, pos, ioi,
 
 
 def _q(*columns):
-    return lambda spark, sf_dir: E.grid_excerpts(spark, sf_dir).select("sample_id", *[c() if callable(c) else c for c in columns])
+    return lambda spark, sf_dir, clips=E.grid_excerpts: clips(spark, sf_dir).select("sample_id", *[c() if callable(c) else c for c in columns])
 
 
 def _each(name: str, values, column):
     """One row per clip and value of a parameter."""
-    def run(spark, sf_dir):
-        d = E.grid_excerpts(spark, sf_dir).withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    def run(spark, sf_dir, clips=E.grid_excerpts):
+        d = clips(spark, sf_dir).withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
         return d.select("sample_id", name, column(F.col(name)).alias("notes"))
 
     return run
@@ -108,9 +108,9 @@ _SCALES = "cross join (select cast(root as integer) as root, list_sort(list_tran
 _add("outside_scale", _each("root", range(12), lambda r: E.text(E.notes_outside_scale(r))), _idx("not list_contains(pcs, pc)", "true", _SCALES, "root"))
 _add("never_played", _each("root", range(12), lambda r: E.text(E.never_played(r))), GRID_SQL + f"""select sample_id, root, coalesce(string_agg(cast(p as varchar), ',' order by p) filter (where not exists (select 1 from n where n.rid = x.rid and n.pc = x.p)), '') as notes
 from (select rid, sample_id, root, unnest(pcs) as p from c {_SCALES}) x group by rid, sample_id, root""")
-_add("pitch_moves", lambda s, d: E.grid_excerpts(s, d).select("sample_id", F.inline("ev")).select("sample_id", "i", "move", M.interval_class(F.col("move")).alias("size"), M.direction(F.col("move")).alias("way")).where("move is not null"),
+_add("pitch_moves", lambda s, d, clips=E.grid_excerpts: clips(s, d).select("sample_id", F.inline("ev")).select("sample_id", "i", "move", M.interval_class(F.col("move")).alias("size"), M.direction(F.col("move")).alias("way")).where("move is not null"),
      GRID_SQL + "select sample_id, i, mv as move, case when mv = 0 then 'unison' when abs(mv) <= 2 then 'step' when abs(mv) <= 4 then 'skip' else 'leap' end as size, case when mv > 0 then 'up' when mv < 0 then 'down' else 'same' end as way from n where mv is not null")
-_add("moves_by_size", lambda s, d: E.grid_excerpts(s, d).select("sample_id", E.text(E.notes_reached_by(1, 2)).alias("small"), E.text(E.notes_reached_by(3, 5)).alias("middle"), E.text(E.notes_reached_by(6)).alias("large"), E.text(E.repeated_notes()).alias("repeated"), E.text(E.downward_notes()).alias("down"), E.largest_jump().alias("jump")),
+_add("moves_by_size", lambda s, d, clips=E.grid_excerpts: clips(s, d).select("sample_id", E.text(E.notes_reached_by(1, 2)).alias("small"), E.text(E.notes_reached_by(3, 5)).alias("middle"), E.text(E.notes_reached_by(6)).alias("large"), E.text(E.repeated_notes()).alias("repeated"), E.text(E.downward_notes()).alias("down"), E.largest_jump().alias("jump")),
      GRID_SQL + "select sample_id, " + ", ".join(f"coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where {c}), '') as {a}" for a, c in (("small", "abs(mv) between 1 and 2"), ("middle", "abs(mv) between 3 and 5"), ("large", "abs(mv) >= 6"), ("repeated", "mv = 0"), ("down", "mv < 0"))) + ", max(abs(mv)) as jump from c left join (select rid, i, mv from n) n using (rid) group by rid, sample_id")
 _add("named_moves", _each("semitones", range(1, 13), lambda k: F.concat_ws(";", E.text(E.notes_reached_by_named(k, "ascending")), E.text(E.notes_reached_by_named(k, "descending")), E.count_moves_of(k).cast("string"))),
      GRID_SQL + "select sample_id, cast(k as integer) as semitones, coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where mv = k), '') || ';' || coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where mv = -k), '') || ';' || count(*) filter (where abs(mv) = k) as notes from c cross join range(1, 13) r(k) left join (select rid, i, mv from n) n using (rid) group by rid, sample_id, k")
@@ -167,3 +167,7 @@ from c left join q a on a.rid = c.rid and a.bar = 1 left join q b on b.rid = c.r
 _add("note_spans", _q(lambda: E.frames_of(E.spans(E.notes_in_second_half(2))).cast("string").alias("frames")),
      GRID_SQL + f"""select sample_id, case when any_value({ON_GRID}) then '[' || coalesce(string_agg('[' || cast(round_even(round(st, 6) * 75, 0) as integer) || ', ' || cast(greatest(round_even(round(en, 6) * 75, 0), round_even(round(st, 6) * 75, 0) + 1) as integer) || ']', ', ' order by i) filter (where grid >= bpb / 2 and bar = 2), '') || ']' end as frames
 from c left join (select rid, i, st, en, bar, grid from n) n using (rid) group by rid, sample_id""")
+
+# these need no beat grid: the same over all notes of a clip, chords and notes beyond two bars included
+for _name in ("distinct_names", "outside_scale", "never_played", "pitch_moves", "moves_by_size", "named_moves", "pitch_rank_notes"):
+    _add(f"{_name}_whole", lambda s, d, f=QUERIES[_name]: f(s, d, E.clip_excerpts), ORACLE[_name].replace(GRID_SQL, RAW_SQL))

@@ -20,7 +20,7 @@ def generated_clips(s, d):
 
 
 def transposed_clips(s, d):
-    e = E.grid_excerpts(s, d).withColumn("split", split_name(F.col("split"), F.col("sample_id")))
+    e = E.clip_excerpts(s, d).withColumn("split", split_name(F.col("split"), F.col("sample_id")))
     return N.transposed(e.dropDuplicates(["sample_id"]), {"train": 120, "val": 20, "test": 60}).select("sample_id", "split", "semitones", F.size("notes").alias("notes"))
 
 

@@ -28,13 +28,13 @@ def issue_tally(s, d):
     return Q.reason_tally(Q.issues(tables(s, d)("clips")), "issues")
 
 
-def derived_attributes(s, d):
-    a = E.grid_excerpts(s, d).select("sample_id", *Q.derived_attributes())
+def derived_attributes(s, d, clips=E.grid_excerpts):
+    a = clips(s, d).select("sample_id", *Q.derived_attributes())
     return a.withColumn("mean_pitch", F.round("mean_pitch", 6)).withColumn("mean_velocity", F.round("mean_velocity", 6))
 
 
-def motif_repetition(s, d):
-    n = E.grid_excerpts(s, d).withColumn("rid", F.monotonically_increasing_id()).select("rid", "sample_id", F.inline("ev"))
+def motif_repetition(s, d, clips=E.grid_excerpts):
+    n = clips(s, d).withColumn("rid", F.monotonically_increasing_id()).select("rid", "sample_id", F.inline("ev"))
     return Q.motifs(n).select("sample_id", "move", "value", "n")
 
 
@@ -99,9 +99,9 @@ def text_contract(s, d):
     return q.where("broken <> ''").distinct()
 
 
-def rederived_moves(s, d):
+def rederived_moves(s, d, clips=E.grid_excerpts):
     """Notes reached by a leap, from array functions and again from rows and a window."""
-    e = E.grid_excerpts(s, d).withColumn("rid", F.monotonically_increasing_id())
+    e = clips(s, d).withColumn("rid", F.monotonically_increasing_id())
     from pyspark.sql import Window
 
     from notefold.runtime import cut
@@ -118,14 +118,14 @@ def text_baseline(s, d):
     return Q.text_baseline(q, "question", "y", F.pmod(F.xxhash64("item_id"), F.lit(5)) > 0)
 
 
-def twin_flags(s, d):
-    e = E.grid_excerpts(s, d).withColumn("split", split_name(F.col("split"), F.col("sample_id")))
+def twin_flags(s, d, clips=E.grid_excerpts):
+    e = clips(s, d).withColumn("split", split_name(F.col("split"), F.col("sample_id")))
     return Q.twins(Q.signatures(e))
 
 
-def split_overlap(s, d):
+def split_overlap(s, d, clips=E.grid_excerpts):
     """Melodies of train that are in test or val too."""
-    g = Q.signatures(E.grid_excerpts(s, d).withColumn("split", split_name(F.col("split"), F.col("sample_id"))))
+    g = Q.signatures(clips(s, d).withColumn("split", split_name(F.col("split"), F.col("sample_id"))))
     part = lambda name: g.where(F.col("split") == name).select("tune").where("tune <> ''")
     return part("train").intersect(part("test").union(part("val")))
 
@@ -182,6 +182,15 @@ def midi_round_trip(s, d):
     return c.select("sample_id", F.size("notes").alias("notes"), F.coalesce(Q.note_deviation(F.col("notes"), F.col("again")) <= 0.5 / 440 + 1e-9, F.lit(False)).alias("faithful"))
 
 
+def midi_round_trip_whole(s, d):
+    """As ``midi_round_trip`` with all notes; notes are compared by pitch, as those of a chord may change places within a tick."""
+    from notefold.sources.midi import through_midi
+
+    c = through_midi(E.clip_excerpts(s, d).select("sample_id", F.transform("ev", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity"))).alias("notes")))
+    by_pitch = lambda n: F.array_sort(F.transform(n, lambda x: F.struct(x["pitch"].alias("pitch"), x["start"].alias("start"), x["end"].alias("end"))))
+    return c.select("sample_id", F.size("notes").alias("notes"), F.coalesce(Q.note_deviation(by_pitch("notes"), by_pitch("again")) <= 0.5 / 440 + 1e-9, F.lit(False)).alias("faithful"))
+
+
 def gate_report(s, d):
     return Q.gate_report({"majority": majority_share(s, d), "yes_no": yesno_share(s, d), "empty": empty_share(s, d), "median_span": median_span_hit(s, d)})
 
@@ -193,7 +202,7 @@ def split_status(s, d):
 
 
 _OVER = "select distinct audio_path, duration_sec from audio_files where floor(duration_sec * sample_rate) / sample_rate * 75 > 450"
-QUERIES = {f.__name__: f for f in (clip_issues, clip_classes, issue_tally, derived_attributes, motif_repetition, value_shares, dominant_values, numeric_summary, length_statistics, pitch_coverage, interval_histogram, majority_share, yesno_share, empty_share, median_span_hit, skeleton_counts, text_contract, rederived_moves, text_baseline, twin_flags, split_overlap, align_left_join, missing_preds, extra_preds, dup_preds, clip_recordings, overlong, stale_values, midi_round_trip, gate_report, split_status)}
+QUERIES = {f.__name__: f for f in (clip_issues, clip_classes, issue_tally, derived_attributes, motif_repetition, value_shares, dominant_values, numeric_summary, length_statistics, pitch_coverage, interval_histogram, majority_share, yesno_share, empty_share, median_span_hit, skeleton_counts, text_contract, rederived_moves, text_baseline, twin_flags, split_overlap, align_left_join, missing_preds, extra_preds, dup_preds, clip_recordings, overlong, stale_values, midi_round_trip, midi_round_trip_whole, gate_report, split_status)}
 _ISS = """b as (select row_number() over () as rid, * from clips),
 x as (select rid, i, x, lag(x.start) over (partition by rid order by i) as ps, lag(x."end") over (partition by rid order by i) as pe from (select rid, unnest(notes) as x, unnest(range(len(notes))) as i from b)),
 ev as (select rid, min(i) filter (where what is not null) as i, arg_min(what, i) filter (where what is not null) as what, bool_or(x.start < pe - 1e-4) as overlap, max(x."end") as last_end, count(*) as m from (select *, case when x."end" <= x.start then 'non_positive_duration' when x.pitch not between 0 and 127 then 'pitch_range' when x.velocity not between 1 and 127 then 'velocity_range' when x.start < ps then 'unsorted_onsets' end as what from x) group by rid),
@@ -244,3 +253,8 @@ select source_fact_id, count(*) as rows, round(avg(hit::int), 6) as hits, avg(hi
 }
 ORACLE["gate_report"] = "with m as (" + ORACLE["majority_share"] + "), y as (" + ORACLE["yesno_share"] + "), e as (" + ORACLE["empty_share"] + "), h as (" + ORACLE["median_span_hit"] + ") " + " union all ".join(f"select '{n}' as gate, count(*) as checked, count(*) filter (where not passed) as failed, count(*) filter (where not passed) = 0 as passed from {t}" for n, t in (("majority", "m"), ("yes_no", "y"), ("empty", "e"), ("median_span", "h")))
 
+
+# the same over all notes of a clip, chords and notes beyond two bars included
+for _f in (derived_attributes, motif_repetition, rederived_moves, twin_flags, split_overlap):
+    QUERIES[f"{_f.__name__}_whole"] = lambda s, d, f=_f: f(s, d, E.clip_excerpts)
+    ORACLE[f"{_f.__name__}_whole"] = ORACLE[_f.__name__].replace(GRID_SQL, RAW_SQL)
