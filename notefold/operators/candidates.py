@@ -200,11 +200,17 @@ GENERATORS = {"rhythm_grounding": rhythm_grounding, "rhythm_understanding": rhyt
 
 def candidates(ex: DataFrame, generators: list[str] | None = None, cover: float = COVER) -> DataFrame:
     """All candidates of analysed clips, ``sample_id, split, meter, bpm`` and the fields of ``CAND`` with the spans of their notes."""
+    d, every = _listed(ex, generators, cover)
+    out = d.select("sample_id", "split", "meter", "bpm", "ev", F.explode(every).alias("c"))
+    return out.select("sample_id", "split", "meter", "bpm", "c.*", E.spans(F.col("c.idx")).alias("spans"))
+
+
+def _listed(ex: DataFrame, generators: list[str] | None, cover: float) -> tuple[DataFrame, Column]:
+    """Analysed clips and the array of their candidates, which is exploded as an expression: filters inferred from a column of it would work it out again."""
     d = ex.withColumn("tempo_ok", E.tempo_consistent() & F.col("frame_full")).withColumn("triad1", E.triad_of_bar(1, cover)).withColumn("triad2", E.triad_of_bar(2, cover))
     d = d.withColumn("kind1", E.arpeggio_kind(1)).withColumn("kind2", E.arpeggio_kind(2)).withColumn("bar_d", E.bar_differences())
     every = [a.cast(CAND) for name in generators or GENERATORS for a in GENERATORS[name]()]
-    out = d.select("sample_id", "split", "meter", "bpm", "ev", F.explode(F.flatten(F.array(*every))).alias("c"))
-    return out.select("sample_id", "split", "meter", "bpm", "c.*", E.spans(F.col("c.idx")).alias("spans"))
+    return d, F.flatten(F.array(*every))
 
 
 # -- clips of one to three notes ---------------------------------------------------------------------
@@ -237,20 +243,39 @@ def short_candidates(ph: DataFrame) -> DataFrame:
 
 
 def jittered(clips: DataFrame, draws: int = 10, width: float = 0.005) -> DataFrame:
-    """Each clip ``draws`` times with every onset and end moved by up to ``width`` seconds, fixed by clip, draw and note."""
-    d = clips.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    """Each clip ``draws`` times with every onset and end moved by up to ``width`` seconds, fixed by clip, draw and note.
+
+    A note ends no later than the next begins, as jitter must not create overlaps, and lasts 50 ms at least."""
+    whole = F.filter("notes", lambda x: x["start"].isNotNull() & x["end"].isNotNull() & x["pitch"].isNotNull())
+    d = clips.withColumn("notes", F.array_sort(whole)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     u = lambda i, what: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(what), F.col("sample_id"), F.col("draw").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967295.0 * 2 - 1) * width
-    return d.withColumn("notes", F.transform("notes", lambda x, i: F.struct((x["start"] + u(i, "s")).alias("start"), (x["end"] + u(i, "e")).alias("end"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity"))))
+    moved = F.transform("notes", lambda x, i: F.struct((x["start"] + u(i, "s")).alias("start"), (x["end"] + u(i, "e")).alias("end"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity")))
+    end = lambda m, x, i: F.greatest(F.least(x["end"], F.get(m, i + 1)["start"]), x["start"] + 0.05)
+    return d.withColumn("notes", bound(moved, lambda m: F.transform(m, lambda x, i: F.struct(x["start"].alias("start"), end(m, x, i).alias("end"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity")))))
+
+
+def _every_value() -> Column:
+    """R-U3 for every note: its notes are drawn anew in each jittered copy, so copies are asked for the value of any note."""
+    ok = E.tempo_consistent() & F.expr(E.ON_GRID) & F.col("values_ok")
+    return _when(ok, F.transform("ev", lambda x: cand("R-U3", "understanding", "rhythm", "ABS", "note_value", E.value_name(x["value"]), F.array(x["i"]), "", "", E.value_name(x["value"]), "class_label")))
 
 
-def stable(clips: DataFrame, generators: list[str], draws: int = 10) -> DataFrame:
+def stable(clips: DataFrame, generators: list[str] | None = None, draws: int = 10, cover: float = COVER) -> DataFrame:
     """Candidates that every jittered copy of their clip gives too, with the same notes and answer.
 
-    One aggregate over (clip, family, question): the number of draws with the same answer as the original."""
-    same = ["sample_id", "fam", "sub", "akey", "idx", "gold"]
-    base = candidates(E.excerpts(clips), generators).select(*same, "kind", "concept", "stratum")
-    again = E.excerpts(jittered(clips, draws)).withColumn("sample_id", F.concat_ws("#", "sample_id", F.col("draw").cast("string")))
-    again = candidates(again, generators).select(F.split_part("sample_id", F.lit("#"), F.lit(1)).alias("sample_id"), F.split_part("sample_id", F.lit("#"), F.lit(2)).alias("draw"), *same[1:])
-    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in same])
-    kept = again.select(key.alias("key"), "draw").groupBy("key").agg(F.count_distinct("draw").alias("draws")).where(F.col("draws") == draws).select("key")
-    return base.withColumn("key", key).join(kept, "key", "left_semi").drop("key")
+    Equal rows of clips count once; rows of a clip that differ are versions of it, each compared with its own copies.
+    One aggregate over (version, family, question): the number of draws with the same answer as the original. Equal
+    candidates of a draw are merged in its row, so the counts combine before the shuffle."""
+    clips = clips.dropDuplicates()
+    clips = clips.withColumn("version", F.xxhash64(*clips.columns))
+    same = ["fam", "sub", "akey", "idx", "gold"]
+    key = lambda c: F.xxhash64(F.col("version"), F.col("sample_id"), *[F.coalesce(c[k].cast("string"), F.lit("\0")) for k in same])
+    d, every = _listed(E.excerpts(clips), generators, cover)
+    base = d.select("sample_id", "version", F.explode(every).alias("c"))
+    base = base.select("sample_id", *[f"c.{k}" for k in [*same, "kind", "concept", "stratum"]], key(F.col("c")).alias("key"))
+    d, every = _listed(E.excerpts(jittered(clips, draws)), generators, cover)
+    if generators is None or "rhythm_understanding" in generators:
+        every = F.concat(every, _every_value().cast(CAND))
+    keys = d.select(F.explode(F.array_distinct(F.transform(every, key))).alias("key"))
+    kept = keys.groupBy("key").agg(F.count("*").alias("draws")).where(F.col("draws") == draws).select("key")
+    return base.join(kept, "key", "left_semi").drop("key")

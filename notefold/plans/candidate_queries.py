@@ -42,9 +42,8 @@ def short_order_candidates(s, d):
 
 
 def jitter_stable(s, d):
-    clips = E.quantised(E.clip_rows(s, d))
-    # a repeated clip would count its draws twice as one
-    return C.stable(clips.dropDuplicates(["sample_id"]), ["intervals", "bars"], 4).select("sample_id", "fam", "sub", "akey", E.text(F.col("idx")).alias("notes"), "gold")
+    """Candidates of all families that hold in ten jittered copies of their clip."""
+    return C.stable(E.quantised(E.clip_rows(s, d)), cover=0.5).select("sample_id", "fam", "sub", "akey", E.text(F.col("idx")).alias("notes"), "gold")
 
 
 def rendered_questions(s, d):
