@@ -49,6 +49,11 @@ def content_digest(s, d):
     return files.content_digest(tables(s, d)("manifest").select("id", "source", "semitones")).select("rows")
 
 
+def content_digest_whole(s, d):
+    """Rows, sum and xor of the hashes of whole rows, so that tables of equal size and other content differ."""
+    return files.content_digest(tables(s, d)("manifest"))
+
+
 def concept_ids(s, d):
     """Concept tags of clips numbered in sorted order."""
     return dense_ids(tables(s, d)("clips").select(F.explode("concepts").alias("concept")), "concept", "concept_no")
@@ -60,7 +65,7 @@ def concept_pairs(s, d):
     return c.groupBy(F.split_part("tag", F.lit(":"), F.lit(1)).alias("field"), F.split_part("tag", F.lit(":"), F.lit(2)).alias("value")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (generated_clips, transposed_clips, short_generated, metadata_table, quarantine, modality_files, content_digest, concept_ids, concept_pairs)}
+QUERIES = {f.__name__: f for f in (generated_clips, transposed_clips, short_generated, metadata_table, quarantine, modality_files, content_digest, content_digest_whole, concept_ids, concept_pairs)}
 ORACLE = {
     "metadata_table": f"select sp || '/wav/' || sample_id || '.wav' as audio_path, sp || '/midi/' || sample_id || '.mid' as midi_path, sp || '/meta/' || sample_id || '.json' as json_path, coalesce(list_min(list_transform(notes, lambda x: x.start)), 0) as first_onset, coalesce(list_max(list_transform(notes, lambda x: x.\"end\")), 0) as last_offset, sp as split from (select *, {sql_split_name('split', 'sample_id')} as sp from clips)",
     "quarantine": "select distinct sample_id from clips where sample_id not in (select sample_id from clips where removed_at is not null)",
