@@ -78,6 +78,16 @@ def systematic_sample(cats: DataFrame, goals: DataFrame, seed: int = 1) -> DataF
     return ranked.withColumn("reason", reason).where("reason is not null").select("plan_id", "category", "item_id", "reason")
 
 
+def drawn_counts(cats: DataFrame, goals: DataFrame) -> DataFrame:
+    return systematic_sample(cats, goals).groupBy("plan_id", "category").agg(F.count("*").alias("drawn"))
+
+
+def short_of(cats: DataFrame, goals: DataFrame) -> DataFrame:
+    """Goals the sample draws too few items for; a draw below the need by its fraction only is told apart by the exact count."""
+    drawn = drawn_counts(cats, goals)
+    return available(cats, goals).join(drawn, ["plan_id", "category"], "left").where("coalesce(drawn, 0) < need and have < need")
+
+
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = tables(spark, sf_dir)
     items = distinct_items(t("qa_items"), "split", "concept", "query_key", "gold_answer")
@@ -85,7 +95,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return available(*_inputs(spark, sf_dir)).where("have < need").select("plan_id", "category").distinct()
+    return short_of(*_inputs(spark, sf_dir)).select("plan_id", "category").distinct()
 
 
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +105,7 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target, floor, supply and draw of every category of every plan."""
     cats, goals = _inputs(spark, sf_dir)
-    drawn = systematic_sample(cats, goals).groupBy("plan_id", "category").agg(F.count("*").alias("drawn"))
+    drawn = drawn_counts(cats, goals)
     return available(cats, goals).join(drawn, ["plan_id", "category"], "left").select("plan_id", "category", "want_milli", F.col("floor").alias("min_items"), "have", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("have") >= F.col("need")).alias("can_be_met"))
 
 
