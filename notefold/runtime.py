@@ -15,11 +15,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests,
-    local mode) a temporary folder is made and set."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary
+    folder is made and set if all runs in this one process (a ``local`` master); a cluster has no
+    folder of its own that every executor sees, so there it is an error."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='notefold-')}"
         sc.setCheckpointDir(folder)
     return folder
@@ -78,8 +81,9 @@ def heaviest(counts: DataFrame, n: str = "n", most: int = 1024, least: int = 50_
     """The ``most`` keys of ``counts`` with the largest ``n`` of at least ``least``.
 
     At most ``most`` rows, so it may be broadcast at any size of the data, and any key left out
-    holds less than 1/``most`` of all rows. It only plans salting; no row is dropped."""
-    return counts.where(F.col(n) >= least).orderBy(F.col(n).desc()).limit(most)
+    holds less than 1/``most`` of all rows. Keys of equal ``n`` come in the order of their other
+    columns, so every evaluation gives the same keys. It only plans salting; no row is dropped."""
+    return counts.where(F.col(n) >= least).orderBy(F.col(n).desc(), *[c for c in counts.columns if c != n]).limit(most)
 
 
 def tables(spark: SparkSession, sf_dir: str):
