@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
+import os
+from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_ITEMS = 512
 NODES = 400
+FILLINGS = 6
+STEPS = 120
 FULL = 0.99
 MOST_CONTAINERS = 1000
 
@@ -33,12 +37,14 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, tokens`` of whole texts; null and empty texts have 0. The vocabulary is read on the workers from its path."""
+def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str) -> DataFrame:
+    """``doc_id, tokens`` of whole texts; null and empty texts have 0. The vocabulary at the driver's path ``tokenizer`` is sent to the workers."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "tokens"])
@@ -62,77 +68,129 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(sizes: list[int], left: list[int], room: int, most: int) -> list[tuple[int, list[int]]]:
-    """Undominated sets of remaining items that go beside the largest one, fullest first, at most ``most``.
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """A number of bins below which no packing can go; ``sizes`` in falling order.
+
+    For each threshold k up to half the capacity: items above capacity - k are alone, those above half have a bin each,
+    and the items from k to half that do not fit into the room these leave need bins of their own. Items below k only help, so the
+    highest of these counts holds; k = 0 gives the total over the capacity."""
+    n = len(sizes)
+    total = [0]
+    for s in sizes:
+        total.append(total[-1] + s)
+    rising = [-s for s in sizes]
+    big = bisect_left(rising, -(capacity // 2))  # items above half
+    best = -(-total[n] // capacity)
+    for k in dict.fromkeys(sizes[big:]):
+        alone = bisect_left(rising, k - capacity)  # items above capacity - k
+        upto = bisect_right(rising, -k)
+        room = (big - alone) * capacity - (total[big] - total[alone])
+        best = max(best, big + max(0, -(-(total[upto] - total[big] - room) // capacity)))
+    return best
+
 
-    A set is dominated if a larger item still left fits in the place of one of its items, or another
-    item fits beside them; the search takes items in falling order, so it leaves such sets out by
-    keeping only sets that no further item fits into and by taking the first of equal sizes."""
+def _dominated(chosen: list[int], slack: int, others: list[int]) -> bool:
+    """True if one of ``others`` (sizes left out) may stand for some of the ``chosen`` sizes, or beside them, to advantage.
+
+    It may if it is at least their sum and at most ``slack`` more: whatever held it can hold them instead. One equal item is no
+    advantage. Sums are bits of one number."""
+    many, single = 1, 0  # sums of no or of several items, sums of one item
+    every = 1
+    for s in chosen:
+        many |= (every ^ 1) << s
+        single |= 1 << s
+        every |= every << s
+    for x in others:
+        low = max(0, x - slack)
+        window = ((1 << (x - low + 1)) - 1) << low
+        if many & window or single & window & ~(1 << x):
+            return True
+    return False
+
+
+def fillings(sizes: list[int], left: list[int], room: int, most: int | None = None, steps: int | None = None) -> list[list[int]]:
+    """The undominated sets of the items ``left`` that go into ``room``, fullest first.
+
+    A set is dominated if another one holds a larger item in the place of some of its items or one item more (Martello and Toth);
+    some best packing uses undominated sets only. Sets are built from the largest size down; a branch ends when what
+    follows cannot fill the room up to the smallest size left out. Without ``most`` and ``steps`` all are found. With them the
+    search ends after so many sets or steps, or at a set that leaves no room; the first set built is always among those given."""
+    groups: list[tuple[int, list[int]]] = []
+    for i in left:
+        if sizes[i] <= room:
+            if groups and groups[-1][0] == sizes[i]:
+                groups[-1][1].append(i)
+            else:
+                groups.append((sizes[i], [i]))
+    if groups and groups[0][0] == room:
+        return [[groups[0][1][0]]]  # one item that fills the room stands for any other set
+    rest = [0]
+    for s, items in reversed(groups):
+        rest.append(rest[-1] + s * len(items))
+    rest.reverse()
     found: list[tuple[int, list[int]]] = []
-    smallest = sizes[left[-1]] if left else 0
-    steps = 0
-
-    def search(at: int, room: int, chosen: list[int]) -> bool:
-        """True: a perfect filling is found or the search has gone on for long enough."""
-        nonlocal steps
-        steps += 1
-        if room < smallest or at == len(left):
-            found.append((room, chosen))
-            return room == 0 or len(found) >= most or steps > 20 * most
-        before, any_fits = None, False
-        k = at
-        while k < len(left):
-            s = sizes[left[k]]
-            if s <= room and s != before:
-                any_fits, before = True, s
-                if search(k + 1, room - s, [*chosen, left[k]]):
+    first: list | None = None
+    count = 0
+
+    def search(at: int, room: int, chosen: list[int], out: int) -> bool:
+        """``out``: the smallest size that fits and is left out. True: enough is found."""
+        nonlocal first, count
+        count += 1
+        while at < len(groups) and groups[at][0] > room:
+            at += 1
+        if at == len(groups):
+            if room < out:
+                if first is None:
+                    first = [(room, chosen)]
+                taken = set(chosen)
+                others = [s for s, items in groups if any(i not in taken for i in items)]
+                if not _dominated([sizes[i] for i in chosen], room, others):
+                    found.append((room, chosen))
+            return (most is not None and (room == 0 and bool(found) or len(found) >= most)) or (steps is not None and count > steps)
+        for g in range(at, len(groups)):
+            s, items = groups[g]
+            if room - rest[g] >= out:
+                break
+            for k in range(min(len(items), room // s), 0, -1):
+                if search(g + 1, room - k * s, [*chosen, *items[:k]], out if k == len(items) else min(out, s)):
                     return True
-            k += 1
-            if len(found) >= most:
-                return True
-        if not any_fits:
-            taken = set(chosen)
-            if all(sizes[i] > room or i in taken for i in left):
-                found.append((room, chosen))
-        return room == 0 or len(found) >= most or steps > 20 * most
-
-    search(0, room, [])
+            out = min(out, s)
+        return steps is not None and count > steps
+
+    search(0, room, [], room + 1)
     found.sort(key=lambda x: x[0])
-    kept: list[tuple[int, list[int]]] = []
-    for r, c in found:  # same multiset of sizes, or the same total with more, smaller items: dominated
-        if not any(r2 == r and len(c2) <= len(c) for r2, c2 in kept):
-            kept.append((r, c))
-    return kept
+    return [c for _, c in found or first or [(room, [])]]
 
 
-def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+def bin_completion(sizes: list[int], capacity: int, nodes: int | None = NODES, most: int = FILLINGS, steps: int = STEPS) -> list[list[int]]:
     """Items packed into as few bins as the search finds; ``sizes`` in falling order, none above ``capacity``.
 
-    The incumbent is best-fit decreasing. Each node completes a bin around the largest item left
-    with undominated fillings, fullest first; a branch ends when the bins so far plus the least
-    number for the rest (its total and the waste already fixed) cannot beat the incumbent. The search ends
-    at the lower bound, or after ``nodes`` nodes with the best packing so far. Items of size 0 go along free."""
+    The incumbent is best-fit decreasing. Each node completes a bin around the largest item left with undominated
+    fillings, fullest first; a branch ends when the bins so far and :func:`least_bins` of the rest cannot beat the
+    incumbent, and the search when that bound is met. With ``nodes=None`` every undominated filling is tried and the packing is
+    the best possible; the time may then grow exponentially. Else the search ends after ``nodes`` nodes, each with at
+    most ``most`` fillings found in ``steps`` steps, with the best packing so far. Items of size 0 go along free."""
     best = best_fit(sizes, capacity)
     items = [i for i, s in enumerate(sizes) if s > 0]
-    bound = -(-sum(sizes) // capacity)
+    zero = [i for i, s in enumerate(sizes) if s == 0]
+    bound = least_bins([sizes[i] for i in items], capacity)
     if len(best) <= max(bound, 1):
         return best
     seen = 0
     todo: list = [(items, [])]
-    while todo and seen < nodes and len(best) > bound:
+    while todo and (nodes is None or seen < nodes) and len(best) > bound:
         left, bins = todo.pop()
         seen += 1
         if not left:
             if len(bins) < len(best):
-                zero = [i for i, s in enumerate(sizes) if s == 0]
                 best = [list(b) for b in bins]
-                (best[0] if best else best).extend(zero)
+                best[0].extend(zero)
             continue
-        if len(bins) + -(-sum(sizes[i] for i in left) // capacity) >= len(best):
+        if len(bins) + least_bins([sizes[i] for i in left], capacity) >= len(best):
             continue
         first, others = left[0], left[1:]
-        branches = _fillings(sizes, others, capacity - sizes[first], 6)
-        for _, chosen in reversed(branches):  # the fullest is tried first
+        sets = fillings(sizes, others, capacity - sizes[first]) if nodes is None else fillings(sizes, others, capacity - sizes[first], most, steps)
+        for chosen in reversed(sets):  # the fullest is tried first
             gone = set(chosen)
             todo.append(([i for i in others if i not in gone], [*bins, [first, *chosen]]))
     return best
@@ -190,7 +248,7 @@ def pack(counts: DataFrame, containers: DataFrame) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
-    return pack(token_counts(t("documents"), "doc_id", "text"), t("containers"))
+    return pack(token_counts(t("documents"), "doc_id", "text", TOKENIZER), t("containers"))
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,5 +76,59 @@ def test_pack_whole_table(spark):
 @pytest.mark.skipif(not os.path.exists(L.TOKENIZER), reason="no vocabulary")
 def test_token_counts(spark, rows):
     d = spark.createDataFrame([(1, "The quick brown fox", 9), (2, "", 9), (3, None, 9), (4, "a" * 50_000, 9), (5, "<|endoftext|> é 音", 9)], "doc_id long, text string, tokens int")
-    got = dict(rows(L.token_counts(d, "doc_id", "text")))
+    got = dict(rows(L.token_counts(d, "doc_id", "text", L.TOKENIZER)))
     assert got[1] == 4 and got[2] == got[3] == 0 and got[4] > 1000 and got[5] > 3
+
+
+def by_subsets(sizes, capacity):
+    """Fewest bins: for every subset the fewest bins and, of these, the emptiest last one."""
+    best = [(0, capacity)] + [None] * ((1 << len(sizes)) - 1)
+    for m in range(1, len(best)):
+        some = []
+        for i, s in enumerate(sizes):
+            if m >> i & 1:
+                bins, fill = best[m ^ 1 << i]
+                some.append((bins, fill + s) if fill + s <= capacity else (bins + 1, s))
+        best[m] = min(some)
+    return max(best[-1][0], 1)
+
+
+def test_search_without_limits_is_exact():
+    rng = random.Random(12)
+    above_total = 0
+    for _ in range(80):
+        low, high = rng.choice([(10, 60), (20, 50), (1, 70), (13, 57)])
+        sizes = sorted((rng.randrange(low, high) for _ in range(rng.randrange(8, 14))), reverse=True)
+        want = by_subsets(sizes, 100)
+        bins = L.bin_completion(sizes, 100, None)
+        assert sorted(itertools.chain(*bins)) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 100 for b in bins)
+        assert len(bins) == want and -(-sum(sizes) // 100) <= L.least_bins(sizes, 100) <= want
+        above_total += L.least_bins(sizes, 100) > -(-sum(sizes) // 100)
+    assert above_total > 0
+    hard = [56, 55, 53, 52, 51, 45, 44, 38, 38, 36, 31, 20, 18, 17, 14, 14, 13]
+    assert len(L.bin_completion(hard, 100, None)) == 6
+    assert L.bin_completion([], 10, None) == [] and len(L.bin_completion([0, 0], 10, None)) == 1
+
+
+def test_fillings_are_the_undominated_ones():
+    """Against all subsets: those kept are not dominated by one other item, those left out are, or repeat the sizes of one kept."""
+    rng = random.Random(13)
+    for _ in range(150):
+        sizes = sorted((rng.randrange(1, 30) for _ in range(rng.randrange(0, 8))), reverse=True)
+        room = rng.randrange(0, 50)
+        got = [tuple(sorted(sizes[i] for i in c)) for c in L.fillings(sizes, list(range(len(sizes))), room)]
+
+        def beaten(c):
+            slack = room - sum(sizes[i] for i in c)
+            for x in set(range(len(sizes))) - set(c):
+                for k in range(len(c) + 1):
+                    for t in itertools.combinations(c, k):
+                        total = sum(sizes[i] for i in t)
+                        if sizes[x] - slack <= total <= sizes[x] and not (k == 1 and total == sizes[x]):
+                            return True
+            return False
+
+        fits = [c for k in range(len(sizes) + 1) for c in itertools.combinations(range(len(sizes)), k) if sum(sizes[i] for i in c) <= room]
+        want = {tuple(sorted(sizes[i] for i in c)) for c in fits if not beaten(c)}
+        assert len(got) == len(set(got))
+        assert set(got) == want or (room in sizes and got == [(room,)])
