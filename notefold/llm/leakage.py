@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from notefold.runtime import tables
 
 WORDS = 10
-MOST_PASSAGE_MB = 4
+MOST_PASSAGE_MB = 32
+MOST_WORDS = 1_000_000
+REPEATS = 8
 
 # fixed values: characters that are dropped before words are read
 DROPPED = "\u200b\u200c\u200d\ufeff\u00ad"
@@ -43,29 +46,46 @@ def word_offsets(text: str) -> list[tuple[str, int, int]]:
 
 
 class Windows:
-    """The automaton over every run of ``size`` words of the passages; built once in a worker process.
+    """The automaton over the passages; built once in a worker process.
 
     Each different word of the passages is one character of the automaton's alphabet, any other
-    word the separator, so a window costs ``size`` nodes at most and a text is scanned by words."""
+    word the separator, so a text is scanned by words. Any run of ``size`` words holds one of the blocks of
+    (size + 1) // 2 words that a passage is cut into, so the blocks are the patterns, about one node a word of the passages, and a
+    block that is met is extended to both sides. A passage that repeats itself, for which the same block stands at many
+    places, gives its different windows of ``size`` words instead."""
 
     _last: tuple | None = None
 
     def __init__(self, passages: list[tuple[int, str]], size: int):
         import ahocorasick
 
-        self.size, self.letter = size, {}
-        of: dict[str, set] = {}
+        self.size, self.block, self.letter = size, (size + 1) // 2, {}
+        ids: dict[str, set] = {}
         for pid, text in passages:
             w = words(text)
             if len(w) >= size:
-                code = "".join(self.letter.setdefault(x, self._char(len(self.letter))) for x in w)
-                for i in range(len(w) - size + 1):
-                    of.setdefault(code[i : i + size], set()).add(pid)
-        self.any = bool(of)
+                code = "".join([self.letter.setdefault(x, self._char(len(self.letter))) for x in w])
+                ids.setdefault(code, set()).add(pid)
+        if len(self.letter) > MOST_WORDS:
+            raise ValueError(f"more than {MOST_WORDS} different words in one block of passages")
+        self.codes = list(ids)
+        self.ids = [tuple(v) for v in ids.values()]
+        patterns: dict[str, list] = {}
+        for k, code in enumerate(self.codes):
+            blocks: dict[str, list] = {}
+            for at in range(0, len(code) - self.block + 1, self.block):
+                blocks.setdefault(code[at : at + self.block], []).append((k, at))
+            if all(len(v) <= REPEATS for v in blocks.values()):
+                for x, places in blocks.items():
+                    patterns.setdefault(x, []).extend(places)
+            else:
+                for x in {code[i : i + size] for i in range(len(code) - size + 1)}:
+                    patterns.setdefault(x, []).append((k, -1))
+        self.any = bool(patterns)
         self.automaton = ahocorasick.Automaton()
-        for window, ids in of.items():
-            self.automaton.add_word(window, tuple(ids))
-        if of:
+        for x, places in patterns.items():
+            self.automaton.add_word(x, (len(x), places))
+        if patterns:
             self.automaton.make_automaton()
 
     @staticmethod
@@ -80,36 +100,56 @@ class Windows:
         return cls._last[2]
 
     def hits(self, text: str | None) -> dict[int, list[tuple[int, int]]]:
-        """Passage id -> first and last word number of each shared run, overlapping windows joined."""
+        """Passage id -> first and last word number of each shared run, overlapping ones joined."""
         w = words(text) if self.any else []
         if len(w) < self.size:
             return {}
         letter = self.letter.get
-        runs: dict[int, list[list[int]]] = {}
-        for last, ids in self.automaton.iter("".join([letter(x, "\0") for x in w])):
-            first = last - self.size + 1
-            for pid in ids:
-                mine = runs.setdefault(pid, [])
-                if mine and first <= mine[-1][1] - self.size + 2:
-                    mine[-1][1] = last
+        s = "".join([letter(x, "\0") for x in w])
+        starts: dict[int, list[tuple[int, int]]] = {}  # passage -> first and last start of shared windows
+        reached: dict[tuple[int, int], int] = {}  # (passage, shift) -> end of what is compared
+        for last, (n, places) in self.automaton.iter(s):
+            first = last - n + 1
+            for k, at in places:
+                if at < 0:
+                    starts.setdefault(k, []).append((first, first))
+                    continue
+                if reached.get((k, first - at), 0) > first:
+                    continue
+                code, a, z, i, j = self.codes[k], first, last + 1, at, at + n
+                while a > 0 and i > 0 and s[a - 1] == code[i - 1]:
+                    a, i = a - 1, i - 1
+                while z < len(s) and j < len(code) and s[z] == code[j]:
+                    z, j = z + 1, j + 1
+                reached[k, first - at] = z
+                if z - a >= self.size:
+                    starts.setdefault(k, []).append((a, z - self.size))
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for k, ranges in starts.items():
+            mine: list[list[int]] = []
+            for a, z in sorted(ranges):
+                if mine and a <= mine[-1][1] + 1:
+                    mine[-1][1] = max(mine[-1][1], z)
                 else:
-                    mine.append([first, last])
-        return {pid: [tuple(r) for r in mine] for pid, mine in runs.items()}
+                    mine.append([a, z])
+            for pid in self.ids[k]:
+                runs[pid] = [(a, z + self.size - 1) for a, z in mine]
+        return runs
 
 
 def leaked(docs: DataFrame, doc_id: str, text: str, passages: DataFrame, passage_id: str, passage: str, size: int = WORDS) -> DataFrame:
     """``doc_id, eval_id, first_char, last_char, n_words``: each run of at least ``size`` words that a
     document shares with a passage, with its place in the original text.
 
-    The passages are the held-out side, which does not grow with the corpus: their size is checked
-    (at most ``MOST_PASSAGE_MB``, which also keeps their different words below the size of the
-    alphabet) before they are broadcast; a larger set is scanned in blocks. Each text is normalised and scanned once, in one pass, without a shuffle; offsets are
-    worked out only for texts with a hit. Null and empty texts or passages, and passages shorter
+    The passages are the held-out side, which does not grow with the corpus: their size is checked before they are
+    broadcast. Up to ``MOST_PASSAGE_MB`` (some 200 MB of automaton in a worker) each text is normalised and scanned once, in one
+    pass, without a shuffle; only a larger set is scanned in as many blocks as its size asks for, with the same rows. A block may have up to
+    ``MOST_WORDS`` different words, the size of the alphabet. Offsets are worked out only for texts with a hit. Null and empty texts or passages, and passages shorter
     than ``size`` words, have no runs. Equal passages under several ids are all reported."""
     spark = docs.sparkSession
     p = passages.select(F.col(passage_id).alias("pid"), F.col(passage).alias("passage")).where("pid is not null and passage is not null").distinct()
     mb = (p.agg(F.sum(F.octet_length("passage"))).first()[0] or 0) / 1e6
-    blocks = max(1, -(-int(mb) // MOST_PASSAGE_MB))
+    blocks = max(1, math.ceil(mb / MOST_PASSAGE_MB))
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     types = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, eval_id {p.schema['pid'].dataType.simpleString()}, first_char int, last_char int, n_words int"
     out = None

@@ -39,3 +39,31 @@ def test_spans_point_at_the_original(spark):
     d = spark.createDataFrame([(7, text)], "doc_id long, text string")
     r = L.leaked(d, "doc_id", "text", p, "eval_id", "passage").collect()
     assert len(r) == 1 and text[r[0].first_char : r[0].last_char] == "Two — THREE four, five six (seven) eight nine​ ten\neleven" and r[0].n_words == 10
+
+
+def test_runs_against_all_windows():
+    """Runs of texts of few words, where blocks repeat, against every pair of windows; passages that repeat themselves too."""
+    rng = random.Random(12)
+    for size in (3, 4, 10):
+        passages = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(2, 40)))) for i in range(15)] + [(20, "a " * 60), (21, "a b " * 40), (22, "a " * 60), (23, None), (24, "")]
+        w = L.Windows(passages, size)
+        assert any(at < 0 for _, places in w.automaton.values() for _, at in places)
+        for _ in range(60):
+            text = " ".join(rng.choice("abcdeX") if rng.random() < 0.8 else rng.choice(["a a a", "a b a b", "zz"]) for _ in range(rng.randrange(0, 60)))
+            if rng.random() < 0.5:
+                text += " " + passages[rng.randrange(15)][1]
+            t = text.lower().split()
+            want = {}
+            for pid, p in passages:
+                v = (p or "").split()
+                grams = {tuple(v[i : i + size]) for i in range(len(v) - size + 1)}
+                runs = []
+                for i in range(len(t) - size + 1):
+                    if tuple(t[i : i + size]) in grams:
+                        if runs and i <= runs[-1][1] - size + 2:
+                            runs[-1][1] = i + size - 1
+                        else:
+                            runs.append([i, i + size - 1])
+                if runs:
+                    want[pid] = [tuple(r) for r in runs]
+            assert w.hits(text) == want
