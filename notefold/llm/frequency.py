@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,9 @@ from notefold.runtime import cut, tables
 
 BURST = 1024
 DEEPEST = 64
+TRIE_TERMS = 500_000
+ROUTE_TERMS = 50_000
+MOST_ROUTES = 4096
 RARE_ITEMS = 2
 COMMON_SHARE = "0.06"
 
@@ -21,10 +25,10 @@ class BurstTrie:
     """Terms with two counters. A container holds up to ``burst`` suffixes; one that grows beyond
     bursts into a node with a container per next character, so prefixes lengthen only where terms crowd."""
 
-    __slots__ = ("burst", "root", "deepest")
+    __slots__ = ("burst", "root", "deepest", "size")
 
     def __init__(self, burst: int = BURST, deepest: int = DEEPEST):
-        self.burst, self.deepest, self.root = burst, deepest, [{}, None]  # [container, children or None]
+        self.burst, self.deepest, self.root, self.size = burst, deepest, [{}, None], 0  # [container, children or None]
 
     def add(self, term: str, times: int, items: int) -> None:
         node, depth = self.root, 0
@@ -40,6 +44,7 @@ class BurstTrie:
             old[1] += items
             return
         box[rest] = [times, items]
+        self.size += 1
         if node[1] is None and len(box) > self.burst and depth < self.deepest:
             node[1] = {}
             node[0] = {"": box.pop("")} if "" in box else {}
@@ -97,7 +102,9 @@ def unpack(data: bytes) -> Iterator[tuple[str, int, int]]:
 
 
 def _tries(batches):
-    """One trie per field from all batches of a task; emits its containers and, as kind 0, the items with a term."""
+    """One trie per field from the batches of a task; emits its containers and, as part -1, the items with a term.
+
+    A trie with ``TRIE_TERMS`` terms is emitted and begun anew, so its size does not grow with the task."""
     tries: dict[str, BurstTrie] = {}
     holders: dict[str, int] = {}
     for b in batches:
@@ -107,41 +114,54 @@ def _tries(batches):
             if f not in tries:
                 tries[f] = BurstTrie()
             tries[f].add(term, times, items)
-    rows = [(f, "", 0, n, b"") for f, n in holders.items()]
+            if tries[f].size >= TRIE_TERMS:
+                yield from _emitted(f, tries.pop(f))
     for f, trie in tries.items():
-        for prefix, box in trie.leaves():
-            rows.append((f, prefix, 1, len(box), pack(box)))
-            if len(rows) >= 512:
-                yield _batch(rows)
-                rows = []
+        yield from _emitted(f, trie)
+    if holders:
+        yield _batch([(f, "", -1, n, b"") for f, n in holders.items()])
+
+
+def _emitted(field: str, trie: BurstTrie):
+    rows = []
+    for prefix, box in trie.leaves():
+        rows.append((field, prefix, 0, len(box), pack(box)))
+        if len(rows) >= 512:
+            yield _batch(rows)
+            rows = []
     if rows:
         yield _batch(rows)
 
 
-_PART = "field_name string, prefix string, kind int, n long, body binary"
+_PART = "field_name string, prefix string, part int, n long, body binary"
 
 
 def _batch(rows):
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["field_name", "prefix", "kind", "n", "body"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["field_name", "prefix", "part", "n", "body"])
+
 
+def _route(heavy: dict, parts: int):
+    """Containers cut along the routes: a term goes to its shortest prefix that isn't heavy, and there to one of ``parts`` by its hash.
 
-def _route(heavy: frozenset):
-    """Containers cut along the routes: a term goes to its shortest prefix that isn't heavy."""
+    Terms that are a heavy prefix themselves stay at it; where even the longest prefix looked at is heavy, it has as many parts as its terms ask for."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for f, prefix, n, body in zip(*(b.column(c).to_pylist() for c in ("field_name", "prefix", "n", "body"))):
-                boxes: dict[str, dict] = {}
-                whole = next((prefix[:k] for k in range(len(prefix) + 1) if (f, prefix[:k]) not in heavy), None)
+            for f, prefix, body in zip(*(b.column(c).to_pylist() for c in ("field_name", "prefix", "body"))):
+                boxes: dict[tuple[str, int], dict] = {}
+                whole = next((prefix[:k] for k in range(min(len(prefix), DEEPEST) + 1) if (f, prefix[:k]) not in heavy), None)
                 for suffix, times, items in unpack(body):
-                    term = prefix + suffix
-                    route = whole
+                    term, route, among = prefix + suffix, whole, parts
                     if route is None:
-                        route = next((term[:k] for k in range(len(prefix) + 1, len(term) + 1) if (f, term[:k]) not in heavy), term + "\0")
-                    boxes.setdefault(route, {})[term[len(route) :] if not route.endswith("\0") else ""] = (times, items)
-                rows += [(f, route, 1, len(box), pack(box)) for route, box in boxes.items()]
+                        last = min(len(term), DEEPEST)
+                        route = next((term[:k] for k in range(min(len(prefix), DEEPEST), last + 1) if (f, term[:k]) not in heavy), None)
+                        if route is None:
+                            route, among = term[:last], -(-heavy[f, term[:last]] // ROUTE_TERMS)
+                    part = zlib.crc32(term.encode("utf-8", "surrogatepass")) % among if among > 1 else 0
+                    boxes.setdefault((route, part), {})[term[len(route) :]] = (times, items)
+                rows += [(f, route, part, len(box), pack(box)) for (route, part), box in boxes.items()]
             if rows:
                 yield _batch(rows)
 
@@ -149,9 +169,8 @@ def _route(heavy: frozenset):
 
 
 def _merge(key, table):
-    """All subtrees of one route joined into one."""
-    field, route = (k.as_py() for k in key)
-    start = route.removesuffix("\0")
+    """All subtrees of one part of a route joined into one."""
+    field, route = key[0].as_py(), key[1].as_py()
     box: dict[str, list] = {}
     for body in table["body"]:
         for suffix, times, items in unpack(body.as_py()):
@@ -161,7 +180,7 @@ def _merge(key, table):
             else:
                 old[0] += times
                 old[1] += items
-    cols = [[field] * len(box), [start + s for s in box], [c[0] for c in box.values()], [c[1] for c in box.values()]]
+    cols = [[field] * len(box), [route + s for s in box], [c[0] for c in box.values()], [c[1] for c in box.values()]]
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["field_name", "term", "times", "items"])
 
 
@@ -169,26 +188,29 @@ def term_counts(terms: DataFrame, routes: int | None = None) -> DataFrame:
     """``field_name, term, times, items, holders`` of ``field_name, first, term, times`` rows.
 
     ``times`` counts occurrences, ``items`` the rows (one per item), ``holders`` the items with any
-    term of the field. Each task counts its rows in a burst trie per field, which is the combine
-    before the shuffle: a term in a third of all rows is one entry per task. The containers are
+    term of the field. Each task counts its rows in burst tries per field, which is the combine
+    before the shuffle: a term in a third of all rows is one entry per trie. The containers are
     written once. Prefixes with more than 1/``routes`` of all entries below them are heavy; there
     are at most ``routes`` of them per length up to ``DEEPEST``, a bound that does not grow with the
-    data. Terms are routed by their shortest prefix that is not heavy, and the subtrees of a route
-    are merged in one task. Null terms must have been left out; an empty table gives no rows."""
+    data. Terms are routed by their shortest prefix that is not heavy, and by hash into so many parts of it that
+    each has about ``ROUTE_TERMS`` entries; the subtrees of a part are merged in one task. Terms that have their first ``DEEPEST`` characters
+    in common are parted in the same way. Null terms must have been left out; an empty table gives no rows."""
     spark = terms.sparkSession
-    parts = cut(terms.mapInArrow(_tries, _PART))
-    leaves = parts.where("kind = 1")
-    routes = routes or max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    written = cut(terms.mapInArrow(_tries, _PART))
+    leaves = written.where("part = 0")
+    routes = routes or min(MOST_ROUTES, max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     total = leaves.agg(F.sum("n")).first()[0] or 0
+    least = max(total // routes, BURST)
     lengths = F.explode(F.sequence(F.lit(0), F.least(F.char_length("prefix"), F.lit(DEEPEST))))
     heavy = (
         leaves.select("field_name", "prefix", "n", lengths.alias("k")).groupBy("field_name", F.substring(F.col("prefix"), F.lit(1), F.col("k")).alias("prefix"))
-        .agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(max(total // routes, BURST)))
+        .agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(least))
     )
-    known = spark.sparkContext.broadcast(frozenset((r[0], r[1]) for r in heavy.select("field_name", "prefix").collect()))
-    cuts = leaves.mapInArrow(lambda batches: _route(known.value)(batches), _PART)
-    merged = cuts.groupBy("field_name", "prefix").applyInArrow(_merge, "field_name string, term string, times long, items long")
-    holders = parts.where("kind = 0").groupBy("field_name").agg(F.sum("n").alias("holders"))
+    known = spark.sparkContext.broadcast({(r[0], r[1]): r[2] for r in heavy.select("field_name", "prefix", "n").collect()})
+    parts = -(-least // ROUTE_TERMS)
+    cuts = leaves.mapInArrow(lambda batches: _route(known.value, parts)(batches), _PART)
+    merged = cuts.groupBy("field_name", "prefix", "part").applyInArrow(_merge, "field_name string, term string, times long, items long")
+    holders = written.where("part = -1").groupBy("field_name").agg(F.sum("n").alias("holders"))
     return merged.join(F.broadcast(holders), "field_name")  # a row per field
 
 

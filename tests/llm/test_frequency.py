@@ -56,3 +56,37 @@ def test_marks_and_redelivery(spark, rows):
     c = {(r.field_name, r.term): (r.times, r["items"], r.mark) for r in L.marked(L.term_counts(T.item_terms(T.distinct_items(qa, "gold_answer", "concept", "query_key")))).collect()}
     assert c["concept", "x"] == (200, 200, "common") and c["gold_answer", "a"] == (398, 199, "common") and c["query_key", "k1"] == (4, 4, None)
     assert len(c) == 52
+
+
+def test_long_common_beginnings_are_parted(spark, rows, monkeypatch):
+    """Terms that share far more characters than prefixes are looked at, tries that are emitted early, and small parts."""
+    for name, value in (("BURST", 4), ("DEEPEST", 6), ("TRIE_TERMS", 50), ("ROUTE_TERMS", 8)):
+        monkeypatch.setattr(L, name, value)
+    monkeypatch.setattr(L.BurstTrie.__init__, "__defaults__", (4, 6))
+    rng = random.Random(5)
+    words = ["x" * 200 + str(i) for i in range(300)] + ["x" * k for k in range(1, 20)] + [str(i) for i in range(200)] + ["", "\0", "x\0", "é" * 300]
+    data = [("a", 1, rng.choice(words), 1) for _ in range(4000)]
+    df = spark.createDataFrame(data, "field_name string, first long, term string, times long").repartition(5)
+    got = rows(L.term_counts(df, routes=16).select("field_name", "term", "times", "items"))
+    n = Counter(t for _, _, t, _ in data)
+    assert got == sorted((("a", t, c, c) for t, c in n.items()), key=repr)
+
+
+def test_parts_of_a_route(monkeypatch):
+    """A heavy longest prefix is cut into parts of about the same size; equal terms of two containers meet."""
+    monkeypatch.setattr(L, "DEEPEST", 3)
+    monkeypatch.setattr(L, "ROUTE_TERMS", 100)
+    heavy = {("f", ""): 1000, ("f", "x"): 1000, ("f", "xx"): 1000, ("f", "xxx"): 1000}
+    box = L.pack({f"xxxx{i}": (1, 1) for i in range(1000)} | {"": (1, 1), "x": (2, 1), "a": (1, 1)})
+    batch = L._batch([("f", "", 0, 1003, box)] * 2)
+    out = [r for b in L._route(heavy, 1)([batch]) for r in b.to_pylist()]
+    sizes = Counter()
+    for r in out:
+        sizes[r["prefix"], r["part"]] += r["n"]
+    deep = [n for (p, _), n in sizes.items() if p == "xxx"]
+    assert len(deep) == 10 and max(deep) < 2 * 150 and sum(sizes.values()) == 2 * 1003
+    assert sizes["", 0] == 2 or sizes["", 0] + sum(n for (p, k), n in sizes.items() if p == "" and k) == 2
+    place = {}
+    for r in out:
+        for s, _, _ in L.unpack(r["body"]):
+            assert place.setdefault(r["prefix"] + s, (r["prefix"], r["part"])) == (r["prefix"], r["part"])
