@@ -9,7 +9,7 @@ from notefold.functions.ids import sql_stripped, stripped
 from notefold.llm.terms import SQL_ITEMS, distinct_items, gold_category, sql_json_scalar, value_term
 from notefold.runtime import cut, tables
 
-BUCKETS = 1024
+SEED = 1
 
 
 def categories(items: DataFrame) -> DataFrame:
@@ -44,27 +44,27 @@ def available(cats: DataFrame, goals: DataFrame) -> DataFrame:
     return goals.join(n, ["field_name", "split", "category"], "left").withColumn("have", F.coalesce("have", F.lit(0))).withColumn("need", need)
 
 
-def systematic_sample(cats: DataFrame, goals: DataFrame, seed: int = 1) -> DataFrame:
+def systematic_sample(cats: DataFrame, goals: DataFrame, seed: int = SEED) -> DataFrame:
     """``plan_id, category, item_id, reason`` with ``reason`` ``crossing`` or ``floor``.
 
     Categories stand in sorted order, their items in a random order fixed by seed and item. Each
     item of a category with want w and n items has inclusion probability min(1, w/n); the running
     sum of these over the plan, plus one random start, selects an item where it passes an integer.
     Sums are exact integers in thousandths. The rank of an item is the number of items in lower
-    buckets of its random key, from a prefix sum over at most ``BUCKETS`` pre-aggregated rows, plus its rank
-    in the bucket: no task sees all items of a category. Categories drawn below their floor get
+    buckets of its random key (the first three digits of the md5 of seed, plan and item), from a prefix sum over at most
+    4,096 pre-aggregated rows, plus its rank in the bucket: no task sees all items of a category. Categories drawn below their floor get
     their next items in random order until the floor or the last item is reached, beyond the
     sample size if need be. An item may belong to several plans."""
     g = available(cats, goals)
     plan = Window.partitionBy("plan_id").orderBy("category").rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("mass", F.least("want_milli", F.col("have") * 1000)).withColumn("base", F.coalesce(F.sum("mass").over(plan), F.lit(0)))
-    g = cut(g.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "plan_id"), F.lit(1000))))  # a row per target
-    key = F.xxhash64(F.lit(seed), "plan_id", "item_id")
+    g = cut(g.withColumn("start", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("plan_id").cast("string"))), 1, 8), 16, 10).cast("long") % 1000))  # a row per target
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("plan_id").cast("string"), F.col("item_id").cast("string")))
     # targets are as many as the plans name, not as the data hold: a bound proven by their table
     small = g.count() <= 100_000
     side = F.broadcast(g) if small else g
     items = cats.join(side, ["field_name", "split", "category"]).select("plan_id", "category", "item_id", "have", "mass", "base", "start", "floor", key.alias("rnd"))
-    items = items.withColumn("bucket", F.shiftrightunsigned("rnd", 64 - BUCKETS.bit_length() + 1).cast("int"))
+    items = items.withColumn("bucket", F.substring("rnd", 1, 3))
     per = items.groupBy("plan_id", "category", "bucket").agg(F.count("*").alias("n"))
     low = per.withColumn("low", F.coalesce(F.sum("n").over(Window.partitionBy("plan_id", "category").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     here = Window.partitionBy("plan_id", "category", "bucket").orderBy("rnd", "item_id")
@@ -109,17 +109,36 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return available(cats, goals).join(drawn, ["plan_id", "category"], "left").select("plan_id", "category", "want_milli", F.col("floor").alias("min_items"), "have", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("have") >= F.col("need")).alias("can_be_met"))
 
 
-ORACLE = {
-    "p6_found": f"""with {SQL_ITEMS},
+_CAT = f"""{SQL_ITEMS},
 cat as (
   select 'concept' as field_name, item_id, lower({sql_stripped('split')}) as split, {sql_stripped('lower(concept)')} as category from items
   union all select 'query_key', item_id, lower({sql_stripped('split')}), {sql_stripped('lower(query_key)')} from items
-  union all select 'gold_answer', item_id, lower({sql_stripped('split')}), {sql_json_scalar('gold_answer')} from items where coalesce(try(json_type(gold_answer)), '') <> 'ARRAY'),
+  union all select 'gold_answer', item_id, lower({sql_stripped('split')}), {sql_json_scalar('gold_answer')} from items where coalesce(try(json_type(gold_answer)), '') <> 'ARRAY')"""
+_TERM = f"case when p.field_name = 'gold_answer' then {sql_json_scalar('category')} else {sql_stripped('lower(category)')} end"
+_DRAW = f"""with {_CAT},
+want as (
+  select plan_id, p.split, p.field_name, {_TERM} as category, sum(coalesce(target_permille, 0)) * any_value(coalesce(sample_size, 0)) as milli, coalesce(max(min_items), 0) as floor_
+  from (select distinct plan_id, category, target_permille, min_items from sample_targets) join sample_plans p using (plan_id) group by all),
+goal as (select w.*, (select count(*) from cat c where c.field_name = w.field_name and c.split = w.split and c.category = w.category) as have from want w where w.category is not null),
+mass as (
+  select *, least(milli, have * 1000) as mass, coalesce(sum(least(milli, have * 1000)) over (partition by plan_id order by category rows between unbounded preceding and 1 preceding), 0)
+    + cast('0x' || substr(md5('{SEED}|' || plan_id), 1, 8) as bigint) % 1000 as base from goal),
+rank as (
+  select m.*, item_id, row_number() over (partition by plan_id, m.category order by md5('{SEED}|' || plan_id || '|' || item_id), item_id) as r
+  from mass m join cat c on c.field_name = m.field_name and c.split = m.split and c.category = m.category),
+edge as (select *, (base * have + mass * r) // (have * 1000) as here, (base * have + mass * (r - 1)) // (have * 1000) as prev, (base * have) // (have * 1000) as zero, (base * have + mass * have) // (have * 1000) as last_ from rank),
+drawn as (
+  select plan_id, category, item_id, case when here > prev then 'crossing' when r - (here - zero) <= least(floor_, have) - (last_ - zero) then 'floor' end as reason from edge)
+"""
+ORACLE = {
+    "p6_found": f"""with {_CAT},
 goal as (
-  select plan_id, p.split, p.field_name, case when p.field_name = 'gold_answer' then {sql_json_scalar('category')} else {sql_stripped('lower(category)')} end as category,
-    greatest(coalesce(min_items, 0), cast(ceil(cast(coalesce(target_permille, 0) * sample_size as decimal(18, 0)) / 1000) as bigint)) as need
+  select plan_id, p.split, p.field_name, {_TERM} as category, greatest(coalesce(min_items, 0), cast(ceil(cast(coalesce(target_permille, 0) * sample_size as decimal(18, 0)) / 1000) as bigint)) as need
   from sample_targets join sample_plans p using (plan_id))
 select distinct g.plan_id, g.category from goal g
 where g.category is not null and need > (select count(*) from cat c where c.field_name = g.field_name and c.split = g.split and c.category = g.category)""",
+    "p6_sample": _DRAW + "select plan_id, category, item_id, reason from drawn where reason is not null",
+    "p6_report": _DRAW + """select plan_id, category, cast(milli as bigint) as want_milli, cast(floor_ as bigint) as min_items, have, (select count(*) from drawn d where d.plan_id = g.plan_id and d.category = g.category and reason is not null) as drawn,
+  have >= greatest(floor_, cast(ceil(cast(milli as decimal(18, 0)) / 1000) as bigint)) as can_be_met from goal g""",
 }
 QUERIES = {"p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report}
