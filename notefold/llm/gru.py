@@ -29,64 +29,65 @@ class ByteGRU:
             self.p["b" + d] = np.zeros(3 * h, np.float32)
             self.p["wo" + d] = rng.normal(0, 0.3, (h, c)).astype(np.float32)
 
-    # -- one direction -------------------------------------------------------------------------
-    def _states(self, x, d: str, keep: bool):
-        """States of all steps [T, B, h] of byte numbers [T, B]; with ``keep`` also what the way back needs."""
-        h, wx, u, b = self.hidden, self.p["wx" + d], self.p["u" + d], self.p["b" + d]
-        steps, size = x.shape
-        s = np.zeros((size, h), np.float32)
-        out = np.empty((steps, size, h), np.float32)
-        kept = []
-        for t in range(steps):
-            gx, gh = wx[x[t]], s @ u + b
-            rz = _sigmoid(gx[:, : 2 * h] + gh[:, : 2 * h])
-            r, z = rz[:, :h], rz[:, h:]
-            n = np.tanh(gx[:, 2 * h :] + r * gh[:, 2 * h :])
-            new = n + z * (s - n)
-            if keep:
-                kept.append((s, r, z, n, gh[:, 2 * h :]))
-            s = out[t] = new
-        return out, kept
-
-    def _back(self, x, d: str, kept, dout, grads):
-        """Gradients of one direction from the gradients [T, B, h] of its states."""
-        h, u = self.hidden, self.p["u" + d]
-        dwx, du, db = grads["wx" + d], grads["u" + d], grads["b" + d]
-        carry = np.zeros_like(dout[0])
-        for t in range(len(x) - 1, -1, -1):
-            s, r, z, n, gn = kept[t]
-            g = dout[t] + carry
-            dn = g * (1 - z) * (1 - n * n)
-            dz = g * (s - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dgx = np.concatenate([dr, dz, dn], 1)
-            dgh = np.concatenate([dr, dz, dn * r], 1)
-            np.add.at(dwx, x[t], dgx)
-            du += s.T @ dgh
-            db += dgh.sum(0)
-            carry = g * z + dgh @ u.T
-
     # -- training ------------------------------------------------------------------------------
+    def _both(self, name: str):
+        """A parameter of both directions in one array."""
+        return np.stack([self.p[name + "f"], self.p[name + "b"]])
+
     def loss(self, x, y):
-        """Mean cross entropy over all positions of [T, B] bytes with labels [T, B] or [B], and its gradients."""
-        f, kf = self._states(x, "f", True)
-        b, kb = self._states(x[::-1], "b", True)
-        scores = f @ self.p["wof"] + b[::-1] @ self.p["wob"] + self.p["bo"]
+        """Mean cross entropy over all positions of [T, B] bytes with labels [T, B] or [B], and its gradients.
+
+        Both directions go through the steps together, as [2, B, h]; the gradients of the weights are summed after the steps, not within."""
+        h, (steps, size) = self.hidden, x.shape
+        wx, u, b, wo = (self._both(k) for k in ("wx", "u", "b", "wo"))
+        both = np.stack([x, x[::-1]], 1).astype(np.intp)  # [T, 2, B]
+        gx = wx.reshape(2 * BYTES, 3 * h)[both + np.array([0, BYTES])[:, None]]
+        gx[..., : 2 * h] += b[:, None, : 2 * h]
+        bn = b[:, None, 2 * h :]
+        s = np.zeros((2, size, h), wx.dtype)
+        before, gate, cand, inner, states = (np.empty((steps, 2, size, k * h), wx.dtype) for k in (1, 2, 1, 1, 1))
+        for t in range(steps):
+            gh = s @ u
+            rz = _sigmoid(gx[t, :, :, : 2 * h] + gh[:, :, : 2 * h])
+            gn = gh[:, :, 2 * h :] + bn
+            n = np.tanh(gx[t, :, :, 2 * h :] + rz[:, :, :h] * gn)
+            before[t], gate[t], cand[t], inner[t] = s, rz, n, gn
+            s = states[t] = n + rz[:, :, h:] * (s - n)
+        f, bw = states[:, 0], states[::-1, 1]
+        scores = f @ wo[0] + bw @ wo[1] + self.p["bo"]
         scores -= scores.max(-1, keepdims=True)
         prob = np.exp(scores)
         prob /= prob.sum(-1, keepdims=True)
-        n = x.size
-        at = (np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :], np.broadcast_to(y, x.shape))
-        value = float(-np.log(prob[at] + 1e-12).sum() / n)
+        count = x.size
+        at = (np.arange(steps)[:, None], np.arange(size)[None, :], np.broadcast_to(y, x.shape))
+        value = float(-np.log(prob[at] + 1e-12).sum() / count)
         prob[at] -= 1
-        ds = prob / n
-        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        flat = ds.reshape(n, -1)
-        grads["bo"] += flat.sum(0)
-        grads["wof"] += f.reshape(n, -1).T @ flat
-        grads["wob"] += b[::-1].reshape(n, -1).T @ flat
-        self._back(x, "f", kf, ds @ self.p["wof"].T, grads)
-        self._back(x[::-1], "b", kb, (ds @ self.p["wob"].T)[::-1], grads)
+        ds = prob / count
+        flat = ds.reshape(count, -1)
+        grads = {"bo": flat.sum(0), "wof": f.reshape(count, -1).T @ flat, "wob": bw.reshape(count, -1).T @ flat}
+        dout = np.stack([ds @ wo[0].T, (ds @ wo[1].T)[::-1]], 1)
+        r, z = gate[..., :h], gate[..., h:]
+        keep, slope_n, slope_z, slope_r = 1 - z, 1 - cand * cand, z * (1 - z) * (before - cand), r * (1 - r) * inner
+        dgx, dgh, ut = np.empty_like(gx), np.empty_like(gx), np.ascontiguousarray(u.transpose(0, 2, 1))
+        carry = np.zeros_like(s)
+        for t in range(steps - 1, -1, -1):
+            g = dout[t] + carry
+            dn = g * keep[t] * slope_n[t]
+            d = dgh[t]
+            np.multiply(dn, slope_r[t], out=d[:, :, :h])
+            np.multiply(g, slope_z[t], out=d[:, :, h : 2 * h])
+            np.multiply(dn, r[t], out=d[:, :, 2 * h :])
+            dgx[t, :, :, 2 * h :] = dn
+            carry = g * z[t] + d @ ut
+        dgx[..., : 2 * h] = dgh[..., : 2 * h]
+        for k, d in enumerate("fb"):
+            rows = dgh[:, k].reshape(count, -1)
+            grads["u" + d], grads["b" + d] = before[:, k].reshape(count, -1).T @ rows, rows.sum(0)
+            grads["wx" + d] = np.zeros_like(wx[k])
+            byte = both[:, k].ravel()
+            order = np.argsort(byte, kind="stable")
+            found, first = np.unique(byte[order], return_index=True)
+            grads["wx" + d][found] = np.add.reduceat(dgx[:, k].reshape(count, -1)[order], first, 0)
         return value, grads
 
     def fit(self, texts: list[bytes], labels: list[int], steps: int, width: int = 48, batch: int = 64, rate: float = 0.01, seed: int = 1, weights=None, mixed: float = 0.3) -> float:
@@ -125,7 +126,7 @@ class ByteGRU:
         return float(np.mean(last[-50:]))
 
     # -- use -----------------------------------------------------------------------------------
-    def probabilities(self, texts: list[bytes], batch: int = 512) -> np.ndarray:
+    def probabilities(self, texts: list[bytes], batch: int = 1024) -> np.ndarray:
         """Class probabilities [N, classes] of whole texts: each byte is labelled from both sides, and the
         probabilities of a text's bytes are averaged. Empty texts get equal probabilities."""
         c = len(self.classes)
@@ -133,54 +134,83 @@ class ByteGRU:
         order = sorted((i for i in range(len(texts)) if texts[i]), key=lambda i: len(texts[i]))
         for k in range(0, len(order), batch):
             some = order[k : k + batch]
-            n = np.array([len(texts[i]) for i in some])
-            steps = int(n.max())
-            x = np.zeros((2, steps, len(some)), np.uint8)
+            n, begin, prob = self._labelled([texts[i] for i in some])
+            total = np.zeros((c, len(some)), np.float32)
+            for t, a in enumerate(begin):
+                total[:, a:] += prob[t, :, a:]
+            out[some] = (total / n).T
+        return out
+
+    def positions(self, text: bytes, piece: int = 1024, around: int = 128) -> np.ndarray:
+        """Class probabilities [bytes, classes] at every byte of one text of any length.
+
+        A long text is labelled in pieces, each with ``around`` bytes of what stands before and after it."""
+        starts = list(range(0, len(text), piece))
+        cuts = [text[max(0, a - around) : a + piece + around] for a in starts]
+        out = np.empty((len(text), len(self.classes)), np.float32)
+        for k in range(0, len(cuts), 64):
+            some = sorted(range(k, min(k + 64, len(cuts))), key=lambda i: len(cuts[i]))
+            _, _, prob = self._labelled([cuts[i] for i in some])
             for j, i in enumerate(some):
-                a = np.frombuffer(texts[i], np.uint8)
-                x[0, : len(a), j], x[1, : len(a), j] = a, a[::-1]
-            f = self._scores(x[0], "f")
-            b = self._scores(x[1], "b")
-            t = np.arange(steps)[:, None]
-            live = t < n[None, :]
-            back = np.where(live, n[None, :] - 1 - t, 0)
-            s = f + np.take_along_axis(b, back[:, :, None], 0) + self.p["bo"]
-            s -= s.max(-1, keepdims=True)
-            np.exp(s, out=s)
-            s /= s.sum(-1, keepdims=True)
-            s *= live[:, :, None]
-            out[some] = s.sum(0) / n[:, None]
+                skip, end = min(starts[i], around), min(len(text), starts[i] + piece)
+                out[starts[i] : end] = prob[skip : skip + end - starts[i], :, j]
         return out
 
-    def positions(self, text: bytes) -> np.ndarray:
-        """Class probabilities [bytes, classes] at every byte of one text."""
-        x = np.frombuffer(text, np.uint8)[:, None]
-        s = self._scores(x, "f")[:, 0] + self._scores(x[::-1], "b")[::-1, 0] + self.p["bo"]
-        s = np.exp(s - s.max(-1, keepdims=True))
-        return s / s.sum(-1, keepdims=True)
-
-    def _scores(self, x, d: str):
-        """Scores [T, B, classes] of one direction, without keeping the states."""
-        h, u, wo = self.hidden, self.p["u" + d], self.p["wo" + d]
-        wx, bn = self.p["wx" + d].copy(), self.p["b" + d][2 * h :]
-        wx[:, : 2 * h] += self.p["b" + d][: 2 * h]  # these two biases are added once, to the table
-        steps, size = x.shape
-        s = np.zeros((size, h), np.float32)
-        out = np.empty((steps, size, wo.shape[1]), np.float32)
+    def _labelled(self, texts: list[bytes]):
+        """Lengths, the first text that reaches each step, and class probabilities [T, classes, B] at every byte
+        of texts in order of length; what is behind the end of a text is undefined."""
+        n = np.array([len(t) for t in texts])
+        steps = int(n[-1])
+        x = np.zeros((steps, len(texts)), np.uint8)
+        for j, t in enumerate(texts):
+            x[: len(t), j] = np.frombuffer(t, np.uint8)
+        begin = np.searchsorted(n, np.arange(steps), side="right").tolist()
+        prob = np.empty((steps, len(self.classes), len(texts)), np.float32)
+        self._scores(x, begin, range(steps), "f", prob)
+        self._scores(x, begin, range(steps - 1, -1, -1), "b", prob)
+        for t, a in enumerate(begin):
+            s = prob[t, :, a:]
+            s -= s.max(0)
+            np.exp(s, out=s)
+            s /= s.sum(0)
+        return n, begin, prob
+
+    def _scores(self, x, begin, times, d: str, prob) -> None:
+        """Scores of one direction into ``prob`` (forward) or added to it (backward), without keeping the states.
+
+        Texts are in order of length, so those that reach a step are the last ones; a text's state stays 0 until its end is
+        reached from behind. Gates have arrays of their own, because steps are fastest on whole arrays."""
+        h, p = self.hidden, {k: self.p[k + d] for k in ("wx", "u", "b", "wo")}
         half = np.float32(0.5)
-        for t in range(steps):
-            gx, gh = wx[x[t]], s @ u
-            rz = np.tanh((gx[:, : 2 * h] + gh[:, : 2 * h]) * half)
-            rz += 1
-            rz *= half
-            n = gh[:, 2 * h :] + bn
-            n *= rz[:, :h]
-            n += gx[:, 2 * h :]
+        part = lambda a, k: np.ascontiguousarray(a[:, k * h : (k + 1) * h], np.float32)
+        wr, wz = (part(p["wx"] + p["b"], k) * half for k in (0, 1))  # a sigmoid is a tanh of half its input
+        ur, uz = (part(p["u"], k) * half for k in (0, 1))
+        wn, un, bn, wo = part(p["wx"], 2), part(p["u"], 2), p["b"][2 * h :].astype(np.float32), np.ascontiguousarray(p["wo"].T, np.float32)
+        size = x.shape[1]
+        state, *room = (np.zeros((size, h), np.float32) for _ in range(5))
+        for t in times:
+            a = begin[t]
+            s, (r, z, n, g), byte = state[a:], (m[: size - a] for m in room), x[t, a:]
+            for gate, u, w in ((r, ur, wr), (z, uz, wz)):
+                np.matmul(s, u, out=gate)
+                np.take(w, byte, 0, out=g, mode="clip")
+                gate += g
+                np.tanh(gate, out=gate)
+                gate += 1
+                gate *= half
+            np.matmul(s, un, out=n)
+            n += bn
+            n *= r
+            np.take(wn, byte, 0, out=g, mode="clip")
+            n += g
             np.tanh(n, out=n)
-            s = (s - n) * rz[:, h:]
+            s -= n
+            s *= z
             s += n
-            np.matmul(s, wo, out=out[t])
-        return out
+            if d == "f":
+                np.add(wo @ s.T, self.p["bo"][:, None], out=prob[t, :, a:], casting="same_kind")
+            else:
+                prob[t, :, a:] += wo @ s.T
 
     def dump(self) -> bytes:
         f = io.BytesIO()

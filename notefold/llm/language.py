@@ -24,7 +24,6 @@ REMEMBERED = 100_000
 UNSURE = 0.75
 DOUBTED = 0.97
 CHANGED = 0.7
-CHANGED_WORDS = 5
 
 # fixed values: usual names of languages, two-letter code first
 NAMES = {
@@ -63,14 +62,22 @@ def named_language(label: Column) -> Column:
     return F.coalesce(F.try_element_at(known, t), F.try_element_at(known, F.regexp_extract(t, r"^([a-z]{2,3})[-_]", 1)))
 
 
-_END = re.compile(r"[.!?。！？．]+[\"'»”“’)\]*_]*(?=\s|$)|…+[\"'»”“’)\]*_]*(?=\s|$)|\n[^\S\n]*\n")
+_END = re.compile(r"[.!?．]+[\"'»”“’)\]*_]*(?=\s|$)|[。！？]+[\"'»”“’)\]*_」』）]*|…+[\"'»”“’)\]*_]*(?=\s|$)|\n[^\S\n]*\n")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")  # scripts that put no spaces between words
 _DROP = {c: None for c in (0x200B, 0x200C, 0x200D, 0xFEFF, 0x00AD, ord("*"), ord(">"), ord("`"))}  # invisible, or marks of emphasis and quotation
 
 
+def word_count(text: str) -> int:
+    """Words of two letters; of scripts without spaces every two letters are one."""
+    if not _UNSPACED.search(text):
+        return len(_LETTERS.findall(text))
+    return sum((len(w) // 2 if _UNSPACED.search(w) else 1) for w in _LETTERS.findall(text))
+
+
 def sentences(text: str | None) -> list[tuple[int, int, bool]]:
     """Ranges of a text with whether each is a whole sentence: it ends with a full stop, question or
-    exclamation mark and has at least ``LEAST_WORDS`` words of two letters. Line breaks inside do not
+    exclamation mark and has at least ``LEAST_WORDS`` words (:func:`word_count`). The stops of Chinese and Japanese need no space behind them. Line breaks inside do not
     end it, blank lines do; what trails off or has no words, such as note lists, is none."""
     out, at = [], 0
     if not text:
@@ -81,7 +88,7 @@ def sentences(text: str | None) -> list[tuple[int, int, bool]]:
         first = at + len(part) - len(part.lstrip())
         last = at + len(part.rstrip())
         if last > first:
-            full = m is not None and m[0][0] in ".!?。！？．" and len(_LETTERS.findall(text[first:last])) >= LEAST_WORDS
+            full = m is not None and m[0][0] in ".!?。！？．" and word_count(text[first:last]) >= LEAST_WORDS
             out.append((first, last, full))
         at = end
     return out
@@ -95,6 +102,21 @@ def sentence_bytes(part: str) -> bytes:
     return _plain(part).lower().encode("utf-8", "replace")
 
 
+def pieces_of(s: bytes, size: int = SENTENCE_BYTES) -> list[bytes]:
+    """Pieces of at most ``size`` bytes, cut behind a space where there is one, else between characters."""
+    out, at = [], 0
+    while len(s) - at > size:
+        end = s.rfind(b" ", at, at + size) + 1
+        if end <= at:
+            end = at + size
+            while end > at + 1 and s[end] & 0xC0 == 0x80:
+                end -= 1
+        out.append(s[at:end])
+        at = end
+    out.append(s[at:])
+    return out
+
+
 def believable(pairs: list[tuple[str, bytes]]) -> list[tuple[str, bytes, float]]:
     """The pairs whose label their words speak for, each with a weight for drawing it.
 
@@ -141,7 +163,7 @@ def fitted_network(docs: DataFrame, text: str = "text", lang: str = "lang", key:
 
     def run(_, table):
         rows = sorted(zip(table["r"].to_pylist(), table["label"].to_pylist(), table["text"].to_pylist()))
-        pairs = [(label, t[a:b]) for _, label, t in rows for a, b, full in sentences(t)[:200] if full]
+        pairs = [(label, t[a:b]) for _, label, t in rows for a, b, full in sentences(t) if full]
         each = -(-len(pairs) // SAMPLE_SENTENCES) or 1
         net = train(pairs[::each])
         return pa.table({"body": pa.array([net.dump()] if net else [], pa.binary())})
@@ -166,94 +188,165 @@ class Labeller:
             out.append((self.net.classes[best], float(p[best])))
         return out
 
-    def after_change(self, plain: str) -> np.ndarray | None:
-        """Probabilities of the part of a sentence after a change of language, by the labels of its positions.
+    def change(self, plain: str) -> tuple[int, np.ndarray, np.ndarray] | None:
+        """Where a sentence changes its language, by the labels of its positions: the number of the first word behind the
+        change and the probabilities of what is before and behind it.
 
         What breaks off in one language may be followed by a whole sentence in another. The change
         is the place that makes both sides likeliest, if each side is ``CHANGED`` sure of another
-        language, the first has a word or more to spare and the second starts with a capital and has ``CHANGED_WORDS``."""
+        language, the first has a word or more to spare and the second starts with a capital and has ``LEAST_WORDS``. Sentences of any length are looked at."""
         words = plain.split(" ")
-        low = [w.lower().encode("utf-8", "replace") for w in words]
-        if len(words) < LEAST_WORDS + CHANGED_WORDS or sum(map(len, low)) > 20 * SENTENCE_BYTES:
+        if len(words) < 2 * LEAST_WORDS:
             return None
+        low = [w.lower().encode("utf-8", "replace") for w in words]
         at = self.net.positions(b" ".join(low))
         ends = np.cumsum([len(w) + 1 for w in low])
         each = np.array([at[e - len(w) - 1 : e - 1].mean(0) if w else np.full(at.shape[1], 1 / at.shape[1]) for w, e in zip(low, ends)])
         run = np.vstack([np.zeros(at.shape[1]), np.cumsum(np.log(each + 1e-6), 0)])
-        real = np.array([bool(_LETTERS.search(w)) for w in words])
+        real = np.cumsum([0] + [bool(_LETTERS.search(w)) for w in words])
         best = None
         for k in range(1, len(words)):
-            if words[k].lstrip("«\"'„“¿¡(—- ")[:1].isupper() and real[:k].sum() >= LEAST_WORDS and real[k:].sum() >= CHANGED_WORDS:
+            if words[k].lstrip("«\"'„“¿¡(—- ")[:1].isupper() and real[k] >= LEAST_WORDS and real[-1] - real[k] >= LEAST_WORDS:
                 before, after = run[k], run[-1] - run[k]
                 if before.argmax() != after.argmax() and (best is None or before.max() + after.max() > best[0]):
                     best = (before.max() + after.max(), k)
         if best is None:
             return None
         first, second = each[: best[1]].mean(0), each[best[1] :].mean(0)
-        return second if first.max() >= CHANGED and second.max() >= CHANGED and first.argmax() != second.argmax() else None
+        return (best[1], first, second) if first.max() >= CHANGED and second.max() >= CHANGED and first.argmax() != second.argmax() else None
 
-    def __call__(self, parts: list[str]) -> list[np.ndarray]:
-        raw = [sentence_bytes(p) for p in parts]
-        new = [s for s in dict.fromkeys(raw) if s not in self.seen]
+    def label(self, parts: list[str]) -> tuple[list[np.ndarray], list]:
+        """Of each part its probabilities, those behind the change if it has one, and that change (:meth:`change`) or None."""
+        texts = [_plain(p) for p in parts]
+        new = [t for t in dict.fromkeys(texts) if t not in self.seen]
         pieces, owner = [], []
-        for i, s in enumerate(new):
-            for k in range(0, max(len(s), 1), SENTENCE_BYTES):
-                pieces.append(s[k : k + SENTENCE_BYTES])
+        for i, t in enumerate(new):
+            for piece in pieces_of(t.lower().encode("utf-8", "replace")):
+                pieces.append(piece)
                 owner.append(i)
         if new:
             prob = np.zeros((len(new), len(self.net.classes)), np.float64)
             weight = np.array([len(p) for p in pieces], np.float64)[:, None]
-            np.add.at(prob, owner, self.net.probabilities(pieces) * weight)
+            each = self.net.probabilities(pieces)
+            np.add.at(prob, owner, each * weight)
             prob /= np.maximum(prob.sum(1, keepdims=True), 1e-9)
-            text = dict(zip(raw, parts))
-            for i, s in enumerate(new):
-                if prob[i].max() < DOUBTED and (changed := self.after_change(_plain(text[s]))) is not None:
-                    prob[i] = changed
-            self.seen.update(zip(new, prob.astype(np.float32)))
-        out = [self.seen[s] for s in raw]
+            least = np.ones(len(new))  # what the least sure piece of a sentence gives its language
+            np.minimum.at(least, owner, each[np.arange(len(pieces)), prob.argmax(1)[owner]])
+            for i, t in enumerate(new):
+                change = self.change(t) if least[i] < DOUBTED else None
+                self.seen[t] = ((change[2] if change else prob[i]).astype(np.float32), change)
+        out = [self.seen[t] for t in texts]
         while len(self.seen) > REMEMBERED:
             self.seen.popitem(last=False)
-        return out
+        return [p for p, _ in out], [c for _, c in out]
 
+    def __call__(self, parts: list[str]) -> list[np.ndarray]:
+        return self.label(parts)[0]
+
+
+def _word_start(part: str, k: int) -> int:
+    """Where in a part the k-th word of its plain form begins."""
+    for m in re.finditer(r"\S+", part):
+        n = len(_plain(m[0]).split(" ")) if _plain(m[0]) else 0
+        if k < n:
+            return m.start()
+        k -= n
+    return len(part)
+
+
+def document_parts(label: Labeller | None, texts: list[str | None], every: bool = False, pooled: bool = True) -> list[list[dict]]:
+    """Labelled parts of texts: ``first, last, lang, confidence, whole``.
+
+    These are the whole sentences; with ``pooled`` also, of a text that has none, the whole text as one part, if it has a word of two letters. With
+    ``every`` what is no sentence but has ``LEAST_WORDS`` words is a part too, and a sentence that follows a
+    broken-off one in another language is two."""
+    if label is None:
+        return [[] for _ in texts]
+    ranges: list[list[tuple[int, int, bool]]] = []
+    for t in texts:
+        mine = [x for x in sentences(t) if x[2] or every and word_count(t[x[0] : x[1]]) >= LEAST_WORDS]
+        if pooled and not any(x[2] for x in mine) and t and _LETTERS.search(t):
+            mine = [(len(t) - len(t.lstrip()), len(t.rstrip()), False)]
+        ranges.append(mine)
+    probs, changes = label.label([t[a:z] for t, r in zip(texts, ranges) for a, z, _ in r])
+    out, at = [], 0
+    for t, r in zip(texts, ranges):
+        names, parts = label.document(probs[at : at + len(r)]), []
+        for (a, z, whole), (name, sure), change in zip(r, names, changes[at : at + len(r)]):
+            if every and change:
+                mid = a + _word_start(t[a:z], change[0])
+                k = int(change[1].argmax())
+                parts.append({"first": a, "last": len(t[:mid].rstrip()), "lang": label.net.classes[k], "confidence": float(change[1][k]), "whole": False})
+                a = mid
+            parts.append({"first": a, "last": z, "lang": name, "confidence": sure, "whole": whole})
+        out.append(parts)
+        at += len(r)
+    return out
 
-_LABELLED = "array<struct<first:int,last:int,lang:string,confidence:double>>"
+
+def stretches(parts: list[dict]) -> list[dict]:
+    """Neighbouring parts of one language as one, with the mean confidence of their characters."""
+    out: list[dict] = []
+    for p in parts:
+        n = p["last"] - p["first"]
+        if out and out[-1]["lang"] == p["lang"]:
+            s = out[-1]
+            s["confidence"] = (s["confidence"] * s["n"] + p["confidence"] * n) / max(s["n"] + n, 1)
+            s["last"], s["n"], s["whole"] = p["last"], s["n"] + n, s["whole"] or p["whole"]
+        else:
+            out.append({**p, "n": n})
+    return out
+
+
+_LABELLED = "array<struct<first:int,last:int,lang:string,confidence:double,whole:boolean>>"
 
 
-def labelled_sentences(docs: DataFrame, body: bytes | None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, label, parts``: the whole sentences of every whole text with language and confidence. One pass, no shuffle."""
+def labelled_sentences(docs: DataFrame, body: bytes | None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", every: bool = False, joined: bool = False, pooled: bool = True) -> DataFrame:
+    """``doc_id, label, parts`` of every whole text (:func:`document_parts`); with ``joined`` neighbouring parts of one language are one. One pass, no shuffle.
+
+    Null and empty texts and those without a word of two letters have no parts; without a network nothing has."""
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).alias("doc_id"), named_language(F.col(lang)).alias("label"), F.col(text).alias("text"))
-    shared = spark.sparkContext.broadcast(body)  # about 100 kB, by the size of the network
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
+    shared = spark.sparkContext.broadcast(body)  # about 200 kB, by the size of the network
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("whole", pa.bool_())]))
 
     def run(batches):
         label = Labeller(shared.value) if shared.value else None
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                texts = b.column(2).to_pylist()
-                ranges = [[(a, z) for a, z, full in sentences(t) if full] if label else [] for t in texts]
-                got = iter(label([t[a:z] for t, r in zip(texts, ranges) for a, z in r]) if label else [])
-                parts = [[{"first": a, "last": z, "lang": name, "confidence": sure} for (a, z), (name, sure) in zip(r, label.document([next(got) for _ in r]))] if r else [] for r in ranges]
+                parts = document_parts(label, b.column(2).to_pylist(), every, pooled)
+                if joined:
+                    parts = [[{k: x[k] for k in ("first", "last", "lang", "confidence", "whole")} for x in stretches(p)] for p in parts]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, kind)], ["doc_id", "label", "parts"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, label string, parts {_LABELLED}")
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables(spark, sf_dir)("documents")
-    return labelled_sentences(docs, fitted_network(docs))
+_fitted: dict[tuple, bytes | None] = {}
+
+
+def _network(spark: SparkSession, sf_dir: str) -> bytes | None:
+    """The network of the documents of a folder, fitted once in an application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _fitted:
+        _fitted[at] = fitted_network(tables(spark, sf_dir)("documents"))
+    return _fitted[at]
+
+
+def _labelled(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return labelled_sentences(tables(spark, sf_dir)("documents"), _network(spark, sf_dir), **how)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = F.array_distinct(F.transform("parts", lambda p: p["lang"]))
-    d = _labelled(spark, sf_dir).select("doc_id", "label", langs.alias("langs")).where("size(langs) > 0")
+    langs = F.array_distinct(F.transform(F.filter("parts", lambda p: p["whole"]), lambda p: p["lang"]))
+    d = _labelled(spark, sf_dir, pooled=False).select("doc_id", "label", langs.alias("langs")).where("size(langs) > 0")
     case = (F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.coalesce("label", F.lit("")))
     return d.where(case).select("doc_id", F.explode("langs").alias("lang")).distinct()
 
 
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main language of every document, with its share of the text as confidence-weighted mean; null without sentences."""
+    """The main language of every document, with its share of the text as confidence-weighted mean; null where no word is."""
     d = _labelled(spark, sf_dir)
     size = lambda p: (p["last"] - p["first"]).cast("double")
     total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + size(p))
@@ -263,14 +356,20 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stretches of neighbouring sentences in one language: ``doc_id, first_char, last_char, lang, confidence``."""
-    # neighbours of another language mark where stretches begin; running sums number them
-    parts = _labelled(spark, sf_dir).select("doc_id", F.posexplode("parts").alias("i", "p")).select("doc_id", "i", "p.*")
-    w = Window.partitionBy("doc_id").orderBy("i")
-    n = F.col("last") - F.col("first")
-    marked = parts.withColumn("begins", F.when(F.lag("lang").over(w) == F.col("lang"), 0).otherwise(1)).withColumn("stretch", F.sum("begins").over(w))
-    return marked.groupBy("doc_id", "stretch").agg(F.min("first").alias("first_char"), F.max("last").alias("last_char"), F.first("lang").alias("lang"), (F.sum(F.col("confidence") * n) / F.sum(n)).alias("confidence"))
+    """Stretches of every document in one language, from the labels of its sentences, of what is no sentence and of the positions
+    where a sentence changes: ``doc_id, first_char, last_char, lang, confidence, has_sentence``."""
+    d = _labelled(spark, sf_dir, every=True, joined=True).select("doc_id", F.inline("parts"))
+    return d.select("doc_id", F.col("first").alias("first_char"), F.col("last").alias("last_char"), "lang", "confidence", F.col("whole").alias("has_sentence"))
+
+
+def p9_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of a network fitted without them with the labels of the documents set aside (a tenth by hash), per language named:
+    ``lang, sentences, agreed``. Labels are wrong for some documents, so full agreement isn't to be had."""
+    docs = tables(spark, sf_dir)("documents")
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(10)) == 0
+    d = labelled_sentences(docs.where(aside), fitted_network(docs.where(~aside))).where("label is not null")
+    return d.select("label", F.explode(F.filter("parts", lambda p: p["whole"])).alias("p")).groupBy(F.col("label").alias("lang")).agg(F.count("*").alias("sentences"), F.count_if(F.col("p.lang") == F.col("label")).alias("agreed"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
+QUERIES = {"p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments, "p9_accuracy": p9_accuracy}
 ORACLE: dict[str, str] = {}

@@ -96,3 +96,56 @@ def test_nothing_to_learn_from(spark):
     assert L.fitted_network(docs) is None
     assert [r.parts for r in L.labelled_sentences(docs, None).collect()] == [[]]
     assert L.labelled_sentences(docs.where("false"), None).count() == 0
+
+
+def test_sentences_without_spaces():
+    cut = lambda t: [(t[a:z], full) for a, z, full in L.sentences(t)]
+    assert cut("左手保持稳定的节奏。右手慢慢升高！") == [("左手保持稳定的节奏。", True), ("右手慢慢升高！", True)]
+    assert cut("「これは静かな旋律です。」次の音は短い。") == [("「これは静かな旋律です。」", True), ("次の音は短い。", True)]
+    assert cut("音。") == [("音。", False)]
+    assert L.word_count("две ноты") == 2 and L.word_count("音乐很好听 ok") == 3 and L.word_count("") == 0
+
+
+def test_pieces_end_at_words_and_characters():
+    rng = random.Random(3)
+    for text in ["", "word " * 300, "é" * 900, "音" * 500 + " " + "x" * 900, "".join(rng.choice("aé音 ") for _ in range(3000))]:
+        s = text.encode()
+        pieces = L.pieces_of(s, 40)
+        assert b"".join(pieces) == s and max(map(len, pieces)) <= 40
+        assert all(p.decode("utf-8") is not None for p in pieces)
+
+
+def test_positions_of_a_long_text():
+    g = ByteGRU(["a", "b", "c"], 8, 2)
+    text = bytes(random.Random(4).choices(range(97, 120), k=5000))
+    whole, cut = g.positions(text, piece=10_000), g.positions(text, piece=300, around=128)
+    assert whole.shape == cut.shape == (5000, 3) and np.allclose(whole, cut, atol=1e-3) and np.allclose(cut.sum(1), 1, atol=1e-5)
+    assert g.positions(b"").shape == (0, 3)
+
+
+def _three():
+    rng = random.Random(13)
+    return rng, L.Labeller(L.train([(lang, sentence(rng, lang)) for lang in ["en", "de", "es"] * 200], steps=600).dump())
+
+
+def test_change_inside_a_very_long_sentence():
+    """No length is too long for the search of a change: 20 kB of one language broken off, then a sentence in another."""
+    rng, labeller = _three()
+    text = " ".join(rng.choice(TEXTS["en"]) for _ in range(4000)) + "\n" + sentence(rng, "de") + " " + sentence(rng, "de")
+    assert len(text) > 16_000
+    parts = L.document_parts(labeller, [text], every=True)[0]
+    assert [p["lang"] for p in parts] == ["en", "de", "de"] and [p["whole"] for p in parts] == [False, True, True]
+    assert text[parts[1]["first"] :].startswith(text.split("\n")[1][:12]) and text[: parts[0]["last"]] == text.split("\n")[0].strip()
+
+
+def test_every_document_with_words_has_a_language():
+    rng, labeller = _three()
+    de = " ".join(rng.sample(TEXTS["de"], 6))
+    texts = [de, "C4 0.25 | D4 0.5", "", None, " \n", de + "\n\n" + sentence(rng, "en"), sentence(rng, "es")]
+    plain = [[p["lang"] for p in x] for x in L.document_parts(labeller, texts)]
+    assert plain == [["de"], [], [], [], [], ["en"], ["es"]]
+    assert [[p["lang"] for p in x] for x in L.document_parts(labeller, texts, pooled=False)] == [[], [], [], [], [], ["en"], ["es"]]
+    every = L.document_parts(labeller, texts, every=True)
+    assert [[(p["lang"], p["whole"]) for p in x] for x in every] == [[("de", False)], [], [], [], [], [("de", False), ("en", True)], [("es", True)]]
+    joined = L.stretches(every[5] + [dict(every[5][1], first=500, last=520, confidence=0.0)])
+    assert [(s["lang"], s["last"]) for s in joined] == [("de", every[5][0]["last"]), ("en", 520)] and 0 < joined[1]["confidence"] < every[5][1]["confidence"]
