@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notefold.functions.ids import stripped
 from notefold.functions.jsontext import parse
-from notefold.runtime import tables
+from notefold.runtime import cut, tables
 
 
 @dataclass(frozen=True)
@@ -170,7 +170,7 @@ def edits_table(all_nodes: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nodes(spark, sf_dir)
+    n = cut(_nodes(spark, sf_dir).select("record_id", "version", "node", "path", "kind", "pos", "vals"))  # payloads are parsed once for the three tables
     metas = metas_table(n).select("record_id", "version", F.col("meta_id").alias("parent_id"), "time_signature")
     edits = edits_table(n).select("record_id", "version", F.col("parent_id").alias("step_id"), "edit_pos")
     return (
@@ -206,4 +206,12 @@ st as (
   ) where json_type(s) = 'OBJECT'),
 z as (select *, {_LIST.format(x="(s->'edits')")} as edits, coalesce(trim(s->>'kind'), '') as kind, coalesce(case json_type(ts) when 'VARCHAR' then replace(ts->>'$', ' ', '') when 'ARRAY' then (ts->>0) || '/' || (ts->>1) when 'OBJECT' then (ts->>'beats') || '/' || (ts->>'unit') end, '') as time_signature from st)
 """
-ORACLE = {"p3_found": _NESTED_SQL + "select distinct record_id, meta_pos, step_path, cast(unnest(case when len(edits) = 0 then [-1] else range(len(edits)) end) as integer) as edit_pos, kind, time_signature from z"}
+_META_ID = "'m' || meta_pos || regexp_replace(path, '([0-9]+)/', '.s\\1.m0', 'g')"
+_SIGNATURE = "coalesce(case json_type({x}) when 'VARCHAR' then regexp_replace({x}->>'$', '\\s+', '', 'g') when 'ARRAY' then ({x}->>0) || '/' || ({x}->>1) when 'OBJECT' then ({x}->>'beats') || '/' || ({x}->>'unit') end, '')"
+ORACLE = {
+    "p3_found": _NESTED_SQL + "select distinct record_id, meta_pos, step_path, cast(unnest(case when len(edits) = 0 then [-1] else range(len(edits)) end) as integer) as edit_pos, kind, time_signature from z",
+    "p3_metas": _NESTED_SQL + f"""select distinct record_id, {_META_ID} as meta_id, nullif(regexp_replace({_META_ID}, '\\.?[^.]+$', ''), '') as parent_id, case when path = '' then meta_pos else 0 end as meta_pos,
+  meta->>'sample_id' as sample_id, {_SIGNATURE.format(x="(meta->'basic_info'->'time_signature')")} as time_signature from m""",
+    "p3_edits": _NESTED_SQL + """, ed as (select record_id, 'm' || meta_pos || regexp_replace(regexp_replace(step_path, '([0-9]+)$', '.s\\1'), '([0-9]+)/', '.s\\1.m0', 'g') as step_id, unnest(edits) as e, unnest(range(len(edits))) as i from z)
+select distinct record_id, step_id || '.e' || i as edit_id, step_id as parent_id, cast(i as integer) as edit_pos, e->>'note_index' as note_index, e->>'field' as field, e->>'delta' as delta from ed where json_type(e) = 'OBJECT'""",
+}

@@ -7,59 +7,30 @@ from pyspark.sql import functions as F
 
 from notefold.functions import music as M
 from notefold.functions import spans as S
-
-# fixed values: limits of the quality flags
-FEW_NOTES, LOW_VELOCITY, HIGH_VELOCITY, LONG_NOTE = 5, 45, 115, 2.2
-HARD = ["missing_sample_id", "missing_notes", "no_notes", "non_positive_duration", "polyphonic_overlap", "unsorted_onsets"]
-SOFT = ["few_notes", "flat_pitch", "wide_span", "long_note"]
-
+from notefold.functions.ids import bound
 
 def _list(*flags: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, name) for c, name in flags]))
 
 
-def issues(d: DataFrame) -> DataFrame:
-    """``issues``: what is wrong with the records of clips; ``event``: the first bad note and why."""
-    b = F.col("basic_info")
-    notes = F.coalesce("notes", F.array().cast("array<struct<start:double,end:double,pitch:int,velocity:int>>"))
-    bad = F.transform(notes, lambda x, i: F.struct(i.alias("i"), F.when(x["end"] <= x["start"], "non_positive_duration").when(~x["pitch"].between(0, 127), "pitch_range").when(~x["velocity"].between(1, 127), "velocity_range").when(x["start"] < F.get(notes, i - 1)["start"], "unsorted_onsets").alias("what")))
-    first = F.get(F.filter(bad, lambda x: x["what"].isNotNull()), F.lit(0))
-    flags = _list(
-        (F.col("sample_id").isNull(), "missing_sample_id"), (F.col("split").isNull(), "missing_split"), (b.isNull(), "missing_basic_info"), (b["time_signature"].isNull(), "missing_time_signature"), (b["tempo_bpm"].isNull(), "missing_tempo"), (F.col("notes").isNull(), "missing_notes"),
-        (F.size(notes) == 0, "no_notes"), (b["num_notes"] != F.size(notes), "note_count"), (b["music_end_sec"] <= b["music_start_sec"], "music_range"), (F.abs(b["leading_silence_sec"] - b["music_start_sec"]) > 1e-4, "leading_silence"),
-        (F.exists(notes, lambda x: x["end"] > b["clip_duration_sec"] + 1e-3), "beyond_clip"), (F.exists(F.transform(notes, lambda x, i: x["start"] < F.get(notes, i - 1)["end"] - 1e-4), lambda v: v), "polyphonic_overlap"),
-    )
-    return d.withColumn("issues", flags).withColumn("event", F.when(first.isNotNull(), F.concat_ws(":", first["i"].cast("string"), first["what"])))
-
-
-def quality_flags(notes: Column) -> Column:
-    p = F.transform(notes, lambda x: x["pitch"])
-    wide = F.array_max(p) - F.array_min(p)
-    mean_v = F.try_divide(F.aggregate(notes, F.lit(0.0), lambda a, x: a + F.coalesce(x["velocity"], F.lit(0))), F.size(notes))
-    chords = F.try_divide(F.size(F.filter(F.transform(notes, lambda x, i: F.abs(x["start"] - F.get(notes, i - 1)["start"]) < 0.02), lambda v: v)), F.size(notes) - 1)
-    return _list(
-        (F.size(notes) < FEW_NOTES, "few_notes"), (wide == 0, "flat_pitch"), (wide > 24, "wide_span"), (F.size(F.array_distinct(p)) <= 1, "one_pitch"), (F.size(F.array_distinct(p)) == 2, "two_pitches"), (mean_v < LOW_VELOCITY, "quiet"), (mean_v > HIGH_VELOCITY, "loud"),
-        (F.exists(notes, lambda x: x["end"] - x["start"] > LONG_NOTE), "long_note"), (chords >= 0.85, "all_chords"), ((chords >= 0.65) & (chords < 0.85), "many_chords"),
-    )
-
-
-def classify(issues_: Column, flags: Column) -> Column:
-    """hard, soft, review or clean, the worst that applies."""
-    lit = lambda names: F.array(*[F.lit(n) for n in names])
-    return F.when(F.arrays_overlap(issues_, lit(HARD)), "hard").when(F.arrays_overlap(flags, lit(SOFT)), "soft").when((F.size(issues_) > 0) | (F.size(flags) > 0), "review").otherwise("clean")
-
-
 def derived_attributes(ev: str = "ev") -> list[Column]:
-    """Counts, range, means, interval classes, turns and repeated motifs of one clip."""
+    """Counts per bar, range, means, interval classes, turns and whether a cell of move and length comes back, of one clip.
+
+    A length is from onset to end in beats; lengths are equal if they round to the same thousandth. Means of no notes are 0."""
     moves = F.filter(F.transform(ev, lambda x: x["move"]), lambda m: m.isNotNull())
-    mean = lambda f: F.try_divide(F.aggregate(ev, F.lit(0.0), lambda a, x: a + f(x)), F.size(ev))
+    mean = lambda f: F.coalesce(F.try_divide(F.aggregate(ev, F.lit(0.0), lambda a, x: a + f(x)), F.size(ev)), F.lit(0.0))
     ways = F.filter(F.transform(moves, lambda m: F.signum(m).cast("int")), lambda m: m != 0)
     turns = F.size(F.filter(F.transform(ways, lambda m, i: m != F.get(ways, i - 1)), lambda v: v))
     cls = lambda name: F.size(F.filter(moves, lambda m: M.interval_class(m) == name)).alias(name + "s")
     p = F.transform(ev, lambda x: x["pitch"])
+    beats = F.struct(F.col(ev).alias("ev"), F.col("spb"))
+    cells = bound(beats, lambda k: F.transform(F.slice(k["ev"], F.lit(2), F.greatest(F.size(k["ev"]) - 1, F.lit(0))), lambda x, i: F.struct(x["move"], F.floor((F.get(k["ev"], i)["end"] - F.get(k["ev"], i)["start"]) / k["spb"] * 1000 + 0.5).alias("length"))))
+    motif = (F.size(ev) >= 4) & bound(cells, lambda c: F.size(F.array_distinct(c)) < F.size(c))
     return [
-        F.size(ev).alias("notes"), F.size(F.filter(ev, lambda x: x["bar"] == 1)).alias("notes1"), F.size(F.filter(ev, lambda x: x["bar"] == 2)).alias("notes2"), F.array_min(p).alias("low"), F.array_max(p).alias("high"), (F.array_max(p) - F.array_min(p)).alias("span"),
-        F.size(F.array_distinct(p)).alias("different"), mean(lambda x: x["pitch"]).alias("mean_pitch"), mean(lambda x: x["velocity"]).alias("mean_velocity"), cls("unison"), cls("step"), cls("skip"), cls("leap"), turns.alias("turns"),
+        F.size(ev).alias("notes"), F.size(F.filter(ev, lambda x: x["bar"] == 1)).alias("notes1"), F.size(F.filter(ev, lambda x: x["bar"] == 2)).alias("notes2"),
+        F.coalesce(F.array_min(p), F.lit(0)).alias("low"), F.coalesce(F.array_max(p), F.lit(0)).alias("high"), F.coalesce(F.array_max(p) - F.array_min(p), F.lit(0)).alias("span"),
+        F.size(F.array_distinct(p)).alias("different"), (F.size(F.array_distinct(p)) < F.size(p)).alias("repeated_pitch"), mean(lambda x: (x["end"] - x["start"]) / F.col("spb")).alias("mean_beats"),
+        mean(lambda x: x["velocity"]).alias("mean_velocity"), cls("step"), cls("skip"), cls("leap"), turns.alias("turns"), motif.alias("motif"),
     ]
 
 
@@ -105,12 +76,18 @@ def pitch_coverage(notes: DataFrame) -> DataFrame:
 
 
 # -- gates -----------------------------------------------------------------------------------------
-def majority_share(rows: DataFrame, group: list[str], cls: str, least: int = 200) -> DataFrame:
-    """The share of the most frequent class per group against its limit; groups below ``least`` rows pass."""
-    n = rows.groupBy(*group, cls).agg(F.count("*").alias("n"))
-    g = n.groupBy(*group).agg(F.sum("n").alias("rows"), F.max("n").alias("top"), F.count("*").alias("classes"))
-    limit = F.greatest(F.lit(0.35), 1.5 / F.col("classes"))
-    return g.select(*group, "rows", "classes", (F.col("top") / F.col("rows")).alias("share"), ((F.col("rows") < least) | (F.col("top") / F.col("rows") <= limit)).alias("passed"))
+def majority_share(rows: DataFrame, group: list[str], cls: str, yesno: Column, exempt: Column | None = None, least: int = 200) -> DataFrame:
+    """The share of the most frequent class per group against its limit.
+
+    The limit is 0.55 where all classes are yes/no, else 1.5 over the number of classes that have two rows and a hundredth of the group,
+    and at least 0.35; a hundredth above it passes, and so do groups below ``least`` rows and exempt ones."""
+    n = rows.groupBy(*group, cls).agg(F.count("*").alias("n"), F.bool_and(F.coalesce(yesno, F.lit(False))).alias("_yesno"))
+    n = n.withColumn("_total", F.sum("n").over(Window.partitionBy(*group)))
+    g = n.groupBy(*group).agg(F.sum("n").alias("rows"), F.max("n").alias("top"), F.count("*").alias("classes"), F.count_if(F.col("n") >= F.greatest(F.lit(2.0), 0.01 * F.col("_total"))).alias("k"), F.bool_and("_yesno").alias("_yesno"))
+    limit = F.when(F.col("_yesno"), 0.55).otherwise(F.greatest(F.lit(0.35), 1.5 / F.greatest(F.col("k"), F.lit(1))))
+    share = F.col("top") / F.col("rows")
+    passed = (share <= limit + 0.01) | (F.col("rows") < least) | (F.lit(False) if exempt is None else exempt)
+    return g.select(*group, "rows", "classes", share.alias("share"), limit.alias("limit"), passed.alias("passed"))
 
 
 def share_of(rows: DataFrame, group: list[str], flag: Column, limit: float) -> DataFrame:
@@ -118,21 +95,29 @@ def share_of(rows: DataFrame, group: list[str], flag: Column, limit: float) -> D
     return g.withColumn("passed", F.col("share") <= limit)
 
 
-def median_span_hits(rows: DataFrame, group: str, spans: str, limit: float = 0.40) -> DataFrame:
-    """How often the median first span of a group alone would hit an answer span by half."""
-    one = rows.where(F.size(spans) > 0).select(group, spans, F.get(spans, F.lit(0)).alias("f"))
-    mid = one.groupBy(group).agg(F.percentile(F.col("f.s"), 0.5).alias("ms"), F.percentile(F.col("f.e"), 0.5).alias("me"))
+def median_span_hits(train: DataFrame, test: DataFrame, group: str, spans: str, limit: float = 0.40) -> DataFrame:
+    """How often one span per group, from the median start to the median end of all its spans in ``train``, hits a span of a ``test`` row by half.
+
+    Rows without a span are never hit. A group without test rows has no share and does not pass."""
+    each = train.select(group, F.explode(spans).alias("x"))
+    mid = each.groupBy(group).agg(F.percentile(F.col("x.s"), 0.5).alias("ms"), F.percentile(F.col("x.e"), 0.5).alias("me"))
     hit = F.exists(spans, lambda x: S.iou(F.struct(F.col("ms").alias("s"), F.col("me").alias("e")), x) >= 0.5)
-    g = one.join(mid, group).groupBy(group).agg(F.count("*").alias("rows"), F.avg(hit.cast("double")).alias("hits"))
-    return g.withColumn("passed", F.col("hits") <= limit)
+    scored = test.join(mid, group).groupBy(group).agg(F.count("*").alias("rows"), F.avg(F.coalesce(hit, F.lit(False)).cast("double")).alias("hits"))
+    g = mid.select(group).join(scored, group, "left")
+    return g.select(group, F.coalesce("rows", F.lit(0)).alias("rows"), "hits", F.coalesce(F.col("hits") <= limit, F.lit(False)).alias("passed"))
+
+
+def masks(contexts: list[str]) -> list[tuple[str, str]]:
+    """What a skeleton hides: context sentences (patterns), note names, numbers, words of place and direction, runs of blanks."""
+    words = "first|second|third|fourth|fifth|sixth|highest|lowest|upward|downward|ascending|descending"
+    return [*[(c, " ") for c in contexts], (r"\b(C#|D#|F#|G#|A#|[A-G])\b", "N"), (r"[0-9]+(\.[0-9]+)?", "#"), (rf"\b({words})\b", "W"), (r"\s+", " ")]
 
 
-def skeleton(text: Column) -> Column:
-    """A question with its numbers, note names, meters and quoted parts masked."""
-    t = F.lower(text)
-    for pattern, mask in ((r"\"[^\"]*\"", "<q>"), (r"\b[0-9]+/[0-9]+\b", "<m>"), (r"\b[a-g]#?[0-9]\b", "<p>"), (r"[0-9]+(\.[0-9]+)?", "<n>"), (r"\b(first|second|third|fourth|fifth|sixth)\b", "<o>"), (r"\s+", " ")):
-        t = F.regexp_replace(t, pattern, mask)
-    return F.trim(t)
+def skeleton(text: Column, contexts: list[str]) -> Column:
+    """A question with everything that varies within one wording masked."""
+    for pattern, mask in masks(contexts):
+        text = F.regexp_replace(text, pattern, mask)
+    return F.trim(text)
 
 
 def text_contract(q: Column, answer: Column) -> Column:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from notefold.functions import spans as S
-from notefold.functions.ids import stripped
 
 THRESHOLDS = (0.5, 0.7)
 # fixed values: order in which concepts are reported
@@ -91,7 +93,7 @@ def understanding_scores(judged: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("o") == 1, "overall").otherwise(F.col("concept")).alias("concept"), "n", "ifr", "accuracy", F.when(F.col("o") == 1, 0).when(rank > 0, rank).otherwise(len(CONCEPTS) + 1).cast("int").alias("place"))
 
 
-def _balanced(text: str):
+def _balanced(text: str) -> Iterator[str]:
     """Objects in braces that are complete, from the first on; braces in strings do not count."""
     at = text.find("{")
     while at >= 0:
@@ -116,34 +118,52 @@ def _balanced(text: str):
         at = text.find("{", at + 1)
 
 
+_FENCE = re.compile(r"```json\s*(\{.*?\})\s*```", re.DOTALL | re.IGNORECASE)
+
+
 def find_json(text: str | None) -> str | None:
-    """The first JSON object in free text: of a fenced block first, else the first complete one that parses."""
-    if not text:
-        return None
-    parts = text.split("```")
-    fenced = [p[4:] if p.startswith("json") else p for p in parts[1::2]]
-    for source in [*fenced, text]:
-        for piece in _balanced(source):
-            try:
-                return json.dumps(json.loads(piece))
-            except ValueError:
-                continue
+    """The first JSON object in free text: one that fills a fence tagged json, else the first complete one that parses."""
+    for piece in [*_FENCE.findall(text or ""), *_balanced(text or "")]:
+        try:
+            return json.dumps(json.loads(piece))
+        except ValueError:
+            continue
     return None
 
 
-@F.pandas_udf(StringType())
-def extract_json(texts):
-    return texts.map(find_json)
+_VERDICT = StructType([
+    StructField("found", BooleanType()), *[StructField(k, DoubleType()) for k in ("instruction_following_score", "accuracy_score", "confidence")],
+    StructField("error_reason", StringType()),
+])
+
+
+@F.pandas_udf(_VERDICT)
+def extract_verdict(texts: pd.Series) -> pd.DataFrame:
+    """The scores of judge outputs; a score that is missing or no number is null, truth values count as 0 and 1."""
+    def number(v):
+        return float(v) if isinstance(v, (int, float)) else None
+
+    rows = []
+    for t in texts:
+        v = find_json(t)
+        w = json.loads(v) if v else {}
+        reason = w.get("error_reason")
+        rows.append((v is not None, *[number(w.get(k)) for k in ("instruction_following_score", "accuracy_score", "confidence")], reason if isinstance(reason, str) or reason is None else json.dumps(reason)))
+    return pd.DataFrame(rows, columns=["found", "instruction_following_score", "accuracy_score", "confidence", "error_reason"])
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
-    """Judge outputs as ``verdict``: parsed scores, or the exact match of prediction and reference where nothing parses."""
-    schema = "instruction_following_score int, accuracy_score double, confidence double, error_reason string"
-    parsed = F.from_json(extract_json("output"), schema)
-    same = F.coalesce(stripped(F.col("prediction")) == stripped(F.col("reference")), F.lit(False))
-    fallback = F.struct(same.cast("int").alias("instruction_following_score"), same.cast("double").alias("accuracy_score"), F.lit(None).cast("double").alias("confidence"), F.lit("no verdict").alias("error_reason"))
-    ok = parsed.isNotNull() & parsed["instruction_following_score"].isNotNull()
-    return rows.withColumn("verdict", F.when(ok, parsed).otherwise(fallback))
+    """Judge outputs as ``verdict``: the scores of the object found; only where none is found, whether prediction and reference are the same text.
+
+    An object without a score does not follow the instruction. Null texts count as empty."""
+    v = extract_verdict("output")
+    same = F.coalesce("prediction", F.lit("")) == F.coalesce("reference", F.lit(""))
+    one = same.cast("double")
+    # fixed values: the reasons given for a fallback
+    reason = F.when(same, "correct (fallback)").otherwise("Fallback to string match (incorrect)")
+    fallback = F.struct(one.alias("instruction_following_score"), one.alias("accuracy_score"), one.alias("confidence"), reason.alias("error_reason"))
+    found = F.struct(*[F.col("_v")[k].alias(k) for k in ("instruction_following_score", "accuracy_score", "confidence", "error_reason")])
+    return rows.withColumn("_v", v).withColumn("verdict", F.when(F.col("_v")["found"], found).otherwise(fallback)).drop("_v")
 
 
 def judged(rows: DataFrame, make_model, batch: int = 64) -> DataFrame:
@@ -153,7 +173,6 @@ def judged(rows: DataFrame, make_model, batch: int = 64) -> DataFrame:
     prediction, reference) to a list of texts, so a model is loaded once and sees batches. Null
     texts reach it as empty ones."""
     import pyarrow as pa
-    from pyspark.sql.types import StructField, StructType
 
     schema = StructType([*rows.schema.fields, StructField("output", StringType())])
 

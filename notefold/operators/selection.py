@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,14 +88,18 @@ def largest_remainder(cells: DataFrame, group: list[str], cell: list[str], n: st
 
 def proportional_subsample(rows: DataFrame, group: list[str], cell: list[str], keys: list[str], target: int, seed) -> DataFrame:
     """Exactly ``target`` rows of each group (or all), each cell by its share, drawn in hash order."""
-    cells = rows.groupBy(*group, *cell).agg(F.count("*").alias("n")).withColumn("target", F.lit(target).cast("long"))
+    return thinned(rows, group, cell, keys, rows.select(*group).distinct().withColumn("target", F.lit(target).cast("long")), seed)
+
+
+def thinned(rows: DataFrame, group: list[str], cell: list[str], keys: list[str], targets: DataFrame, seed) -> DataFrame:
+    """As :func:`proportional_subsample`, with the ``target`` of each group from a table; groups it does not name are left out."""
+    t = targets.withColumnsRenamed({c: f"_{c}" for c in group})
+    same = lambda names: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
+    cells = rows.groupBy(*group, *cell).agg(F.count("*").alias("n")).join(t, same(group)).drop(*[f"_{c}" for c in group])
     quota = largest_remainder(cells, group, cell).select(*group, *cell, "quota")
     q = quota.withColumnsRenamed({c: f"_{c}" for c in [*group, *cell]})
     ranked = hash_ranked(rows, [*group, *cell], keys, seed, "_rank")
-    on = F.lit(True)
-    for c in [*group, *cell]:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return ranked.join(q, on).where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota", *[f"_{c}" for c in [*group, *cell]])
+    return ranked.join(q, same([*group, *cell])).where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota", *[f"_{c}" for c in [*group, *cell]])
 
 
 def capped(rows: DataFrame, group: list[str], keys: list[str], caps: DataFrame, seed) -> DataFrame:
@@ -114,6 +120,75 @@ def strata_trim(rows: DataFrame, keys: list[str], seed) -> DataFrame:
     return capped(rows, ["family", "stratum", "akey"], keys, kept, seed)
 
 
+def yesno_trim(rows: DataFrame, keys: list[str], seed, share: float = YESNO_CAP) -> DataFrame:
+    """Yes/no rows (``boolean``, answer ``yes``) within ``share`` of what their concept then has; the other rows stay.
+
+    Where there are more, half of the limit goes to each answer, and what one answer cannot use to the other."""
+    yes = F.coalesce("yes", F.lit(False))
+    n = rows.groupBy("concept").agg(F.count_if(~F.col("boolean")).alias("others"), F.count_if(F.col("boolean") & yes).alias("t"), F.count_if(F.col("boolean") & ~yes).alias("f"))
+    n = n.withColumn("lim", F.floor(F.col("others") * share / (1 - share)).cast("long"))
+    n = n.withColumn("nf", F.least("f", F.col("lim") - F.least("t", F.floor(F.col("lim") / 2)))).withColumn("nt", F.least("t", F.col("lim") - F.col("nf")))
+    n = n.select(F.col("concept").alias("_concept"), (F.col("t") + F.col("f") <= F.col("lim")).alias("_all"), "nt", "nf")
+    asked = hash_ranked(rows.where("boolean").withColumn("yes", yes), ["concept", "yes"], keys, seed, "_rank")
+    kept = asked.join(n, F.col("concept").eqNullSafe(F.col("_concept"))).where(F.col("_all") | (F.col("_rank") <= F.when(F.col("yes"), F.col("nt")).otherwise(F.col("nf"))))
+    return rows.where("not boolean").withColumn("yes", yes).unionByName(kept.drop("_rank", "_concept", "_all", "nt", "nf"))
+
+
+def concept_quota(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``understanding, concept, family, yesno, cap, target, alloc``: how many rows of each family stay.
+
+    ``rows`` have ``understanding, concept, family, yesno`` (true for families of yes/no answers only). A concept can give its other
+    rows and, if it is of understanding, at most a ninth as many yes/no rows. Every concept of a kind gets what the scarcest can give, or with
+    ``most`` up to that; a tenth of it at most goes to the yes/no families; families share by :func:`waterfill_alloc`."""
+    n = rows.groupBy("understanding", "concept", "family", "yesno").agg(F.count("*").alias("cap"))
+    c = n.groupBy("understanding", "concept").agg(F.coalesce(F.sum(F.when(~F.col("yesno"), F.col("cap"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("yesno"), F.col("cap"))), F.lit(0)).alias("b"))
+    c = c.withColumn("room", F.when(F.col("understanding"), F.col("n") + F.least("b", F.floor(F.col("n") / 9))).otherwise(F.col("n")))
+    target = F.least("room", F.lit(most)) if most is not None else F.min("room").over(Window.partitionBy("understanding"))
+    c = c.withColumn("target", target.cast("long")).withColumn("_b", F.least("b", F.floor(F.col("target") * YESNO_CAP).cast("long")))
+    n = n.join(c, ["understanding", "concept"]).withColumn("total", F.when(F.col("yesno"), F.col("_b")).otherwise(F.col("target") - F.col("_b")))
+    return waterfill_alloc(n, ["understanding", "concept", "yesno"], "family")
+
+
+def family_trim(rows: DataFrame, keys: list[str], seed, rounds: int = 8) -> DataFrame:
+    """Rows of families within the share rules of their strata and of the whole family.
+
+    ``rows``: ``family, understanding, stratum, akey, boolean, empty``; boolean and understanding are those of the family, and the
+    stratum is empty where the family has none. Inside a stratum of an understanding family tiny classes go, one that is left with a single class goes, and the others are
+    capped; strata of grounding families only have their empty rows cut. Then the family is capped as a whole. The two trims take rows away
+    unevenly, so for understanding families they alternate until nothing changes, at most ``rounds`` times; each round is written, which keeps the plan short."""
+    def caps(d, group, limit):
+        n = d.groupBy(*group, "akey").agg(F.count("*").alias("n"), F.first("boolean").alias("boolean"), F.first("understanding").alias("understanding"))
+        g = Window.partitionBy(*group)
+        return n.withColumn("big", F.col("n") >= F.greatest(F.lit(2.0), limit * F.sum("n").over(g))).withColumn("k", F.count_if(F.col("big")).over(g))
+
+    def cut_to(d, n, group, stratum):
+        c = waterfill_cap(n.withColumn("share", share_limit(F.col("k"), F.col("boolean"), stratum)), group)
+        return capped(d, [*group, "akey"], keys, n.select(*group, "akey").join(c, group), seed)
+
+    def strata(d):
+        inside = F.col("stratum") != ""
+        n = caps(d.where(F.col("understanding") | ~inside), ["family", "stratum"], TINY_SHARE)
+        strict = F.col("understanding") & inside
+        n = n.where(~strict | (F.col("big") & (F.col("k") >= 2)))
+        return d.where(~F.col("understanding") & inside).unionByName(cut_to(d.where(F.col("understanding") | ~inside), n, ["family", "stratum"], inside))
+
+    def whole(d):
+        return cut_to(d, caps(d, ["family"], 0.01), ["family"], F.lit(False))
+
+    d = strata(rows)
+    inside = ~F.col("understanding") & (F.col("stratum") != "")
+    d = d.where(~inside).unionByName(empties_capped(d.where(inside), ["family", "stratum"], keys, seed))
+    done = cut(whole(d))
+    out, going = done.where("not understanding"), done.where("understanding")
+    n = going.count()
+    for _ in range(rounds):
+        going = cut(whole(strata(going)))
+        before, n = n, going.count()
+        if n == before:
+            break
+    return out.unionByName(going)
+
+
 def empties_capped(rows: DataFrame, group: list[str], keys: list[str], seed, share: float = EMPTY_CAP) -> DataFrame:
     """Rows without an answer cut to ``share`` of their group."""
     full = rows.where("not empty").groupBy(*group).agg(F.floor(F.count("*") * share / (1 - share) + 1e-9).alias("cap"))

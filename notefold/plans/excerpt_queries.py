@@ -109,7 +109,7 @@ _add("outside_scale", _each("root", range(12), lambda r: E.text(E.notes_outside_
 _add("never_played", _each("root", range(12), lambda r: E.text(E.never_played(r))), GRID_SQL + f"""select sample_id, root, coalesce(string_agg(cast(p as varchar), ',' order by p) filter (where not exists (select 1 from n where n.rid = x.rid and n.pc = x.p)), '') as notes
 from (select rid, sample_id, root, unnest(pcs) as p from c {_SCALES}) x group by rid, sample_id, root""")
 _add("pitch_moves", lambda s, d, clips=E.grid_excerpts: clips(s, d).select("sample_id", F.inline("ev")).select("sample_id", "i", "move", M.interval_class(F.col("move")).alias("size"), M.direction(F.col("move")).alias("way")).where("move is not null"),
-     GRID_SQL + "select sample_id, i, mv as move, case when mv = 0 then 'unison' when abs(mv) <= 2 then 'step' when abs(mv) <= 4 then 'skip' else 'leap' end as size, case when mv > 0 then 'up' when mv < 0 then 'down' else 'same' end as way from n where mv is not null")
+     GRID_SQL + "select sample_id, i, mv as move, case when mv = 0 then 'repeat' when abs(mv) <= 2 then 'step' when abs(mv) <= 5 then 'skip' else 'leap' end as size, case when mv > 0 then 'up' when mv < 0 then 'down' else 'same' end as way from n where mv is not null")
 _add("moves_by_size", lambda s, d, clips=E.grid_excerpts: clips(s, d).select("sample_id", E.text(E.notes_reached_by(1, 2)).alias("small"), E.text(E.notes_reached_by(3, 5)).alias("middle"), E.text(E.notes_reached_by(6)).alias("large"), E.text(E.repeated_notes()).alias("repeated"), E.text(E.downward_notes()).alias("down"), E.largest_jump().alias("jump")),
      GRID_SQL + "select sample_id, " + ", ".join(f"coalesce(string_agg(cast(i as varchar), ',' order by i) filter (where {c}), '') as {a}" for a, c in (("small", "abs(mv) between 1 and 2"), ("middle", "abs(mv) between 3 and 5"), ("large", "abs(mv) >= 6"), ("repeated", "mv = 0"), ("down", "mv < 0"))) + ", max(abs(mv)) as jump from c left join (select rid, i, mv from n) n using (rid) group by rid, sample_id")
 _add("named_moves", _each("semitones", range(1, 13), lambda k: F.concat_ws(";", E.text(E.notes_reached_by_named(k, "ascending")), E.text(E.notes_reached_by_named(k, "descending")), E.count_moves_of(k).cast("string"))),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from notefold.functions import spans as SP
+from notefold.functions import wording as W
 from notefold.functions.ids import split_name, sql_split_name
 from notefold.operators import excerpt as E
 from notefold.operators import quality as Q
@@ -14,23 +17,9 @@ from notefold.plans.selection_queries import _IT, items
 from notefold.runtime import tables
 
 
-def clip_issues(s, d):
-    c = Q.issues(tables(s, d)("clips"))
-    return c.select("sample_id", F.array_join("issues", ",").alias("issues"), "event")
-
-
-def clip_classes(s, d):
-    c = Q.issues(tables(s, d)("clips")).withColumn("flags", Q.quality_flags(F.col("notes")))
-    return c.select("sample_id", F.array_join("flags", ",").alias("flags"), Q.classify(F.col("issues"), F.col("flags")).alias("cls"))
-
-
-def issue_tally(s, d):
-    return Q.reason_tally(Q.issues(tables(s, d)("clips")), "issues")
-
-
 def derived_attributes(s, d, clips=E.grid_excerpts):
     a = clips(s, d).select("sample_id", *Q.derived_attributes())
-    return a.withColumn("mean_pitch", F.round("mean_pitch", 6)).withColumn("mean_velocity", F.round("mean_velocity", 6))
+    return a.withColumn("mean_beats", F.round(F.col("mean_beats") + 1e-9, 4)).withColumn("mean_velocity", F.round("mean_velocity", 6))
 
 
 def motif_repetition(s, d, clips=E.grid_excerpts):
@@ -70,8 +59,11 @@ def interval_histogram(s, d):
 
 
 def majority_share(s, d):
-    m = Q.majority_share(items(s, d).where("understanding and family is not null"), ["family"], "akey", 50)
-    return m.withColumn("share", F.round("share", 6))
+    """Per split and family of understanding items, by the answer; the test split is exempt."""
+    q = tables(s, d)("qa_items").where("evidence_type is not null and source_fact_id is not null and gold_answer is not null")
+    q = q.select("item_id", split_name(F.col("split"), F.col("sample_id")).alias("split"), F.col("source_fact_id").alias("family"), "gold_answer").distinct()
+    m = Q.majority_share(q, ["split", "family"], "gold_answer", F.col("gold_answer").isin("true", "false"), F.col("split") == "test")
+    return m.withColumn("share", F.round("share", 6)).withColumn("limit", F.round("limit", 6))
 
 
 def yesno_share(s, d):
@@ -85,13 +77,20 @@ def empty_share(s, d):
 
 
 def median_span_hit(s, d):
-    q = tables(s, d)("qa_items").where("evidence_type is null").select("item_id", "source_fact_id", SP.from_pairs(F.col("answer_spans_sec")).alias("spans")).where("source_fact_id is not null")
-    return Q.median_span_hits(q, "source_fact_id", "spans").withColumn("hits", F.round("hits", 6))
+    """From the answers of train to those of test, per family of grounding items."""
+    q = tables(s, d)("qa_items").where("evidence_type is null and source_fact_id is not null")
+    q = q.select("item_id", "source_fact_id", split_name(F.col("split"), F.col("sample_id")).alias("split"), SP.from_pairs(F.col("answer_spans_sec")).alias("spans")).distinct()
+    return Q.median_span_hits(q.where("split = 'train'"), q.where("split = 'test'"), "source_fact_id", "spans").withColumn("hits", F.round("hits", 6))
+
+
+# context sentences: those of this engine's wordings and those of the tables
+CONTEXTS = [*[re.escape(t).replace(r"\{x\}", "[0-9/]+").replace("\\ ", " ") for t in W.TEMPOS + W.METERS], r"Count [0-9]+ beats each minute\.", r"The piece moves in [0-9]+/[0-9]+\."]
 
 
 def skeleton_counts(s, d):
-    q = tables(s, d)("qa_items").where("source_fact_id is not null and question is not null")
-    return q.groupBy("source_fact_id").agg(F.count_distinct(Q.skeleton(F.col("question"))).alias("skeletons"), F.count("*").alias("n"))
+    """Wordings per family of the questions of train."""
+    q = tables(s, d)("qa_items").where("source_fact_id is not null and question is not null").where(split_name(F.col("split"), F.col("sample_id")) == "train")
+    return q.groupBy("source_fact_id").agg(F.count_distinct(Q.skeleton(F.col("question"), CONTEXTS)).alias("skeletons"), F.count("*").alias("n"))
 
 
 def text_contract(s, d):
@@ -202,26 +201,26 @@ def split_status(s, d):
 
 
 _OVER = "select distinct audio_path, duration_sec from audio_files where floor(duration_sec * sample_rate) / sample_rate * 75 > 450"
-QUERIES = {f.__name__: f for f in (clip_issues, clip_classes, issue_tally, derived_attributes, motif_repetition, value_shares, dominant_values, numeric_summary, length_statistics, pitch_coverage, interval_histogram, majority_share, yesno_share, empty_share, median_span_hit, skeleton_counts, text_contract, rederived_moves, text_baseline, twin_flags, split_overlap, align_left_join, missing_preds, extra_preds, dup_preds, clip_recordings, overlong, stale_values, midi_round_trip, midi_round_trip_whole, gate_report, split_status)}
-_ISS = """b as (select row_number() over () as rid, * from clips),
-x as (select rid, i, x, lag(x.start) over (partition by rid order by i) as ps, lag(x."end") over (partition by rid order by i) as pe from (select rid, unnest(notes) as x, unnest(range(len(notes))) as i from b)),
-ev as (select rid, min(i) filter (where what is not null) as i, arg_min(what, i) filter (where what is not null) as what, bool_or(x.start < pe - 1e-4) as overlap, max(x."end") as last_end, count(*) as m from (select *, case when x."end" <= x.start then 'non_positive_duration' when x.pitch not between 0 and 127 then 'pitch_range' when x.velocity not between 1 and 127 then 'velocity_range' when x.start < ps then 'unsorted_onsets' end as what from x) group by rid),
-iss as (select b.rid, sample_id, list_filter([case when sample_id is null then 'missing_sample_id' end, case when split is null then 'missing_split' end, case when basic_info is null then 'missing_basic_info' end, case when basic_info.time_signature is null then 'missing_time_signature' end, case when basic_info.tempo_bpm is null then 'missing_tempo' end, case when notes is null then 'missing_notes' end, case when coalesce(m, 0) = 0 then 'no_notes' end, case when basic_info.num_notes <> coalesce(m, 0) then 'note_count' end, case when basic_info.music_end_sec <= basic_info.music_start_sec then 'music_range' end, case when abs(basic_info.leading_silence_sec - basic_info.music_start_sec) > 1e-4 then 'leading_silence' end, case when last_end > basic_info.clip_duration_sec + 1e-3 then 'beyond_clip' end, case when overlap then 'polyphonic_overlap' end], lambda v: v is not null) as issues, case when ev.i is not null then ev.i || ':' || what end as event, notes from b left join ev using (rid))
-"""
-_FLG = """, st as (select rid, count(*) as m, max(x.pitch) - min(x.pitch) as wide, count(distinct x.pitch) as different, sum(coalesce(x.velocity, 0)) / count(*) as v, bool_or(x."end" - x.start > 2.2) as lng, count(*) filter (where abs(x.start - ps) < 0.02) / nullif(count(*) - 1, 0) as ch from x group by rid),
-fl as (select iss.rid, sample_id, issues, list_filter([case when m < 5 then 'few_notes' end, case when wide = 0 then 'flat_pitch' end, case when wide > 24 then 'wide_span' end, case when different <= 1 then 'one_pitch' end, case when different = 2 then 'two_pitches' end, case when v < 45 then 'quiet' end, case when v > 115 then 'loud' end, case when lng then 'long_note' end, case when ch >= 0.85 then 'all_chords' end, case when ch >= 0.65 and ch < 0.85 then 'many_chords' end], lambda v: v is not null) as flags from iss left join st using (rid))
-"""
-_J = "lambda v: v"
+QUERIES = {f.__name__: f for f in (derived_attributes, motif_repetition, value_shares, dominant_values, numeric_summary, length_statistics, pitch_coverage, interval_histogram, majority_share, yesno_share, empty_share, median_span_hit, skeleton_counts, text_contract, rederived_moves, text_baseline, twin_flags, split_overlap, align_left_join, missing_preds, extra_preds, dup_preds, clip_recordings, overlong, stale_values, midi_round_trip, midi_round_trip_whole, gate_report, split_status)}
+
+
+def _skeleton_sql(x: str) -> str:
+    for pattern, mask in Q.masks(CONTEXTS):
+        x = f"regexp_replace({x}, '{pattern}', '{mask}', 'g')"
+    return x
+
+
 _LONG = " union all ".join(f"select '{f}' as field, basic_info.{f} as value from clips" for f in _INFO)
 _PRED = "pr as (select sample_id, question, max(answer_text) as prediction from qa_items where sample_id is not null and question is not null and item_id % 10 > 0 group by all)"
 _SIG = GRID_SQL + f", sg as (select rid, coalesce(string_agg(cast(pitch as varchar), '-' order by i), '') as tune, coalesce(string_agg(pitch || ':' || cast(floor(ioi * 4 + 0.5) as bigint), '-' order by i), '') as rhythm from n group by rid), g as (select c.rid, sample_id, {sql_split_name('split', 'sample_id')} as sp, coalesce(tune, '') as tune, coalesce(rhythm, '') as rhythm from c left join sg using (rid))"
 ORACLE = {
-    "clip_issues": f"with {_ISS} select sample_id, array_to_string(issues, ',') as issues, event from iss",
-    "clip_classes": f"with {_ISS}{_FLG} select sample_id, array_to_string(flags, ',') as flags, case when list_has_any(issues, {Q.HARD}) then 'hard' when list_has_any(flags, {Q.SOFT}) then 'soft' when len(issues) + len(flags) > 0 then 'review' else 'clean' end as cls from fl",
-    "issue_tally": f"with {_ISS} select reason, count(*) as n from (select unnest(issues) as reason from iss) group by reason order by n desc, reason limit 30",
-    "derived_attributes": GRID_SQL + """, t as (select rid, count(*) filter (where sg <> psg) as turns from (select rid, sign(mv) as sg, lag(sign(mv)) over (partition by rid order by i) as psg from n where mv <> 0) group by rid)
-select sample_id, count(i)::integer as notes, (count(*) filter (where bar = 1))::integer as notes1, (count(*) filter (where bar = 2))::integer as notes2, min(pitch) as low, max(pitch) as high, max(pitch) - min(pitch) as span, count(distinct pitch)::integer as different, round(avg(pitch), 6) as mean_pitch, round(avg(velocity), 6) as mean_velocity, (count(*) filter (where mv = 0))::integer as unisons, (count(*) filter (where abs(mv) between 1 and 2))::integer as steps, (count(*) filter (where abs(mv) between 3 and 4))::integer as skips, (count(*) filter (where abs(mv) > 4))::integer as leaps, coalesce(any_value(turns), 0)::integer as turns
-from c left join (select rid, i, bar, pitch, velocity, mv from n) n using (rid) left join t using (rid) group by rid, sample_id""",
+    "derived_attributes": GRID_SQL + """, t as (select rid, count(*) filter (where sg <> psg) as turns from (select rid, sign(mv) as sg, lag(sign(mv)) over (partition by rid order by i) as psg from n where mv <> 0) group by rid),
+u as (select rid, count(*) as cells, count(distinct (mv, len)) as kinds from (select rid, mv, lag(floor((en - st) / spb * 1000 + 0.5)) over (partition by rid order by i) as len from n) where mv is not null group by rid)
+select sample_id, count(i)::integer as notes, (count(*) filter (where bar = 1))::integer as notes1, (count(*) filter (where bar = 2))::integer as notes2, coalesce(min(pitch), 0) as low, coalesce(max(pitch), 0) as high, coalesce(max(pitch) - min(pitch), 0) as span,
+  count(distinct pitch)::integer as different, count(distinct pitch) < count(pitch) as repeated_pitch, round(coalesce(avg((en - st) / spb), 0) + 1e-9, 4) as mean_beats, round(coalesce(avg(velocity), 0), 6) as mean_velocity,
+  (count(*) filter (where abs(mv) in (1, 2)))::integer as steps, (count(*) filter (where abs(mv) in (3, 4, 5)))::integer as skips, (count(*) filter (where abs(mv) >= 6))::integer as leaps, coalesce(any_value(turns), 0)::integer as turns,
+  count(i) >= 4 and coalesce(any_value(kinds) < any_value(cells), false) as motif
+from c left join (select rid, i, bar, pitch, velocity, mv, st, en from n) n using (rid) left join t using (rid) left join u using (rid) group by rid, sample_id""",
     "motif_repetition": GRID_SQL + ", l as (select rid, sample_id, mv, lag(val) over (partition by rid order by i) as lv from n) select sample_id, mv as move, lv as value, count(*) as n from l where mv is not null and lv is not null group by rid, sample_id, mv, lv having count(*) > 1",
     "value_shares": f"with l as ({_LONG}) select field, value, count(*) as n, round(count(*) / sum(count(*)) over (partition by field), 6) as share from l group by field, value",
     "dominant_values": f"with l as ({_LONG}), z as (select field, value, count(*) as n, count(*) / sum(count(*)) over (partition by field) as share from l group by field, value) select field, value, n from z where share > 0.3",
@@ -229,14 +228,20 @@ from c left join (select rid, i, bar, pitch, velocity, mv from n) n using (rid)
     "length_statistics": f"select {sql_split_name('split', 'sample_id')} as split, min(sec) as least, round(avg(sec), 6) as mean, round(quantile_cont(sec, 0.5), 6) as median, round(quantile_cont(sec, 0.95), 6) as p95, max(sec) as most from (select *, basic_info.clip_duration_sec as sec from clips) group by 1",
     "pitch_coverage": RAW_SQL + "select cast(k as integer) as pitch, count(n.pitch) as n from range(21, 109) r(k) left join n on n.pitch = k group by k",
     "interval_histogram": RAW_SQL + "select mv as move, count(*) as n from n where mv is not null group by mv",
-    "majority_share": f"with {_IT}, z as (select family, akey, count(*) as n from it where understanding and family is not null group by all) select family, cast(sum(n) as bigint) as rows, count(*) as classes, round(max(n) / sum(n), 6) as share, sum(n) < 50 or max(n) / sum(n) <= greatest(0.35, 1.5 / count(*)) as passed from z group by family",
+    "majority_share": f"""with q as (select distinct item_id, {sql_split_name('split', 'sample_id')} as split, source_fact_id as family, gold_answer from qa_items where evidence_type is not null and source_fact_id is not null and gold_answer is not null),
+c as (select split, family, gold_answer, count(*) as n, sum(count(*)) over (partition by split, family) as total from q group by split, family, gold_answer),
+g as (select split, family, cast(sum(n) as bigint) as rows, count(*) as classes, max(n) / sum(n) as share, case when bool_and(gold_answer in ('true', 'false')) then 0.55 else greatest(0.35, 1.5 / greatest(1, count(*) filter (where n >= 2 and n >= 0.01 * total))) end as lim from c group by split, family)
+select split, family, rows, classes, round(share, 6) as share, round(lim::double, 6) as "limit", share <= lim + 0.01 or rows < 200 or coalesce(split = 'test', false) as passed from g""",
     "yesno_share": f"with {_IT} select concept, count(*) as rows, round(avg(boolean::int), 6) as share, avg(boolean::int) <= 0.1 as passed from it where understanding and concept is not null group by concept",
     "empty_share": f"with {_IT} select family, count(*) as rows, round(avg(empty::int), 6) as share, avg(empty::int) <= 0.2 as passed from it where not understanding and family is not null group by family",
-    "median_span_hit": """with q as (select row_number() over () as rid, source_fact_id, answer_spans_sec as sp from qa_items where evidence_type is null and source_fact_id is not null and len(answer_spans_sec) > 0),
-m as (select source_fact_id, quantile_cont(sp[1][1], 0.5) as ms, quantile_cont(sp[1][2], 0.5) as me from q group by all),
-p as (select rid, source_fact_id, unnest(sp) as x from q), h as (select rid, source_fact_id, bool_or(case when un > 0 then ov / un else 0 end >= 0.5) as hit from (select rid, source_fact_id, greatest(0, least(me, x[2]) - greatest(ms, x[1])) as ov, greatest(0, me - ms + x[2] - x[1] - greatest(0, least(me, x[2]) - greatest(ms, x[1]))) as un from p join m using (source_fact_id)) group by all)
-select source_fact_id, count(*) as rows, round(avg(hit::int), 6) as hits, avg(hit::int) <= 0.4 as passed from h group by source_fact_id""",
-    "skeleton_counts": "select source_fact_id, count(distinct trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(question), '\"[^\"]*\"', '<q>', 'g'), '\\b[0-9]+/[0-9]+\\b', '<m>', 'g'), '\\b[a-g]#?[0-9]\\b', '<p>', 'g'), '[0-9]+(\\.[0-9]+)?', '<n>', 'g'), '\\b(first|second|third|fourth|fifth|sixth)\\b', '<o>', 'g'), '\\s+', ' ', 'g'))) as skeletons, count(*) as n from qa_items where source_fact_id is not null and question is not null group by all",
+    "median_span_hit": f"""with q as (select row_number() over () as rid, * from (select distinct item_id, source_fact_id, {sql_split_name('split', 'sample_id')} as split, coalesce(answer_spans_sec, []) as sp from qa_items where evidence_type is null and source_fact_id is not null)),
+m as (select source_fact_id, quantile_cont(x[1], 0.5) as ms, quantile_cont(x[2], 0.5) as me from (select source_fact_id, unnest(sp) as x from q where split = 'train') group by all),
+x as (select rid, unnest(sp) as x from q where split = 'test'),
+h as (select rid, bool_or(case when un > 0 then ov / un else 0 end >= 0.5) as hit from (select rid, greatest(0, least(me, x[2]) - greatest(ms, x[1])) as ov, greatest(0, me - ms + x[2] - x[1] - greatest(0, least(me, x[2]) - greatest(ms, x[1]))) as un from x join q using (rid) join m using (source_fact_id)) group by rid),
+t as (select source_fact_id, rid from q where split = 'test')
+select m.source_fact_id, count(t.rid) as rows, round(avg(case when t.rid is not null then coalesce(hit, false)::int end), 6) as hits, coalesce(avg(case when t.rid is not null then coalesce(hit, false)::int end) <= 0.4, false) as passed
+from m left join t using (source_fact_id) left join h on h.rid = t.rid group by m.source_fact_id""",
+    "skeleton_counts": f"select source_fact_id, count(distinct trim({_skeleton_sql('question')})) as skeletons, count(*) as n from qa_items where source_fact_id is not null and question is not null and {sql_split_name('split', 'sample_id')} = 'train' group by all",
     "text_contract": "with z as (select distinct item_id, array_to_string(list_filter([case when trim(question) = '' then 'blank_question' end, case when not regexp_matches(question, '[?.]$') then 'no_end_mark' end, case when regexp_matches(question, '\\{|\\}') then 'open_placeholder' end, case when regexp_matches(question, '\\s\\s') then 'double_space' end, case when trim(answer_text) = '' then 'blank_answer' end, case when regexp_matches(answer_text, '\\b1 (notes|seconds|beats|semitones)\\b') then 'plural' end, case when regexp_matches(question, '(?i)\\b(a) [aeiou]') then 'article' end], lambda v: v is not null), ',') as broken from qa_items) select * from z where broken <> ''",
     "rederived_moves": GRID_SQL + "select 'equal' as status, count(*) as n from n where abs(mv) >= 6",
     "twin_flags": _SIG + " select sample_id, coalesce(tune in (select tune from g where sp = 'train'), false) as tune_in_train, coalesce(rhythm in (select rhythm from g where sp = 'train'), false) as rhythm_in_train from g where sp in ('val', 'test')",

@@ -70,7 +70,13 @@ def _judged(spark, sf_dir):
     q = tables(spark, sf_dir)("qa_items").where("evidence_type is not null")
     score = F.pmod(F.col("item_id"), F.lit(3))
     body = F.concat(F.lit('{"instruction_following_score": '), F.when(score == 2, "0").otherwise("1"), F.lit(', "accuracy_score": '), F.when(score == 0, "1.0").otherwise("0.0"), F.lit("}"))
-    out = F.when(F.pmod(F.col("item_id"), F.lit(5)) == 0, F.concat(F.lit("So: ```json\n"), body, F.lit("\n```"))).when(F.pmod(F.col("item_id"), F.lit(5)) == 1, F.lit("no idea {")).otherwise(F.concat(F.lit("Verdict: "), body))
+    fence = lambda tag: F.concat(F.lit(f"So {{}}: ```{tag}\n"), body, F.lit("\n```"))
+    kind = F.pmod(F.col("item_id"), F.lit(7))
+    out = (
+        F.when(kind == 0, fence("json")).when(kind == 1, F.lit("no idea {"))
+        .when(kind == 2, F.concat(F.lit('{"accuracy_score": 1.0} then ```\n'), body, F.lit("\n```")))  # an object before a fence that is not tagged
+        .when(kind == 3, F.concat(F.lit('{"accuracy_score": 1.0} then ```JSON '), body, F.lit("```"))).when(kind == 4, F.lit('{"confidence": 0.5, "note": "a } in text"}')).otherwise(F.concat(F.lit("Verdict: { oops "), body))
+    )
     return G.verdicts(q.select("item_id", F.coalesce(F.lower(F.trim("concept")), F.lit("")).alias("concept"), F.col("answer_text").alias("prediction"), F.col("answer_texts.1").alias("reference"), out.alias("output")))
 
 
@@ -79,11 +85,14 @@ def ifr_accuracy(spark, sf_dir):
 
 
 def judge_json(spark, sf_dir):
-    return _judged(spark, sf_dir).select("item_id", "verdict.instruction_following_score", "verdict.accuracy_score")
+    return _judged(spark, sf_dir).select("item_id", "verdict.instruction_following_score", "verdict.accuracy_score", "verdict.confidence", "verdict.error_reason")
 
 
-_JUDGED = """with j as (select item_id, coalesce(lower(trim(concept)), '') as concept, item_id % 5 <> 1 as ok, item_id % 3 as s, coalesce(nullif(trim(answer_text), '') = nullif(trim(answer_texts['1']), ''), false) as same from qa_items where evidence_type is not null),
-v as (select item_id, concept, case when ok then case when s = 2 then 0 else 1 end else same::int end as f, case when ok then case when s = 0 then 1.0 else 0.0 end else same::int::double end as a from j)
+# kind 0 tagged fence, 1 no object, 2 an object before an untagged fence, 3 an object before a tagged fence, 4 an object without scores, else an object behind an open brace
+_JUDGED = """with j as (select item_id, coalesce(lower(trim(concept)), '') as concept, item_id % 7 as k, item_id % 3 as s, coalesce(answer_text, '') = coalesce(answer_texts['1'], '') as same from qa_items where evidence_type is not null),
+v as (select item_id, concept, case k when 1 then same::int when 2 then null when 4 then null else case when s = 2 then 0 else 1 end end as f,
+  case k when 1 then same::int when 2 then 1 when 4 then null else case when s = 0 then 1 else 0 end end as a, case k when 1 then same::int when 4 then 0.5 end as c,
+  case when k = 1 then case when same then 'correct (fallback)' else 'Fallback to string match (incorrect)' end end as e from j)
 """
 QUERIES = {"span_parse": span_parse, "merged_iou": merged_iou, "greedy_match": greedy_match, "grounding_scores": grounding_scores, "ifr_accuracy": ifr_accuracy, "judge_json": judge_json}
 ORACLE = {
@@ -96,7 +105,7 @@ it as (select q.rid, grp, (select count(*) from ps where ps.rid = q.rid) as np,
 s as (select case when grouping(grp) = 1 then 'overall' else grp end as grp, count(*) as n, sum((np > 0 or abst)::int) / count(*) as ifr, sum(miou) / count(*) as miou, cast(sum(h5) as bigint) as h5, cast(sum(h7) as bigint) as h7, sum(np) as np, sum(ng) as ng, sum(o5) as o5 from it group by grouping sets ((), (grp))),
 z as (select *, case when np > 0 then h5 / np else 0 end as p5, case when ng > 0 then h5 / ng else 0 end as r5, case when np > 0 then h7 / np else 0 end as p7, case when ng > 0 then h7 / ng else 0 end as r7 from s)
 select grp, n, h5 as hits5, h7 as hits7, round(ifr, 6) as ifr, round(miou, 6) as merged_iou, round(p5, 6) as p5, round(r5, 6) as r5, round(case when p5 + r5 > 0 then 2 * p5 * r5 / (p5 + r5) else 0 end, 6) as f5, round(case when h5 > 0 then o5 / h5 * 1000 else 0 end, 6) as onset_ms5, round(p7, 6) as p7, round(r7, 6) as r7, round(case when p7 + r7 > 0 then 2 * p7 * r7 / (p7 + r7) else 0 end, 6) as f7 from z""",
-    "ifr_accuracy": _JUDGED + f"""select case when grouping(concept) = 1 then 'overall' else concept end as concept, count(*) as n, round(avg((f = 1)::int), 6) as ifr, round(avg((f = 1 and a = 1)::int), 6) as accuracy,
+    "ifr_accuracy": _JUDGED + f"""select case when grouping(concept) = 1 then 'overall' else concept end as concept, count(*) as n, round(avg(coalesce(f = 1, false)::int), 6) as ifr, round(avg(coalesce(f = 1 and a = 1, false)::int), 6) as accuracy,
 case when grouping(concept) = 1 then 0 else coalesce(nullif(list_position({G.CONCEPTS}, concept), 0), {len(G.CONCEPTS) + 1}) end::integer as place from v group by grouping sets ((), (concept))""",
-    "judge_json": _JUDGED + "select item_id, f::integer as instruction_following_score, a::double as accuracy_score from v",
+    "judge_json": _JUDGED + "select item_id, f::double as instruction_following_score, a::double as accuracy_score, c::double as confidence, e as error_reason from v",
 }

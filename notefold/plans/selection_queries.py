@@ -15,11 +15,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per item, in the form selections take; items with null keys are left out."""
     q = tables(spark, sf_dir)("qa_items")
     d = q.select("item_id", F.col("v2.family").alias("family"), F.col("v2.answer_class").alias("akey"), F.col("v2.sub").alias("stratum"), F.col("sample_id").alias("clip"), "split",
-                 (F.coalesce(F.col("gold_answer_type"), F.lit("")) == "boolean").alias("boolean"), (F.size("answer_spans") == 0).alias("empty"), F.col("evidence_type").isNotNull().alias("understanding"), "query_key", F.lower(F.trim("concept")).alias("concept"))
+                 (F.coalesce(F.col("gold_answer_type"), F.lit("")) == "boolean").alias("boolean"), (F.size("answer_spans") == 0).alias("empty"), F.col("evidence_type").isNotNull().alias("understanding"), (F.lower(F.regexp_replace("gold_answer", r'[^A-Za-z]', "")) == "true").alias("yes"), "query_key", F.lower(F.trim("concept")).alias("concept"))
     return d.distinct()
 
 
-_IT = """it as (select distinct item_id, v2.family as family, v2.answer_class as akey, v2.sub as stratum, sample_id as clip, split, coalesce(gold_answer_type, '') = 'boolean' as boolean, coalesce(len(answer_spans) = 0, false) as empty, evidence_type is not null as understanding, query_key, lower(trim(concept)) as concept from qa_items)"""
+_IT = """it as (select distinct item_id, v2.family as family, v2.answer_class as akey, v2.sub as stratum, sample_id as clip, split, coalesce(gold_answer_type, '') = 'boolean' as boolean, coalesce(len(answer_spans) = 0, false) as empty, evidence_type is not null as understanding, lower(regexp_replace(gold_answer, '[^A-Za-z]', '', 'g')) = 'true' as yes, query_key, lower(trim(concept)) as concept from qa_items)"""
 
 
 def _rank_sql(src: str, group: str, keys: str, seed: str) -> str:
@@ -81,12 +81,9 @@ def empties_capped(spark, sf_dir):
 
 
 def yesno_capped(spark, sf_dir):
-    """Yes/no items of a concept cut to a tenth of it, evenly over their answers."""
+    """Yes/no items of a concept within a tenth of what the concept then has; all of them where they are."""
     rows = items(spark, sf_dir).where("understanding and concept is not null")
-    other = rows.where("not boolean").groupBy("concept").agg(F.floor(F.count("*") / 9).alias("cap"))
-    some = S.hash_ranked(rows.where("boolean"), ["concept", "akey"], ["item_id"], 9, "turn").withColumn("key", F.format_string("%012d", "turn"))
-    first = S.hash_ranked(some, ["concept"], ["item_id"], 9, "place")
-    return first.join(other, "concept").where(F.col("turn") <= F.floor(F.col("cap") / 2)).select("item_id", "concept", "akey", "turn")
+    return S.yesno_trim(rows, ["item_id"], 9).where("boolean").select("item_id", "concept", "yes")
 
 
 def vocab_ids(spark, sf_dir):
@@ -114,25 +111,37 @@ def test_subset(spark, sf_dir):
     return S.greedy_balanced_pick(d, 8).select("clip", "akey", "cand_id")
 
 
-def concept_quota(spark, sf_dir):
-    """Every concept of a kind gets the capacity of the scarcest; its families share it by waterfill."""
+def _kinds(spark, sf_dir):
     it = items(spark, sf_dir).where("family is not null and concept is not null")
-    n = it.groupBy("understanding", "concept", "family").agg(F.count("*").alias("cap"))
-    cap = n.groupBy("understanding", "concept").agg(F.sum("cap").alias("capacity"))
-    least = cap.where("capacity >= 20").groupBy("understanding").agg(F.min("capacity").alias("total"))
-    return S.waterfill_alloc(n.join(least, "understanding"), ["understanding", "concept"], "family").select("understanding", "concept", "family", "cap", "total", "alloc")
+    return it.join(it.groupBy("family").agg(F.bool_and("boolean").alias("yesno")), "family")
+
+
+def concept_quota(spark, sf_dir):
+    """Every concept of a kind gets the capacity of the scarcest, its yes/no families a tenth of that; families share by waterfill."""
+    return S.concept_quota(_kinds(spark, sf_dir)).select("understanding", "concept", "family", "yesno", "cap", "target", "alloc")
+
+
+def concept_quota_soft(spark, sf_dir):
+    """As ``concept_quota``, with at most 100 items a concept instead of the scarcest."""
+    return S.concept_quota(_kinds(spark, sf_dir), 100).select("understanding", "concept", "family", "yesno", "cap", "target", "alloc")
+
+
+def concept_thinned(spark, sf_dir):
+    """The items that stay when every family is thinned to its quota, each stratum and class by its share."""
+    it = _kinds(spark, sf_dir)
+    q = S.concept_quota(it).groupBy("understanding", "concept", "family").agg(F.sum("alloc").alias("target"))
+    return S.thinned(it, ["understanding", "concept", "family"], ["stratum", "akey"], ["item_id"], q, "thin").select("item_id", "understanding", "concept", "family", "stratum", "akey")
 
 
 _ALLOC = """, lv as (select {g}, max(l) as level from (select {g}, l, sum(least(cap, l)) as used, any_value(total) as total from nn, lateral (select unnest(range(0, 1 + greatest(0, least((select max(cap) from nn), total)))) as l) group by {g}, l) where used <= total group by {g}),
 ba as (select nn.*, least(cap, level) as base from nn join lv using ({g})),
 re as (select *, total - sum(base) over (partition by {g}) as rest, row_number() over (partition by {g} order by cap - least(cap, base) desc, family) as place from ba)
 """
-QUERIES = {f.__name__: f for f in (waterfill_caps, waterfill_allocs, largest_remainder, stratified_sample, hash_split, strata_trimmed, empties_capped, yesno_capped, vocab_ids, slot_items, even_notes, greedy_balanced_pick, test_subset, concept_quota)}
+QUERIES = {f.__name__: f for f in (waterfill_caps, waterfill_allocs, largest_remainder, stratified_sample, hash_split, strata_trimmed, empties_capped, yesno_capped, concept_quota_soft, concept_thinned, vocab_ids, slot_items, even_notes, greedy_balanced_pick, test_subset, concept_quota)}
 _SLOT = "case family when 'H-G2' then 3 when 'H-U1' then 2 when 'A-G1' then 2 when 'A-G2' then 2 when 'A-U1' then 2 when 'A-U2' then 2 else 1 end"
 ORACLE = {
     "waterfill_caps": f"with {_CAPS} select family, cast(greatest(1, coalesce(max(c) filter (where c <= share * tot + 1e-9), 1)) as bigint) as cap, (select k from sh where sh.family = ok.family) as classes from ok group by family",
     "waterfill_allocs": f"with {_IT}, nn as (select concept, family, count(*) as cap, 300 as total from it where family is not null and concept is not null group by all)" + _ALLOC.format(g="concept") + "select concept, family, cap, cast(base + case when cap > base and place <= rest then 1 else 0 end as bigint) as alloc from re",
-    "concept_quota": f"with {_IT}, n0 as (select understanding, concept, family, count(*) as cap from it where family is not null and concept is not null group by all), cp as (select understanding, concept, sum(cap) as capacity from n0 group by all), nn as (select n0.*, total from n0 join (select understanding, cast(min(capacity) as bigint) as total from cp where capacity >= 20 group by all) using (understanding))" + _ALLOC.format(g="understanding, concept") + "select understanding, concept, family, cap, total, cast(base + case when cap > base and place <= rest then 1 else 0 end as bigint) as alloc from re",
     "largest_remainder": f"with {_LR} select * from quota",
     "stratified_sample": f"with {_LR} select r.item_id, r.family, r.stratum, r.akey from {_rank_sql('(select * from it where family is not null)', 'family, stratum, akey', 'item_id', 'quota')} r join quota q on r.family = q.family and r.stratum is not distinct from q.stratum and r.akey is not distinct from q.akey where rk <= quota",
     "hash_split": f"with c as (select distinct sample_id from clips), r as (select *, count(*) over () as n from {_rank_sql('c', '', 'sample_id', '11')}) select sample_id, case when rk <= floor(n * 0.7 + 1e-9) then 'train' when rk <= floor(n * 0.85 + 1e-9) then 'val' else 'test' end as new_split from r",
@@ -145,8 +154,27 @@ hi as (select family, stratum, max(n) as hi from n2 group by all),
 cp as (select family, stratum, greatest(1, coalesce(max(c) filter (where c <= share * tot + 1e-9 and c <= hi), 1)) as cap from ok join hi using (family, stratum) group by family, stratum)
 select r.item_id, r.family, r.stratum, r.akey from {_rank_sql('u', 'family, stratum, akey', 'item_id', '5')} r join n2 using (family, stratum, akey) join cp using (family, stratum) where rk <= cap""",
     "empties_capped": f"with {_IT}, u as (select item_id, family, empty from it where not understanding and family is not null), f as (select family, floor(count(*) * 0.2 / (1 - 0.2) + 1e-9) as cap from u where not empty group by family) select item_id, family, empty from u where not empty union all select r.item_id, r.family, r.empty from {_rank_sql('(select * from u where empty)', 'family', 'item_id', '3')} r join f using (family) where rk <= cap",
-    "yesno_capped": f"with {_IT}, u as (select * from it where understanding and concept is not null), o as (select concept, count(*) // 9 as cap from u where not boolean group by concept) select r.item_id, r.concept, r.akey, r.rk as turn from {_rank_sql('(select * from u where boolean)', 'concept, akey', 'item_id', '9')} r join o using (concept) where rk <= cap // 2",
+    "yesno_capped": f"""with {_IT}, u as (select * from it where understanding and concept is not null),
+o as (select concept, cast(floor(count(*) filter (where not boolean) * 0.1::double / (1 - 0.1::double)) as bigint) as lim, count(*) filter (where boolean and coalesce(yes, false)) as t, count(*) filter (where boolean and not coalesce(yes, false)) as f from u group by concept),
+k as (select *, least(t, lim - least(f, lim - least(t, lim // 2))) as nt, least(f, lim - least(t, lim // 2)) as nf from o)
+select r.item_id, r.concept, r.yes from {_rank_sql('(select item_id, concept, coalesce(yes, false) as yes from u where boolean)', 'concept, yes', 'item_id', '9')} r join k using (concept) where t + f <= lim or rk <= case when yes then nt else nf end""",
     "vocab_ids": "select query_key, row_number() over (order by query_key) - 1 as query_no from (select distinct query_key from qa_items where query_key is not null)",
     "slot_items": f"with {_IT} select item_id, family, clip, rk as slot from {_rank_sql('(select * from it where family is not null and clip is not null)', 'family, clip', 'item_id', '2')} where rk <= {_SLOT}",
     "even_notes": RAW_SQL + ", z as (select rid, list(i order by i) as v from n group by rid) select sample_id, case when len(v) <= 5 then list_aggregate(list_transform(v, lambda x: cast(x as varchar)), 'string_agg', ',') else list_aggregate(list_transform(range(5), lambda k: cast(v[1 + k * (len(v) - 1) // 4] as varchar)), 'string_agg', ',') end as notes from c join z using (rid)",
 }
+
+_NN = """ky as (select *, bool_and(boolean) over (partition by family) as yesno from it where family is not null and concept is not null),
+n0 as (select understanding, concept, family, any_value(yesno) as yesno, count(*) as cap from ky group by understanding, concept, family),
+cp as (select understanding, concept, coalesce(sum(cap) filter (where not yesno), 0) as n, coalesce(sum(cap) filter (where yesno), 0) as b from n0 group by all),
+c2 as (select *, case when understanding then n + least(b, n // 9) else n end as room from cp),
+c3 as (select *, cast({target} as bigint) as target from c2),
+nn as (select n0.*, target, cast(case when yesno then least(b, floor(target * 0.1::double)) else target - least(b, floor(target * 0.1::double)) end as bigint) as total from n0 join c3 using (understanding, concept))"""
+_QUOTA = "with " + _IT + ", " + _NN + _ALLOC.format(g="understanding, concept, yesno") + ", al as (select understanding, concept, family, yesno, cap, cast(target as bigint) as target, cast(base + case when cap > base and place <= rest then 1 else 0 end as bigint) as alloc from re)"
+ORACLE["concept_quota"] = _QUOTA.replace("{target}", "min(room) over (partition by understanding)") + " select * from al"
+ORACLE["concept_quota_soft"] = _QUOTA.replace("{target}", "least(room, 100)") + " select * from al"
+ORACLE["concept_thinned"] = _QUOTA.replace("{target}", "min(room) over (partition by understanding)") + f""", ce as (select understanding, concept, family, stratum, akey, count(*) as n from ky group by all),
+lr as (select ce.*, sum(n) over w as total, least(alloc, sum(n) over w) as aim from ce join al using (understanding, concept, family) window w as (partition by understanding, concept, family)),
+l2 as (select *, n * aim // total as base, (n * aim) % total as frac from lr),
+l3 as (select *, base + case when row_number() over (partition by understanding, concept, family order by frac desc, stratum nulls first, akey nulls first) <= aim - sum(base) over (partition by understanding, concept, family) then 1 else 0 end as quota from l2)
+select r.item_id, r.understanding, r.concept, r.family, r.stratum, r.akey from {_rank_sql('ky', 'understanding, concept, family, stratum, akey', 'item_id', 'thin')} r
+join l3 q on r.understanding = q.understanding and r.concept = q.concept and r.family = q.family and r.stratum is not distinct from q.stratum and r.akey is not distinct from q.akey where rk <= quota"""

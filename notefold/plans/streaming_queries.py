@@ -13,7 +13,7 @@ def stream_windows(s, d):
 
 
 def stream_leaps(s, d):
-    return S.run_once(S.running_leaps(S.event_stream(s, d)), "update")
+    return S.run_once(S.running_leaps(S.event_stream(s, d)), keys=["user_id"], mode="update")
 
 
 QUERIES = {"stream_windows": stream_windows, "stream_leaps": stream_leaps}

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -40,12 +40,17 @@ def ship(spark: SparkSession) -> None:
     sc._notefold_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, facts: list[Column] | None = None):
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     The written table survives the loss of any executor, is computed once however often it is used
-    and ends the lineage, so loops keep plans of constant size."""
+    and ends the lineage, so loops keep plans of constant size. With ``facts``, named aggregates, these are taken
+    while it is written and (table, row) is returned. Rows of tasks that ran twice may count twice in them."""
     spark = df.sparkSession
+    if facts:
+        seen = Observation()
+        out = cut(df.observe(seen, *facts))
+        return out, seen.get
     path = f"{shared_dir(spark)}/notefold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import struct
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 PREDICTION = "sample_id string, question string, prediction string"
 METADATA = "audio_path string, midi_path string, json_path string, first_onset double, last_offset double, split string"
@@ -29,18 +30,105 @@ def frames(meta: DataFrame) -> DataFrame:
     return meta.select("sample_id", b["time_signature"].alias("meter"), b["tempo_bpm"].alias("bpm"), b["music_start_sec"].alias("music_start"), b["bar_duration_sec"].alias("bar_dur"))
 
 
+def opened(path: str):
+    """A file by the path a scan gives, for reading with ``seek``; executors read it where it is."""
+    scheme, _, rest = path.partition(":")
+    if not rest or scheme == "file":
+        return open("/" + unquote(rest).lstrip("/") if rest else path, "rb")
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
+def _paths(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """The files at a path, without their content, which is not read for it."""
+    r = spark.read.format("binaryFile")
+    return (r.option("pathGlobFilter", pattern).option("recursiveFileLookup", True) if pattern else r).load(path).select("path")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list or JSON lines of predictions; other forms of file give an error when read.
+    """JSON lists or JSON lines of predictions, each file by its own first character; other forms of file give an error when read.
 
-    A file that is one object is neither."""
-    first = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).where("c <> ''").limit(1).collect()
-    whole = bool(first) and first[0][0] == "["
-    return spark.read.schema(PREDICTION).option("multiLine", whole).option("mode", "FAILFAST").json(path)
+    A file that is one object over several lines is neither. The driver sees the names of the files only."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            firsts = []
+            for p in b.column(0).to_pylist():
+                with opened(p) as f:
+                    c = b" "
+                    while c.isspace():
+                        c = f.read(1)
+                firsts.append(c == b"[")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(firsts, pa.bool_())], ["path", "whole"])
+
+    forms = _paths(spark, path).mapInArrow(run, "path string, whole boolean").collect()
+    out = spark.createDataFrame([], PREDICTION)
+    for whole in (True, False):
+        if names := [r.path for r in forms if r.whole == whole]:
+            out = out.unionByName(spark.read.schema(PREDICTION).option("multiLine", whole).option("mode", "FAILFAST").json(names))
+    return out
 
 
 def read_qa(spark: SparkSession, *paths: str) -> DataFrame:
-    """Question files, lists or lines, with gold answers of any JSON type kept as they are."""
-    return spark.read.schema(QA).option("multiLine", True).json(list(paths))
+    """Question files, lists or lines, with gold answers of any JSON type kept as they are; files that are not there are skipped."""
+    there = [p for p in paths if _exists(spark, p)]
+    return spark.read.schema(QA).option("multiLine", True).json(there) if there else spark.createDataFrame([], QA)
+
+
+def read_qa_tree(spark: SparkSession, root: str) -> DataFrame:
+    """All question files ``<root>/qa/<kind>/<split>.json`` with their ``kind`` and ``file_split``; missing ones are skipped."""
+    out = None
+    for kind in ("grounding", "understanding"):
+        for split in ("train", "val", "test", "test-full"):
+            if _exists(spark, f"{root}/qa/{kind}/{split}.json"):
+                part = read_qa(spark, f"{root}/qa/{kind}/{split}.json").select("*", F.lit(kind).alias("kind"), F.lit(split).alias("file_split"))
+                out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], QA + ", kind string, file_split string") if out is None else out
+
+
+def id_of_path() -> Column:
+    """The name of a file without its ending."""
+    return F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+
+
+def sample_listing(spark: SparkSession, split_folder: str) -> DataFrame:
+    """``sample_id, meta_path, midi_path`` of ``<folder>/meta/*.json``; the MIDI path is null where there is no such file."""
+    empty = spark.createDataFrame([], "path string")
+    of = lambda kind, end: _paths(spark, f"{split_folder}/{kind}", f"*.{end}") if _exists(spark, f"{split_folder}/{kind}") else empty
+    meta = of("meta", "json").select(id_of_path().alias("sample_id"), F.col("path").alias("meta_path"))
+    notes = of("midi", "mid").select(id_of_path().alias("sample_id"), F.col("path").alias("midi_path"))
+    return meta.join(notes, "sample_id", "left")
+
+
+def scan_clips(spark: SparkSession, roots: list[str], splits: tuple = ("train", "val", "test"), usable_only: bool = True) -> DataFrame:
+    """Analysed clips of several roots, each ``<root>/<split>/midi/<id>.mid`` with the frame of ``<root>/<split>/meta/<id>.json``.
+
+    Roots and splits that are not there are skipped. Only usable clips are kept, unless told otherwise; a clip without its meta has no frame."""
+    from notefold.operators.excerpt import excerpts
+    from notefold.sources.midi import read_midi
+
+    out = None
+    for root in roots:
+        for split in splits:
+            if not _exists(spark, f"{root}/{split}/midi"):
+                continue
+            notes = read_midi(spark, f"{root}/{split}/midi").select(id_of_path().alias("sample_id"), "notes")
+            meta = frames(read_meta(spark, f"{root}/{split}/meta").withColumn("sample_id", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.json$", "")))
+            part = notes.join(meta, "sample_id", "left").withColumn("split", F.lit(split))
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], "sample_id string, notes array<struct<start:double,end:double,pitch:int,velocity:int>>, meter string, bpm int, music_start double, bar_dur double, split string")
+    x = excerpts(out)
+    return x.where("usable") if usable_only else x
 
 
 def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -52,30 +140,38 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("sample_id")).where("sample_id <> ''").distinct()
 
 
-def wav_header(data: bytes | None) -> tuple[int, int] | None:
-    """Frames and rate of a RIFF header; null if it isn't one."""
-    if not data or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+def wav_header(data) -> tuple[int, int] | None:
+    """Frames and rate of a RIFF file, given as bytes or as a file that can seek; null if it isn't one. Chunks of any length are stepped over."""
+    f = io.BytesIO(data or b"") if isinstance(data, (bytes, type(None))) else data
+    head = f.read(12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         return None
     pos, rate, align = 12, None, None
-    while pos + 8 <= len(data):
-        name, size = data[pos : pos + 4], struct.unpack_from("<I", data, pos + 4)[0]
-        if name == b"fmt " and pos + 24 <= len(data):
-            rate, align = struct.unpack_from("<I", data, pos + 12)[0], struct.unpack_from("<H", data, pos + 20)[0]
+    while len(head := f.read(8)) == 8:
+        name, size = head[:4], struct.unpack("<I", head[4:])[0]
+        if name == b"fmt " and len(body := f.read(16)) == 16:
+            rate, align = struct.unpack_from("<I", body, 4)[0], struct.unpack_from("<H", body, 12)[0]
         if name == b"data":
             return (size // align, rate) if rate and align else None
         pos += 8 + size + size % 2
+        f.seek(pos)
     return None
 
 
-@F.udf(StructType([StructField("frames", LongType()), StructField("rate", LongType())]), useArrow=True)
-def _header(data):
-    return wav_header(data)
+def read_wav_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``path, frames, rate`` of all WAV files below a path: tasks read the heads of the chunks and seek over the sound."""
+
+    def run(batches):
+        import pyarrow as pa
 
+        for b in batches:
+            got = []
+            for p in b.column(0).to_pylist():
+                with opened(p) as f:
+                    got.append(wav_header(f) or (None, None))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64())], ["path", "frames", "rate"])
 
-def read_wav_headers(spark: SparkSession, path: str) -> DataFrame:
-    """``path, frames, rate`` of all WAV files below a path; only their first 64 kB reach Python."""
-    d = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(path)
-    return d.select("path", _header(F.substring("content", 1, 65536)).alias("h")).select("path", "h.frames", "h.rate")
+    return _paths(spark, path, "*.wav").mapInArrow(run, "path string, frames long, rate long")
 
 
 def quarantined(rows: DataFrame, ids: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:

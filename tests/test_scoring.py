@@ -76,3 +76,19 @@ def test_judge_resumes(spark, tmp_path):
     assert done.count() == 3 and asked == []
     scores = {r.concept: (r.n, r.accuracy) for r in G.understanding_scores(G.verdicts(done).withColumn("concept", F.col("sample_id"))).collect()}
     assert scores == {"overall": (3, pytest.approx(1 / 3)), "a": (2, 0.5), "b": (1, 0.0)}
+
+
+def test_only_tagged_fences_come_first(spark):
+    same = {"instruction_following_score": 1.0, "accuracy_score": 1.0, "confidence": 1.0, "error_reason": "correct (fallback)"}
+    other = {"instruction_following_score": 0.0, "accuracy_score": 0.0, "confidence": 0.0, "error_reason": "Fallback to string match (incorrect)"}
+    none = dict.fromkeys(same)
+    cases = [
+        ('{"a": 1} then ```\n{"instruction_following_score": 1}\n```', "x", "x", none),  # a fence without the tag is text like any other
+        ('{"a": 1} then ```JSON {"instruction_following_score": 1, "accuracy_score": 0.5}```', "x", "y", none | {"instruction_following_score": 1.0, "accuracy_score": 0.5}),
+        ("```json\n{broken}\n``` {\"confidence\": 2}", "x", "y", none | {"confidence": 2.0}),
+        ("nothing {", "x", "x", same), ("nothing", "x", "x ", other), (None, None, "", same), ("", "a", None, other),
+        ('{"instruction_following_score": true, "accuracy_score": "1", "error_reason": {"k": 1}}', "x", "x", none | {"instruction_following_score": 1.0, "error_reason": '{"k": 1}'}),
+    ]
+    d = spark.createDataFrame([(i, o, p, r) for i, (o, p, r, _) in enumerate(cases)], "i int, output string, prediction string, reference string")
+    got = {r.i: r.verdict.asDict() for r in G.verdicts(d).collect()}
+    assert got == {i: c[3] for i, c in enumerate(cases)}

@@ -62,3 +62,103 @@ def test_balanced_pick(spark):
     assert len(got) == len({r.clip for r in got}) == 201
     n = Counter(r.akey for r in got)
     assert n["b"] >= sum(any(d[1] == f"clip{i}" and d[2] == "b" for d in data) for i in range(200)) * 0.9
+
+
+def test_yesno_limit_is_filled(spark):
+    """Below the limit all stay; above it half goes to each answer, and the room of a rare answer to the other."""
+    def rows(concept, others, t, f):
+        return [(concept, False, None, f"{concept}-{i}") for i in range(others)] + [(concept, True, i < t, f"{concept}+{i}") for i in range(t + f)]
+
+    data = rows("odd", 27, 5, 5) + rows("few", 90, 4, 5) + rows("one", 90, 0, 40) + rows("rare", 90, 2, 40) + rows("none", 0, 3, 3)
+    d = spark.createDataFrame([(*x, 1) for x in data], "concept string, boolean boolean, yes boolean, id string, nt int").drop("nt")
+    n = {}
+    for r in S.yesno_trim(d, ["id"], 1).collect():
+        k = (r.concept, r.yes if r.boolean else None)
+        n[k] = n.get(k, 0) + 1
+    assert n == {("odd", None): 27, ("odd", True): 1, ("odd", False): 2, ("few", None): 90, ("few", True): 4, ("few", False): 5, ("one", None): 90, ("one", False): 10, ("rare", None): 90, ("rare", True): 2, ("rare", False): 8}
+
+
+def test_concept_quota(spark):
+    data = [("u", "a", f"a{i % 3}", False) for i in range(60)] + [("u", "a", "ay", True)] * 30 + [("u", "b", "b0", False)] * 45 + [("g", "a", "g0", False)] * 7 + [("g", "z", "z0", False)] * 3
+    d = spark.createDataFrame([(k == "u", c, f, y) for k, c, f, y in data], "understanding boolean, concept string, family string, yesno boolean")
+    got = {(r.understanding, r.family): (r.target, r.alloc) for r in S.concept_quota(d).collect()}
+    # a can give 60 and 6 yes/no ones, b 45: both get 45, of which a tenth, 4, may be yes/no
+    assert got == {(True, "a0"): (45, 14), (True, "a1"): (45, 14), (True, "a2"): (45, 13), (True, "ay"): (45, 4), (True, "b0"): (45, 45), (False, "g0"): (3, 3), (False, "z0"): (3, 3)}
+    soft = {(r.understanding, r.family): r.alloc for r in S.concept_quota(d, 50).collect()}
+    assert soft[True, "b0"] == 45 and soft[False, "g0"] == 7 and soft[True, "ay"] == 5 and sum(soft[True, f"a{i}"] for i in range(3)) == 45
+
+
+def _cap(counts, share):
+    return max([c for c in range(1, max(counts) + 1) if c <= share * sum(min(n, c) for n in counts) + 1e-9], default=1)
+
+
+def test_family_trim_against_brute_force(spark):
+    """Both trims by loops over lists of ids in hash order."""
+    import hashlib
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(31)
+    data = []
+    for fam, kind, k, strata in (("u1", True, 4, ["s", "t", "one"]), ("u2", True, 2, [""]), ("g1", False, 5, ["m", "n"]), ("g2", False, 3, [""])):
+        for i in range(400):
+            st = rng.choice(strata)
+            cls = "only" if st == "one" else rng.choice([f"c{j}" for j in range(k) for _ in range(3 * j * j + 1)] + (["tiny"] if i % 40 == 0 else []))
+            data.append((fam, kind, st, cls, False, not kind and rng.random() < 0.5, f"{fam}-{i}"))
+    h = lambda i: (hashlib.md5(f"4|{i}".encode()).hexdigest(), i)
+
+    def by(rows, f):
+        out = defaultdict(list)
+        for r in rows:
+            out[f(r)].append(r)
+        return out
+
+    def take(rows, n):
+        return sorted(rows, key=lambda r: h(r[6]))[:n]
+
+    def share(k, stratum):
+        return 1.1 / k if stratum and k >= 3 else max(0.35, 1.5 / max(k, 1))
+
+    def strata_(rows, kind):
+        out = []
+        for st, some in by(rows, lambda r: r[2]).items():
+            groups = by(some, lambda r: r[3])
+            floor = max(2, 0.05 * len(some))
+            k = sum(len(v) >= floor for v in groups.values())
+            if st and not kind:
+                out += some
+                continue
+            if st and kind:
+                groups = {a: v for a, v in groups.items() if len(v) >= floor}
+                if k < 2:
+                    continue
+            cap = _cap([len(v) for v in groups.values()], share(k, bool(st)))
+            out += [r for v in groups.values() for r in take(v, cap)]
+        return out
+
+    def whole(rows):
+        groups = by(rows, lambda r: r[3])
+        k = sum(len(v) >= max(2, 0.01 * len(rows)) for v in groups.values())
+        cap = _cap([len(v) for v in groups.values()], share(k, False)) if groups else 1
+        return [r for v in groups.values() for r in take(v, cap)]
+
+    want = []
+    for fam, rows in by(data, lambda r: r[0]).items():
+        kind = rows[0][1]
+        rows = strata_(rows, kind)
+        if not kind:
+            kept = []
+            for st, some in by(rows, lambda r: r[2]).items():
+                full = [r for r in some if not r[5]]
+                kept += some if not st else full + take([r for r in some if r[5]], int(0.2 / 0.8 * len(full) + 1e-9))
+            rows = kept
+        rows = whole(rows)
+        for _ in range(8 if kind else 0):
+            new = whole(strata_(rows, kind))
+            if len(new) == len(rows):
+                break
+            rows = new
+        want += [r[6] for r in rows]
+    d = spark.createDataFrame([(*r, 3) for r in data], "family string, understanding boolean, stratum string, akey string, boolean boolean, empty boolean, id string, n int").drop("n")
+    got = [r.id for r in S.family_trim(d, ["id"], 4).collect()]
+    assert sorted(got) == sorted(want) and 0 < len(got) < len(data)

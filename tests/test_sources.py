@@ -80,3 +80,49 @@ def test_generated_clips(spark):
     assert N.generate(spark, 0).count() == 0
     assert N.sanitised([(-0.1, 0.2, 60, 1), (0.1, 0.15, 61, 1)]) == [(0.0, 0.2, 60, 1), (0.2, 0.25, 61, 1)]
     assert {len(r.notes) for r in N.short_clips(spark, 30).collect()} == {1, 2, 3}
+
+
+def test_wav_with_long_chunks_before_the_sound(spark, tmp_path):
+    """A LIST chunk of 100 kB, and one of odd length, stand before the data chunk."""
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 44100, 88200, 2, 16)
+    extra = b"LIST" + struct.pack("<I", 100_000) + b"\0" * 100_000 + b"odd " + struct.pack("<I", 3) + b"abc\0"
+    for name, body in (("c d.wav", fmt + extra), ("e.wav", extra + fmt), ("f.wav", extra)):
+        (tmp_path / name).write_bytes(b"RIFF" + struct.pack("<I", 0) + b"WAVE" + body + b"data" + struct.pack("<I", 8820) + b"\0" * 8820)
+    got = {os.path.basename(r.path).replace("%20", " "): (r.frames, r.rate) for r in files.read_wav_headers(spark, str(tmp_path)).collect()}
+    assert got == {"c d.wav": (4410, 44100), "e.wav": (4410, 44100), "f.wav": (None, None)}
+
+
+def test_predictions_of_a_folder_by_file(spark, tmp_path, rows):
+    """Each file has its own form; lists and lines may lie side by side, and blanks before them do not matter."""
+    one, two = ({"sample_id": k, "question": "q", "prediction": "x"} for k in "ab")
+    (tmp_path / "a.json").write_text("\n [" + json.dumps(one, indent=1) + "]")
+    (tmp_path / "b.json").write_text(json.dumps(two) + "\n" + json.dumps(one) + "\n")
+    (tmp_path / "c.json").write_text("")
+    assert rows(files.read_predictions(spark, str(tmp_path))) == [("a", "q", "x"), ("a", "q", "x"), ("b", "q", "x")]
+
+
+def test_question_tree(spark, tmp_path, rows):
+    assert files.read_qa_tree(spark, str(tmp_path)).count() == 0 and files.read_qa(spark, str(tmp_path / "none.json")).count() == 0
+    for kind, split in (("grounding", "train"), ("understanding", "test-full")):
+        os.makedirs(tmp_path / "qa" / kind, exist_ok=True)
+        (tmp_path / "qa" / kind / f"{split}.json").write_text(json.dumps([{"sample_id": f"{split}_1", "gold_answer": [1, "C"]}]))
+    assert rows(files.read_qa_tree(spark, str(tmp_path)).select("sample_id", "kind", "file_split")) == [("test-full_1", "understanding", "test-full"), ("train_1", "grounding", "train")]
+
+
+def test_clips_of_several_roots(spark, tmp_path, rows):
+    good = [(0.5, 0.99, 60, 80), (1.0, 1.49, 62, 80), (1.5, 1.99, 64, 80), (2.5, 2.99, 65, 80), (3.0, 4.5, 67, 80)]
+    short = [(0.5, 0.55, 60, 80)] + good[1:]
+    for root, sid, notes in (("a", "train_1", good), ("b", "train_2", short), ("b", "train_3", good)):
+        clips = spark.createDataFrame([(sid, "train", notes)], "sample_id string, split string, notes " + midi.NOTES)
+        midi.write_midi(clips, str(tmp_path / root)).count()
+        if sid != "train_3":
+            os.makedirs(tmp_path / root / "train" / "meta", exist_ok=True)
+            (tmp_path / root / "train" / "meta" / f"{sid}.json").write_text(json.dumps({"basic_info": {"time_signature": "4/4", "tempo_bpm": 120, "music_start_sec": 0.5, "bar_duration_sec": 2.0}}))
+    roots = [str(tmp_path / r) for r in ("a", "b", "missing")]
+    assert rows(files.scan_clips(spark, roots).select("sample_id", "split", "meter", "bpm", "n")) == [("train_1", "train", "4/4", 120, 5)]
+    assert {r.sample_id: r.usable for r in files.scan_clips(spark, roots, usable_only=False).collect()} == {"train_1": True, "train_2": False, "train_3": False}
+    got = {r.sample_id: r.midi_path is not None for r in files.sample_listing(spark, str(tmp_path / "b" / "train")).collect()}
+    assert got == {"train_2": True}
+    os.remove(tmp_path / "b" / "train" / "midi" / "train_2.mid")
+    assert {r.sample_id: r.midi_path for r in files.sample_listing(spark, str(tmp_path / "b" / "train")).collect()} == {"train_2": None}
+    assert files.scan_clips(spark, [str(tmp_path / "missing")]).count() == 0
