@@ -141,19 +141,18 @@ class ByteGRU:
             out[some] = (total / n).T
         return out
 
-    def positions(self, text: bytes, piece: int = 1024, around: int = 128) -> np.ndarray:
-        """Class probabilities [bytes, classes] at every byte of one text of any length.
-
-        A long text is labelled in pieces, each with ``around`` bytes of what stands before and after it."""
-        starts = list(range(0, len(text), piece))
-        cuts = [text[max(0, a - around) : a + piece + around] for a in starts]
-        out = np.empty((len(text), len(self.classes)), np.float32)
-        for k in range(0, len(cuts), 64):
-            some = sorted(range(k, min(k + 64, len(cuts))), key=lambda i: len(cuts[i]))
-            _, _, prob = self._labelled([cuts[i] for i in some])
-            for j, i in enumerate(some):
-                skip, end = min(starts[i], around), min(len(text), starts[i] + piece)
-                out[starts[i] : end] = prob[skip : skip + end - starts[i], :, j]
+    def positions(self, texts: list[bytes], piece: int = 1024, around: int = 128) -> list[np.ndarray]:
+        """Class probabilities [bytes, classes] at every byte of texts of any length.
+
+        Long texts are labelled in pieces, each with ``around`` bytes of what stands before and after it."""
+        out = [np.empty((len(t), len(self.classes)), np.float32) for t in texts]
+        cuts = sorted(((i, a, t[max(0, a - around) : a + piece + around]) for i, t in enumerate(texts) for a in range(0, len(t), piece)), key=lambda c: len(c[2]))
+        for k in range(0, len(cuts), 256):
+            some = cuts[k : k + 256]
+            _, _, prob = self._labelled([c for _, _, c in some])
+            for j, (i, a, _) in enumerate(some):
+                skip, end = min(a, around), min(len(texts[i]), a + piece)
+                out[i][a:end] = prob[skip : skip + end - a, :, j]
         return out
 
     def _labelled(self, texts: list[bytes]):

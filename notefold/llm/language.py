@@ -188,35 +188,39 @@ class Labeller:
             out.append((self.net.classes[best], float(p[best])))
         return out
 
-    def change(self, plain: str) -> tuple[int, np.ndarray, np.ndarray] | None:
-        """Where a sentence changes its language, by the labels of its positions: the number of the first word behind the
-        change and the probabilities of what is before and behind it.
+    def changes(self, plains: list[str]) -> list[tuple[int, np.ndarray, np.ndarray] | None]:
+        """Where sentences change their language, by the labels of their positions: of each the number of the first word behind
+        the change and the probabilities of what is before and behind it, or None.
 
         What breaks off in one language may be followed by a whole sentence in another. The change
         is the place that makes both sides likeliest, if each side is ``CHANGED`` sure of another
-        language, the first has a word or more to spare and the second starts with a capital and has ``LEAST_WORDS``. Sentences of any length are looked at."""
-        words = plain.split(" ")
-        if len(words) < 2 * LEAST_WORDS:
-            return None
-        low = [w.lower().encode("utf-8", "replace") for w in words]
-        at = self.net.positions(b" ".join(low))
-        ends = np.cumsum([len(w) + 1 for w in low])
-        each = np.array([at[e - len(w) - 1 : e - 1].mean(0) if w else np.full(at.shape[1], 1 / at.shape[1]) for w, e in zip(low, ends)])
-        run = np.vstack([np.zeros(at.shape[1]), np.cumsum(np.log(each + 1e-6), 0)])
-        real = np.cumsum([0] + [bool(_LETTERS.search(w)) for w in words])
-        best = None
-        for k in range(1, len(words)):
-            if words[k].lstrip("«\"'„“¿¡(—- ")[:1].isupper() and real[k] >= LEAST_WORDS and real[-1] - real[k] >= LEAST_WORDS:
-                before, after = run[k], run[-1] - run[k]
-                if before.argmax() != after.argmax() and (best is None or before.max() + after.max() > best[0]):
-                    best = (before.max() + after.max(), k)
-        if best is None:
-            return None
-        first, second = each[: best[1]].mean(0), each[best[1] :].mean(0)
-        return (best[1], first, second) if first.max() >= CHANGED and second.max() >= CHANGED and first.argmax() != second.argmax() else None
+        language, both have ``LEAST_WORDS`` words and the second starts with a capital. Sentences of any length are looked at."""
+        out: list = [None] * len(plains)
+        asked = []
+        for i, plain in enumerate(plains):
+            words = plain.split(" ")
+            real = np.cumsum([0] + [bool(_LETTERS.search(w)) for w in words])
+            places = [k for k in range(1, len(words)) if real[k] >= LEAST_WORDS and real[-1] - real[k] >= LEAST_WORDS and words[k].lstrip("«\"'„“¿¡(—- ")[:1].isupper()]
+            if places:
+                asked.append((i, [w.lower().encode("utf-8", "replace") for w in words], places))
+        labels = self.net.positions([b" ".join(low) for _, low, _ in asked])
+        for (i, low, places), at in zip(asked, labels):
+            ends = np.cumsum([len(w) + 1 for w in low])
+            sums = np.vstack([np.zeros(at.shape[1]), np.cumsum(at, 0, dtype=np.float64)])
+            size = np.array([len(w) for w in low])[:, None]
+            each = np.where(size > 0, (sums[ends - 1] - sums[ends - 1 - size[:, 0]]) / np.maximum(size, 1), 1 / at.shape[1])
+            run = np.vstack([np.zeros(at.shape[1]), np.cumsum(np.log(each + 1e-6), 0)])
+            before, after = run[places], run[-1] - run[places]
+            both = np.where(before.argmax(1) != after.argmax(1), before.max(1) + after.max(1), -np.inf)
+            k = places[int(both.argmax())]
+            if both.max() > -np.inf:
+                first, second = each[:k].mean(0), each[k:].mean(0)
+                if first.max() >= CHANGED and second.max() >= CHANGED and first.argmax() != second.argmax():
+                    out[i] = (k, first, second)
+        return out
 
     def label(self, parts: list[str]) -> tuple[list[np.ndarray], list]:
-        """Of each part its probabilities, those behind the change if it has one, and that change (:meth:`change`) or None."""
+        """Of each part its probabilities, those behind the change if it has one, and that change (:meth:`changes`) or None."""
         texts = [_plain(p) for p in parts]
         new = [t for t in dict.fromkeys(texts) if t not in self.seen]
         pieces, owner = [], []
@@ -232,8 +236,10 @@ class Labeller:
             prob /= np.maximum(prob.sum(1, keepdims=True), 1e-9)
             least = np.ones(len(new))  # what the least sure piece of a sentence gives its language
             np.minimum.at(least, owner, each[np.arange(len(pieces)), prob.argmax(1)[owner]])
+            doubted = [i for i in range(len(new)) if least[i] < DOUBTED]
+            found = dict(zip(doubted, self.changes([new[i] for i in doubted])))
             for i, t in enumerate(new):
-                change = self.change(t) if least[i] < DOUBTED else None
+                change = found.get(i)
                 self.seen[t] = ((change[2] if change else prob[i]).astype(np.float32), change)
         out = [self.seen[t] for t in texts]
         while len(self.seen) > REMEMBERED:

@@ -118,9 +118,10 @@ def test_pieces_end_at_words_and_characters():
 def test_positions_of_a_long_text():
     g = ByteGRU(["a", "b", "c"], 8, 2)
     text = bytes(random.Random(4).choices(range(97, 120), k=5000))
-    whole, cut = g.positions(text, piece=10_000), g.positions(text, piece=300, around=128)
+    whole, cut = (g.positions([b"", text, b"x"], piece=p, around=128)[1] for p in (10_000, 300))
     assert whole.shape == cut.shape == (5000, 3) and np.allclose(whole, cut, atol=1e-3) and np.allclose(cut.sum(1), 1, atol=1e-5)
-    assert g.positions(b"").shape == (0, 3)
+    assert [x.shape for x in g.positions([b"", b"ab"])] == [(0, 3), (2, 3)] and g.positions([]) == []
+    assert np.allclose(g.positions([text[:40], b"abc", text[:70]])[0], g.positions([text[:40]])[0], atol=1e-6)
 
 
 def _three():
