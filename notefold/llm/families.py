@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notefold.functions.ids import clip_id, split_name, sql_clip_id, sql_split_name
@@ -12,10 +12,10 @@ HOT_MEMBERS = 100_000
 PROPORTIONS = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
-def _print(df: DataFrame) -> tuple:
+def _print() -> list:
     """Order-free fingerprint of the clusters: rows, sum and xor of row hashes."""
     h = F.xxhash64("node", "member")
-    return tuple(df.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+    return [F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("sum"), F.bit_xor(h).alias("xor")]
 
 
 def components(edges: DataFrame, a: str, b: str, nodes: DataFrame | None = None, hot: int = HOT_MEMBERS) -> DataFrame:
@@ -37,16 +37,17 @@ def components(edges: DataFrame, a: str, b: str, nodes: DataFrame | None = None,
     if nodes is not None:
         ids = ids.union(nodes.select(F.col(nodes.columns[0])))
     ids = ids.where("x is not null").select(F.col("x").alias("node"), F.col("x").alias("member"))
-    state = cut(ids.union(both.toDF("node", "member")).union(both.select("y", "x").toDF("node", "member")).distinct())
-    seen = _print(state)
+    state, seen = cut(ids.union(both.toDF("node", "member")).union(both.select("y", "x").toDF("node", "member")).distinct(), _print())
     while True:
-        least = cut(state.groupBy("node").agg(F.min("member").alias("least"), F.count("*").alias("n")))
-        many = F.broadcast(heaviest(least, least=hot).drop("n"))
-        cold = state.join(many.select("node"), "node", "left_anti").join(least.drop("n"), "node")
-        known = state.join(many, "node").unionByName(cold)
+        least, most = cut(state.groupBy("node").agg(F.min("member").alias("least"), F.count("*").alias("n")), [F.max("n").alias("n")])
+        if (most["n"] or 0) < hot:
+            known = state.join(least.drop("n"), "node")
+        else:
+            many = F.broadcast(heaviest(least, least=hot).drop("n"))
+            cold = state.join(many.select("node"), "node", "left_anti").join(least.drop("n"), "node")
+            known = state.join(many, "node").unionByName(cold)
         sent = F.array(F.struct(F.col("least").alias("node"), F.col("member").alias("member")), F.struct(F.col("member").alias("node"), F.col("least").alias("member")))
-        new = cut(known.select(F.inline(sent)).distinct())
-        now = _print(new)
+        new, now = cut(known.select(F.inline(sent)).distinct(), _print())
         discard(state)
         discard(least)
         state = new
@@ -97,9 +98,13 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips and families per assigned split."""
-    s = p1_splits(spark, sf_dir)
-    return s.groupBy("new_split").agg(F.count("*").alias("clips"), F.count_distinct("family_id").alias("families"))
+    """Clips and families per assigned split, the share of clips it got and the share it was to get: a very large
+    family moves its split off the target, as it is never cut."""
+    s = p1_splits(spark, sf_dir).groupBy("family_id", "new_split").agg(F.count("*").alias("clips"))
+    g = s.groupBy("new_split").agg(F.sum("clips").alias("clips"), F.count("*").alias("families"), F.max("clips").alias("largest_family"))
+    want = F.create_map(*[F.lit(x) for kv in PROPORTIONS.items() for x in kv])
+    total = F.sum("clips").over(Window.partitionBy(F.lit(0)))  # over a row per split
+    return g.select("new_split", "clips", "families", "largest_family", F.round(F.col("clips") / total, 6).alias("share"), F.try_element_at(want, F.col("new_split")).alias("target"))
 
 
 _FAMILIES_SQL = f"""
@@ -115,6 +120,7 @@ _U = "(cast('0x' || substr(md5('split|{name}|' || family_id), 1, 13) as bigint)
 _SPLIT_SQL = ", sp as (select distinct sample_id, family_id from fam join c on c.id = fam.x), sc as (select sample_id, family_id, unnest([" + ", ".join(f"struct_pack(score := -{w}::double / ln({_U.format(name=n)}), name := '{n}')" for n, w in sorted(PROPORTIONS.items())) + "]) as s from sp), won as (select sample_id, family_id, max(s).name as new_split from sc group by all)"
 ORACLE = {
     "p1_splits": _FAMILIES_SQL + _SPLIT_SQL + " select sample_id, family_id, new_split from won",
-    "p1_report": _FAMILIES_SQL + _SPLIT_SQL + " select new_split, count(*) as clips, count(distinct family_id) as families from won group by new_split",
+    "p1_report": _FAMILIES_SQL + _SPLIT_SQL + f""", fs as (select family_id, new_split, count(*) as k from won group by all)
+select new_split, cast(sum(k) as bigint) as clips, count(*) as families, max(k) as largest_family, round(sum(k) / (select count(*) from won), 6) as share, case new_split {' '.join(f"when '{n}' then {w}::double" for n, w in PROPORTIONS.items())} end as target from fs group by new_split""",
     "p1_found": _FAMILIES_SQL + "select distinct family_id, sample_id from fam join c on c.id = fam.x where splits > 1",
 }
