@@ -15,19 +15,26 @@ from notefold.operators import excerpt as E
 from notefold.operators import short_clips as S
 
 COVER = 0.9
-CAND = "array<struct<fam:string,sub:string,kind:string,concept:string,cat:string,akey:string,stratum:string,idx:array<int>,gold:string,gtype:string,what:string>>"
-NEED = "usable and frame_full"
+CAND = (
+    "array<struct<fam:string,sub:string,params:string,kind:string,concept:string,cat:string,akey:string,stratum:string,"
+    "idx:array<int>,gold:string,gtype:string,what:string,joined:boolean>>"
+)
+BARS = "usable and frame_full"  # families that name a bar: two equal bars from the first note to the last must be true
 TEMPO = "tempo_ok"
 ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth"]  # fixed values
+FIELDS = ["fam", "sub", "params", "kind", "concept", "cat", "akey", "stratum", "idx", "gold", "gtype", "what", "joined"]
 
 
 def _s(x) -> Column:
-    return F.lit(x) if isinstance(x, (str, int, float)) else x
+    return F.lit(x) if isinstance(x, (str, int, float, bool)) else x
 
 
-def cand(fam: str, kind: str, concept: str, cat: str, sub, akey, idx, what, stratum="", gold=None, gtype=None) -> Column:
+def cand(fam: str, kind: str, concept: str, cat: str, sub, akey, idx, what, stratum="", gold=None, gtype=None, params="", joined=False) -> Column:
+    """One candidate. ``params``: what the question names, as ``name=value;...``; ``joined``: its notes are one span."""
     none = F.lit(None).cast("string")
-    return F.struct(F.lit(fam).alias("fam"), _s(sub).cast("string").alias("sub"), F.lit(kind).alias("kind"), F.lit(concept).alias("concept"), F.lit(cat).alias("cat"), _s(akey).cast("string").alias("akey"), _s(stratum).cast("string").alias("stratum"), idx.alias("idx"), (none if gold is None else gold.cast("string")).alias("gold"), (none if gtype is None else F.lit(gtype)).alias("gtype"), _s(what).alias("what"))
+    gold, gtype = none if gold is None else gold.cast("string"), none if gtype is None else F.lit(gtype)
+    values = [fam, _s(sub).cast("string"), _s(params).cast("string"), kind, concept, cat, _s(akey).cast("string"), _s(stratum).cast("string"), idx, gold, gtype, _s(what), _s(joined)]
+    return F.struct(*[_s(v).alias(name) for name, v in zip(FIELDS, values)])
 
 
 def _when(guard, items: Column) -> Column:
@@ -40,8 +47,12 @@ def _params(values, f) -> Column:
     return F.transform(F.array(*[F.lit(v) for v in values]), f)
 
 
+def _cat(*parts) -> Column:
+    return F.concat(*[_s(p).cast("string") for p in parts])
+
+
 def _empty(idx: Column, name) -> Column:
-    return F.concat(_s(name).cast("string"), F.when(F.size(idx) == 0, "_empty").otherwise(""))
+    return _cat(name, F.when(F.size(idx) == 0, "_empty").otherwise(""))
 
 
 def _bucket(n: Column, top: int = 3) -> Column:
@@ -52,146 +63,201 @@ def _or_empty(idx: Column, top: int = 3) -> Column:
     return F.when(F.size(idx) == 0, "empty").otherwise(_bucket(F.size(idx), top))
 
 
+def _yes(c: Column) -> Column:
+    return F.when(c, "yes").otherwise("no")
+
+
+def _bar_length() -> Column:
+    return F.format_string("bar%.2f", "bar_dur")
+
+
+def _of(b: int) -> Column:
+    return E.indices(lambda x: x["bar"] == b)
+
+
+def _all() -> Column:
+    return F.transform("ev", lambda x: x["i"])
+
+
 def rhythm_grounding() -> list[Column]:
     g = lambda fam, cat, *a, **k: cand(fam, "grounding", "rhythm", cat, *a, **k)
-    v_name = lambda v: E.value_name(v)
     longest = lambda b: F.when(E.longest_note_of_bar(b).isNotNull(), F.array(E.longest_note_of_bar(b)))
+    name = E.value_name
+
+    def on_beat(k):
+        what = _cat("the notes on beat ", k)
+        return bound(E.notes_on_beat(k), lambda i: g("R-G2", "ORD", _cat("beat=", k), _empty(i, _cat("k", k)), i, what, _cat("meter", F.col("meter"), "|k", k), params=_cat("k=", k)))
+
+    def valued(v):
+        sub = _cat("value=", F.replace(name(v), F.lit(" "), F.lit("_")))
+        return bound(E.notes_with_value(v), lambda i: g("R-G4", "ABS", sub, _empty(i, name(v)), i, _cat("the ", name(v), "s"), _cat("meter", F.col("meter"), "|v", v), params=_cat("value_beats=", v)))
+
+    sync = F.expr(TEMPO) & F.expr("meter in ('2/4', '3/4', '4/4')")
     return [
-        _when(NEED, F.array(g("R-G1", "ORD", "bar_start", "bar_start", E.bar_initial_notes(), "the notes that open a bar"))),
-        _when(TEMPO, _params(range(1, 7), lambda k: bound(E.notes_on_beat(k), lambda i: g("R-G2", "ORD", F.concat(F.lit("beat="), k.cast("string")), _empty(i, F.concat(F.lit("k"), k.cast("string"))), i, F.concat(F.lit("the notes on beat "), k.cast("string")), F.concat(F.lit("meter"), F.col("meter"), F.lit("|k"), k.cast("string")))))),
-        _when(NEED, F.array(bound(E.notes_at_bar_middle(), lambda i: g("R-G3", "ORD", "bar_middle", _empty(i, "mid"), i, "the notes halfway through a bar")))),
-        _when(TEMPO, _params((0.5, 1.0, 1.5, 2.0), lambda v: bound(E.notes_with_value(v), lambda i: g("R-G4", "ABS", F.concat(F.lit("value="), F.replace(v_name(v), F.lit(" "), F.lit("_"))), _empty(i, v_name(v)), i, F.concat(F.lit("the "), v_name(v), F.lit("s")), F.concat(F.lit("meter"), F.col("meter"), F.lit("|v"), v.cast("string")))))),
-        _when(TEMPO, F.array(bound(E.syncopated_notes(), lambda i: g("R-G5", "PAT", "syncopated", _empty(i, "sync"), i, "the syncopated notes")))),
-        _when("not bar_ambiguous", F.array(*[g("R-G6", "ABS", f"longest_bar={b}", f"bar{b}", longest(b), f"the longest note of the {ORDINALS[b - 1]} bar") for b in (1, 2)])),
+        _when(BARS, F.array(g("R-G1", "ORD", "bar_start", "bar_start", E.bar_initial_notes(), "the notes that open a bar"))),
+        _when(TEMPO, _params(range(1, 7), on_beat)),
+        _when(BARS, F.array(bound(E.notes_at_bar_middle(), lambda i: g("R-G3", "ORD", "bar_middle", _empty(i, "mid"), i, "the notes halfway through a bar")))),
+        _when(TEMPO, _params((0.5, 1.0, 1.5, 2.0), valued)),
+        _when(sync, F.array(bound(E.syncopated_notes(), lambda i: g("R-G5", "PAT", "syncopated", _empty(i, "sync"), i, "the syncopated notes")))),
+        _when(BARS, F.array(*[g("R-G6", "ABS", f"longest_bar={b}", f"bar{b}", longest(b), f"the longest note of the {ORDINALS[b - 1]} bar", params="min_ratio=1.3") for b in (1, 2)])),
     ]
 
 
+def _value_of(x: Column) -> Column:
+    """R-U3: the value of one note, which the question names by its onset."""
+    name, at = E.value_name(x["value"]), F.round(F.round(x["start"], 6), 2)
+    stratum = _cat("meter", F.col("meter"), "|t", F.floor(at / 0.5).cast("int"))
+    what = F.format_string("the note that starts at %.2f seconds", at)
+    return cand("R-U3", "understanding", "rhythm", "ABS", "note_value", name, F.array(x["i"]), what, stratum, name, "class_label", _cat("note_index=", x["i"]))
+
+
 def rhythm_understanding() -> list[Column]:
     u = lambda fam, cat, *a, **k: cand(fam, "understanding", "rhythm", cat, *a, **k)
     ok = F.expr(TEMPO) & F.expr(E.ON_GRID)
+    # five notes of a clip in hash order, none whose onset is near the border of two decimals
     clear = F.filter(F.col("ev"), lambda x: F.abs(F.pmod(F.round(x["start"], 6) * 100, F.lit(1.0)) - 0.5) >= 0.05)
-    refs = F.slice(F.array_sort(F.transform(clear, lambda x: F.struct(F.md5(F.concat_ws("|", F.lit("refs"), "sample_id", x["i"].cast("string"))).alias("h"), x["i"].alias("i"), x["start"].alias("start"), x["value"].alias("value")))), 1, 5)
-    half = lambda x: F.floor(x["start"] / 0.5).cast("int").cast("string")
+    order = F.array_sort(F.transform(clear, lambda x: F.struct(F.md5(F.concat_ws("|", F.lit("refs"), "sample_id", x["i"].cast("string"))).alias("h"), x["i"].alias("i"), x["start"].alias("start"), x["value"].alias("value"))))
+    refs = F.slice(order, 1, 5)
 
     def extreme(b, name):
-        rank = {"highest": lambda x: x["pitch"], "lowest": lambda x: -x["pitch"], "longest": lambda x: x["ioi"]}[name]
-        top = F.array_max(F.transform(E.in_bar(b), rank))
-        notes = E.indices(lambda x: (x["bar"] == b) & (rank(x) == top)) if name != "longest" else F.when(E.longest_note_of_bar(b).isNotNull(), F.array(E.longest_note_of_bar(b)))
-        one = F.when(F.size(notes) == 1, notes)
-        beat = E.beat_name(F.get("ev", F.get(one, F.lit(0)))["grid"])
-        return u("R-U4", "ORD", f"{name}_bar={b}", beat, one, f"the {name} note of the {ORDINALS[b - 1]} bar", F.concat(F.lit("meter"), F.col("meter"), F.lit(f"|{name}|{b}")), beat, "class_label")
+        rank = {"highest": lambda x: x["pitch"], "lowest": lambda x: -x["pitch"]}
+        if name == "longest":
+            one = F.when(E.longest_note_of_bar(b).isNotNull(), F.array(E.longest_note_of_bar(b)))
+        else:
+            top = F.array_max(F.transform(E.in_bar(b), rank[name]))
+            notes = E.indices(lambda x: (x["bar"] == b) & (rank[name](x) == top))
+            one = F.when(F.size(notes) == 1, notes)
+        pos = F.get("ev", F.get(one, F.lit(0)))["grid"] + 1.0
+        akey = F.when(pos % 1 == 0, pos.cast("int").cast("string")).otherwise(pos.cast("string"))
+        what = f"the {name} note of the {ORDINALS[b - 1]} bar"
+        return u("R-U4", "ORD", "beat_position", akey, one, what, _cat("meter", F.col("meter"), f"|{name}{b}"), pos, "number", f"bar={b};ref_kind={name}")
 
     half1 = E.notes_in_second_half(1)
     return [
-        _when(ok & F.col("values_ok"), F.transform(refs, lambda x: u("R-U3", "ABS", "note_value", E.value_name(x["value"]), F.array(x["i"]), "the note at a time", F.concat(F.lit("meter"), F.col("meter"), F.lit("|t"), half(x)), E.value_name(x["value"]), "class_label"))),
+        _when(ok & F.col("values_ok"), F.transform(refs, _value_of)),
         _when(ok & ~F.col("bar_ambiguous"), F.array(*[extreme(b, n) for b in (1, 2) for n in ("highest", "lowest", "longest")])),
-        _when(NEED, F.array(u("R-U6", "ABS", "second_half", F.size(half1), half1, "notes in the second half of the first bar", F.round("bar_dur", 2), F.size(half1), "integer"))),
+        _when(BARS, F.array(bound(half1, lambda i: u("R-U6", "ORD", "second_half_bar1", F.size(i), i, "notes in the second half of the first bar", _bar_length(), F.size(i), "integer")))),
     ]
 
 
 def tonality() -> list[Column]:
     c = lambda fam, kind, *a, **k: cand(fam, kind, "tonality", "ABS", *a, **k)
-    roots, u = range(12), "understanding"
-    out = lambda r: E.notes_outside_scale(r)
-    every = F.transform("ev", lambda x: x["i"])
-    names = lambda pcs: F.to_json(F.transform(pcs, M.note_name))
-    sub = lambda r: F.concat(F.lit("root="), M.note_name(r))
+    u = "understanding"
+    names = lambda pcs: F.transform(pcs, M.note_name)
+    named = lambda r: _cat("set=", F.array_join(names(E.scale(r)), ", "))
+
+    def of_root(r):
+        out = lambda i: F.array(
+            c("T-G1", "grounding", "outside_set", _bucket(F.size(i)), i, "the notes outside the set", params=named(r)),
+            c("T-U1", u, "count_outside", _bucket(F.size(i), 4), i, "notes outside the set", "", F.size(i), "integer", named(r)),
+            c("T-U5", u, "all_in_set", _yes(F.size(i) == 0), F.when(F.size(i) == 0, _all()).otherwise(i), "whether all notes are in the set", "", F.size(i) == 0, "boolean", named(r)),
+            bound(E.never_played(r), lambda m: c("T-U2", u, "never_played", _bucket(F.size(m)), _all(), "members that are never played", "", F.to_json(names(m)), "sequence", named(r))),
+        )
+        return bound(E.notes_outside_scale(r), out)
+
     return [
-        _when("usable", _params(roots, lambda r: bound(out(r), lambda i: c("T-G1", "grounding", sub(r), _or_empty(i), i, "the notes outside the set")))),
-        _when("usable", _params(roots, lambda r: bound(out(r), lambda i: c("T-U1", u, sub(r), _bucket(F.size(i), 4), i, "notes outside the set", "", F.size(i), "integer")))),
-        _when("usable", _params(roots, lambda r: bound(E.never_played(r), lambda m: c("T-U2", u, sub(r), _bucket(F.size(m)), every, "members that are never played", "", names(m), "sequence")))),
-        _when("usable", F.array(c("T-U3", u, "distinct", F.size(E.played()), every, "different note names", "", F.size(E.played()), "integer"))),
-        _when("usable", F.array(c("T-U4", u, "names", F.size(E.played()), every, "the note names from C upwards", "", names(E.played()), "sequence"))),
-        _when("usable", _params(roots, lambda r: bound(out(r), lambda i: c("T-U5", u, sub(r), F.when(F.size(i) == 0, "yes").otherwise("no"), F.when(F.size(i) == 0, every).otherwise(i), "whether all notes are in the set", "", (F.size(i) == 0), "boolean")))),
+        _when("usable", F.flatten(_params(range(12), of_root))),
+        _when("usable", bound(E.played(), lambda p: F.array(
+            c("T-U3", u, "distinct_names", F.size(p), _all(), "different note names", "", F.size(p), "integer"),
+            c("T-U4", u, "list_names", F.size(p), _all(), "the note names from C upwards", "", F.to_json(names(p)), "sequence")))),
     ]
 
 
 def intervals() -> list[Column]:
     c = lambda fam, kind, cat, *a, **k: cand(fam, kind, "interval", cat, *a, **k)
     g, u, two = "grounding", "understanding", "usable and n >= 2"
-    sized = lambda fam, lo, hi, what: bound(E.notes_reached_by(lo, hi), lambda i: c(fam, g, "REL", f"{lo}-{hi or ''}", _or_empty(i), i, what))
-    named = lambda way: _params(range(1, 13), lambda s: bound(E.notes_reached_by_named(s, way), lambda i: c("I-G4", g, "REL", F.concat(F.lit(f"{way}="), s.cast("string")), _empty(i, F.concat(F.lit("s"), s.cast("string"))), i, F.concat(F.lit(f"the notes reached by an {way} move of "), s.cast("string")))))
-    ranks = [bound(E.pitch_rank_notes(r, high), lambda i, r=r, high=high: c("I-G6", g, "REL", f"{'highest' if high else 'lowest'}={r}", f"{'high' if high else 'low'}{r}", i, f"the {'' if r == 1 else 'second '}{'highest' if high else 'lowest'} notes")) for r in (1, 2) for high in (True, False)]
-    up = E.indices(lambda x: x["move"] > 0)
+
+    def sized(fam, lo, hi, what):
+        return bound(E.notes_reached_by(lo, hi), lambda i: c(fam, g, "REL", f"move={lo}-{hi or 'up'}", _or_empty(i), i, what, params=f"lo={lo}" + (f";hi={hi}" if hi else "")))
+
+    def named(way):
+        one = lambda s, i: c("I-G4", g, "REL", _cat(f"named={way}_", s), _empty(i, _cat("s", s)), i, _cat(f"the notes reached by an {way} move of ", s), params=_cat("semitones=", s, f";direction={way}"))
+        return _params(range(1, 13), lambda s: bound(E.notes_reached_by_named(s, way), lambda i: one(s, i)))
+
+    def ranked(r, which):
+        what = f"the {'' if r == 1 else 'second '}{which} notes"
+        return bound(E.pitch_rank_notes(r, which == "highest"), lambda i: c("I-G6", g, "ABS", f"pitch_rank={which}{r}", _empty(i, f"{which}{r}"), i, what, params=f"rank={r};which={which}"))
+
+    def counted(s):
+        return bound(E.notes_reached_by_named(s), lambda i: c("I-U1", u, "REL", "count_semitones", _bucket(F.size(i)), i, _cat("moves of ", s, " semitones"), _cat("N", s), F.size(i), "integer", _cat("semitones=", s)))
+
+    ways = (("upward", E.indices(lambda x: x["move"] > 0)), ("downward", E.downward_notes()))
     jump = E.largest_jump()
     tied = bound(jump, lambda j: F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("ev", lambda x: F.abs(x["move"]) == j), lambda x: F.array(x["i"] - 1, x["i"]))))))
     return [
         _when(two, F.array(sized("I-G1", 1, 2, "the notes reached by one or two semitones"), sized("I-G2", 3, 5, "the notes reached by three to five semitones"), sized("I-G3", 6, None, "the notes reached by six semitones or more"))),
         _when(two, named("ascending")), _when(two, named("descending")),
-        _when(two, F.array(bound(E.repeated_notes(), lambda i: c("I-G5", g, "REL", "repeat", F.when(F.size(i) == 0, "empty").otherwise("rep"), i, "the notes that repeat the pitch before")))),
-        _when(two, F.array(*ranks)),
-        _when(two, F.array(c("I-G7", g, "REL", "up", _empty(up, "up"), up, "the notes reached from below"), c("I-G7", g, "REL", "down", _empty(E.downward_notes(), "down"), E.downward_notes(), "the notes reached from above"))),
-        _when(two, _params(range(1, 9), lambda s: bound(E.notes_reached_by_named(s), lambda i: c("I-U1", u, "REL", F.concat(F.lit("moves="), s.cast("string")), _bucket(F.size(i)), i, F.concat(F.lit("moves of "), s.cast("string"), F.lit(" semitones")), s, F.size(i), "integer")))),
-        _when(two, F.array(c("I-U2", u, "REL", "largest", jump, tied, "the largest move", "", jump, "integer"))),
-        _when(two, F.array(*[bound(i, lambda v, way=way: c("I-U3", u, "REL", way, F.concat(F.lit(way), _bucket(F.size(v), 4)), v, f"{way}ward moves", way, F.size(v), "integer")) for way, i in (("down", E.downward_notes()), ("up", up))])),
+        _when(two, F.array(bound(E.repeated_notes(), lambda i: c("I-G5", g, "REL", "repeated", F.when(F.size(i) == 0, "empty").otherwise("rep"), i, "the notes that repeat the pitch before")))),
+        _when(two, F.array(*[ranked(r, w) for r in (1, 2) for w in ("highest", "lowest")])),
+        _when(two, F.array(*[bound(i, lambda v, d=d: c("I-G7", g, "REL", f"move={d}", _empty(v, d), v, f"the notes reached by a move {d}", params=f"direction={d}")) for d, i in ways])),
+        _when(two, _params(range(1, 9), counted)),
+        _when(two, F.array(c("I-U2", u, "REL", "largest_jump", jump, tied, "the largest move", "", jump, "integer"))),
+        _when(two, F.array(*[bound(i, lambda v, d=d: c("I-U3", u, "REL", f"count_{d}", _cat(d, "_", _bucket(F.size(v), 4)), v, f"{d} moves", d, F.size(v), "integer", f"direction={d}")) for d, i in ways])),
     ]
 
 
 def bars() -> list[Column]:
-    c = lambda fam, kind, *a, **k: cand(fam, kind, "bar_comparison", "REL", *a, **k)
+    c = lambda fam, kind, cat, *a, **k: cand(fam, kind, "bar_comparison", cat, *a, **k)
     g, u = "grounding", "understanding"
-    of = lambda b: E.indices(lambda x: x["bar"] == b)
-    n1, n2 = F.size(E.in_bar(1)), F.size(E.in_bar(2))
-    every = F.transform("ev", lambda x: x["i"])
-    dur = F.round("bar_dur", 2)
-    diff = lambda high: F.abs(E.bar_extreme(1, high) - E.bar_extreme(2, high))
-    first = lambda high: F.array(*[F.get(E.indices(lambda x, b=b: (x["bar"] == b) & (x["pitch"] == E.bar_extreme(b, high))), F.lit(0)) for b in (1, 2)])
+    more = F.size(E.in_bar(2)) - F.size(E.in_bar(1))
+    high = lambda h: E.bar_extreme(2, h) - E.bar_extreme(1, h)
+    first = lambda h: F.array(*[F.get(E.indices(lambda x, b=b: (x["bar"] == b) & (x["pitch"] == E.bar_extreme(b, h))), F.lit(0)) for b in (1, 2)])
     return [
-        _when(NEED + " and not bar_ambiguous", F.array(*[c("B-G1", g, f"bar={b}", f"bar{b}", of(b), f"the {ORDINALS[b - 1]} bar") for b in (1, 2)])),
-        _when(NEED, F.array(c("B-G2", g, "last", "last", E.last_notes_of_bars(), "the last note of each bar"))),
-        _when(NEED, F.array(*[c("B-U1", u, f"count={b}", F.size(of(b)), of(b), f"notes in the {ORDINALS[b - 1]} bar", dur, F.size(of(b)), "integer") for b in (1, 2)])),
-        _when(NEED, F.array(c("B-U2", u, "difference", F.abs(n1 - n2), every, "how many notes more one bar has", "", F.abs(n1 - n2), "integer"))),
-        _when(NEED, F.array(*[c("B-U3", u, "high" if h else "low", diff(h), first(h), f"semitones between the {'highest' if h else 'lowest'} notes of the bars", "", diff(h), "integer") for h in (True, False)])),
-        _when(NEED, F.array(c("B-U4", u, "more", F.when(n2 > n1, "yes").otherwise("no"), every, "whether the second bar has more notes", "", n2 > n1, "boolean"))),
+        _when(BARS, F.array(*[c("B-G1", g, "ORD", f"bar_span={b}", f"bar{b}", _of(b), f"the {ORDINALS[b - 1]} bar", joined=True) for b in (1, 2)])),
+        _when(BARS, F.array(c("B-G2", g, "ORD", "last_note_of_bars", "last", E.last_notes_of_bars(), "the last note of each bar"))),
+        _when(BARS, F.array(*[bound(_of(b), lambda i, b=b: c("B-U1", u, "ORD", f"notes_in_bar={b}", F.size(i), i, f"notes in the {ORDINALS[b - 1]} bar", _bar_length(), F.size(i), "integer")) for b in (1, 2)])),
+        _when(BARS, F.array(c("B-U2", u, "ORD", "note_count_difference", more, _all(), "how many notes more the second bar has", "", more, "integer"))),
+        _when(BARS, F.array(*[c("B-U3", u, "ABS", f"{n}_difference", high(h), first(h), f"semitones from the {n} note of the first bar up to that of the second", "", high(h), "integer") for n, h in (("highest", True), ("lowest", False))])),
+        _when(BARS, F.array(c("B-U4", u, "ORD", "second_bar_more_notes", _yes(more > 0), _all(), "whether the second bar has more notes", "", more > 0, "boolean"))),
     ]
 
 
+TRIADS = BARS + " and triad1 is not null and triad2 is not null"  # harmony and its patterns are asked of clips with two clear triads
+
+
 def harmony() -> list[Column]:
-    c = lambda fam, kind, *a, **k: cand(fam, kind, "harmony", "ABS", *a, **k)
+    c = lambda fam, kind, *a, **k: cand(fam, kind, "harmony", "REL", *a, **k)
     t1, t2, g, u = F.col("triad1"), F.col("triad2"), "grounding", "understanding"
-    both = NEED + " and triad1 is not null and triad2 is not null"
     name = lambda t: F.concat_ws(" ", M.note_name(t["root"]), t["kind"])
-    of = lambda b: E.indices(lambda x: x["bar"] == b)
-    every = F.transform("ev", lambda x: x["i"])
     motion = F.pmod(t2["root"] - t1["root"], F.lit(12))
     same = (t1["root"] == t2["root"]) & (t1["kind"] == t2["kind"])
-    foreign = E.notes_not_in_other_triad(2, t2, t1)
+    members = [(b, t, m) for b, t in ((1, t1), (2, t2)) for m in ("root", "third", "fifth")]
     return [
-        _when(both, F.array(c("H-G1", g, "foreign", _or_empty(foreign), foreign, "the notes of bar 2 that are not in the triad of bar 1"))),
-        _when(NEED, F.array(*[c("H-G2", g, f"{m}_bar={b}", m, E.triad_member_notes(b, t, m), f"the {m}s of the {ORDINALS[b - 1]} bar's triad") for b, t in ((1, t1), (2, t2)) for m in ("root", "third", "fifth")])),
-        _when(NEED, F.array(*[c("H-U1", u, f"triad={b}", name(t), F.when(t.isNotNull(), of(b)), f"the triad of the {ORDINALS[b - 1]} bar", "", name(t), "class_label") for b, t in ((1, t1), (2, t2))])),
-        _when(both, F.array(c("H-U2", u, "motion", motion, every, "semitones upwards from root to root", "", motion, "integer"))),
-        _when(both, F.array(c("H-U3", u, "same", F.when(same, "yes").otherwise("no"), every, "whether both bars have the same triad", "", same, "boolean"))),
+        _when(TRIADS, F.array(bound(E.notes_not_in_other_triad(2, t2, t1), lambda i: c("H-G1", g, "bar2_not_in_bar1_triad", _or_empty(i), i, "the notes of bar 2 that are not in the triad of bar 1")))),
+        _when(TRIADS, F.array(*[bound(E.triad_member_notes(b, t, m), lambda i, b=b, m=m: c("H-G2", g, f"triad_{m}_bar={b}", _empty(i, m), i, f"the {m}s of the {ORDINALS[b - 1]} bar's triad")) for b, t, m in members])),
+        _when(TRIADS, F.array(*[c("H-U1", u, f"triad_of_bar={b}", name(t), _of(b), f"the triad of the {ORDINALS[b - 1]} bar", "", name(t), "class_label") for b, t in ((1, t1), (2, t2))])),
+        _when(TRIADS, F.array(c("H-U2", u, "root_motion_up", motion, _all(), "semitones upwards from root to root", "", motion, "integer"))),
+        _when(TRIADS, F.array(c("H-U3", u, "same_triad", _yes(same), _all(), "whether both bars have the same triad", "", same, "boolean"))),
     ]
 
 
 def patterns() -> list[Column]:
     c = lambda fam, kind, *a, **k: cand(fam, kind, "harmonic_pattern", "PAT", *a, **k)
-    g, u = "grounding", "understanding"
+    g, u, meter = "grounding", "understanding", _cat("meter", F.col("meter"))
     out = []
     for b, k in ((1, F.col("kind1")), (2, F.col("kind2"))):
-        drops, tri = E.drop_back_notes(b), f"{NEED} and triad{b} is not null"
+        bar = f"the {ORDINALS[b - 1]} bar"
+        label = F.when(k == "updown", "up-and-down").otherwise(k)
         out += [
-            _when(tri, F.array(bound(drops, lambda i, b=b: c("A-G1", g, f"drops_bar={b}", _or_empty(i), i, f"the notes of the {ORDINALS[b - 1]} bar that drop back to its lowest", F.concat(F.lit("meter"), F.col("meter")))))),
-            _when(tri, F.array(bound(drops, lambda i, b=b: c("A-U1", u, f"drops_bar={b}", F.size(i), i, f"returns to the lowest note in the {ORDINALS[b - 1]} bar", F.concat(F.lit("meter"), F.col("meter")), F.size(i), "integer")))),
-            _when(NEED, F.array(c("A-G2", g, f"cycle_bar={b}", k, E.arpeggio_first_cycle(b, k), f"the first cycle of the {ORDINALS[b - 1]} bar's arpeggio"))),
-            _when(NEED, F.array(c("A-U2", u, f"shape_bar={b}", k, F.when(k.isNotNull(), E.indices(lambda x, b=b: x["bar"] == b)), f"the shape of the {ORDINALS[b - 1]} bar's arpeggio", "", k, "class_label"))),
+            _when(TRIADS, F.array(bound(E.drop_back_notes(b), lambda i, b=b, bar=bar: c("A-G1", g, f"drop_back_bar={b}", _or_empty(i), i, f"the notes of {bar} that drop back to its lowest", meter, params=f"bar={b}")))),
+            _when(TRIADS, F.array(bound(E.drop_back_notes(b), lambda i, b=b, bar=bar: c("A-U1", u, f"drops_to_lowest_bar={b}", F.size(i), i, f"returns to the lowest note in {bar}", meter, F.size(i), "integer")))),
+            _when(TRIADS, F.array(c("A-G2", g, f"first_cycle_bar={b}", k, E.arpeggio_first_cycle(b, k), f"the first cycle of {bar}'s arpeggio", params=f"bar={b}", joined=True))),
+            _when(TRIADS, F.array(c("A-U2", u, f"pattern_bar={b}", k, F.when(k.isNotNull(), _of(b)), f"the shape of {bar}'s arpeggio", "", label, "class_label"))),
         ]
     return out
 
 
 def repetition() -> list[Column]:
-    c = lambda fam, kind, *a, **k: cand(fam, kind, "repetition", "REL", *a, **k)
-    g, u, every = "grounding", "understanding", F.transform("ev", lambda x: x["i"])
-    d = F.col("bar_d")
+    c = lambda fam, kind, *a, **k: cand(fam, kind, "repetition", "PAT", *a, **k)
+    g, u, d = "grounding", "understanding", F.col("bar_d")
     differ = E.bar2_notes_differing()
-    same = F.when(d.isNotNull(), F.array_except(E.indices(lambda x: x["bar"] == 2), differ))
-    n = F.size(F.filter(d, lambda v: v != 0))
-    shift = E.bar_shift(d)
+    same = F.when(d.isNotNull(), F.array_except(_of(2), differ))
+    n, shift = F.size(F.filter(d, lambda v: v != 0)), E.bar_shift(d)
     return [
-        _when(NEED, F.array(bound(differ, lambda i: c("Rp-G1", g, "different", _or_empty(i), i, "the notes of bar 2 that differ from bar 1")), bound(same, lambda i: c("Rp-G2", g, "same", _or_empty(i), i, "the notes of bar 2 that are as in bar 1")))),
-        _when(NEED, F.array(c("Rp-U1", u, "shift", shift, F.when(shift.isNotNull(), every), "semitones by which bar 2 is moved", "", shift, "integer"))),
-        _when(NEED, F.array(c("Rp-U2", u, "differences", n, F.when(d.isNotNull(), every), "places where the bars differ", "", n, "integer"))),
+        _when(BARS, F.array(bound(differ, lambda i: c("Rp-G1", g, "bar2_pitch_differs", _or_empty(i), i, "the notes of bar 2 that differ from bar 1")))),
+        _when(BARS, F.array(bound(same, lambda i: c("Rp-G2", g, "bar2_pitch_same", _or_empty(i), i, "the notes of bar 2 that are as in bar 1")))),
+        _when(BARS, F.array(c("Rp-U1", u, "transposition", shift, F.when(shift.isNotNull(), _all()), "semitones by which bar 2 is moved", "", shift, "integer"))),
+        _when(BARS, F.array(c("Rp-U2", u, "n_pitch_differences", n, differ, "places where the bars differ", "", n, "integer"))),
     ]
 
 
@@ -200,14 +266,16 @@ GENERATORS = {"rhythm_grounding": rhythm_grounding, "rhythm_understanding": rhyt
 
 def candidates(ex: DataFrame, generators: list[str] | None = None, cover: float = COVER) -> DataFrame:
     """All candidates of analysed clips, ``sample_id, split, meter, bpm`` and the fields of ``CAND`` with the spans of their notes."""
-    d, every = _listed(ex, generators, cover)
+    d, every = listed(ex, generators, cover)
     out = d.select("sample_id", "split", "meter", "bpm", "ev", F.explode(every).alias("c"))
-    return out.select("sample_id", "split", "meter", "bpm", "c.*", E.spans(F.col("c.idx")).alias("spans"))
+    spans = E.spans(F.col("c.idx"))
+    one = F.array(F.struct(F.get("ev", F.array_min("c.idx"))["start"].alias("s"), F.get("ev", F.array_max("c.idx"))["end"].alias("e")))
+    return out.select("sample_id", "split", "meter", "bpm", "c.*", F.when(F.col("c.joined"), one).otherwise(spans).alias("spans"))
 
 
-def _listed(ex: DataFrame, generators: list[str] | None, cover: float) -> tuple[DataFrame, Column]:
+def listed(ex: DataFrame, generators: list[str] | None, cover: float) -> tuple[DataFrame, Column]:
     """Analysed clips and the array of their candidates, which is exploded as an expression: filters inferred from a column of it would work it out again."""
-    d = ex.withColumn("tempo_ok", E.tempo_consistent() & F.col("frame_full")).withColumn("triad1", E.triad_of_bar(1, cover)).withColumn("triad2", E.triad_of_bar(2, cover))
+    d = ex.withColumn("tempo_ok", E.tempo_consistent()).withColumn("triad1", E.triad_of_bar(1, cover)).withColumn("triad2", E.triad_of_bar(2, cover))
     d = d.withColumn("kind1", E.arpeggio_kind(1)).withColumn("kind2", E.arpeggio_kind(2)).withColumn("bar_d", E.bar_differences())
     every = [a.cast(CAND) for name in generators or GENERATORS for a in GENERATORS[name]()]
     return d, F.flatten(F.array(*every))
@@ -218,14 +286,17 @@ def short_candidates(ph: DataFrame) -> DataFrame:
     """Candidates of phrases (``sample_id, phrase, v``): nine families over pitches, order, loudness, pairs and patterns.
 
     Absent pitches and distances to ask for are taken in hash order of clip and value."""
-    g = lambda fam, cat, concept, sub, akey, idx, what: cand(fam, "grounding", concept, cat, sub, akey, idx, what)
+    g = lambda fam, cat, concept, sub, akey, idx, what, params="": cand(fam, "grounding", concept, cat, sub, akey, idx, what, params=params)
     uid = F.concat_ws("|", F.lit("short"), F.col("sample_id"), F.col("phrase").cast("string"))
     have = F.array_sort(F.array_distinct(F.transform("v", lambda x: x["pitch"])))
     some = lambda values, k: F.transform(F.slice(F.array_sort(F.transform(values, lambda p: F.struct(F.md5(F.concat_ws("|", uid, p.cast("string"))).alias("h"), p.alias("p")))), 1, k), lambda s: s["p"])
     absent = some(F.array_except(F.sequence(F.lit(21), F.lit(108)), have), 3)
     notes_at = lambda vals: S.numbers(lambda x, i: F.array_contains(vals, x["pitch"]))
-    sets = F.concat(F.transform(have, lambda p: F.array(p)), F.transform(absent, lambda p: F.array(p)), F.when(F.size(have) >= 2, F.array(some(have, 2))).otherwise(F.array().cast("array<array<int>>")), F.array(F.concat(some(have, 1), F.slice(absent, 1, 1))))
-    pitch = F.transform(sets, lambda vals: bound(notes_at(vals), lambda i: g("A-PITCH", "ABS", "pitch", "vals", F.concat(F.lit("k"), F.size(vals).cast("string"), F.lit("_h"), F.size(i).cast("string")), i, F.concat(F.lit("the notes at "), F.array_join(F.transform(vals, lambda p: p.cast("string")), " or ")))))
+    only = lambda n, sets: F.when(F.size(have) >= n, F.array(sets)).otherwise(F.array().cast("array<array<int>>"))
+    mixed = F.array(F.concat(some(have, 1), F.slice(absent, 1, 1)), F.slice(absent, 1, 2), F.concat(some(have, 2), F.slice(absent, 2, 1)))
+    sets = F.concat(F.transform(have, lambda p: F.array(p)), only(2, some(have, 2)), only(3, have), F.transform(absent, lambda p: F.array(p)), mixed)
+    listed = lambda vals, by: F.array_join(F.transform(F.array_sort(vals), lambda p: p.cast("string")), by)
+    pitch = F.transform(sets, lambda vals: bound(notes_at(vals), lambda i: g("A-PITCH", "ABS", "pitch", "vals", _cat("k", F.size(vals), "_h", F.size(i)), i, _cat("the notes at ", listed(vals, " or ")), _cat("vals=", listed(vals, ",")))))
     order = F.array(*[bound(i, lambda v, n=n: g("O-NOTE", "ORD", "note", f"idx={n}", _empty(v, n), v, f"the {n} note")) for n, i in (("first", S.ordinal(1)), ("second", S.ordinal(2)), ("third", S.ordinal(3)), ("last", S.last()))])
     ranges = F.array(*[g("O-RANGE", "ORD", "note", n, n, F.when(F.size("v") >= 2, i), f"the {w} two notes") for n, w, i in (("prefix", "first", S.prefix(2)), ("suffix", "last", S.suffix(2)))])
     rel = F.array(*[bound(F.when(F.size("v") >= 2, S.pitch_rank(r, h)), lambda v, n=n: g("R-PITCH", "REL", "pitch", f"rank={n}", _empty(v, n), v, f"the {n} notes")) for n, r, h in (("highest", 1, True), ("lowest", 1, False), ("second_highest", 2, True), ("second_lowest", 2, False))])
@@ -233,13 +304,13 @@ def short_candidates(ph: DataFrame) -> DataFrame:
     pair = F.array(g("P-PAIR", "PAT", "pair", "pitch_closest", "pitch_closest", S.closest_pitch_pair(), "the two notes closest in pitch"), g("P-PAIR", "PAT", "pair", "time_closest", "time_closest", S.closest_time_pair(), "the two notes closest in time"))
     gaps = F.transform(S.pair_distances(), lambda p: p["d"])
     wanted = F.concat(F.filter(F.array_distinct(gaps), lambda x: x.between(1, 24) & (F.size(F.filter(gaps, lambda y: y == x)) == 1)), some(F.array_except(F.sequence(F.lit(1), F.lit(24)), gaps), 3))
-    diff = F.when(F.size("v") >= 2, F.transform(wanted, lambda x: bound(F.array_sort(F.array_distinct(F.flatten(S.pairs_with_delta(x)))), lambda i: g("P-PDIFF", "PAT", "pitch_diff", "delta", F.concat(F.lit("d"), F.when(x <= 12, x.cast("string")).otherwise("13-24"), F.when(F.size(i) == 0, "_empty").otherwise("")), i, F.concat(F.lit("the two notes "), x.cast("string"), F.lit(" semitones apart"))))))
+    diff = F.when(F.size("v") >= 2, F.transform(wanted, lambda x: bound(F.array_sort(F.array_distinct(F.flatten(S.pairs_with_delta(x)))), lambda i: g("P-PDIFF", "PAT", "pitch_diff", "delta", F.concat(F.lit("d"), F.when(x <= 12, x.cast("string")).otherwise("13-24"), F.when(F.size(i) == 0, "_empty").otherwise("")), i, F.concat(F.lit("the two notes "), x.cast("string"), F.lit(" semitones apart")), _cat("delta=", x)))))
     whole, none = F.array(F.lit(0), F.lit(1), F.lit(2)), F.array().cast("array<int>")
-    shape = lambda fam, concept, fact, names: F.when(fact.isNotNull(), F.array(*[bound(F.when(fact == n, whole).otherwise(none), lambda v, n=n: g(fam, "PAT", concept, n, _empty(v, n), v, f"the part that goes {n}")) for n in names]))
-    arrays = [pitch, order, ranges, rel, vel, pair, diff, shape("P-CONTOUR", "contour", S.contour(), ("up-up", "up-down", "down-up", "down-down")), shape("P-INT", "int", S.interval_trend(), ("widen", "narrow", "same"))]
+    shape = lambda fam, concept, by, fact, names: F.when(fact.isNotNull(), F.array(*[bound(F.when(fact == n, whole).otherwise(none), lambda v, n=n: g(fam, "PAT", concept, f"{by}={n}", _empty(v, n), v, f"the part that goes {n}")) for n in names]))
+    arrays = [pitch, order, ranges, rel, vel, pair, diff, shape("P-CONTOUR", "contour", "pitch", S.contour(), ("up-up", "up-down", "down-up", "down-down")), shape("P-INT", "int", "order", S.interval_trend(), ("widen", "narrow", "same"))]
     none_at_all = F.array().cast(CAND)
-    d = ph.where(F.size("v") > 0).select("sample_id", "phrase", F.explode(F.flatten(F.array(*[F.coalesce(a.cast(CAND), none_at_all) for a in arrays]))).alias("c"))
-    return d.where("c.idx is not null").select("sample_id", "phrase", "c.*")
+    d = ph.where(F.size("v") > 0).select("sample_id", "phrase", "v", F.explode(F.flatten(F.array(*[F.coalesce(a.cast(CAND), none_at_all) for a in arrays]))).alias("c"))
+    return d.where("c.idx is not null").select("sample_id", "phrase", "v", "c.*")
 
 
 def jittered(clips: DataFrame, draws: int = 10, width: float = 0.005) -> DataFrame:
@@ -257,7 +328,7 @@ def jittered(clips: DataFrame, draws: int = 10, width: float = 0.005) -> DataFra
 def _every_value() -> Column:
     """R-U3 for every note: its notes are drawn anew in each jittered copy, so copies are asked for the value of any note."""
     ok = E.tempo_consistent() & F.expr(E.ON_GRID) & F.col("values_ok")
-    return _when(ok, F.transform("ev", lambda x: cand("R-U3", "understanding", "rhythm", "ABS", "note_value", E.value_name(x["value"]), F.array(x["i"]), "", "", E.value_name(x["value"]), "class_label")))
+    return _when(ok, F.transform("ev", _value_of))
 
 
 def stable(clips: DataFrame, generators: list[str] | None = None, draws: int = 10, cover: float = COVER) -> DataFrame:
@@ -268,12 +339,12 @@ def stable(clips: DataFrame, generators: list[str] | None = None, draws: int = 1
     candidates of a draw are merged in its row, so the counts combine before the shuffle."""
     clips = clips.dropDuplicates()
     clips = clips.withColumn("version", F.xxhash64(*clips.columns))
-    same = ["fam", "sub", "akey", "idx", "gold"]
+    same = ["fam", "sub", "params", "idx", "gold"]
     key = lambda c: F.xxhash64(F.col("version"), F.col("sample_id"), *[F.coalesce(c[k].cast("string"), F.lit("\0")) for k in same])
-    d, every = _listed(E.excerpts(clips), generators, cover)
+    d, every = listed(E.excerpts(clips), generators, cover)
     base = d.select("sample_id", "version", F.explode(every).alias("c"))
-    base = base.select("sample_id", *[f"c.{k}" for k in [*same, "kind", "concept", "stratum"]], key(F.col("c")).alias("key"))
-    d, every = _listed(E.excerpts(jittered(clips, draws)), generators, cover)
+    base = base.select("sample_id", *[f"c.{k}" for k in [*same, "akey", "kind", "concept", "stratum"]], key(F.col("c")).alias("key"))
+    d, every = listed(E.excerpts(jittered(clips, draws)), generators, cover)
     if generators is None or "rhythm_understanding" in generators:
         every = F.concat(every, _every_value().cast(CAND))
     keys = d.select(F.explode(F.array_distinct(F.transform(every, key))).alias("key"))
