@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import Column
@@ -10,8 +11,16 @@ from pyspark.sql.types import StringType
 
 STEMS = ["Show by start and end where {what} {is}.", "At what times {do} {what} sound?", "List the seconds covered by {what}.", "Point out {what} on the timeline.", "From when to when {is} {what} heard?", "State every stretch of time taken by {what}."]
 COUNTS = ["Say how many {what} the clip has.", "What do you count for {what}?", "Give one number for {what}.", "How often {do} {what} come?", "Tell the total of {what}."]
-TEMPOS = ["Take {x} beats to the minute.", "Beats pass at {x} a minute.", "The pulse is {x} beats a minute.", "Count about {x} beats each minute."]
-METERS = ["Two bars of {x} begin with the first note.", "Read the clip as two bars in {x} from its first note on."]
+VALUES = ["State {what}.", "Find {what} and name it.", "What do you get for {what}?", "Give {what} as a short answer.", "Tell {what} after listening to the clip."]
+YESNO = ["Decide {what}: yes or no.", "Listen and tell {what}; say yes or no.", "Answer yes or no to this: {what}.", "Find out {what}, then say yes or no."]
+TEMPOS = ["Take {x} beats per minute.", "Beats pass at {x} beats per minute.", "The pulse is {x} bpm.", "Count about {x} bpm."]
+METERS = ["Two bars of {x} begin with the first note, which is the first beat{unit}.", "Read the clip as two bars in {x} whose first beat is the first note{unit}."]
+FRAMES = ["Two equally long bars run from the start of the first note to the end of the last note.", "The clip is cut into two equally long bars, the first note opening one and the last note closing the other."]
+WEIGHTS = ["In {x} the places of a bar weigh as follows, heaviest first: {order}.", "In {x} the weight of the places falls in this order: {order}."]
+TRIADS = ["Each bar is the arpeggio of one major or minor triad."]
+ROOTS = ["A root is meant as a pitch class, whatever octave it sounds in."]
+PAIRS = ["Pair the notes of the two bars in order, the first with the first and so on."]
+PLACES = {"2/4": "beat 1, beat 2, the halves between", "3/4": "beat 1, beats 2 and 3, the halves between", "4/4": "beat 1, beat 3, beats 2 and 4, the halves between"}
 # fixed values: what scoring takes as saying that there is none
 NOTHING = ["none", "There is no such note in this clip.", "No matching note was found in this clip."]
 
@@ -34,18 +43,35 @@ def filled(text: Column, what: Column, plural: Column) -> Column:
 
 
 def question(kind: Column, what: Column, plural: Column, context: Column, *seed: Column) -> Column:
-    """Three variants of a question, all with the context before (in three of five) or after."""
-    variants = F.when(kind == "grounding", several(STEMS, 3, *seed)).otherwise(several(COUNTS, 3, *seed))
+    """Three variants of a question, all with the context before (in three of five) or after. ``kind``: grounding, count, boolean or value."""
+    pools = {"grounding": STEMS, "count": COUNTS, "boolean": YESNO}
+    variants = F.coalesce(*[F.when(kind == k, several(pool, 3, *seed)) for k, pool in pools.items()], several(VALUES, 3, *seed))
     first = F.pmod(F.xxhash64(*seed, F.lit("place")), F.lit(5)) < 3
     one = lambda v: filled(v, what, plural)
     return F.transform(variants, lambda v: F.when(context == "", one(v)).when(first, F.concat_ws(" ", context, one(v))).otherwise(F.concat_ws(" ", one(v), context)))
 
 
-def context_sentences(meter: Column, bpm: Column, *seed: Column) -> Column:
-    """Meter and tempo sentences, each said by a hash bit; an empty text for neither."""
-    m = F.when((F.pmod(F.xxhash64(*seed, F.lit("m")), F.lit(2)) == 0) & meter.isNotNull(), F.replace(pick(METERS, *seed), F.lit("{x}"), meter))
-    t = F.when((F.pmod(F.xxhash64(*seed, F.lit("t")), F.lit(2)) == 0) & bpm.isNotNull(), F.replace(pick(TEMPOS, *seed), F.lit("{x}"), bpm.cast("string")))
-    return F.concat_ws(" ", m, t)
+def context_sentences(flags: Column, meter: Column, bpm: Column, *seed: Column) -> Column:
+    """The sentences the flags ask for, in order: meter (with the unit of a beat if flagged), tempo, weights, frame, triads, roots, pairs; an empty text for none."""
+    has = lambda name: F.array_contains(flags, name)
+    unit = F.when(has("unit"), F.when(meter == "6/8", " (one beat is an eighth note)").otherwise(" (one beat is a quarter note)")).otherwise("")
+    put = lambda pool, **k: functools.reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), kv[1]), k.items(), pick(pool, *seed, F.lit(pool[0])))
+    order = F.coalesce(*[F.when(meter == m, places) for m, places in PLACES.items()], F.lit(""))
+    return F.concat_ws(
+        " ", F.when(has("meter"), put(METERS, x=meter, unit=unit)), F.when(has("tempo"), put(TEMPOS, x=bpm.cast("string"))), F.when(has("metric"), put(WEIGHTS, x=meter, order=order)),
+        F.when(has("frame"), put(FRAMES)), F.when(has("triads"), put(TRIADS)), F.when(has("roots"), put(ROOTS)), F.when(has("pairs"), put(PAIRS)),
+    )
+
+
+def label_answers(text: Column) -> Column:
+    """A label or a list of names alone, as a phrase and as a sentence; an empty text stands for none."""
+    t = F.when(text == "", "none").otherwise(text)
+    return F.array(t, F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)), F.lit(".")), F.concat(F.lit("The answer is "), t, F.lit(".")))
+
+
+def yesno_answers(yes: Column) -> Column:
+    word = F.when(yes, "yes").otherwise("no")
+    return F.array(word, F.when(yes, "Yes.").otherwise("No."), F.when(yes, "Yes, that is so.").otherwise("No, that is not so."))
 
 
 def two_places(x: float | None) -> str | None:

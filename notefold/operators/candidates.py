@@ -107,7 +107,7 @@ def _value_of(x: Column) -> Column:
     """R-U3: the value of one note, which the question names by its onset."""
     name, at = E.value_name(x["value"]), F.round(F.round(x["start"], 6), 2)
     stratum = _cat("meter", F.col("meter"), "|t", F.floor(at / 0.5).cast("int"))
-    what = F.format_string("the note that starts at %.2f seconds", at)
+    what = F.format_string("the value of the note that starts at %.2f seconds", at)
     return cand("R-U3", "understanding", "rhythm", "ABS", "note_value", name, F.array(x["i"]), what, stratum, name, "class_label", _cat("note_index=", x["i"]))
 
 
@@ -130,6 +130,7 @@ def rhythm_understanding() -> list[Column]:
         pos = F.get("ev", F.get(one, F.lit(0)))["grid"] + 1.0
         akey = F.when(pos % 1 == 0, pos.cast("int").cast("string")).otherwise(pos.cast("string"))
         what = f"the {name} note of the {ORDINALS[b - 1]} bar"
+        what = f"the beat position, in half beats from 1 at the start of the bar, of {what}"
         return u("R-U4", "ORD", "beat_position", akey, one, what, _cat("meter", F.col("meter"), f"|{name}{b}"), pos, "number", f"bar={b};ref_kind={name}")
 
     half1 = E.notes_in_second_half(1)
@@ -144,14 +145,16 @@ def tonality() -> list[Column]:
     c = lambda fam, kind, *a, **k: cand(fam, kind, "tonality", "ABS", *a, **k)
     u = "understanding"
     names = lambda pcs: F.transform(pcs, M.note_name)
-    named = lambda r: _cat("set=", F.array_join(names(E.scale(r)), ", "))
+    members = lambda r: F.array_join(names(E.scale(r)), ", ")
+    named = lambda r: _cat("set=", members(r))
+    told = lambda text, r: _cat(text, members(r))
 
     def of_root(r):
         out = lambda i: F.array(
-            c("T-G1", "grounding", "outside_set", _bucket(F.size(i)), i, "the notes outside the set", params=named(r)),
-            c("T-U1", u, "count_outside", _bucket(F.size(i), 4), i, "notes outside the set", "", F.size(i), "integer", named(r)),
-            c("T-U5", u, "all_in_set", _yes(F.size(i) == 0), F.when(F.size(i) == 0, _all()).otherwise(i), "whether all notes are in the set", "", F.size(i) == 0, "boolean", named(r)),
-            bound(E.never_played(r), lambda m: c("T-U2", u, "never_played", _bucket(F.size(m)), _all(), "members that are never played", "", F.to_json(names(m)), "sequence", named(r))),
+            c("T-G1", "grounding", "outside_set", _bucket(F.size(i)), i, told("the notes outside the set ", r), params=named(r)),
+            c("T-U1", u, "count_outside", _bucket(F.size(i), 4), i, told("notes outside the set ", r), "", F.size(i), "integer", named(r)),
+            c("T-U5", u, "all_in_set", _yes(F.size(i) == 0), F.when(F.size(i) == 0, _all()).otherwise(i), told("whether all notes are in the set ", r), "", F.size(i) == 0, "boolean", named(r)),
+            bound(E.never_played(r), lambda m: c("T-U2", u, "never_played", _bucket(F.size(m)), _all(), told("every name that is never played of the set ", r), "", F.to_json(names(m)), "sequence", named(r))),
         )
         return bound(E.notes_outside_scale(r), out)
 
@@ -163,6 +166,10 @@ def tonality() -> list[Column]:
     ]
 
 
+def _semitones(s: Column) -> Column:
+    return F.when(s == 1, " semitone").otherwise(" semitones")
+
+
 def intervals() -> list[Column]:
     c = lambda fam, kind, cat, *a, **k: cand(fam, kind, "interval", cat, *a, **k)
     g, u, two = "grounding", "understanding", "usable and n >= 2"
@@ -171,7 +178,7 @@ def intervals() -> list[Column]:
         return bound(E.notes_reached_by(lo, hi), lambda i: c(fam, g, "REL", f"move={lo}-{hi or 'up'}", _or_empty(i), i, what, params=f"lo={lo}" + (f";hi={hi}" if hi else "")))
 
     def named(way):
-        one = lambda s, i: c("I-G4", g, "REL", _cat(f"named={way}_", s), _empty(i, _cat("s", s)), i, _cat(f"the notes reached by an {way} move of ", s), params=_cat("semitones=", s, f";direction={way}"))
+        one = lambda s, i: c("I-G4", g, "REL", _cat(f"named={way}_", s), _empty(i, _cat("s", s)), i, _cat(f"the notes reached by {'an' if way == 'ascending' else 'a'} {way} move of ", s, _semitones(s)), params=_cat("semitones=", s, f";direction={way}"))
         return _params(range(1, 13), lambda s: bound(E.notes_reached_by_named(s, way), lambda i: one(s, i)))
 
     def ranked(r, which):
@@ -179,7 +186,7 @@ def intervals() -> list[Column]:
         return bound(E.pitch_rank_notes(r, which == "highest"), lambda i: c("I-G6", g, "ABS", f"pitch_rank={which}{r}", _empty(i, f"{which}{r}"), i, what, params=f"rank={r};which={which}"))
 
     def counted(s):
-        return bound(E.notes_reached_by_named(s), lambda i: c("I-U1", u, "REL", "count_semitones", _bucket(F.size(i)), i, _cat("moves of ", s, " semitones"), _cat("N", s), F.size(i), "integer", _cat("semitones=", s)))
+        return bound(E.notes_reached_by_named(s), lambda i: c("I-U1", u, "REL", "count_semitones", _bucket(F.size(i)), i, _cat("moves of ", s, _semitones(s)), _cat("N", s), F.size(i), "integer", _cat("semitones=", s)))
 
     ways = (("upward", E.indices(lambda x: x["move"] > 0)), ("downward", E.downward_notes()))
     jump = E.largest_jump()
@@ -191,7 +198,7 @@ def intervals() -> list[Column]:
         _when(two, F.array(*[ranked(r, w) for r in (1, 2) for w in ("highest", "lowest")])),
         _when(two, F.array(*[bound(i, lambda v, d=d: c("I-G7", g, "REL", f"move={d}", _empty(v, d), v, f"the notes reached by a move {d}", params=f"direction={d}")) for d, i in ways])),
         _when(two, _params(range(1, 9), counted)),
-        _when(two, F.array(c("I-U2", u, "REL", "largest_jump", jump, tied, "the largest move", "", jump, "integer"))),
+        _when(two, F.array(c("I-U2", u, "REL", "largest_jump", jump, tied, "the size of the largest move in semitones", "", jump, "integer"))),
         _when(two, F.array(*[bound(i, lambda v, d=d: c("I-U3", u, "REL", f"count_{d}", _cat(d, "_", _bucket(F.size(v), 4)), v, f"{d} moves", d, F.size(v), "integer", f"direction={d}")) for d, i in ways])),
     ]
 
@@ -206,8 +213,8 @@ def bars() -> list[Column]:
         _when(BARS, F.array(*[c("B-G1", g, "ORD", f"bar_span={b}", f"bar{b}", _of(b), f"the {ORDINALS[b - 1]} bar", joined=True) for b in (1, 2)])),
         _when(BARS, F.array(c("B-G2", g, "ORD", "last_note_of_bars", "last", E.last_notes_of_bars(), "the last note of each bar"))),
         _when(BARS, F.array(*[bound(_of(b), lambda i, b=b: c("B-U1", u, "ORD", f"notes_in_bar={b}", F.size(i), i, f"notes in the {ORDINALS[b - 1]} bar", _bar_length(), F.size(i), "integer")) for b in (1, 2)])),
-        _when(BARS, F.array(c("B-U2", u, "ORD", "note_count_difference", more, _all(), "how many notes more the second bar has", "", more, "integer"))),
-        _when(BARS, F.array(*[c("B-U3", u, "ABS", f"{n}_difference", high(h), first(h), f"semitones from the {n} note of the first bar up to that of the second", "", high(h), "integer") for n, h in (("highest", True), ("lowest", False))])),
+        _when(BARS, F.array(c("B-U2", u, "ORD", "note_count_difference", more, _all(), "how many notes more the second bar has (negative if fewer)", "", more, "integer"))),
+        _when(BARS, F.array(*[c("B-U3", u, "ABS", f"{n}_difference", high(h), first(h), f"the semitones from the {n} note of the first bar up to that of the second (negative if down)", "", high(h), "integer") for n, h in (("highest", True), ("lowest", False))])),
         _when(BARS, F.array(c("B-U4", u, "ORD", "second_bar_more_notes", _yes(more > 0), _all(), "whether the second bar has more notes", "", more > 0, "boolean"))),
     ]
 
@@ -215,6 +222,23 @@ def bars() -> list[Column]:
 TRIADS = BARS + " and triad1 is not null and triad2 is not null"  # harmony and its patterns are asked of clips with two clear triads
 
 
+# what a question of a family has to say beside its parameters
+CONTEXT = {
+    **{f: ["meter", "unit", "tempo"] for f in ("R-G2", "R-G4", "R-U3", "R-U4")}, "R-G5": ["meter", "unit", "tempo", "metric"],
+    **{f: ["frame"] for f in ("R-G1", "R-G3", "R-G6", "R-U6", "B-G1", "B-G2", "B-U1", "B-U2", "B-U3", "B-U4")},
+    **{f: ["frame", "triads"] for f in ("H-G1", "H-G2", "H-U1", "H-U3", "A-G1", "A-G2", "A-U1", "A-U2")}, "H-U2": ["frame", "triads", "roots"],
+    **{f: ["frame", "pairs"] for f in ("Rp-G1", "Rp-G2", "Rp-U1", "Rp-U2")},
+}
+COUNTED = ["R-U6", "T-U1", "T-U3", "I-U1", "I-U3", "B-U1", "A-U1", "Rp-U2"]  # families whose answer counts what is named
+SINGULAR = ["R-G6", "B-G1", "B-G2", "A-G2", "O-NOTE", "R-VEL"]
+
+
+def context_flags(fam: Column) -> Column:
+    """Names of the context sentences of a family."""
+    known = F.create_map(*[x for f, flags in CONTEXT.items() for x in (F.lit(f), F.array(*[F.lit(v) for v in flags]))])
+    return F.coalesce(F.try_element_at(known, fam), F.array().cast("array<string>"))
+
+
 def harmony() -> list[Column]:
     c = lambda fam, kind, *a, **k: cand(fam, kind, "harmony", "REL", *a, **k)
     t1, t2, g, u = F.col("triad1"), F.col("triad2"), "grounding", "understanding"
@@ -226,7 +250,7 @@ def harmony() -> list[Column]:
         _when(TRIADS, F.array(bound(E.notes_not_in_other_triad(2, t2, t1), lambda i: c("H-G1", g, "bar2_not_in_bar1_triad", _or_empty(i), i, "the notes of bar 2 that are not in the triad of bar 1")))),
         _when(TRIADS, F.array(*[bound(E.triad_member_notes(b, t, m), lambda i, b=b, m=m: c("H-G2", g, f"triad_{m}_bar={b}", _empty(i, m), i, f"the {m}s of the {ORDINALS[b - 1]} bar's triad")) for b, t, m in members])),
         _when(TRIADS, F.array(*[c("H-U1", u, f"triad_of_bar={b}", name(t), _of(b), f"the triad of the {ORDINALS[b - 1]} bar", "", name(t), "class_label") for b, t in ((1, t1), (2, t2))])),
-        _when(TRIADS, F.array(c("H-U2", u, "root_motion_up", motion, _all(), "semitones upwards from root to root", "", motion, "integer"))),
+        _when(TRIADS, F.array(c("H-U2", u, "root_motion_up", motion, _all(), "the semitones upwards from the root of the first bar to that of the second", "", motion, "integer"))),
         _when(TRIADS, F.array(c("H-U3", u, "same_triad", _yes(same), _all(), "whether both bars have the same triad", "", same, "boolean"))),
     ]
 
@@ -256,21 +280,21 @@ def repetition() -> list[Column]:
     return [
         _when(BARS, F.array(bound(differ, lambda i: c("Rp-G1", g, "bar2_pitch_differs", _or_empty(i), i, "the notes of bar 2 that differ from bar 1")))),
         _when(BARS, F.array(bound(same, lambda i: c("Rp-G2", g, "bar2_pitch_same", _or_empty(i), i, "the notes of bar 2 that are as in bar 1")))),
-        _when(BARS, F.array(c("Rp-U1", u, "transposition", shift, F.when(shift.isNotNull(), _all()), "semitones by which bar 2 is moved", "", shift, "integer"))),
-        _when(BARS, F.array(c("Rp-U2", u, "n_pitch_differences", n, differ, "places where the bars differ", "", n, "integer"))),
+        _when(BARS, F.array(c("Rp-U1", u, "transposition", shift, F.when(shift.isNotNull(), _all()), "the semitones by which bar 2 is moved against bar 1 (negative if down)", "", shift, "integer"))),
+        _when(BARS, F.array(c("Rp-U2", u, "n_pitch_differences", n, differ, "places at which the bars differ", "", n, "integer"))),
     ]
 
 
 GENERATORS = {"rhythm_grounding": rhythm_grounding, "rhythm_understanding": rhythm_understanding, "tonality": tonality, "intervals": intervals, "bars": bars, "harmony": harmony, "patterns": patterns, "repetition": repetition}
 
 
-def candidates(ex: DataFrame, generators: list[str] | None = None, cover: float = COVER) -> DataFrame:
-    """All candidates of analysed clips, ``sample_id, split, meter, bpm`` and the fields of ``CAND`` with the spans of their notes."""
+def candidates(ex: DataFrame, generators: list[str] | None = None, cover: float = COVER, also: tuple = ()) -> DataFrame:
+    """All candidates of analysed clips, ``sample_id, split, meter, bpm`` and the fields of ``CAND`` with the spans of their notes; ``also`` names more columns of the clip to keep."""
     d, every = listed(ex, generators, cover)
-    out = d.select("sample_id", "split", "meter", "bpm", "ev", F.explode(every).alias("c"))
+    out = d.select(*dict.fromkeys(["sample_id", "split", "meter", "bpm", "ev", *also]), F.explode(every).alias("c"))
     spans = E.spans(F.col("c.idx"))
     one = F.array(F.struct(F.get("ev", F.array_min("c.idx"))["start"].alias("s"), F.get("ev", F.array_max("c.idx"))["end"].alias("e")))
-    return out.select("sample_id", "split", "meter", "bpm", "c.*", F.when(F.col("c.joined"), one).otherwise(spans).alias("spans"))
+    return out.select("sample_id", "split", "meter", "bpm", *also, "c.*", F.when(F.col("c.joined"), one).otherwise(spans).alias("spans"))
 
 
 def listed(ex: DataFrame, generators: list[str] | None, cover: float) -> tuple[DataFrame, Column]:

@@ -8,6 +8,7 @@ from notefold.functions import wording as W
 from notefold.operators import candidates as C
 from notefold.operators import checking as K
 from notefold.operators import excerpt as E
+from notefold.operators import records as R
 from notefold.plans.candidate_sql import candidates
 from notefold.plans.excerpt_queries import GRID_SQL
 from notefold.plans.short_clip_queries import PH, _phrases
@@ -68,15 +69,37 @@ def jitter_stable(s, d):
     return C.stable(E.quantised(E.clip_rows(s, d)), cover=0.5).select("sample_id", "fam", "sub", "akey", E.text(F.col("idx")).alias("notes"), "gold")
 
 
+def _records(s, d):
+    return R.rendered(C.candidates(_grid(s, d), cover=0.5, also=("ev", "rest_free", "frame_full")))
+
+
+def _short_records(s, d):
+    c = C.short_candidates(_phrases(s, d)).withColumn("meter", F.lit(None).cast("string")).withColumn("bpm", F.lit(None).cast("int"))
+    spans = F.transform("idx", lambda i: F.struct(F.get("v", i)["start"].alias("s"), F.get("v", i)["end"].alias("e")))
+    return R.rendered(c.withColumn("spans", spans).withColumn("sample_id", F.concat_ws("#", "sample_id", F.col("phrase").cast("string"))), False)
+
+
+def _texts(r):
+    return r.select("sample_id", "fam", "sub", "params", "question", *[F.get("answers", F.lit(k)).alias(f"a{k}") for k in range(3)], "box")
+
+
 def rendered_questions(s, d):
-    """Grounding and counting questions with three variants and answers in three styles."""
-    c = C.candidates(_grid(s, d), ["intervals"]).where("fam in ('I-G1', 'I-G3', 'I-G5', 'I-U1')")
-    seed = [F.col("sample_id"), F.col("fam"), F.col("sub")]
-    plural = F.lit(True)
-    q = W.question(F.col("kind"), F.col("what"), plural, W.context_sentences(F.col("meter"), F.col("bpm"), *seed), *seed)
-    a = F.when(F.col("kind") == "grounding", W.grounding_answers(F.col("t"), F.col("what"), plural)).otherwise(W.numeric_answers(F.col("gold").cast("int"), F.lit("times")))
-    return c.withColumn("t", W.spans_text("spans")).select("sample_id", "fam", "sub", q.alias("q"), a.alias("a"), W.box_token(E.frames_of(F.col("spans"))).alias("box")).select(
-        "sample_id", "fam", "sub", F.get("q", F.lit(0)).alias("question"), F.get("a", F.lit(0)).alias("a0"), F.get("a", F.lit(1)).alias("a1"), F.get("a", F.lit(2)).alias("a2"), "box")
+    """Questions of all families of two-bar clips with answers in three styles."""
+    return _texts(_records(s, d))
+
+
+def short_questions(s, d):
+    """Questions of all families of clips of one to three notes."""
+    return _texts(_short_records(s, d))
+
+
+def question_contract(s, d):
+    """Per family the questions rendered and those that break the contract between text and parameters."""
+    return R.contract_counts(_records(s, d), R.broken_contract())
+
+
+def short_contract(s, d):
+    return R.contract_counts(_short_records(s, d), R.broken_short())
 
 
 def answer_text(s, d):
@@ -85,7 +108,7 @@ def answer_text(s, d):
     return x.select("sample_id", F.get("a", F.lit(0)).alias("a0"), F.get("a", F.lit(1)).alias("a1"), F.get("a", F.lit(2)).alias("a2"))
 
 
-QUERIES = {f.__name__: f for f in (candidate_rows, candidate_harmony, candidate_intervals, candidate_bars, short_candidates, short_order_candidates, rederived, short_rederived, record_structure, jitter_stable, rendered_questions, answer_text)}
+QUERIES = {f.__name__: f for f in (candidate_rows, candidate_harmony, candidate_intervals, candidate_bars, short_candidates, short_order_candidates, rederived, short_rederived, record_structure, jitter_stable, rendered_questions, short_questions, question_contract, short_contract, answer_text)}
 _OUT = "select sample_id, fam, sub, params, akey, stratum, notes, gold from cd"
 ORACLE = {
     "candidate_rows": candidates(0.5) + _OUT,
@@ -129,3 +152,5 @@ ORACLE["record_structure"] = """with z as (select distinct item_id, array_to_str
   case when evidence_type is not null and gold_answer is null then 'missing:gold_answer' end, case when len(answer_spans) <> len(answer_spans_sec) then 'frames:number' end,
   case when len(answer_spans) = len(answer_spans_sec) and list_transform(answer_spans, lambda x: x[1]) <> list_transform(answer_spans_sec, lambda x: cast(round_even(x[1] * 75, 0) as integer)) then 'frames:place' end], lambda v: v is not null), ',') as broken from qa_items)
 select * from z where broken <> ''"""
+ORACLE["question_contract"] = candidates(0.5) + "select fam, count(*) as n, 0::bigint as broken from cd group by fam"
+ORACLE["short_contract"] = f"select fam, count(*) as n, 0::bigint as broken from ({ORACLE['short_candidates']}) group by fam"
