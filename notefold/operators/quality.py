@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notefold.functions import music as M
 from notefold.functions import spans as S
 from notefold.functions.ids import bound
+from notefold.runtime import cut
 
 def _list(*flags: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, name) for c, name in flags]))
@@ -136,36 +143,167 @@ def rederived(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFr
     return x.join(y, keys, "full").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-def text_baseline(rows: DataFrame, text: str, label: str, train: Column, features: int = 4096) -> DataFrame:
-    """Accuracy of a text-only logistic regression on words and word pairs against the majority class.
+FIT_ROWS = 4_000
+FIT_TERMS = 1 << 12
+MODEL_MB = 32
+
+
+def hashed_terms(text: str, size: int = FIT_TERMS) -> list[int]:
+    """Places of a text's words, word pairs and runs of two to five characters within blank-edged words, by hash."""
+    t = " ".join(re.findall(r"\w+", text.lower()))
+    words = t.split(" ")
+    found = [f"w{w}" for w in words] + [f"p{a} {b}" for a, b in zip(words, words[1:])]
+    found += [f"c{w[i : i + n]}" for w in (f" {x} " for x in words) for n in range(2, 6) for i in range(max(1, len(w) - n + 1))]
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % size for f in found]
+
+
+def _weighted(texts: list[str], idf=None):
+    """Rows of unit length of term frequency times inverse document frequency, as (row, place, weight), and the frequencies used."""
+    rows, places, counts = [], [], []
+    for k, t in enumerate(texts):
+        at, n = np.unique(hashed_terms(t), return_counts=True)
+        rows.append(np.full(len(at), k))
+        places.append(at)
+        counts.append(n)
+    r, p, c = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, places, counts))
+    if idf is None:
+        idf = np.log((1 + len(texts)) / (1 + np.bincount(p, minlength=FIT_TERMS))) + 1
+    w = c * idf[p]
+    norm = np.sqrt(np.bincount(r, w * w, minlength=len(texts)))
+    return (r, p, w / norm[r]) if len(r) else (r, p, w), idf
+
+
+def _scores(x, n: int, weights, bias):
+    """Class scores of n sparse rows; rows come in order, so those of a row are summed where it begins."""
+    r, p, w = x
+    out = np.tile(bias, (n, 1)).astype(np.float64)
+    if len(r):
+        first = np.unique(r, return_index=True)
+        out[first[0]] += np.add.reduceat(weights[p] * w[:, None], first[1], 0)
+    return out
 
-    Term weights by hashing, so no vocabulary reaches the driver. One row: rows, accuracy, majority."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, StringIndexer
 
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}#/]+"), lambda w: w != "")
-    pairs = F.filter(F.transform(words, lambda w, i: F.concat_ws("_", w, F.get(words, i + 1))), lambda w: w.contains("_"))
-    d = rows.select(F.concat(words, pairs).alias("terms"), F.col(label).alias("y"), train.alias("is_train")).where("y is not null")
-    fit, test = d.where("is_train"), d.where("not is_train")
-    model = Pipeline(stages=[HashingTF(inputCol="terms", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="x"), StringIndexer(inputCol="y", outputCol="label", handleInvalid="skip"), LogisticRegression(featuresCol="x", labelCol="label", maxIter=15, regParam=0.05)]).fit(fit)
-    top = fit.groupBy("y").count().orderBy(F.col("count").desc(), "y").first()
-    scored = model.transform(test).withColumn("top", F.lit(top["y"]))
-    return scored.agg(F.count("*").alias("rows"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.avg((F.col("y") == F.col("top")).cast("double")).alias("majority"))
+def fit_text(texts: list[str], labels: list[str], rounds: int = 60, rate: float = 8.0, shrink: float = 1e-4):
+    """Multinomial logistic regression of labels on hashed terms by gradient descent with momentum: (classes, frequencies, weights, bias)."""
+    classes = sorted(set(labels))
+    y = np.array([classes.index(v) for v in labels])
+    x, idf = _weighted(texts)
+    weights, bias = np.zeros((FIT_TERMS, len(classes))), np.zeros(len(classes))
+    speed_w, speed_b = np.zeros_like(weights), np.zeros_like(bias)
+    for _ in range(rounds):
+        s = _scores(x, len(y), weights, bias)
+        s = np.exp(s - s.max(1, keepdims=True))
+        s /= s.sum(1, keepdims=True)
+        s[np.arange(len(y)), y] -= 1
+        s /= len(y)
+        grad = np.zeros_like(weights)
+        np.add.at(grad, x[1], s[x[0]] * x[2][:, None])
+        speed_w = 0.8 * speed_w - rate * (grad + shrink * weights)
+        speed_b = 0.8 * speed_b - rate * s.sum(0)
+        weights, bias = weights + speed_w, bias + speed_b
+    return classes, idf.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32)
+
+
+def text_baseline(rows: DataFrame, group: str, text: str, label: str, train: Column, least: int = 30, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Per group how well the question text alone tells the answer: ``rows, accuracy, majority, z, passed``.
+
+    A classifier per group is fitted in one task on at most ``fit_rows`` train rows, those of lowest hash, so its memory is bounded whatever
+    the group holds; all test rows are scored, in as many tasks as there are. A group passes unless it is more than three points above its
+    most frequent answer and that is significant (z of 1.65). Groups with one answer in train or fewer than ``least`` test rows are left out."""
+    d = rows.select(F.col(group).alias("grp"), F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("string").alias("y"), train.alias("is_train")).where("grp is not null and y is not null")
+    order = F.xxhash64("text", "y", F.lit("fit"))
+    some = d.where("is_train").withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(order, "text", "y"))).where(F.col("_r") <= fit_rows)
+
+    def fit(key, table):
+        texts, labels = table["text"].to_pylist(), table["y"].to_pylist()
+        body = pickle.dumps(fit_text(texts, labels)) if len(set(labels)) > 1 else None
+        return pa.table({"grp": pa.array([key[0].as_py()], pa.string()), "model": pa.array([body], pa.binary())})
+
+    models = cut(some.select("grp", "text", "y").groupBy("grp").applyInArrow(fit, "grp string, model binary").where("model is not null"))
+    parts, size = [[]], 0
+    for r in models.select("grp", F.octet_length("model").alias("n")).orderBy("grp").collect():  # a row per group
+        if parts[-1] and size + r.n > MODEL_MB * 1e6:
+            parts.append([])
+            size = 0
+        parts[-1].append(r.grp)
+        size += r.n
+    scored = None
+    for names in parts:  # as many passes as the models ask for, each with at most MODEL_MB of them at the workers
+        shared = rows.sparkSession.sparkContext.broadcast({r.grp: r.model for r in models.where(F.col("grp").isin(names)).collect()})
+        part = d.where(~F.col("is_train") & F.col("grp").isin(names)).select("grp", "text", "y").mapInArrow(_scorer(shared), "grp string, y string, hit boolean")
+        scored = part if scored is None else scored.unionByName(part)
+    per = scored.groupBy("grp", "y").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).groupBy("grp").agg(F.sum("n").alias("rows"), F.sum("hits").alias("hits"), F.max("n").alias("top"))
+    per = per.join(models.select("grp"), "grp").where(F.col("rows") >= least)
+    acc, maj = F.col("hits") / F.col("rows"), F.col("top") / F.col("rows")
+    z = (acc - maj) / F.greatest(F.sqrt(maj * (1 - maj) / F.col("rows")), F.lit(1e-9))
+    return per.select(F.col("grp").alias(group), "rows", acc.alias("accuracy"), maj.alias("majority"), z.alias("z"), ((acc <= maj + 0.03) | (z < 1.65)).alias("passed"))
+
+
+def _scorer(shared):
+    def score(batches):
+        known: dict = {}
+        for b in batches:
+            g, t, y = (b.column(k).to_pylist() for k in range(3))
+            hit = np.zeros(len(g), bool)
+            for name in set(g):
+                if name not in known:
+                    known[name] = pickle.loads(shared.value[name])
+                classes, idf, weights, bias = known[name]
+                at = [i for i, v in enumerate(g) if v == name]
+                x, _ = _weighted([t[i] for i in at], idf)
+                hit[at] = [classes[k] == y[i] for k, i in zip(_scores(x, len(at), weights, bias).argmax(1), at)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(hit)], ["grp", "y", "hit"])
+
+    return score
+
+
+TICK = 0.05  # seconds: onsets and lengths of a rhythm are compared in these steps
+
+
+def _joined(ev: str, *parts) -> Column:
+    return F.array_join(F.transform(ev, lambda x: F.concat_ws(":", *[p(x).cast("string") for p in parts])), "-")
+
+
+def _steps(c: Column, per_second: float) -> Column:
+    return F.rint(c * per_second).cast("long")
+
+
+def _since_first(ev: str):
+    """Onset and length of a note in ticks, the onset from that of the first note."""
+    return lambda x: F.rint((x["start"] - F.get(ev, F.lit(0))["start"]) / TICK).cast("long"), lambda x: F.rint((x["end"] - x["start"]) / TICK).cast("long")
 
 
 def signatures(clips: DataFrame) -> DataFrame:
-    """Two signatures per clip: pitches in order, and pitches with note lengths on the grid."""
-    return clips.select("sample_id", "split", F.array_join(F.transform("ev", lambda x: x["pitch"].cast("string")), "-").alias("tune"), F.array_join(F.transform("ev", lambda x: F.concat_ws(":", x["pitch"].cast("string"), F.floor(x["ioi"] * 4 + 0.5).cast("string"))), "-").alias("rhythm"))
+    """Signatures of clips: ``tune`` (pitches in order), ``rhythm`` (pitch, onset and length in ticks of 50 ms), ``whole`` (pitch,
+    velocity, onset and end in hundredths of a second). Halves round to even."""
+    onset, length = _since_first("ev")
+    pitch = lambda x: x["pitch"]
+    whole = (pitch, lambda x: x["velocity"], lambda x: _steps(x["start"], 100), lambda x: _steps(x["end"], 100))
+    return clips.select("sample_id", "split", _joined("ev", pitch).alias("tune"), _joined("ev", pitch, onset, length).alias("rhythm"), _joined("ev", *whole).alias("whole"))
+
+
+def short_signatures(ph: DataFrame) -> DataFrame:
+    """Of clips of one to three notes (``v``): ``pitches``, whatever their order, and ``all`` (pitch, velocity, onset and length in ticks)."""
+    onset, length = _since_first("v")
+    sorted_ = F.array_join(F.array_sort(F.transform("v", lambda x: x["pitch"])), "-")
+    return ph.withColumn("pitches", sorted_).withColumn("all", _joined("v", lambda x: x["pitch"], lambda x: x["velocity"], onset, length))
+
+
+def twins(sig: DataFrame, keys: list[str], names: list[str], ids: tuple = ("sample_id",)) -> DataFrame:
+    """Evaluation clips with whether their signatures occur in train: a join per signature with the distinct ones of train."""
+    e, train = sig.where("split in ('val', 'test')"), sig.where("split = 'train'")
+    for key in keys:
+        e = e.join(train.select(key).distinct().withColumn(f"_in_{key}", F.lit(True)), key, "left")
+    return e.select(*ids, *[F.coalesce(f"_in_{k}", F.lit(False)).alias(n) for k, n in zip(keys, names)])
+
 
+def shared_signatures(sig: DataFrame, key: str = "whole") -> DataFrame:
+    """``pair, clips``: how many different clips two splits have in common, for each pair of splits.
 
-def twins(sig: DataFrame) -> DataFrame:
-    """Evaluation clips with whether their signatures occur in train."""
-    train = sig.where("split = 'train'")
-    t = train.select(F.col("tune")).distinct().withColumn("tune_in_train", F.lit(True))
-    r = train.select(F.col("rhythm")).distinct().withColumn("rhythm_in_train", F.lit(True))
-    e = sig.where("split in ('val', 'test')").join(t, "tune", "left").join(r, "rhythm", "left")
-    return e.select("sample_id", F.coalesce("tune_in_train", F.lit(False)).alias("tune_in_train"), F.coalesce("rhythm_in_train", F.lit(False)).alias("rhythm_in_train"))
+    One aggregate over the signatures, so a clip that is in all splits however often is one row; clips without notes are none."""
+    have = sig.where(F.col(key) != "").groupBy(key).agg(*[F.bool_or(F.col("split") == s).alias(s) for s in ("train", "val", "test")])
+    both = lambda a, b: F.struct(F.lit(f"{a}-{b}").alias("pair"), F.coalesce(F.col(a) & F.col(b), F.lit(False)).alias("both"))
+    return have.select(F.inline(F.array(both("train", "val"), both("train", "test"), both("val", "test")))).groupBy("pair").agg(F.count_if("both").alias("clips"))
 
 
 def stale_values(clips: DataFrame) -> DataFrame:

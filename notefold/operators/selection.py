@@ -231,6 +231,26 @@ def evenly(values: Column, k: int) -> Column:
     return F.when(n <= k, values).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(values, F.floor(i * (n - 1) / max(k - 1, 1)).cast("int"))))
 
 
+def _in_blocks(rows: DataFrame, group: list[str], seed, block: int) -> DataFrame:
+    """Rows with ``_block``: about ``block`` rows of a group, the clips dealt out by hash, none cut in two."""
+    n = rows.groupBy(*group).agg(F.count("*").alias("_n"))
+    return rows.join(n, group).withColumn("_block", F.pmod(F.xxhash64("clip", F.lit(str(seed))), F.ceil(F.col("_n") / block))).drop("_n")
+
+
+def _one_per_clip(table, order: list[str], better):
+    """Row numbers of a block, one per clip: clips in the order of ``_h``, of each the row ``better`` likes least in a tuple to be smallest."""
+    cols = {c: table[c].to_pylist() for c in table.column_names}
+    rows = sorted(range(table.num_rows), key=lambda i: tuple(cols[c][i] if cols[c][i] is not None else "" for c in ["_h", "clip", "_c", "cand_id"]))
+    keep, at = [], 0
+    while at < len(rows):
+        end = at
+        while end < len(rows) and (cols["_h"][rows[end]], cols["clip"][rows[end]]) == (cols["_h"][rows[at]], cols["clip"][rows[at]]):
+            end += 1
+        keep.append(better(cols, rows[at:end]))
+        at = end
+    return keep
+
+
 def greedy_balanced_pick(rows: DataFrame, seed, block: int = BLOCK) -> DataFrame:
     """One candidate per clip and family so that classes come out even.
 
@@ -238,25 +258,89 @@ def greedy_balanced_pick(rows: DataFrame, seed, block: int = BLOCK) -> DataFrame
     the candidate whose class is rarest so far, empty ones only while they are below their cap. The
     order matters, so a task does it in one pass, over blocks of about ``block`` rows of a family: a
     large family is balanced in several blocks, each even in itself. A clip is never cut in two."""
-    columns, schema = ["family", "clip", "akey", "stratum", "empty", "cand_id"], rows.select("family", "clip", "akey", "stratum", "empty", "cand_id").schema
+    columns = ["family", "clip", "akey", "stratum", "empty", "cand_id"]
+    schema = rows.select(*columns).schema
     # of a clip's candidates of one class only the first in hash order can be taken: a clip with very many rows becomes a few
     rows = rows.groupBy("family", "clip", "akey", "stratum", "empty").agg(F.min_by("cand_id", F.struct(hash_order(seed, "family", "clip", "cand_id"), F.col("cand_id"))).alias("cand_id"))
-    n = rows.groupBy("family").agg(F.count("*").alias("_n"))
-    blocks = rows.join(n, "family").withColumn("_block", F.pmod(F.xxhash64("clip", F.lit(str(seed))), F.ceil(F.col("_n") / block))).drop("_n")
-    d = blocks.withColumn("_h", hash_order(seed, "family", "clip")).withColumn("_c", hash_order(seed, "family", "clip", "cand_id"))
+    d = _in_blocks(rows, ["family"], seed, block).withColumn("_h", hash_order(seed, "family", "clip")).withColumn("_c", hash_order(seed, "family", "clip", "cand_id"))
 
-    def pick(pdf):
+    def pick(key, table):
         counts: dict = {}
         empty = taken = 0
-        keep = []
-        pdf = pdf.sort_values(["_h", "clip", "_c", "cand_id"], kind="stable").reset_index(drop=True)
-        for _, some in pdf.groupby(["_h", "clip"], sort=False, dropna=False):
-            best = min(some.index, key=lambda i: ((1 if pdf.at[i, "empty"] and empty >= EMPTY_CAP * (taken + 1) else 0), counts.get((pdf.at[i, "stratum"], pdf.at[i, "akey"]), 0), pdf.at[i, "_c"]))
-            at = (pdf.at[best, "stratum"], pdf.at[best, "akey"])
+
+        def better(cols, some):
+            nonlocal empty, taken
+            full = empty >= EMPTY_CAP * (taken + 1)
+            best = min(some, key=lambda i: (cols["empty"][i] and full, counts.get((cols["stratum"][i], cols["akey"][i]), 0), cols["_c"][i]))
+            at = (cols["stratum"][best], cols["akey"][best])
             counts[at] = counts.get(at, 0) + 1
-            empty += int(pdf.at[best, "empty"])
+            empty += bool(cols["empty"][best])
             taken += 1
-            keep.append(best)
-        return pdf.loc[keep, columns]
+            return best
+
+        return table.take(_one_per_clip(table, columns, better)).select(columns)
+
+    return d.groupBy("family", "_block").applyInArrow(pick, schema)
+
+
+def slot_picks(rows: DataFrame, seed) -> DataFrame:
+    """``slot`` and the fields of :func:`greedy_balanced_pick`: a family may take several candidates of a clip, as many as its slots allow.
+
+    Each slot picks from what the slots before left; a written table between them keeps the plan short. There are at most as many rounds as the largest
+    number of slots."""
+    many = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SLOTS.items() for x in kv]), F.col("family")), F.lit(1))
+    left, out = rows.select("family", "clip", "akey", "stratum", "empty", "cand_id").withColumn("_many", many), None
+    for k in range(max(SLOTS.values())):
+        part = cut(greedy_balanced_pick(left.where(F.col("_many") > k), f"{seed}|slot{k}"))
+        out = part.withColumn("slot", F.lit(k)) if out is None else out.unionByName(part.withColumn("slot", F.lit(k)))
+        left = left.where(F.col("_many") > k + 1).join(part.select("cand_id"), "cand_id", "left_anti")
+    return out
+
+
+def evaluation_subset(rows: DataFrame, seed, block: int = BLOCK, yesno: float = 0.08) -> DataFrame:
+    """One record per clip and kind: clips in hash order, each takes the record whose concept is rarest so far, then whose family, then whose class.
+
+    ``rows``: ``kind, clip, concept, family, akey, boolean, cand_id``. Yes/no records come last while they are ``yesno`` of their concept. Balanced per block, as
+    :func:`greedy_balanced_pick`."""
+    columns = ["kind", "clip", "concept", "family", "akey", "boolean", "cand_id"]
+    d = _in_blocks(rows.select(*columns), ["kind"], seed, block).withColumn("_h", hash_order(seed, "kind", "clip")).withColumn("_c", hash_order(seed, "kind", "clip", "cand_id"))
+
+    def pick(key, table):
+        n: dict = {}
+        count = lambda *k: n.get(k, 0)
+
+        def better(cols, some):
+            def rank(i):
+                concept, family, akey = cols["concept"][i], cols["family"][i], cols["akey"][i]
+                full = cols["boolean"][i] and count("yesno", concept) >= yesno * (count("concept", concept) + 1)
+                return full, count("concept", concept), count("family", family), count("class", family, akey), cols["_c"][i]
+
+            i = min(some, key=rank)
+            for k in (("concept", cols["concept"][i]), ("family", cols["family"][i]), ("class", cols["family"][i], cols["akey"][i])):
+                n[k] = n.get(k, 0) + 1
+            n["yesno", cols["concept"][i]] = count("yesno", cols["concept"][i]) + bool(cols["boolean"][i])
+            return i
+
+        return table.take(_one_per_clip(table, columns, better)).select(columns)
+
+    return d.groupBy("kind", "_block").applyInArrow(pick, rows.select(*columns).schema)
+
+
+def build(rows: DataFrame, keys: list[str], seed, family_cap: int | None = None, concept_cap: int | None = None) -> DataFrame:
+    """The whole selection: picks per slot, share rules of strata and families, size and empty caps, equal concepts, yes/no limit.
+
+    ``rows``: candidates ``family, concept, understanding, clip, akey, stratum, empty, boolean, yes, cand_id``; ``keys`` identify them. ``family_cap`` bounds
+    a family, ``concept_cap`` a concept (else all get what the scarcest can give). Steps between which rows are needed twice are written."""
+    facts = rows.select(*keys, "concept", "understanding", "boolean", "yes")
+    picks = slot_picks(rows, seed).join(facts, keys)
+    of = picks.groupBy("family").agg(F.bool_and("boolean").alias("yesno"))
+    picks = cut(picks.drop("boolean").join(of, "family").withColumn("boolean", F.col("yesno")).withColumn("stratum", F.coalesce("stratum", F.lit(""))))
+    kept = family_trim(picks, keys, seed)
+    if family_cap is not None:
+        kept = proportional_subsample(kept, ["family"], ["stratum", "akey"], keys, family_cap, seed)
+    kept = cut(empties_capped(kept, ["family"], keys, seed))
+    quota = concept_quota(kept, concept_cap).groupBy("understanding", "concept", "family").agg(F.sum("alloc").alias("target"))
+    thin = cut(thinned(kept, ["understanding", "concept", "family"], ["stratum", "akey"], keys, quota, seed))
+    return thin.where("not understanding").unionByName(yesno_trim(thin.where("understanding"), keys, seed))
+
 
-    return d.groupBy("family", "_block").applyInPandas(pick, schema)

@@ -14,6 +14,7 @@ from notefold.operators import quality as Q
 from notefold.operators import scoring as G
 from notefold.plans.excerpt_queries import GRID_SQL, RAW_SQL
 from notefold.plans.selection_queries import _IT, items
+from notefold.plans.short_clip_queries import PH
 from notefold.runtime import tables
 
 
@@ -113,20 +114,33 @@ def rederived_moves(s, d, clips=E.grid_excerpts):
 
 
 def text_baseline(s, d):
-    q = tables(s, d)("qa_items").where("gold_answer_type = 'boolean' and item_id is not null").withColumn("y", F.lower(F.regexp_replace("gold_answer", "[^A-Za-z]", "")))
-    return Q.text_baseline(q, "question", "y", F.pmod(F.xxhash64("item_id"), F.lit(5)) > 0)
+    """How well the text of a question alone tells its answer, per family of understanding items, from train to test."""
+    q = tables(s, d)("qa_items").where("evidence_type is not null and source_fact_id is not null and gold_answer is not null and item_id is not null")
+    q = q.select("item_id", split_name(F.col("split"), F.col("sample_id")).alias("split"), F.col("source_fact_id").alias("family"), "question", "gold_answer").distinct()
+    q = q.where(F.col("split").isin("train", "test"))
+    r = Q.text_baseline(q, "family", "question", "gold_answer", F.col("split") == "train")
+    return r.select("family", "rows", *[F.round(c, 6).alias(c) for c in ("accuracy", "majority", "z")], "passed")
+
+
+def _splitted(s, d, clips):
+    return clips(s, d).withColumn("split", split_name(F.col("split"), F.col("sample_id")))
 
 
 def twin_flags(s, d, clips=E.grid_excerpts):
-    e = clips(s, d).withColumn("split", split_name(F.col("split"), F.col("sample_id")))
-    return Q.twins(Q.signatures(e))
+    return Q.twins(Q.signatures(_splitted(s, d, clips)), ["tune", "rhythm"], ["tune_in_train", "rhythm_in_train"])
 
 
 def split_overlap(s, d, clips=E.grid_excerpts):
-    """Melodies of train that are in test or val too."""
-    g = Q.signatures(clips(s, d).withColumn("split", split_name(F.col("split"), F.col("sample_id"))))
-    part = lambda name: g.where(F.col("split") == name).select("tune").where("tune <> ''")
-    return part("train").intersect(part("test").union(part("val")))
+    """Clips that two splits have in common, note for note."""
+    return Q.shared_signatures(Q.signatures(_splitted(s, d, clips)))
+
+
+def short_twins(s, d):
+    """Phrases of three notes of val and test whose pitches, or notes, occur in train."""
+    from notefold.operators import short_clips as SC
+
+    ph = SC.phrases(E.clip_excerpts(s, d)).withColumn("split", F.split_part("sample_id", F.lit("_"), F.lit(1)))
+    return Q.twins(Q.short_signatures(ph), ["pitches", "all"], ["pitches_in_train", "all_in_train"], ("sample_id", "phrase"))
 
 
 def _predictions(s, d):
@@ -201,7 +215,7 @@ def split_status(s, d):
 
 
 _OVER = "select distinct audio_path, duration_sec from audio_files where floor(duration_sec * sample_rate) / sample_rate * 75 > 450"
-QUERIES = {f.__name__: f for f in (derived_attributes, motif_repetition, value_shares, dominant_values, numeric_summary, length_statistics, pitch_coverage, interval_histogram, majority_share, yesno_share, empty_share, median_span_hit, skeleton_counts, text_contract, rederived_moves, text_baseline, twin_flags, split_overlap, align_left_join, missing_preds, extra_preds, dup_preds, clip_recordings, overlong, stale_values, midi_round_trip, midi_round_trip_whole, gate_report, split_status)}
+QUERIES = {f.__name__: f for f in (derived_attributes, motif_repetition, value_shares, dominant_values, numeric_summary, length_statistics, pitch_coverage, interval_histogram, majority_share, yesno_share, empty_share, median_span_hit, skeleton_counts, text_contract, rederived_moves, text_baseline, twin_flags, split_overlap, short_twins, align_left_join, missing_preds, extra_preds, dup_preds, clip_recordings, overlong, stale_values, midi_round_trip, midi_round_trip_whole, gate_report, split_status)}
 
 
 def _skeleton_sql(x: str) -> str:
@@ -212,7 +226,10 @@ def _skeleton_sql(x: str) -> str:
 
 _LONG = " union all ".join(f"select '{f}' as field, basic_info.{f} as value from clips" for f in _INFO)
 _PRED = "pr as (select sample_id, question, max(answer_text) as prediction from qa_items where sample_id is not null and question is not null and item_id % 10 > 0 group by all)"
-_SIG = GRID_SQL + f", sg as (select rid, coalesce(string_agg(cast(pitch as varchar), '-' order by i), '') as tune, coalesce(string_agg(pitch || ':' || cast(floor(ioi * 4 + 0.5) as bigint), '-' order by i), '') as rhythm from n group by rid), g as (select c.rid, sample_id, {sql_split_name('split', 'sample_id')} as sp, coalesce(tune, '') as tune, coalesce(rhythm, '') as rhythm from c left join sg using (rid))"
+_SIG = GRID_SQL + f""", sg as (select rid, coalesce(string_agg(cast(pitch as varchar), '-' order by i), '') as tune,
+  coalesce(string_agg(pitch || ':' || cast(round_even((st - st0) / 0.05, 0) as bigint) || ':' || cast(round_even((en - st) / 0.05, 0) as bigint), '-' order by i), '') as rhythm,
+  coalesce(string_agg(concat_ws(':', pitch, velocity, cast(round_even(st * 100, 0) as bigint), cast(round_even(en * 100, 0) as bigint)), '-' order by i), '') as whole from (select *, min(st) over (partition by rid) as st0 from n) group by rid),
+g as (select c.rid, sample_id, {sql_split_name('split', 'sample_id')} as sp, coalesce(tune, '') as tune, coalesce(rhythm, '') as rhythm, coalesce(whole, '') as whole from c left join sg using (rid))"""
 ORACLE = {
     "derived_attributes": GRID_SQL + """, t as (select rid, count(*) filter (where sg <> psg) as turns from (select rid, sign(mv) as sg, lag(sign(mv)) over (partition by rid order by i) as psg from n where mv <> 0) group by rid),
 u as (select rid, count(*) as cells, count(distinct (mv, len)) as kinds from (select rid, mv, lag(floor((en - st) / spb * 1000 + 0.5)) over (partition by rid order by i) as len from n) where mv is not null group by rid)
@@ -245,7 +262,11 @@ from m left join t using (source_fact_id) left join h on h.rid = t.rid group by
     "text_contract": "with z as (select distinct item_id, array_to_string(list_filter([case when trim(question) = '' then 'blank_question' end, case when not regexp_matches(question, '[?.]$') then 'no_end_mark' end, case when regexp_matches(question, '\\{|\\}') then 'open_placeholder' end, case when regexp_matches(question, '\\s\\s') then 'double_space' end, case when trim(answer_text) = '' then 'blank_answer' end, case when regexp_matches(answer_text, '\\b1 (notes|seconds|beats|semitones)\\b') then 'plural' end, case when regexp_matches(question, '(?i)\\b(a) [aeiou]') then 'article' end], lambda v: v is not null), ',') as broken from qa_items) select * from z where broken <> ''",
     "rederived_moves": GRID_SQL + "select 'equal' as status, count(*) as n from n where abs(mv) >= 6",
     "twin_flags": _SIG + " select sample_id, coalesce(tune in (select tune from g where sp = 'train'), false) as tune_in_train, coalesce(rhythm in (select rhythm from g where sp = 'train'), false) as rhythm_in_train from g where sp in ('val', 'test')",
-    "split_overlap": _SIG + " select distinct tune from g where sp = 'train' and tune <> '' and tune in (select tune from g where sp in ('val', 'test'))",
+    "split_overlap": _SIG + """, h as (select whole, bool_or(sp = 'train') as a, bool_or(sp = 'val') as b, bool_or(sp = 'test') as c from g where whole <> '' group by whole),
+l as (select unnest(['train-val', 'train-test', 'val-test']) as pair, unnest([a and b, a and c, b and c]) as hit from h) select pair, count(*) filter (where hit) as clips from l group by pair""",
+    "short_twins": PH + """, z as (select rid, sample_id, phrase, split_part(sample_id, '_', 1) as sp, string_agg(cast(pitch as varchar), '-' order by pitch) as a,
+  string_agg(concat_ws(':', pitch, velocity, cast(round_even((st - st0) / 0.05, 0) as bigint), cast(round_even((en - st) / 0.05, 0) as bigint)), '-' order by k) as b from (select *, min(st) over (partition by rid, phrase) as st0 from ph) group by rid, sample_id, phrase)
+select sample_id, phrase, a in (select a from z where sp = 'train') as pitches_in_train, b in (select b from z where sp = 'train') as all_in_train from z where sp in ('val', 'test')""",
     "align_left_join": f"with {_PRED} select item_id, cast(length(coalesce(prediction, '')) as integer) as chars from qa_items q left join pr on pr.sample_id is not distinct from q.sample_id and pr.question is not distinct from q.question",
     "missing_preds": f"with {_PRED} select distinct item_id from qa_items q where sample_id is not null and question is not null and not exists (select 1 from pr where pr.sample_id = q.sample_id and pr.question = q.question)",
     "extra_preds": f"with {_PRED} select distinct sample_id, question from pr where not exists (select 1 from qa_items q where item_id % 7 > 0 and pr.sample_id = q.sample_id and pr.question = q.question)",

@@ -106,9 +106,33 @@ def greedy_balanced_pick(spark, sf_dir):
 
 
 def test_subset(spark, sf_dir):
-    """One item per clip of the test split, families evenly."""
-    d = items(spark, sf_dir).where("split = 'test' and clip is not null").select(F.lit("test").alias("family"), "clip", F.col("family").alias("akey"), F.lit("").alias("stratum"), "empty", F.col("item_id").alias("cand_id"))
-    return S.greedy_balanced_pick(d, 8).select("clip", "akey", "cand_id")
+    """One item per clip and kind of the test split, concepts, families and classes evenly."""
+    d = items(spark, sf_dir).where("split = 'test' and clip is not null and family is not null and concept is not null")
+    return S.evaluation_subset(d.select(F.when(F.col("understanding"), "understanding").otherwise("grounding").alias("kind"), "clip", "concept", "family", "akey", "boolean", F.col("item_id").alias("cand_id")), 8)
+
+
+def slot_picks(spark, sf_dir):
+    """Up to three items of a clip and family, each slot balanced over what the ones before left."""
+    d = items(spark, sf_dir).where("family is not null and clip is not null").select("family", "clip", "akey", "stratum", "empty", F.col("item_id").alias("cand_id"))
+    return S.slot_picks(d, 7)
+
+
+def _choice(spark, sf_dir):
+    return items(spark, sf_dir).where("family is not null and clip is not null and concept is not null").select("family", "concept", "understanding", "clip", "akey", "stratum", "empty", "boolean", "yes", F.col("item_id").alias("cand_id"))
+
+
+def family_trimmed(spark, sf_dir):
+    """Items within the share rules of strata and families, which alternate until nothing changes."""
+    d = _choice(spark, sf_dir)
+    of = d.groupBy("family").agg(F.bool_and("boolean").alias("boolean"), F.bool_and("understanding").alias("understanding"))
+    d = d.drop("boolean", "understanding").join(of, "family").withColumn("stratum", F.coalesce("stratum", F.lit("")))
+    return S.family_trim(d, ["cand_id"], 5).select("cand_id", "family", "stratum", "akey")
+
+
+def selection_build(spark, sf_dir):
+    """The whole selection, reported per kind, concept and family."""
+    d = S.build(_choice(spark, sf_dir), ["cand_id"], 11, family_cap=400, concept_cap=500)
+    return d.groupBy("understanding", "concept", "family").agg(F.count("*").alias("items"), F.count_distinct("clip").alias("clips"), F.count_if("empty").alias("empties"))
 
 
 def _kinds(spark, sf_dir):
@@ -137,7 +161,7 @@ _ALLOC = """, lv as (select {g}, max(l) as level from (select {g}, l, sum(least(
 ba as (select nn.*, least(cap, level) as base from nn join lv using ({g})),
 re as (select *, total - sum(base) over (partition by {g}) as rest, row_number() over (partition by {g} order by cap - least(cap, base) desc, family) as place from ba)
 """
-QUERIES = {f.__name__: f for f in (waterfill_caps, waterfill_allocs, largest_remainder, stratified_sample, hash_split, strata_trimmed, empties_capped, yesno_capped, concept_quota_soft, concept_thinned, vocab_ids, slot_items, even_notes, greedy_balanced_pick, test_subset, concept_quota)}
+QUERIES = {f.__name__: f for f in (waterfill_caps, waterfill_allocs, largest_remainder, stratified_sample, hash_split, strata_trimmed, empties_capped, yesno_capped, concept_quota_soft, concept_thinned, vocab_ids, slot_items, even_notes, greedy_balanced_pick, slot_picks, family_trimmed, selection_build, test_subset, concept_quota)}
 _SLOT = "case family when 'H-G2' then 3 when 'H-U1' then 2 when 'A-G1' then 2 when 'A-G2' then 2 when 'A-U1' then 2 when 'A-U2' then 2 else 1 end"
 ORACLE = {
     "waterfill_caps": f"with {_CAPS} select family, cast(greatest(1, coalesce(max(c) filter (where c <= share * tot + 1e-9), 1)) as bigint) as cap, (select k from sh where sh.family = ok.family) as classes from ok group by family",

@@ -162,3 +162,64 @@ def test_family_trim_against_brute_force(spark):
     d = spark.createDataFrame([(*r, 3) for r in data], "family string, understanding boolean, stratum string, akey string, boolean boolean, empty boolean, id string, n int").drop("n")
     got = [r.id for r in S.family_trim(d, ["id"], 4).collect()]
     assert sorted(got) == sorted(want) and 0 < len(got) < len(data)
+
+
+def _greedy(rows, seed, h):
+    """One family by plain loops: (clip, akey, stratum, empty, cand)."""
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    counts, empty, out = Counter(), 0, []
+    for clip in sorted(by, key=lambda c: (h(seed, "f", c), c)):
+        r = min(by[clip], key=lambda r: (r[3] and empty >= 0.2 * (len(out) + 1), counts[r[2], r[1]], h(seed, "f", clip, r[4])))
+        counts[r[2], r[1]] += 1
+        empty += r[3]
+        out.append(r[4])
+    return out
+
+
+def test_slots_pick_from_what_is_left(spark):
+    import hashlib
+
+    h = lambda *k: hashlib.md5("|".join(map(str, k)).encode()).hexdigest()
+    rng = random.Random(3)
+    rows = [(f"c{rng.randrange(40)}", rng.choice("abbccc"), rng.choice(["s", "t"]), rng.random() < 0.3, i) for i in range(300)]
+    for family, many in (("f", 1), ("H-G2", 3)):
+        d = spark.createDataFrame([(family, *r, 9) for r in rows], "family string, clip string, akey string, stratum string, empty boolean, cand_id long, n int").drop("n")
+        got = {}
+        for r in S.slot_picks(d, 7).collect():
+            got.setdefault(r.slot, []).append(r.cand_id)
+        left, want = list(rows), {}
+        hf = lambda seed, f, *k: h(seed, family, *k)  # noqa: E731, B023
+        for k in range(many):
+            want[k] = sorted(_greedy(left, f"7|slot{k}", hf))
+            left = [r for r in left if r[4] not in want[k]]
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_evaluation_subset(spark):
+    rng = random.Random(4)
+    rows = [("g", f"c{rng.randrange(60)}", rng.choice(["x", "y", "z"]), f"F{rng.randrange(6)}", rng.choice("ab"), rng.random() < 0.4, i) for i in range(600)]
+    got = S.evaluation_subset(spark.createDataFrame(rows, "kind string, clip string, concept string, family string, akey string, boolean boolean, cand_id long"), 5).collect()
+    assert len(got) == len({r[1] for r in rows}) == len({r.clip for r in got})
+    n = Counter(r.concept for r in got)
+    assert max(n.values()) - min(n.values()) <= 2 and sum(r.boolean for r in got) <= 0.08 * len(got) + 3
+
+
+def test_whole_build(spark):
+    """The rules hold at the end: classes in their shares, concepts equal, yes/no and empties limited; the same rows every time."""
+    rng = random.Random(5)
+    rows = []
+    for fam, concept, kind, boolean in (("u1", "a", True, False), ("u2", "a", True, True), ("u3", "b", True, False), ("g1", "a", False, False), ("g2", "b", False, False)):
+        for i in range(500):
+            cls = rng.choice(["true", "false"]) if boolean else rng.choice("pqqrrrr")
+            rows.append((fam, concept, kind, f"c{rng.randrange(300)}", cls, "", not kind and rng.random() < 0.4, boolean, cls == "true", f"{fam}-{i}"))
+    d = spark.createDataFrame(rows, "family string, concept string, understanding boolean, clip string, akey string, stratum string, empty boolean, boolean boolean, yes boolean, cand_id string")
+    got = S.build(d, ["cand_id"], 3).collect()
+    assert sorted(r.cand_id for r in got) == sorted(r.cand_id for r in S.build(d.repartition(3), ["cand_id"], 3).collect())
+    n = Counter((r.understanding, r.concept) for r in got)
+    assert len({v for (k, _), v in n.items() if not k}) == 1 and len({r.cand_id for r in got}) == len(got) == len({(r.family, r.clip) for r in got})
+    yes = Counter((r.concept, r.boolean) for r in got if r.understanding)
+    assert 0 < yes["a", True] <= 0.1 * (yes["a", True] + yes["a", False]) and n[True, "a"] <= n[True, "b"]
+    empty = Counter((r.family, r.empty) for r in got if not r.understanding)
+    assert all(0 < empty[f, True] <= 0.25 * (empty[f, True] + empty[f, False]) for f in ("g1", "g2"))  # thinning to the quota may move a share a little
