@@ -307,7 +307,11 @@ def frames_of(span_list: Column) -> Column:
 
 # -- the project's clips ---------------------------------------------------------------------------
 def clip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables(spark, sf_dir)("clips")
+    return as_clips(tables(spark, sf_dir)("clips"))
+
+
+def as_clips(c: DataFrame) -> DataFrame:
+    """Rows of the clips table in the form :func:`excerpts` takes."""
     return c.select("sample_id", "split", "notes", F.col("basic_info.time_signature").alias("meter"), F.col("basic_info.tempo_bpm").alias("bpm"), F.col("basic_info.music_start_sec").alias("music_start"), F.col("basic_info.bar_duration_sec").alias("bar_dur"))
 
 

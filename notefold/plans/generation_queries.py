@@ -9,6 +9,7 @@ from notefold.operators import excerpt as E
 from notefold.operators import generation as N
 from notefold.operators.selection import dense_ids
 from notefold.sources import files
+from notefold.plans.excerpt_queries import RAW_SQL
 from notefold.runtime import tables
 
 
@@ -20,14 +21,17 @@ def generated_clips(s, d):
 
 
 def transposed_clips(s, d):
-    e = E.clip_excerpts(s, d).withColumn("split", split_name(F.col("split"), F.col("sample_id")))
-    one = e.groupBy("sample_id").agg(F.min_by(F.struct(*e.columns), F.md5(F.to_json(F.struct(*e.columns)))).alias("e")).select("e.*")  # of several versions always the same one
-    return N.transposed(one, {"train": 120, "val": 20, "test": 60}).select("sample_id", "split", "semitones", F.size("notes").alias("notes"))
+    """Clips made of a bar and its shifted copy, from the version of each clip that was added last."""
+    c = tables(s, d)("clips")
+    last = c.groupBy("sample_id").agg(F.max_by(F.struct(*c.columns), "added_at").alias("c")).select("c.*")
+    e = E.excerpts(E.as_clips(last)).withColumn("split", split_name(F.col("split"), F.col("sample_id")))
+    t = N.transposed(e, {"train": 120, "val": 20, "test": 60})
+    return t.select("sample_id", "split", "semitones", F.size("notes").alias("notes"), F.array_join(F.transform("notes", lambda x: x["pitch"].cast("string")), ",").alias("pitches"))
 
 
 def short_generated(s, d):
     g = N.short_clips(s, tables(s, d)("clips").count())
-    return g.select("n", F.size("notes").alias("notes"), F.get("notes", F.lit(0))["pitch"].alias("first_pitch"))
+    return g.select("n", F.size("notes").alias("notes"), F.array_join(F.transform("notes", lambda x: x["pitch"].cast("string")), ",").alias("pitches"), F.round(F.get("notes", F.size("notes") - 1)["end"], 6).alias("last_end"))
 
 
 def metadata_table(s, d):
@@ -75,3 +79,16 @@ ORACLE = {
     "concept_ids": "select concept, row_number() over (order by concept) - 1 as concept_no from (select distinct unnest(concepts) as concept from clips)",
     "concept_pairs": "select split_part(tag, ':', 1) as field, split_part(tag, ':', 2) as value, count(*) as n from (select unnest(concepts) as tag from clips) group by all",
 }
+
+_H = "(cast('0x' || substr(md5('{seed}|{name}|' || {of}), 1, 8) as bigint) % {k})"
+_LAST = RAW_SQL.replace("as bpb from clips)", "as bpb from (select * from clips qualify row_number() over (partition by sample_id order by added_at desc nulls last) = 1))")
+ORACLE["transposed_clips"] = _LAST + f""", b as (select rid, any_value(sample_id) as sample_id, min(pitch) as lo, max(pitch) as hi, list(pitch order by i) as ps from n where bar = 1 group by rid),
+w as (select b.sample_id, {sql_split_name('c.split', 'b.sample_id')} as split, ps, list_filter({N.SHIFTS}, lambda s: lo + s >= {N.PITCH_LOW} and hi + s <= {N.PITCH_HIGH}) as fits, {N.SHIFTS}[1 + {_H.format(seed=3, name='shift', of='b.sample_id', k=len(N.SHIFTS))}] as want from b join c using (rid)),
+z as (select *, list_sort(list_transform(fits, lambda s: struct_pack(o := abs(s - want), s := s)))[1].s as semitones from w where len(fits) > 0),
+r as (select *, row_number() over (partition by split order by md5('3|' || sample_id), sample_id) as k from z)
+select sample_id, split, cast(semitones as integer) as semitones, cast(2 * len(ps) as integer) as notes, array_to_string(list_concat(ps, list_transform(ps, lambda p: p + semitones)), ',') as pitches from r where k <= case split when 'train' then 120 when 'val' then 20 when 'test' then 60 else 0 end"""
+_D = lambda name, k: _H.format(seed=5, name=name, of="id", k=k)
+_STEP = lambda i: f"case when {_D(f'way{i}', 2)} = 0 then 1 else -1 end * ({_D(f'step{i}', 12)} + 1)"
+ORACLE["short_generated"] = f"""with t as (select id, id % 3 + 1 as m, {_D('pitch', 64)} + 33 as p0, {_STEP(1)} as s1, {_STEP(2)} as s2 from range(0, (select count(*) from clips)) r(id)),
+u as (select *, [p0, p0 + s1, p0 + s1 + s2] as ps, [{', '.join(f"0.2::double + {k} * 0.9::double + {_D(f'gap{k}', 300)} / 1000.0::double + 0.2::double + {_D(f'len{k}', 300)} / 1000.0::double" for k in range(3))}] as ends from t)
+select id as n, cast(m as integer) as notes, array_to_string(list_transform(ps[1:m], lambda p: greatest(21, least(108, p))), ',') as pitches, round(ends[m], 6) as last_end from u"""

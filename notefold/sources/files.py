@@ -229,3 +229,59 @@ def content_digest(rows: DataFrame) -> DataFrame:
     """Order-free digest of a table: rows, sum and xor of the hashes of their JSON form."""
     h = F.xxhash64(F.to_json(F.struct("*")))
     return rows.select(h.alias("h")).agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).alias("sum"), F.bit_xor("h").alias("xor"))
+
+
+def write_id_lists(ids: dict[str, DataFrame], folder: str) -> None:
+    """Lists of ids: of each name one folder with a text file (an id a line) and one with JSON lines (all columns), sorted by id over the files."""
+    for name, rows in ids.items():
+        r = rows.repartitionByRange("sample_id").sortWithinPartitions("sample_id")
+        r.select("sample_id").write.mode("overwrite").text(f"{folder}/{name}.txt")
+        r.write.mode("overwrite").json(f"{folder}/{name}.json")
+
+
+def write_vocabulary(ids: DataFrame, path: str) -> None:
+    """Names with their numbers as JSON lines, in order of the numbers."""
+    ids.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").json(path)
+
+
+def ordered_records(records: DataFrame, keys: tuple = ("sample_id", "query_key", "question")) -> DataFrame:
+    """Records in their order of release: sorted over ranges, so no task sees all of them."""
+    return records.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def write_clips(clips: DataFrame, folder: str) -> DataFrame:
+    """Clips as one MIDI file each and their metadata as JSON lines per split, with a table of contents; gives what was written.
+
+    ``<folder>/<split>/midi/<id>.mid``, ``<folder>/meta/split=<split>``, ``<folder>/metadata.csv``. The folder must be one that all executors share."""
+    from notefold.sources.midi import write_midi
+
+    done = write_midi(clips, folder)
+    write_json_lines(clips.withColumn("n_notes", F.when(F.col("notes").isNotNull(), F.size("notes"))).drop("notes"), f"{folder}/meta")
+    metadata_table(clips).write.mode("overwrite").option("header", True).csv(f"{folder}/metadata.csv")
+    return done
+
+
+def write_transposed(clips: DataFrame, folder: str) -> DataFrame:
+    """Transposed clips as files with the manifest of where they come from: ``id, split, source, semitones, meter, tempo_bpm, n_notes``."""
+    manifest = clips.select(F.concat_ws("_", "sample_id", F.col("semitones").cast("string")).alias("id"), "split", F.col("sample_id").alias("source"), "semitones", "meter", F.col("bpm").alias("tempo_bpm"), F.size("notes").alias("n_notes"))
+    manifest.write.mode("overwrite").json(f"{folder}/manifest")
+    renamed = clips.withColumn("sample_id", F.concat_ws("_", "sample_id", F.col("semitones").cast("string")))
+    return write_clips(renamed, folder)
+
+
+def report_lines(tables: dict[str, DataFrame]) -> DataFrame:
+    """Small result tables as lines of one report, ``place, line``, each under its name; for sanity, gate and statistics reports.
+
+    A table has as many lines as rows, in the order of its columns, so the report is as large as the tables are."""
+    out = None
+    for k, (name, t) in enumerate(tables.items()):
+        cell = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("none")))
+        body = t.select(F.lit(k).alias("place"), F.lit(1).alias("level"), F.concat(F.lit("  "), F.concat_ws(", ", *[cell(c) for c in t.columns])).alias("line"))
+        head = t.sparkSession.createDataFrame([(k, 0, f"[{name}]")], "place int, level int, line string")
+        out = head.unionByName(body) if out is None else out.unionByName(head).unionByName(body)
+    return out.orderBy("place", "level", "line").select("place", "line")
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """A report as one text file; its tables are summaries, not data."""
+    report_lines(tables).coalesce(1).select("line").write.mode("overwrite").text(path)
