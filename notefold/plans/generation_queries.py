@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from notefold.functions.ids import split_name, sql_split_name
 from notefold.operators import excerpt as E
 from notefold.operators import generation as N
+from notefold.operators import structured as G
 from notefold.operators.selection import dense_ids
 from notefold.sources import files
 from notefold.plans.excerpt_queries import RAW_SQL
@@ -20,6 +21,12 @@ def generated_clips(s, d):
     return x.select("sample_id", "meter", "bpm", "relation", "valid", "usable", "n", F.size(E.in_bar(1)).alias("n1"))
 
 
+def structured_clips(s, d):
+    """As many structured clips as there are rows of clips, per structure, repetition and pattern."""
+    g = G.generate(s, tables(s, d)("clips").count())
+    return g.groupBy("structure", "repetition", "pattern").agg(F.count("*").alias("clips"), F.sum(F.size("notes")).alias("notes"), F.max("tries").alias("tries"))
+
+
 def transposed_clips(s, d):
     """Clips made of a bar and its shifted copy, from the version of each clip that was added last."""
     c = tables(s, d)("clips")
@@ -70,7 +77,7 @@ def concept_pairs(s, d):
     return c.groupBy(F.split_part("tag", F.lit(":"), F.lit(1)).alias("field"), F.split_part("tag", F.lit(":"), F.lit(2)).alias("value")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (generated_clips, transposed_clips, short_generated, metadata_table, quarantine, modality_files, content_digest, content_digest_whole, concept_ids, concept_pairs)}
+QUERIES = {f.__name__: f for f in (generated_clips, structured_clips, transposed_clips, short_generated, metadata_table, quarantine, modality_files, content_digest, content_digest_whole, concept_ids, concept_pairs)}
 ORACLE = {
     "metadata_table": f"select sp || '/wav/' || sample_id || '.wav' as audio_path, sp || '/midi/' || sample_id || '.mid' as midi_path, sp || '/meta/' || sample_id || '.json' as json_path, coalesce(list_min(list_transform(notes, lambda x: x.start)), 0) as first_onset, coalesce(list_max(list_transform(notes, lambda x: x.\"end\")), 0) as last_offset, sp as split from (select *, {sql_split_name('split', 'sample_id')} as sp from clips)",
     "quarantine": "select distinct sample_id from clips where sample_id not in (select sample_id from clips where removed_at is not null)",
