@@ -44,31 +44,33 @@ def available(cats: DataFrame, goals: DataFrame) -> DataFrame:
     return goals.join(n, ["field_name", "split", "category"], "left").withColumn("have", F.coalesce("have", F.lit(0))).withColumn("need", need)
 
 
-def systematic_sample(cats: DataFrame, goals: DataFrame, seed: int = SEED) -> DataFrame:
+def systematic_sample(cats: DataFrame, goals: DataFrame, seed: int = SEED, supply: DataFrame | None = None) -> DataFrame:
     """``plan_id, category, item_id, reason`` with ``reason`` ``crossing`` or ``floor``.
 
     Categories stand in sorted order, their items in a random order fixed by seed and item. Each
     item of a category with want w and n items has inclusion probability min(1, w/n); the running
     sum of these over the plan, plus one random start, selects an item where it passes an integer.
     Sums are exact integers in thousandths. The rank of an item is the number of items in lower
-    buckets of its random key (the first three digits of the md5 of seed, plan and item), from a prefix sum over at most
+    buckets of its random key (12 bits of the md5 of seed, plan and item), from a prefix sum over at most
     4,096 pre-aggregated rows, plus its rank in the bucket: no task sees all items of a category. Categories drawn below their floor get
     their next items in random order until the floor or the last item is reached, beyond the
-    sample size if need be. An item may belong to several plans."""
-    g = available(cats, goals)
+    sample size if need be. An item may belong to several plans. ``supply`` is :func:`available` of the goals, where it is known already."""
+    g = available(cats, goals) if supply is None else supply
     plan = Window.partitionBy("plan_id").orderBy("category").rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("mass", F.least("want_milli", F.col("have") * 1000)).withColumn("base", F.coalesce(F.sum("mass").over(plan), F.lit(0)))
     g = cut(g.withColumn("start", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("plan_id").cast("string"))), 1, 8), 16, 10).cast("long") % 1000))  # a row per target
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("plan_id").cast("string"), F.col("item_id").cast("string")))
+    # 60 bits of the md5 as a number: it travels in 8 bytes, and its first 12 bits are the bucket
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("plan_id").cast("string"), F.col("item_id").cast("string"))), 1, 15), 16, 10).cast("long")
     # targets are as many as the plans name, not as the data hold: a bound proven by their table
     small = g.count() <= 100_000
     side = F.broadcast(g) if small else g
-    items = cats.join(side, ["field_name", "split", "category"]).select("plan_id", "category", "item_id", "have", "mass", "base", "start", "floor", key.alias("rnd"))
-    items = items.withColumn("bucket", F.substring("rnd", 1, 3))
+    items = cats.join(side, ["field_name", "split", "category"]).select("plan_id", "category", "item_id", key.alias("rnd"))
+    items = items.withColumn("bucket", F.shiftright("rnd", 48).cast("int"))
     per = items.groupBy("plan_id", "category", "bucket").agg(F.count("*").alias("n"))
     low = per.withColumn("low", F.coalesce(F.sum("n").over(Window.partitionBy("plan_id", "category").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     here = Window.partitionBy("plan_id", "category", "bucket").orderBy("rnd", "item_id")
-    ranked = items.withColumn("r", F.row_number().over(here)).join(low, ["plan_id", "category", "bucket"]).withColumn("rank", F.col("low") + F.col("r"))
+    ranked = items.withColumn("r", F.row_number().over(here)).drop("rnd").join(low, ["plan_id", "category", "bucket"]).withColumn("rank", F.col("low") + F.col("r"))
+    ranked = ranked.join(side.select("plan_id", "category", "have", "mass", "base", "start", "floor"), ["plan_id", "category"])
     edge = lambda rank: F.expr(f"cast(((cast(start + base as decimal(18,0)) * have + cast(mass as decimal(18,0)) * ({rank})) div (cast(have as decimal(18,0)) * 1000)) as long)")
     ranked = ranked.withColumn("upto", edge("rank") - edge("0")).withColumn("crossing", edge("rank") > edge("rank - 1"))
     # the selected of a category are known from its borders; the floor is filled by the first unselected ones
@@ -78,20 +80,22 @@ def systematic_sample(cats: DataFrame, goals: DataFrame, seed: int = SEED) -> Da
     return ranked.withColumn("reason", reason).where("reason is not null").select("plan_id", "category", "item_id", "reason")
 
 
-def drawn_counts(cats: DataFrame, goals: DataFrame) -> DataFrame:
-    return systematic_sample(cats, goals).groupBy("plan_id", "category").agg(F.count("*").alias("drawn"))
+def drawn_goals(cats: DataFrame, goals: DataFrame) -> DataFrame:
+    """:func:`available` goals with ``drawn``, the number of items the sample draws for them."""
+    supply = cut(available(cats, goals))  # a row per target
+    drawn = systematic_sample(cats, goals, SEED, supply).groupBy("plan_id", "category").agg(F.count("*").alias("drawn"))
+    return supply.join(drawn, ["plan_id", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
 
 
 def short_of(cats: DataFrame, goals: DataFrame) -> DataFrame:
     """Goals the sample draws too few items for; a draw below the need by its fraction only is told apart by the exact count."""
-    drawn = drawn_counts(cats, goals)
-    return available(cats, goals).join(drawn, ["plan_id", "category"], "left").where("coalesce(drawn, 0) < need and have < need")
+    return drawn_goals(cats, goals).where("drawn < need and have < need")
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = tables(spark, sf_dir)
     items = distinct_items(t("qa_items"), "split", "concept", "query_key", "gold_answer")
-    return categories(items), targets(t("sample_plans"), t("sample_targets"))
+    return cut(categories(items)), targets(t("sample_plans"), t("sample_targets"))  # counted, drawn from and ranked: written once
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +108,8 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target, floor, supply and draw of every category of every plan."""
-    cats, goals = _inputs(spark, sf_dir)
-    drawn = drawn_counts(cats, goals)
-    return available(cats, goals).join(drawn, ["plan_id", "category"], "left").select("plan_id", "category", "want_milli", F.col("floor").alias("min_items"), "have", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("have") >= F.col("need")).alias("can_be_met"))
+    d = drawn_goals(*_inputs(spark, sf_dir))
+    return d.select("plan_id", "category", "want_milli", F.col("floor").alias("min_items"), "have", "drawn", (F.col("have") >= F.col("need")).alias("can_be_met"))
 
 
 _CAT = f"""{SQL_ITEMS},
