@@ -8,7 +8,7 @@ from notefold.operators import candidates as C
 from notefold.operators import excerpt as E
 
 CLIPS = "sample_id string, split string, notes array<struct<start:double,end:double,pitch:int,velocity:int>>, meter string, bpm int, music_start double, bar_dur double"
-SAME = ["fam", "sub", "akey", "idx", "gold"]
+SAME = ["fam", "sub", "params", "akey", "idx", "gold"]
 
 
 def _clips(spark):
@@ -51,7 +51,7 @@ def test_stable_is_what_every_draw_gives(spark):
     assert [x for x in mine if x[0] != "c0"] == _brute(single, 10)
     assert {"R-G2", "R-U3", "T-G1", "I-G1", "B-U1", "Rp-U2"} <= {x[1] for x in mine}
     assert sum(x[0] != "c0" for x in mine) < C.candidates(E.excerpts(single), cover=0.5).count()
-    assert sum(x[:3] == ("c0", "T-U3", "distinct") for x in mine) == 2  # both versions, the repeated row once
+    assert sum(x[:3] == ("c0", "T-U3", "distinct_names") for x in mine) == 2  # both versions, the repeated row once
 
 
 def test_jitter_makes_no_overlap(spark):
