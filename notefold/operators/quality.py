@@ -41,11 +41,14 @@ def derived_attributes(ev: str = "ev") -> list[Column]:
     ]
 
 
-def motifs(notes: DataFrame) -> DataFrame:
-    """Moves that come back after the same length of the note before: ``sample_id, move, value, n``."""
-    w = Window.partitionBy("rid").orderBy("i")
-    d = notes.withColumn("value", F.lag("value").over(w)).where("move is not null and value is not null")
-    return d.groupBy("rid", "sample_id", "move", "value").agg(F.count("*").alias("n")).where("n > 1")
+def motifs(clips: DataFrame) -> DataFrame:
+    """Moves that come back after the same length of the note before: ``sample_id, move, value, n``.
+
+    Counted inside the row of a clip, as its notes are there; lengths that are no note value are left out."""
+    cells = bound(F.col("ev"), lambda ev: F.transform(ev, lambda x, i: F.struct(x["move"].alias("move"), F.get(ev, i - 1)["value"].alias("value"))))
+    whole = F.filter(cells, lambda c: c["move"].isNotNull() & c["value"].isNotNull())
+    counted = bound(whole, lambda w: F.transform(F.array_distinct(w), lambda c: F.struct(c["move"].alias("move"), c["value"].alias("value"), F.size(F.filter(w, lambda y: y == c)).cast("long").alias("n"))))
+    return clips.select("sample_id", F.inline(F.filter(counted, lambda c: c["n"] > 1)))
 
 
 def reason_tally(rows: DataFrame, reasons: str, top: int = 30) -> DataFrame:

@@ -24,8 +24,7 @@ def derived_attributes(s, d, clips=E.grid_excerpts):
 
 
 def motif_repetition(s, d, clips=E.grid_excerpts):
-    n = clips(s, d).withColumn("rid", F.monotonically_increasing_id()).select("rid", "sample_id", F.inline("ev"))
-    return Q.motifs(n).select("sample_id", "move", "value", "n")
+    return Q.motifs(clips(s, d)).select("sample_id", "move", "value", "n")
 
 
 _INFO = ["time_signature", "tempo_class", "meter_class", "subdivision_type"]
@@ -205,7 +204,13 @@ def midi_round_trip_whole(s, d):
 
 
 def gate_report(s, d):
-    return Q.gate_report({"majority": majority_share(s, d), "yes_no": yesno_share(s, d), "empty": empty_share(s, d), "median_span": median_span_hit(s, d)})
+    """All gates whose numbers can be had from the tables: rows checked (families, concepts, splits), failed, and whether the gate passed."""
+    from notefold.plans import candidate_queries as CQ
+
+    agree = CQ.rederived(s, d).withColumn("passed", F.col("status") != "different")
+    short = CQ.short_rederived(s, d).withColumn("passed", F.col("status") != "different")
+    contract = CQ.question_contract(s, d).withColumn("passed", F.col("broken") == 0)
+    return Q.gate_report({"majority": majority_share(s, d), "yes_no": yesno_share(s, d), "empty": empty_share(s, d), "median_span": median_span_hit(s, d), "rederived": agree, "short_rederived": short, "contract": contract})
 
 
 def split_status(s, d):
@@ -277,7 +282,17 @@ select sample_id, phrase, a in (select a from z where sp = 'train') as pitches_i
     "midi_round_trip": GRID_SQL + "select sample_id, cnt::integer as notes, true as faithful from c",
     "split_status": f"select {sql_split_name('split', 'sample_id')} as split, case when removed_at is null then 'there' else 'removed' end as status, count(*) as n from clips group by all",
 }
-ORACLE["gate_report"] = "with m as (" + ORACLE["majority_share"] + "), y as (" + ORACLE["yesno_share"] + "), e as (" + ORACLE["empty_share"] + "), h as (" + ORACLE["median_span_hit"] + ") " + " union all ".join(f"select '{n}' as gate, count(*) as checked, count(*) filter (where not passed) as failed, count(*) filter (where not passed) = 0 as passed from {t}" for n, t in (("majority", "m"), ("yes_no", "y"), ("empty", "e"), ("median_span", "h")))
+
+
+def _gates_sql() -> str:
+    from notefold.plans.candidate_queries import ORACLE as CQ
+
+    parts = [(n, ORACLE[k]) for n, k in (("majority", "majority_share"), ("yes_no", "yesno_share"), ("empty", "empty_share"), ("median_span", "median_span_hit"))]
+    parts += [(n, f"select true as passed from ({CQ[k]}) q") for n, k in (("rederived", "rederived"), ("short_rederived", "short_rederived"), ("contract", "question_contract"))]
+    return " union all ".join(f"select '{n}' as gate, count(*) as checked, count(*) filter (where not passed) as failed, count(*) filter (where not passed) = 0 as passed from ({q}) g" for n, q in parts)
+
+
+ORACLE["gate_report"] = _gates_sql()
 
 
 # the same over all notes of a clip, chords and notes beyond two bars included

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from notefold.operators import nested, references
-from notefold.plans import candidate_queries, excerpt_queries, generation_queries, inspection_queries, quality_queries, scoring_queries, selection_queries, short_clip_queries, streaming_queries
+from notefold.plans import candidate_queries, excerpt_queries, generation_queries, inspection_queries, quality_queries, rebuild_queries, scoring_queries, selection_queries, short_clip_queries, streaming_queries
 
-MODULES = [references, nested, excerpt_queries, short_clip_queries, scoring_queries, selection_queries, inspection_queries, quality_queries, candidate_queries, generation_queries, streaming_queries]
+MODULES = [references, nested, excerpt_queries, short_clip_queries, scoring_queries, selection_queries, inspection_queries, quality_queries, candidate_queries, generation_queries, rebuild_queries, streaming_queries]
 
 
 def queries() -> dict:
