@@ -42,6 +42,12 @@ def short_generated(s, d):
     return g.select("n", F.size("notes").alias("notes"), F.array_join(F.transform("notes", lambda x: x["pitch"].cast("string")), ",").alias("pitches"), F.round(F.get("notes", F.size("notes") - 1)["end"], 6).alias("last_end"))
 
 
+def short_dataset(s, d):
+    """Short clips fitted to their length, per split and number of notes."""
+    g = N.short_dataset(s, tables(s, d)("clips").count())
+    return g.groupBy("split", F.size("notes").alias("notes")).agg(F.count("*").alias("clips"))
+
+
 def metadata_table(s, d):
     c = tables(s, d)("clips").withColumn("split", split_name(F.col("split"), F.col("sample_id")))
     return files.metadata_table(c)
@@ -78,7 +84,7 @@ def concept_pairs(s, d):
     return c.groupBy(F.split_part("tag", F.lit(":"), F.lit(1)).alias("field"), F.split_part("tag", F.lit(":"), F.lit(2)).alias("value")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (generated_clips, structured_clips, transposed_clips, short_generated, metadata_table, quarantine, modality_files, content_digest, content_digest_whole, concept_ids, concept_pairs)}
+QUERIES = {f.__name__: f for f in (generated_clips, structured_clips, transposed_clips, short_generated, short_dataset, metadata_table, quarantine, modality_files, content_digest, content_digest_whole, concept_ids, concept_pairs)}
 ORACLE = {
     "metadata_table": f"select sp || '/wav/' || sample_id || '.wav' as audio_path, sp || '/midi/' || sample_id || '.mid' as midi_path, sp || '/meta/' || sample_id || '.json' as json_path, coalesce(list_min(list_transform(notes, lambda x: x.start)), 0) as first_onset, coalesce(list_max(list_transform(notes, lambda x: x.\"end\")), 0) as last_offset, sp as split from (select *, {sql_split_name('split', 'sample_id')} as sp from clips)",
     "quarantine": "select distinct sample_id from clips where sample_id not in (select sample_id from clips where removed_at is not null)",
@@ -100,3 +106,5 @@ _STEP = lambda i: f"case when {_D(f'way{i}', 2)} = 0 then 1 else -1 end * ({_D(f
 ORACLE["short_generated"] = f"""with t as (select id, id % 3 + 1 as m, {_D('pitch', 64)} + 33 as p0, {_STEP(1)} as s1, {_STEP(2)} as s2 from range(0, (select count(*) from clips)) r(id)),
 u as (select *, [p0, p0 + s1, p0 + s1 + s2] as ps, [{', '.join(f"0.2::double + {k} * 0.9::double + {_D(f'gap{k}', 300)} / 1000.0::double + 0.2::double + {_D(f'len{k}', 300)} / 1000.0::double" for k in range(3))}] as ends from t)
 select id as n, cast(m as integer) as notes, array_to_string(list_transform(ps[1:m], lambda p: greatest(21, least(108, p))), ',') as pitches, round(ends[m], 6) as last_end from u"""
+ORACLE["short_dataset"] = """with t as (select id, cast(id % 3 + 1 as integer) as m, count(*) over () as n, row_number() over (order by md5('5|' || id), id) as rk from range(0, (select count(*) from clips)) r(id))
+select case when rk <= floor(n * 0.7 + 1e-9) then 'train' when rk <= floor(n * 0.85 + 1e-9) then 'val' else 'test' end as split, m as notes, count(*) as clips from t group by all"""
