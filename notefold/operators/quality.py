@@ -264,36 +264,50 @@ TICK = 0.05  # seconds: onsets and lengths of a rhythm are compared in these ste
 
 
 def _joined(ev: str, *parts) -> Column:
-    return F.array_join(F.transform(ev, lambda x: F.concat_ws(":", *[p(x).cast("string") for p in parts])), "-")
+    """Parts of every note in one text; a part is a function of the note and of the first note."""
+    one = lambda x, first: F.concat_ws(":", *[p(x, first).cast("string") for p in parts])
+    return bound(F.col(ev), lambda v: bound(F.get(v, F.lit(0)), lambda first: F.array_join(F.transform(v, lambda x: one(x, first)), "-")))
 
 
-def _steps(c: Column, per_second: float) -> Column:
-    return F.rint(c * per_second).cast("long")
+def _pitch(x: Column, first: Column) -> Column:
+    return x["pitch"]
 
 
-def _since_first(ev: str):
-    """Onset and length of a note in ticks, the onset from that of the first note."""
-    return lambda x: F.rint((x["start"] - F.get(ev, F.lit(0))["start"]) / TICK).cast("long"), lambda x: F.rint((x["end"] - x["start"]) / TICK).cast("long")
+def _velocity(x: Column, first: Column) -> Column:
+    return x["velocity"]
+
+
+def _onset(x: Column, first: Column) -> Column:
+    """In ticks from the onset of the first note."""
+    return F.rint((x["start"] - first["start"]) / TICK).cast("long")
+
+
+def _length(x: Column, first: Column) -> Column:
+    return F.rint((x["end"] - x["start"]) / TICK).cast("long")
+
+
+def _hundredths(end: str):
+    return lambda x, first: F.rint(x[end] * 100).cast("long")
 
 
 def signatures(clips: DataFrame) -> DataFrame:
     """Signatures of clips: ``tune`` (pitches in order), ``rhythm`` (pitch, onset and length in ticks of 50 ms), ``whole`` (pitch,
     velocity, onset and end in hundredths of a second). Halves round to even."""
-    onset, length = _since_first("ev")
-    pitch = lambda x: x["pitch"]
-    whole = (pitch, lambda x: x["velocity"], lambda x: _steps(x["start"], 100), lambda x: _steps(x["end"], 100))
-    return clips.select("sample_id", "split", _joined("ev", pitch).alias("tune"), _joined("ev", pitch, onset, length).alias("rhythm"), _joined("ev", *whole).alias("whole"))
+    whole = (_pitch, _velocity, _hundredths("start"), _hundredths("end"))
+    return clips.select("sample_id", "split", _joined("ev", _pitch).alias("tune"), _joined("ev", _pitch, _onset, _length).alias("rhythm"), _joined("ev", *whole).alias("whole"))
 
 
 def short_signatures(ph: DataFrame) -> DataFrame:
     """Of clips of one to three notes (``v``): ``pitches``, whatever their order, and ``all`` (pitch, velocity, onset and length in ticks)."""
-    onset, length = _since_first("v")
     sorted_ = F.array_join(F.array_sort(F.transform("v", lambda x: x["pitch"])), "-")
-    return ph.withColumn("pitches", sorted_).withColumn("all", _joined("v", lambda x: x["pitch"], lambda x: x["velocity"], onset, length))
+    return ph.withColumn("pitches", sorted_).withColumn("all", _joined("v", _pitch, _velocity, _onset, _length))
 
 
 def twins(sig: DataFrame, keys: list[str], names: list[str], ids: tuple = ("sample_id",)) -> DataFrame:
-    """Evaluation clips with whether their signatures occur in train: a join per signature with the distinct ones of train."""
+    """Evaluation clips with whether their signatures occur in train: a join per signature with the distinct ones of train.
+
+    Signatures are worked out once and written, as every join needs them."""
+    sig = cut(sig.select(*ids, "split", *keys))
     e, train = sig.where("split in ('val', 'test')"), sig.where("split = 'train'")
     for key in keys:
         e = e.join(train.select(key).distinct().withColumn(f"_in_{key}", F.lit(True)), key, "left")

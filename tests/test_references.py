@@ -64,3 +64,12 @@ def test_empty(spark, rows):
     assert rows(R.flagged_references([p], [_children(spark, [("1", "a", T0)])]).select("orphan")) == [(True,)]
     c = R.child_keys(none, "c", "f", "p", F.col("key"), F.col("key"), F.col("t"))
     assert rows(R.flagged_references([p], [c])) == []
+
+
+def test_more_tied_hot_days_than_can_be_salted(spark, rows, monkeypatch):
+    """1,100 keys of equal weight tie for 1,024 places: some are salted, some are not, and every reference is judged right."""
+    monkeypatch.setattr(R, "SALT_ROWS", 5)
+    parents = [(f"k{i}", T0, T0 + timedelta(hours=12) if i % 3 == 0 else None) for i in range(1100) if i % 2 == 0]
+    children = [(f"{i}-{h}", f"k{i}", T0 + timedelta(hours=h)) for i in range(1100) for h in (1, 5, 11, 12, 13, 20)]
+    got = rows(R.flagged_references([_parents(spark, parents)], [_children(spark, children).repartition(5)]).select("ref_key", "orphan"))
+    assert got == sorted(((f"{i}-{h}", i % 2 == 1 or (i % 3 == 0 and h >= 12)) for i in range(1100) for h in (1, 5, 11, 12, 13, 20)), key=repr)
