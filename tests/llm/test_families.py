@@ -62,3 +62,9 @@ def test_rendezvous(spark):
     assert abs(n["train"] / 20_000 - 0.8) < 0.02 and abs(n["val"] / 20_000 - 0.1) < 0.01
     assert all(r.t == "val" for r in a if r.s != r.t)  # only the split whose share grew gains
     assert d.select(L.rendezvous_split(F.lit(None).cast("string")).alias("s")).first()[0] is None
+
+
+def test_more_tied_hubs_than_can_be_broadcast(spark, rows):
+    """1,100 families of equal size tie for 1,024 places of large clusters; none loses or doubles a member."""
+    edges = [(f"f{i:04}", f"m{i:04}-{k}") for i in range(1100) for k in range(4)]
+    assert _run(spark, rows, edges, hot=4) == brute(edges, [])
