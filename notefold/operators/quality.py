@@ -160,69 +160,105 @@ def hashed_terms(text: str, size: int = FIT_TERMS) -> list[int]:
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % size for f in found]
 
 
-def _weighted(texts: list[str], idf=None):
-    """Rows of unit length of term frequency times inverse document frequency, as (row, place, weight), and the frequencies used."""
-    rows, places, counts = [], [], []
+def _weighted(texts: list[str], idf=None, counts=None):
+    """Rows of unit length of term frequency times inverse document frequency, as (row, place, weight), and the frequencies used.
+
+    ``counts``: how many documents each text stands for, one if not given."""
+    rows, places, found = [], [], []
     for k, t in enumerate(texts):
         at, n = np.unique(hashed_terms(t), return_counts=True)
         rows.append(np.full(len(at), k))
         places.append(at)
-        counts.append(n)
-    r, p, c = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, places, counts))
+        found.append(n)
+    r, p, c = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, places, found))
     if idf is None:
-        idf = np.log((1 + len(texts)) / (1 + np.bincount(p, minlength=FIT_TERMS))) + 1
+        many = np.ones(len(texts)) if counts is None else np.asarray(counts, float)
+        idf = np.log((1 + many.sum()) / (1 + np.bincount(p, many[r], minlength=FIT_TERMS))) + 1
     w = c * idf[p]
     norm = np.sqrt(np.bincount(r, w * w, minlength=len(texts)))
     return (r, p, w / norm[r]) if len(r) else (r, p, w), idf
 
 
-def _scores(x, n: int, weights, bias):
-    """Class scores of n sparse rows; rows come in order, so those of a row are summed where it begins."""
+def _blocks(x, n: int, size: int = 256):
+    """Sparse rows as dense blocks of at most ``size`` rows, with the number of the first."""
     r, p, w = x
-    out = np.tile(bias, (n, 1)).astype(np.float64)
-    if len(r):
-        first = np.unique(r, return_index=True)
-        out[first[0]] += np.add.reduceat(weights[p] * w[:, None], first[1], 0)
-    return out
+    for at in range(0, n, size):
+        lo, hi = np.searchsorted(r, (at, at + size))
+        block = np.zeros((min(size, n - at), FIT_TERMS))
+        block[r[lo:hi] - at, p[lo:hi]] = w[lo:hi]
+        yield at, block
 
 
-def fit_text(texts: list[str], labels: list[str], rounds: int = 60, rate: float = 8.0, shrink: float = 1e-4):
-    """Multinomial logistic regression of labels on hashed terms by gradient descent with momentum: (classes, frequencies, weights, bias)."""
-    classes = sorted(set(labels))
-    y = np.array([classes.index(v) for v in labels])
-    x, idf = _weighted(texts)
-    weights, bias = np.zeros((FIT_TERMS, len(classes))), np.zeros(len(classes))
-    speed_w, speed_b = np.zeros_like(weights), np.zeros_like(bias)
+def _scores(x, n: int, weights, bias):
+    """Row by row the class scores of n sparse rows; no more than some 16 MB of weights are taken at a time."""
+    r, p, w = x
+    ends, step = np.searchsorted(r, np.arange(n + 1)), max(1, 2_000_000 // len(bias))
+    for lo, hi in zip(ends[:-1], ends[1:]):
+        s = bias.astype(np.float64)
+        for k in range(lo, hi, step):
+            s += w[k : min(k + step, hi)] @ weights[p[k : min(k + step, hi)]].astype(np.float64)
+        yield s
+
+
+def fit_text(texts: list[str], labels: list[str], counts: list[int], rounds: int = 60, rate: float = 8.0, shrink: float = 1e-4):
+    """Multinomial logistic regression of labels on hashed terms by gradient descent with momentum: (classes, frequencies, rows, coefficients, bias).
+
+    ``counts``: how often each pair of text and label occurs. Gradients are sums over rows, so the weights always are the rows times coefficients
+    of a row and a class. These are worked out from the products of rows among each other, and equal texts are one row: arrays are texts by
+    texts or texts by classes, never terms by classes."""
+    classes, known = sorted(set(labels)), list(dict.fromkeys(texts))
+    place, number = {t: k for k, t in enumerate(known)}, {c: k for k, c in enumerate(classes)}
+    u, y, c = np.array([place[t] for t in texts]), np.array([number[v] for v in labels]), np.array(counts, float)
+    many, total = np.bincount(u, c, minlength=len(known)), c.sum()
+    x, idf = _weighted(known, counts=many)
+    gram = np.empty((len(known), len(known)))
+    for i, a in _blocks(x, len(known)):
+        for j, b in _blocks(x, len(known)):
+            gram[i : i + len(a), j : j + len(b)] = a @ b.T
+    coef, bias = np.zeros((len(known), len(classes))), np.zeros(len(classes))
+    speed, speed_b, s = np.zeros_like(coef), np.zeros_like(bias), np.empty_like(coef)
     for _ in range(rounds):
-        s = _scores(x, len(y), weights, bias)
-        s = np.exp(s - s.max(1, keepdims=True))
-        s /= s.sum(1, keepdims=True)
-        s[np.arange(len(y)), y] -= 1
-        s /= len(y)
-        grad = np.zeros_like(weights)
-        np.add.at(grad, x[1], s[x[0]] * x[2][:, None])
-        speed_w = 0.8 * speed_w - rate * (grad + shrink * weights)
-        speed_b = 0.8 * speed_b - rate * s.sum(0)
-        weights, bias = weights + speed_w, bias + speed_b
-    return classes, idf.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32)
+        np.matmul(gram, coef, out=s)
+        s += bias
+        s -= s.max(1, keepdims=True)
+        np.exp(s, out=s)
+        s *= (many / s.sum(1))[:, None]
+        np.subtract.at(s, (u, y), c)
+        s /= total
+        step_b = s.sum(0)
+        for k in range(len(known)):  # in place, as these are the largest arrays
+            speed[k] = 0.8 * speed[k] - rate * (s[k] + shrink * coef[k])
+        coef += speed
+        speed_b = 0.8 * speed_b - rate * step_b
+        bias = bias + speed_b
+    return classes, idf.astype(np.float32), x, coef.astype(np.float32), bias.astype(np.float32)
+
+
+def _weights(x, coef):
+    """Weights of terms and classes, some classes at a time."""
+    out = np.zeros((FIT_TERMS, coef.shape[1]), np.float32)
+    for k in range(0, coef.shape[1], 512):
+        out[:, k : k + 512] = sum(b.T @ coef[i : i + len(b), k : k + 512].astype(np.float64) for i, b in _blocks(x, len(coef)))
+    return out
 
 
 def text_baseline(rows: DataFrame, group: str, text: str, label: str, train: Column, least: int = 30, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per group how well the question text alone tells the answer: ``rows, accuracy, majority, z, passed``.
 
     A classifier per group is fitted in one task on at most ``fit_rows`` train rows, those of lowest hash, so its memory is bounded whatever
-    the group holds; all test rows are scored, in as many tasks as there are. A group passes unless it is more than three points above its
+    the group holds; all test rows are scored, in as many tasks as there are, equal texts once in a task. A group passes unless it is more than three points above its
     most frequent answer and that is significant (z of 1.65). Groups with one answer in train or fewer than ``least`` test rows are left out."""
     d = rows.select(F.col(group).alias("grp"), F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("string").alias("y"), train.alias("is_train")).where("grp is not null and y is not null")
-    order = F.xxhash64("text", "y", F.lit("fit"))
-    some = d.where("is_train").withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(order, "text", "y"))).where(F.col("_r") <= fit_rows)
+    d = cut(d.where("is_train is not null").groupBy("grp", "text", "y", "is_train").agg(F.count("*").alias("n")))
+    before = F.sum("n").over(Window.partitionBy("grp").orderBy(F.xxhash64("text", "y", F.lit("fit")), "text", "y").rowsBetween(Window.unboundedPreceding, -1))
+    some = d.where("is_train").withColumn("n", F.least("n", fit_rows - F.coalesce(before, F.lit(0)))).where("n > 0")  # equal rows stand together in that order
 
     def fit(key, table):
-        texts, labels = table["text"].to_pylist(), table["y"].to_pylist()
-        body = pickle.dumps(fit_text(texts, labels)) if len(set(labels)) > 1 else None
+        texts, labels, counts = (table[c].to_pylist() for c in ("text", "y", "n"))
+        body = pickle.dumps(fit_text(texts, labels, counts)) if len(set(labels)) > 1 else None
         return pa.table({"grp": pa.array([key[0].as_py()], pa.string()), "model": pa.array([body], pa.binary())})
 
-    models = cut(some.select("grp", "text", "y").groupBy("grp").applyInArrow(fit, "grp string, model binary").where("model is not null"))
+    models = cut(some.select("grp", "text", "y", "n").groupBy("grp").applyInArrow(fit, "grp string, model binary").where("model is not null"))
     parts, size = [[]], 0
     for r in models.select("grp", F.octet_length("model").alias("n")).orderBy("grp").collect():  # a row per group
         if parts[-1] and size + r.n > MODEL_MB * 1e6:
@@ -233,9 +269,9 @@ def text_baseline(rows: DataFrame, group: str, text: str, label: str, train: Col
     scored = None
     for names in parts:  # as many passes as the models ask for, each with at most MODEL_MB of them at the workers
         shared = rows.sparkSession.sparkContext.broadcast({r.grp: r.model for r in models.where(F.col("grp").isin(names)).collect()})
-        part = d.where(~F.col("is_train") & F.col("grp").isin(names)).select("grp", "text", "y").mapInArrow(_scorer(shared), "grp string, y string, hit boolean")
+        part = d.where(~F.col("is_train") & F.col("grp").isin(names)).select("grp", "text", "y", "n").sortWithinPartitions("grp", "text").mapInArrow(_scorer(shared), "grp string, y string, n long, hit boolean")
         scored = part if scored is None else scored.unionByName(part)
-    per = scored.groupBy("grp", "y").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).groupBy("grp").agg(F.sum("n").alias("rows"), F.sum("hits").alias("hits"), F.max("n").alias("top"))
+    per = scored.groupBy("grp", "y").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("hits")).groupBy("grp").agg(F.sum("n").alias("rows"), F.sum("hits").alias("hits"), F.max("n").alias("top"))
     per = per.join(models.select("grp"), "grp").where(F.col("rows") >= least)
     acc, maj = F.col("hits") / F.col("rows"), F.col("top") / F.col("rows")
     z = (acc - maj) / F.greatest(F.sqrt(maj * (1 - maj) / F.col("rows")), F.lit(1e-9))
@@ -244,18 +280,18 @@ def text_baseline(rows: DataFrame, group: str, text: str, label: str, train: Col
 
 def _scorer(shared):
     def score(batches):
-        known: dict = {}
+        name = said = guess = model = None  # rows come by group and text, so one of each is kept
         for b in batches:
-            g, t, y = (b.column(k).to_pylist() for k in range(3))
-            hit = np.zeros(len(g), bool)
-            for name in set(g):
-                if name not in known:
-                    known[name] = pickle.loads(shared.value[name])
-                classes, idf, weights, bias = known[name]
-                at = [i for i, v in enumerate(g) if v == name]
-                x, _ = _weighted([t[i] for i in at], idf)
-                hit[at] = [classes[k] == y[i] for k, i in zip(_scores(x, len(at), weights, bias).argmax(1), at)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(hit)], ["grp", "y", "hit"])
+            hit = []
+            for g, t, y in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if g != name:
+                    classes, idf, x, coef, bias = pickle.loads(shared.value[g])
+                    name, said, model = g, None, (_weights(x, coef), bias)
+                if t != said:
+                    at, _ = _weighted([t], idf)
+                    said, guess = t, classes[next(_scores(at, 1, *model)).argmax()]
+                hit.append(guess == y)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(hit, pa.bool_())], ["grp", "y", "n", "hit"])
 
     return score
 

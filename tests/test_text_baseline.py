@@ -31,3 +31,31 @@ def test_bounded_fit_and_many_passes(spark, monkeypatch):
     got = Q.text_baseline(d, "g", F.col("q"), "y", F.col("t"), fit_rows=40).collect()
     assert {r.g for r in got} == {"g0", "g1", "g2"} and all(r.accuracy > 0.99 for r in got)
     assert Q.text_baseline(d.where("false"), "g", F.col("q"), "y", F.col("t")).count() == 0
+
+
+def test_many_answers_fit_in_little_memory():
+    """Rows of few texts with hundreds of answers: arrays of terms by answers for every row of train would be gigabytes."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    words = "when does the second bar begin and which note sounds longest here or there".split()
+    texts = [" ".join(rng.sample(words, 8)) for _ in range(40)]
+    pairs = [(rng.choice(texts), f"answer {rng.randrange(600)}") for _ in range(1500)] + [(t, f"own {k}") for k, t in enumerate(texts) for _ in range(80)]
+    tracemalloc.start()
+    classes, idf, x, coef, bias = Q.fit_text([t for t, _ in pairs], [y for _, y in pairs], [1] * len(pairs))
+    weights = Q._weights(x, coef)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and len(classes) > 500
+    assert coef.shape == (40, len(classes)) and weights.shape == (Q.FIT_TERMS, len(classes))
+    for k, t in enumerate(texts):
+        at, _ = Q._weighted([t], idf)
+        assert classes[next(Q._scores(at, 1, weights, bias)).argmax()] == f"own {k}"
+
+
+def test_rows_counted_are_rows_repeated():
+    """A text and label given with a count fit as the same rows one by one."""
+    pairs = [("a b c", "x", 3), ("a b c", "y", 1), ("c d", "y", 2), ("d e f", "z", 4)]
+    once = Q.fit_text(*map(list, zip(*pairs)))
+    many = Q.fit_text(*map(list, zip(*[(t, y, 1) for t, y, n in pairs for _ in range(n)])))
+    assert once[0] == many[0] and all(abs(a - b).max() < 1e-5 for a, b in ((once[1], many[1]), (once[3], many[3]), (once[4], many[4])))
