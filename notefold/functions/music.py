@@ -63,14 +63,14 @@ def duration_symbol(beats: Column) -> Column:
 def scale_classes(mode: Column, tonic: Column) -> Column:
     """Sorted pitch classes of a scale; null for an unknown mode."""
     steps = F.coalesce(*[F.when(mode == m, F.array(*[F.lit(s) for s in v])) for m, v in SCALES.items()])
-    return F.array_sort(F.transform(steps, lambda s: F.pmod(s + tonic, F.lit(12)).cast("int")))
+    return F.sort_array(F.transform(steps, lambda s: F.pmod(s + tonic, F.lit(12)).cast("int")))
 
 
 def chord_classes(mode: Column, tonic: Column, chord: Column) -> Column:
     """Sorted pitch classes of a chord named by its degree; the tonic chord for a name the mode has not, all twelve for an unknown mode."""
     of = lambda m, degrees: F.array(*[F.lit(SCALES[m][d]) for d in degrees])
     by = F.coalesce(*[F.when(mode == m, F.coalesce(*[F.when(chord == c, of(m, d)) for c, d in chords.items()], of(m, next(iter(chords.values()))))) for m, chords in CHORD_DEGREES.items()], F.array(*[F.lit(k) for k in range(12)]))
-    return F.array_sort(F.transform(by, lambda s: F.pmod(s + tonic, F.lit(12)).cast("int")))
+    return F.sort_array(F.transform(by, lambda s: F.pmod(s + tonic, F.lit(12)).cast("int")))
 
 
 def pitches_within(low: Column, high: Column, classes: Column) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import math
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -32,7 +34,7 @@ def pick(pool: list[str], *seed: Column) -> Column:
 
 def several(pool: list[str], k: int, *seed: Column) -> Column:
     """``k`` different wordings of a pool, in hash order."""
-    order = F.array_sort(F.array(*[F.struct(F.md5(F.concat_ws("|", *seed, F.lit(str(i)))).alias("h"), F.lit(p).alias("p")) for i, p in enumerate(pool)]))
+    order = F.sort_array(F.array(*[F.struct(F.md5(F.concat_ws("|", *seed, F.lit(str(i)))).alias("h"), F.lit(p).alias("p")) for i, p in enumerate(pool)]))
     return F.transform(F.slice(order, 1, k), lambda x: x["p"])
 
 
@@ -76,13 +78,20 @@ def yesno_answers(yes: Column) -> Column:
 
 def two_places(x: float | None) -> str | None:
     """A number with two decimals, rounded from its exact binary value, halves to even."""
-    return None if x is None else str(Decimal(x).quantize(Decimal("0.01"), rounding=ROUND_HALF_EVEN))
+    if x is None or not math.isfinite(x):
+        return None if x is None else str(Decimal(x).quantize(Decimal("0.01"), rounding=ROUND_HALF_EVEN))
+    return f"{x:.2f}"  # Python formats the exact binary value too, and rounds halves to even
 
 
-@F.pandas_udf(StringType())
-def spans_text(spans):
+@F.arrow_udf(StringType())
+def spans_text(spans: pa.Array) -> pa.Array:
     """Spans as ``start|end;...`` with exact two-decimal times; JVM formats round the decimal text instead."""
-    return spans.map(lambda v: None if v is None else ";".join(f"{two_places(s['s'])}|{two_places(s['e'])}" for s in v))
+    starts, ends = (x.to_pylist() for x in spans.flatten().flatten())
+    each, at, out = [f"{two_places(s)}|{two_places(e)}" for s, e in zip(starts, ends)], 0, []
+    for n in spans.value_lengths().to_pylist():  # lists that are null have no spans in the flat ones
+        out.append(None if n is None else ";".join(each[at : at + n]))
+        at += n or 0
+    return pa.array(out, pa.string())
 
 
 def grounding_answers(text: Column, what: Column, plural: Column) -> Column:

@@ -116,7 +116,7 @@ def rhythm_understanding() -> list[Column]:
     ok = F.expr(TEMPO) & F.expr(E.ON_GRID)
     # five notes of a clip in hash order, none whose onset is near the border of two decimals
     clear = F.filter(F.col("ev"), lambda x: F.abs(F.pmod(F.round(x["start"], 6) * 100, F.lit(1.0)) - 0.5) >= 0.05)
-    order = F.array_sort(F.transform(clear, lambda x: F.struct(F.md5(F.concat_ws("|", F.lit("refs"), "sample_id", x["i"].cast("string"))).alias("h"), x["i"].alias("i"), x["start"].alias("start"), x["value"].alias("value"))))
+    order = F.sort_array(F.transform(clear, lambda x: F.struct(F.md5(F.concat_ws("|", F.lit("refs"), "sample_id", x["i"].cast("string"))).alias("h"), x["i"].alias("i"), x["start"].alias("start"), x["value"].alias("value"))))
     refs = F.slice(order, 1, 5)
 
     def extreme(b, name):
@@ -190,7 +190,7 @@ def intervals() -> list[Column]:
 
     ways = (("upward", E.indices(lambda x: x["move"] > 0)), ("downward", E.downward_notes()))
     jump = E.largest_jump()
-    tied = bound(jump, lambda j: F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("ev", lambda x: F.abs(x["move"]) == j), lambda x: F.array(x["i"] - 1, x["i"]))))))
+    tied = bound(jump, lambda j: F.sort_array(F.array_distinct(F.flatten(F.transform(F.filter("ev", lambda x: F.abs(x["move"]) == j), lambda x: F.array(x["i"] - 1, x["i"]))))))
     return [
         _when(two, F.array(sized("I-G1", 1, 2, "the notes reached by one or two semitones"), sized("I-G2", 3, 5, "the notes reached by three to five semitones"), sized("I-G3", 6, None, "the notes reached by six semitones or more"))),
         _when(two, named("ascending")), _when(two, named("descending")),
@@ -312,23 +312,28 @@ def short_candidates(ph: DataFrame) -> DataFrame:
     Absent pitches and distances to ask for are taken in hash order of clip and value."""
     g = lambda fam, cat, concept, sub, akey, idx, what, params="": cand(fam, "grounding", concept, cat, sub, akey, idx, what, params=params)
     uid = F.concat_ws("|", F.lit("short"), F.col("sample_id"), F.col("phrase").cast("string"))
-    have = F.array_sort(F.array_distinct(F.transform("v", lambda x: x["pitch"])))
-    some = lambda values, k: F.transform(F.slice(F.array_sort(F.transform(values, lambda p: F.struct(F.md5(F.concat_ws("|", uid, p.cast("string"))).alias("h"), p.alias("p")))), 1, k), lambda s: s["p"])
-    absent = some(F.array_except(F.sequence(F.lit(21), F.lit(108)), have), 3)
+    have = F.sort_array(F.array_distinct(F.transform("v", lambda x: x["pitch"])))
+    some = lambda u, values: F.transform(F.slice(F.sort_array(F.transform(values, lambda p: F.struct(F.md5(F.concat_ws("|", u, p.cast("string"))).alias("h"), p.alias("p")))), 1, 3), lambda s: s["p"])
     notes_at = lambda vals: S.numbers(lambda x, i: F.array_contains(vals, x["pitch"]))
-    only = lambda n, sets: F.when(F.size(have) >= n, F.array(sets)).otherwise(F.array().cast("array<array<int>>"))
-    mixed = F.array(F.concat(some(have, 1), F.slice(absent, 1, 1)), F.slice(absent, 1, 2), F.concat(some(have, 2), F.slice(absent, 2, 1)))
-    sets = F.concat(F.transform(have, lambda p: F.array(p)), only(2, some(have, 2)), only(3, have), F.transform(absent, lambda p: F.array(p)), mixed)
-    listed = lambda vals, by: F.array_join(F.transform(F.array_sort(vals), lambda p: p.cast("string")), by)
-    pitch = F.transform(sets, lambda vals: bound(notes_at(vals), lambda i: g("A-PITCH", "ABS", "pitch", "vals", _cat("k", F.size(vals), "_h", F.size(i)), i, _cat("the notes at ", listed(vals, " or ")), _cat("vals=", listed(vals, ",")))))
+
+    def sets(have, drawn, absent):
+        only = lambda n, one: F.when(F.size(have) >= n, F.array(one)).otherwise(F.array().cast("array<array<int>>"))
+        mixed = F.array(F.concat(F.slice(drawn, 1, 1), F.slice(absent, 1, 1)), F.slice(absent, 1, 2), F.concat(F.slice(drawn, 1, 2), F.slice(absent, 2, 1)))
+        return F.concat(F.transform(have, lambda p: F.array(p)), only(2, F.slice(drawn, 1, 2)), only(3, have), F.transform(absent, lambda p: F.array(p)), mixed)
+
+    listed = lambda vals, by: F.array_join(F.transform(F.sort_array(vals), lambda p: p.cast("string")), by)
+    # bound: each draw sorts hashes of up to 88 pitches, and sets name it several times
+    pools = lambda u, have: F.struct(have.alias("have"), some(u, have).alias("drawn"), some(u, F.array_except(F.sequence(F.lit(21), F.lit(108)), have)).alias("absent"))
+    every = bound(uid, lambda u: bound(have, lambda h: bound(pools(u, h), lambda k: sets(k["have"], k["drawn"], k["absent"]))))
+    pitch = F.transform(every, lambda vals: bound(notes_at(vals), lambda i: g("A-PITCH", "ABS", "pitch", "vals", _cat("k", F.size(vals), "_h", F.size(i)), i, _cat("the notes at ", listed(vals, " or ")), _cat("vals=", listed(vals, ",")))))
     order = F.array(*[bound(i, lambda v, n=n: g("O-NOTE", "ORD", "note", f"idx={n}", _empty(v, n), v, f"the {n} note")) for n, i in (("first", S.ordinal(1)), ("second", S.ordinal(2)), ("third", S.ordinal(3)), ("last", S.last()))])
     ranges = F.array(*[g("O-RANGE", "ORD", "note", n, n, F.when(F.size("v") >= 2, i), f"the {w} two notes") for n, w, i in (("prefix", "first", S.prefix(2)), ("suffix", "last", S.suffix(2)))])
     rel = F.array(*[bound(F.when(F.size("v") >= 2, S.pitch_rank(r, h)), lambda v, n=n: g("R-PITCH", "REL", "pitch", f"rank={n}", _empty(v, n), v, f"the {n} notes")) for n, r, h in (("highest", 1, True), ("lowest", 1, False), ("second_highest", 2, True), ("second_lowest", 2, False))])
     vel = F.array(*[g("R-VEL", "REL", "velocity", f"rank={n}", n, i, f"the {n} note") for n, i in (("loudest", S.extreme_velocity(True)), ("softest", S.extreme_velocity(False)), ("second_loudest", S.second_loudest()))])
     pair = F.array(g("P-PAIR", "PAT", "pair", "pitch_closest", "pitch_closest", S.closest_pitch_pair(), "the two notes closest in pitch"), g("P-PAIR", "PAT", "pair", "time_closest", "time_closest", S.closest_time_pair(), "the two notes closest in time"))
-    gaps = F.transform(S.pair_distances(), lambda p: p["d"])
-    wanted = F.concat(F.filter(F.array_distinct(gaps), lambda x: x.between(1, 24) & (F.size(F.filter(gaps, lambda y: y == x)) == 1)), some(F.array_except(F.sequence(F.lit(1), F.lit(24)), gaps), 3))
-    diff = F.when(F.size("v") >= 2, F.transform(wanted, lambda x: bound(F.array_sort(F.array_distinct(F.flatten(S.pairs_with_delta(x)))), lambda i: g("P-PDIFF", "PAT", "pitch_diff", "delta", F.concat(F.lit("d"), F.when(x <= 12, x.cast("string")).otherwise("13-24"), F.when(F.size(i) == 0, "_empty").otherwise("")), i, F.concat(F.lit("the two notes "), x.cast("string"), F.lit(" semitones apart")), _cat("delta=", x)))))
+    wanted = lambda gaps: F.concat(F.filter(F.array_distinct(gaps), lambda x: x.between(1, 24) & (F.size(F.filter(gaps, lambda y: y == x)) == 1)), bound(uid, lambda u: some(u, F.array_except(F.sequence(F.lit(1), F.lit(24)), gaps))))
+    apart = lambda pairs: F.transform(bound(F.transform(pairs, lambda p: p["d"]), wanted), lambda x: F.struct(x.alias("x"), F.sort_array(F.array_distinct(F.flatten(S.pairs_with_delta(x, pairs)))).alias("i")))
+    diff = F.when(F.size("v") >= 2, F.transform(bound(S.pair_distances(), apart), lambda k: bound(k, lambda k: (lambda x, i: g("P-PDIFF", "PAT", "pitch_diff", "delta", F.concat(F.lit("d"), F.when(x <= 12, x.cast("string")).otherwise("13-24"), F.when(F.size(i) == 0, "_empty").otherwise("")), i, F.concat(F.lit("the two notes "), x.cast("string"), F.lit(" semitones apart")), _cat("delta=", x)))(k["x"], k["i"]))))
     whole, none = F.array(F.lit(0), F.lit(1), F.lit(2)), F.array().cast("array<int>")
     shape = lambda fam, concept, by, fact, names: F.when(fact.isNotNull(), F.array(*[bound(F.when(fact == n, whole).otherwise(none), lambda v, n=n: g(fam, "PAT", concept, f"{by}={n}", _empty(v, n), v, f"the part that goes {n}")) for n in names]))
     arrays = [pitch, order, ranges, rel, vel, pair, diff, shape("P-CONTOUR", "contour", "pitch", S.contour(), ("up-up", "up-down", "down-up", "down-down")), shape("P-INT", "int", "order", S.interval_trend(), ("widen", "narrow", "same"))]
@@ -342,7 +347,7 @@ def jittered(clips: DataFrame, draws: int = 10, width: float = 0.005) -> DataFra
 
     A note ends no later than the next begins, as jitter must not create overlaps, and lasts 50 ms at least."""
     whole = F.filter("notes", lambda x: x["start"].isNotNull() & x["end"].isNotNull() & x["pitch"].isNotNull())
-    d = clips.withColumn("notes", F.array_sort(whole)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    d = clips.withColumn("notes", F.sort_array(whole)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     u = lambda i, what: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(what), F.col("sample_id"), F.col("draw").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967295.0 * 2 - 1) * width
     moved = F.transform("notes", lambda x, i: F.struct((x["start"] + u(i, "s")).alias("start"), (x["end"] + u(i, "e")).alias("end"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity")))
     end = lambda m, x, i: F.greatest(F.least(x["end"], F.get(m, i + 1)["start"]), x["start"] + 0.05)

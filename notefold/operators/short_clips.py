@@ -25,7 +25,7 @@ def event_sequences(events: DataFrame) -> DataFrame:
     e = events.where("user_id is not null and ts is not null and value is not null")
     start = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.floor(F.second("ts"))).cast("long")
     note = F.struct(F.col("ts"), F.col("event_id"), start.alias("start"), (F.floor("value").cast("int") % 88 + 21).alias("pitch"))
-    return e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(note)).alias("v"))
+    return e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(note)).alias("v"))
 
 
 def _n() -> Column:
@@ -74,7 +74,7 @@ def extreme_velocity(loudest: bool) -> Column:
 
 
 def second_loudest() -> Column:
-    s = F.reverse(F.array_sort(F.transform("v", lambda x, i: F.struct(x["velocity"].alias("v"), (-i).alias("j")))))
+    s = F.reverse(F.sort_array(F.transform("v", lambda x, i: F.struct(x["velocity"].alias("v"), (-i).alias("j")))))
     clear = lambda o: (F.get(o, F.lit(0))["v"] - F.get(o, F.lit(1))["v"] >= M.VELOCITY_MARGIN) & (F.get(o, F.lit(1))["v"] - F.get(o, F.lit(2))["v"] >= M.VELOCITY_MARGIN)
     return F.when(_n() == 3, bound(s, lambda o: F.when(clear(o), F.array(-F.get(o, F.lit(1))["j"]))))
 
@@ -87,7 +87,7 @@ def pair_distances() -> Column:
 
 
 def closest_pitch_pair() -> Column:
-    s = F.array_sort(pair_distances())
+    s = F.sort_array(pair_distances())
     return F.when(_n() == 3, bound(s, lambda o: F.when(F.get(o, F.lit(0))["d"] != F.get(o, F.lit(1))["d"], F.array(F.get(o, F.lit(0))["i"], F.get(o, F.lit(0))["j"]))))
 
 
@@ -96,8 +96,8 @@ def closest_time_pair() -> Column:
     return F.when((_n() == 3) & (F.abs(gap(0) - gap(1)) >= M.GAP_MARGIN), F.when(gap(0) < gap(1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))))
 
 
-def pairs_with_delta(d) -> Column:
-    return F.transform(F.filter(pair_distances(), lambda p: p["d"] == d), lambda p: F.array(p["i"], p["j"]))
+def pairs_with_delta(d, pairs: Column | None = None) -> Column:
+    return F.transform(F.filter(pair_distances() if pairs is None else pairs, lambda p: p["d"] == d), lambda p: F.array(p["i"], p["j"]))
 
 
 def contour() -> Column:

@@ -93,3 +93,32 @@ def test_answers_of_every_kind(clips):
     assert d["shifted", "B-G1", ""].box.count("<box>") == 1 and d["shifted", "I-G3", "lo=6"].answers[0] == "none" and d["shifted", "I-G3", "lo=6"].box == ""
     for r in d.values():
         assert len(set(r.variants)) == 3 and len(r.answers) == 3 and "{" not in r.question and all(r.answers)
+
+
+def test_draws_of_short_clips_are_made_once(spark):
+    """Pitches and distances to ask for are drawn once a phrase, however often sets of them are named."""
+    from notefold.operators import candidates as C
+
+    ph = spark.createDataFrame([("c", 0, [(0.0, 0.2, 60, 80), (0.4, 0.6, 64, 80)])], "sample_id string, phrase int, v array<struct<start:double,end:double,pitch:int,velocity:int>>")
+    plan = C.short_candidates(ph)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_except") == 2
+
+
+def test_short_derivation_does_without_analysis(spark):
+    """Phrases take the notes of a clip alone; ranks and values of notes are not worked out for them."""
+    from notefold.plans.candidate_queries import short_rederived
+
+    assert "low_rank" not in short_rederived(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spans_text_rounds_as_decimals(spark):
+    """Times in exact binary value, halves to even; null lists and empty ones are told apart."""
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    from notefold.functions import wording as W
+
+    lists = [[(0.125, 2.675), (0.375, 1e6 + 0.005)], None, [], [(-0.001, 0.0)], [(1.005, None)]]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, s array<struct<s:double,e:double>>").coalesce(1)
+    exact = lambda x: None if x is None else str(Decimal(x).quantize(Decimal("0.01"), rounding=ROUND_HALF_EVEN))
+    want = [None if v is None else ";".join(f"{exact(a)}|{exact(b)}" for a, b in v) for v in lists]
+    assert [r.t for r in d.orderBy("i").select(W.spans_text("s").alias("t")).collect()] == want
