@@ -16,20 +16,25 @@ from notefold.runtime import tables
 ARTICULATION = 0.02
 
 
+def ordered_notes() -> Column:
+    """The notes of a clip by start and end, without those that lack a time or a pitch."""
+    whole = F.filter(F.coalesce("notes", F.array().cast("array<struct<start:double,end:double,pitch:int,velocity:int>>")), lambda x: x["start"].isNotNull() & x["end"].isNotNull() & x["pitch"].isNotNull())
+    return F.sort_array(F.transform(whole, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity"))))
+
+
 def excerpts(clips: DataFrame) -> DataFrame:
     """Per clip: ``ev`` (notes by start, end), the frame and the flags on which questions depend.
 
     Input columns: ``sample_id, notes, meter, bpm, music_start, bar_dur``. Null notes are left out;
     an incomplete frame makes the frame flags false and grid values null; no notes give empty ``ev``."""
-    plain = F.transform(F.filter(F.coalesce("notes", F.array().cast("array<struct<start:double,end:double,pitch:int,velocity:int>>")), lambda x: x["start"].isNotNull() & x["end"].isNotNull() & x["pitch"].isNotNull()), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity")))
-    d = clips.withColumn("s", F.array_sort(plain)).withColumn("n", F.size("s"))
+    d = clips.withColumn("s", ordered_notes()).withColumn("n", F.size("s"))
     d = d.withColumn("bpb", M.table(M.BEATS_PER_BAR, F.col("meter"))).withColumn("spb", F.try_divide(F.lit(60.0), F.col("bpm").cast("double")))
     d = d.withColumn("line", F.col("music_start") + F.col("bar_dur")).withColumn("piece_end", F.col("music_start") + 2 * F.col("bar_dur"))
     edge = F.col("music_start") + F.col("bar_dur") - M.FRAME_TOL
     bar = lambda x: F.when(x["start"] < edge, 1).otherwise(2)
     d = d.withColumn("start1", F.array_min(F.transform(F.filter("s", lambda x: bar(x) == 1), lambda x: x["start"])))
     d = d.withColumn("start2", F.array_min(F.transform(F.filter("s", lambda x: bar(x) == 2), lambda x: x["start"])))
-    pitches = F.array_sort(F.array_distinct(F.transform("s", lambda x: x["pitch"])))
+    pitches = F.sort_array(F.array_distinct(F.transform("s", lambda x: x["pitch"])))
     facts = F.struct(F.col("s"), pitches.alias("pitches"), *[F.col(c) for c in ("start1", "start2", "spb", "piece_end")], edge.alias("edge"))
 
     def notes(k: Column) -> Column:
@@ -81,7 +86,7 @@ def quantised(clips: DataFrame) -> DataFrame:
         one = lambda g: F.filter(g, lambda x, i: (i == 0) | (F.get(g, i - 1)["g"] != x["g"]))
         end = lambda u, i: F.coalesce(start(F.get(u, i + 1)["g"]), k["ms"] + 2 * k["bar_dur"]) - ARTICULATION
         timed = lambda u: F.transform(u, lambda x, i: F.struct(start(x["g"]).alias("start"), end(u, i).alias("end"), x["pitch"].alias("pitch"), x["velocity"].alias("velocity")))
-        return bound(F.array_sort(F.filter(at, lambda x: (x["g"] >= 0) & (x["g"] < 4 * k["bpb"]))), lambda g: bound(one(g), timed))
+        return bound(F.sort_array(F.filter(at, lambda x: (x["g"] >= 0) & (x["g"] < 4 * k["bpb"]))), lambda g: bound(one(g), timed))
 
     return d.withColumn("notes", bound(F.col("k"), laid)).withColumn("music_start", F.col("k.ms")).withColumn("bar_dur", F.col("k.bar_dur")).drop("k")
 
@@ -156,7 +161,7 @@ def syncopated_notes() -> Column:
 
 def longest_note_of_bar(b: int, ratio: float = 1.3) -> Column:
     """The note with the longest way to the next onset, if it leads the runner-up by the ratio."""
-    order = F.reverse(F.array_sort(F.transform(in_bar(b), lambda x: F.struct(x["ioi"].alias("ioi"), (-x["i"]).alias("j")))))
+    order = F.reverse(F.sort_array(F.transform(in_bar(b), lambda x: F.struct(x["ioi"].alias("ioi"), (-x["i"]).alias("j")))))
     return answered(F.expr("usable and not bar_ambiguous and rest_free") & (F.size(order) >= 2), F.when(F.get(order, F.lit(0))["ioi"] >= ratio * F.get(order, F.lit(1))["ioi"], -F.get(order, F.lit(0))["j"]))
 
 
@@ -188,11 +193,11 @@ def beat_name(g: Column) -> Column:
 # -- tonality and intervals ------------------------------------------------------------------------
 def scale(root: int | Column) -> Column:
     r = F.lit(root) if isinstance(root, int) else root
-    return F.array_sort(F.transform(F.array(*[F.lit(s) for s in M.MAJOR_STEPS]), lambda s: F.pmod(r + s, F.lit(12))))
+    return F.sort_array(F.transform(F.array(*[F.lit(s) for s in M.MAJOR_STEPS]), lambda s: F.pmod(r + s, F.lit(12))))
 
 
 def played() -> Column:
-    return F.array_sort(F.array_distinct(F.transform("ev", lambda x: x["pc"])))
+    return F.sort_array(F.array_distinct(F.transform("ev", lambda x: x["pc"])))
 
 
 def notes_outside_scale(root) -> Column:
@@ -279,7 +284,7 @@ def drop_back_notes(b: int) -> Column:
 
 def arpeggio_kind(b: int) -> Column:
     """ascending (low mid high ...) or updown (low mid high mid ...) from the ranks of exactly three pitches; null else."""
-    pit = F.array_sort(F.array_distinct(F.transform(in_bar(b), lambda x: x["pitch"])))
+    pit = F.sort_array(F.array_distinct(F.transform(in_bar(b), lambda x: x["pitch"])))
     ranks = F.transform(in_bar(b), lambda x: (F.array_position(pit, x["pitch"]) - 1).cast("int"))
 
     def shaped(r):
@@ -296,7 +301,7 @@ def arpeggio_first_cycle(b: int, kind: Column) -> Column:
 
 def spans(idx: Column) -> Column:
     """Start and end of the named notes, in order of their numbers."""
-    return F.transform(F.array_sort(idx), lambda i: F.struct(F.get("ev", i)["start"].alias("s"), F.get("ev", i)["end"].alias("e")))
+    return F.transform(F.sort_array(idx), lambda i: F.struct(F.get("ev", i)["start"].alias("s"), F.get("ev", i)["end"].alias("e")))
 
 
 def frames_of(span_list: Column) -> Column:

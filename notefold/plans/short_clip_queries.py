@@ -12,7 +12,7 @@ from notefold.runtime import tables
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.phrases(E.clip_excerpts(spark, sf_dir))
+    return S.phrases(E.clip_rows(spark, sf_dir).select("sample_id", E.ordered_notes().alias("ev")))  # phrases take the notes alone
 
 
 PH = RAW_SQL + """, ph as (select rid, sample_id, cast(i // 3 as integer) as phrase, cast(i % 3 as integer) as k, st, en, pitch, velocity from n),
