@@ -51,12 +51,12 @@ def short_order_candidates(s, d):
 
 def rederived(s, d):
     """All candidates of two-bar clips derived a second time: per family and status how many; none may differ."""
-    return K.checked(_grid(s, d), cover=0.5).groupBy("fam", "status").agg(F.count("*").alias("n"))
+    return K.checked(_grid(s, d), cover=0.5, tally=True).groupBy("fam", "status").agg(F.sum("n").alias("n"))
 
 
 def short_rederived(s, d):
     """The same for clips of one to three notes."""
-    return K.checked_short(C.short_candidates(_phrases(s, d))).groupBy("fam", "status").agg(F.count("*").alias("n"))
+    return K.checked_short(C.short_candidates(_phrases(s, d)), tally=True).groupBy("fam", "status").agg(F.sum("n").alias("n"))
 
 
 def record_structure(s, d):

@@ -122,3 +122,18 @@ def test_spans_text_rounds_as_decimals(spark):
     exact = lambda x: None if x is None else str(Decimal(x).quantize(Decimal("0.01"), rounding=ROUND_HALF_EVEN))
     want = [None if v is None else ";".join(f"{exact(a)}|{exact(b)}" for a, b in v) for v in lists]
     assert [r.t for r in d.orderBy("i").select(W.spans_text("s").alias("t")).collect()] == want
+
+
+def test_tallies_are_counts_of_the_rows(spark):
+    """Counted in Python, statuses add up to the rows, and clips without candidates change nothing."""
+    from notefold.operators import candidates as C
+    from notefold.operators import checking as K
+
+    notes = "v array<struct<start:double,end:double,pitch:int,velocity:int>>"
+    ph = spark.createDataFrame([("a", 0, [(0.0, 0.2, 60, 80), (0.4, 0.6, 64, 20)]), ("b", 1, [(0.0, 0.2, 60, 80)]), ("e", 0, [])], f"sample_id string, phrase int, {notes}")
+    c = C.short_candidates(ph)
+    rows = [(r.fam, r.status) for r in K.checked_short(c).collect()]
+    tally: dict = {}
+    for r in K.checked_short(c, tally=True).collect():
+        tally[r.fam, r.status] = tally.get((r.fam, r.status), 0) + r.n
+    assert rows and tally == {k: rows.count(k) for k in rows}
