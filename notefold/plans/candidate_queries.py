@@ -66,7 +66,7 @@ def record_structure(s, d):
 
 def jitter_stable(s, d):
     """Candidates of all families that hold in ten jittered copies of their clip."""
-    return C.stable(E.quantised(E.clip_rows(s, d)), cover=0.5).select("sample_id", "fam", "sub", "akey", E.text(F.col("idx")).alias("notes"), "gold")
+    return C.stable(E.quantised(E.clip_rows(s, d)), cover=0.5, fields=("sample_id", "fam", "sub", "akey", "notes", "gold"))
 
 
 def _records(s, d):
