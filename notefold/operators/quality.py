@@ -200,16 +200,18 @@ def _scores(x, n: int, weights, bias):
         yield s
 
 
-def fit_text(texts: list[str], labels: list[str], counts: list[int], rounds: int = 60, rate: float = 8.0, shrink: float = 1e-4):
+def fit_text(texts: list[str], labels: list[str], counts: list[int], rounds: int = 60, rate: float = 8.0, shrink: float = 1e-4, direct: int = FIT_ROWS):
     """Multinomial logistic regression of labels on hashed terms by gradient descent with momentum: (classes, frequencies, rows, coefficients, bias).
 
     ``counts``: how often each pair of text and label occurs. Gradients are sums over rows, so the weights always are the rows times coefficients
     of a row and a class. These are worked out from the products of rows among each other, and equal texts are one row: arrays are texts by
-    texts or texts by classes, never terms by classes."""
+    texts or texts by classes, never terms by classes. Of more than ``direct`` texts these would be larger than the weights; there the weights themselves are moved."""
     classes, known = sorted(set(labels)), list(dict.fromkeys(texts))
     place, number = {t: k for k, t in enumerate(known)}, {c: k for k, c in enumerate(classes)}
     u, y, c = np.array([place[t] for t in texts]), np.array([number[v] for v in labels]), np.array(counts, float)
     many, total = np.bincount(u, c, minlength=len(known)), c.sum()
+    if len(known) > direct:
+        return classes, *_fit_weights(known, many, u, y, c, len(classes), rounds, rate, shrink)
     x, idf = _weighted(known, counts=many)
     gram = np.empty((len(known), len(known)))
     for i, a in _blocks(x, len(known)):
@@ -234,6 +236,62 @@ def fit_text(texts: list[str], labels: list[str], counts: list[int], rounds: int
     return classes, idf.astype(np.float32), x, coef.astype(np.float32), bias.astype(np.float32)
 
 
+def _fit_weights(known: list[str], many, u, y, c, classes: int, rounds: int, rate: float, shrink: float, size: int = 256, part: int = 512):
+    """As :func:`fit_text` on the weights of terms and classes: all texts in blocks of ``size`` and ``part`` classes at a time, so that besides the weights,
+    their speeds and six bytes a term of a text only a block is held. The rows of what it gives are the terms themselves."""
+    found = [(p.astype(np.uint16), n.astype(np.uint32)) for p, n in (np.unique(hashed_terms(t), return_counts=True) for t in known)]
+    ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in found])])
+    places, often = np.concatenate([p for p, _ in found]), np.concatenate([n for _, n in found])
+    del found
+    have = np.zeros(FIT_TERMS)
+    for at in range(0, len(known), size):
+        n = np.diff(ends[at : at + size + 1])
+        have += np.bincount(places[ends[at] : ends[at] + n.sum()], np.repeat(many[at : at + size], n), minlength=FIT_TERMS)
+    idf = np.log((1 + many.sum()) / (1 + have)) + 1
+
+    def blocks():
+        for at in range(0, len(known), size):
+            n = np.diff(ends[at : at + size + 1])
+            r, p, w = np.repeat(np.arange(len(n)), n), places[ends[at] : ends[at] + n.sum()], often[ends[at] : ends[at] + n.sum()]
+            w = w * idf[p]
+            block = np.zeros((len(n), FIT_TERMS), np.float32)
+            block[r, p] = w / np.sqrt(np.bincount(r, w * w, minlength=len(n)))[r]
+            yield at, block
+
+    weights, bias, total = np.zeros((FIT_TERMS, classes), np.float32), np.zeros(classes), many.sum()
+    speed, speed_b = np.zeros_like(weights), np.zeros_like(bias)
+    order = np.lexsort((u, y // part))  # pairs by part of the classes and text
+    u, y, c = u[order], y[order], c[order]
+    for _ in range(rounds):
+        norm = np.concatenate([_log_sum(a, weights, bias, part) for _, a in blocks()])
+        for k in range(0, classes, part):
+            own = slice(k, min(k + part, classes))
+            step, step_b, (lo, hi) = np.zeros((FIT_TERMS, own.stop - k), np.float32), np.zeros(own.stop - k), np.searchsorted(y // part, (k // part, k // part + 1))
+            for at, a in blocks():
+                s = np.exp(a @ weights[:, own] + bias[own] - norm[at : at + len(a), None]) * many[at : at + len(a), None]
+                i, j = lo + np.searchsorted(u[lo:hi], (at, at + len(a)))
+                np.subtract.at(s, (u[i:j] - at, y[i:j] - k), c[i:j])
+                s /= total
+                step += a.T @ s.astype(np.float32)
+                step_b += s.sum(0)
+            speed[:, own] = 0.8 * speed[:, own] - rate * (step + shrink * weights[:, own])
+            speed_b[own] = 0.8 * speed_b[own] - rate * step_b
+            weights[:, own] += speed[:, own]
+            bias[own] += speed_b[own]
+    terms = np.arange(FIT_TERMS)
+    return idf.astype(np.float32), (terms, terms, np.ones(FIT_TERMS)), weights, bias.astype(np.float32)
+
+
+def _log_sum(a, weights, bias, part: int):
+    """Of each row the logarithm of the sum of the exponentials of all its class scores."""
+    out = np.full(len(a), -np.inf)
+    for k in range(0, len(bias), part):
+        s = a @ weights[:, k : k + part] + bias[k : k + part]
+        top = s.max(1)
+        out = np.logaddexp(out, top + np.log(np.exp(s - top[:, None]).sum(1)))
+    return out
+
+
 def _weights(x, coef):
     """Weights of terms and classes, some classes at a time."""
     out = np.zeros((FIT_TERMS, coef.shape[1]), np.float32)
@@ -245,20 +303,18 @@ def _weights(x, coef):
 def text_baseline(rows: DataFrame, group: str, text: str, label: str, train: Column, least: int = 30, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per group how well the question text alone tells the answer: ``rows, accuracy, majority, z, passed``.
 
-    A classifier per group is fitted in one task on at most ``fit_rows`` train rows, those of lowest hash, so its memory is bounded whatever
-    the group holds; all test rows are scored, in as many tasks as there are, equal texts once in a task. A group passes unless it is more than three points above its
+    A classifier per group is fitted in one task on all its train rows, equal ones as one with their number. ``fit_rows`` is the number of different texts above
+    which it works in blocks of texts, so that its memory does not grow with their square; all test rows are scored, in as many tasks as there are, equal texts once in a task. A group passes unless it is more than three points above its
     most frequent answer and that is significant (z of 1.65). Groups with one answer in train or fewer than ``least`` test rows are left out."""
     d = rows.select(F.col(group).alias("grp"), F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("string").alias("y"), train.alias("is_train")).where("grp is not null and y is not null")
     d = cut(d.where("is_train is not null").groupBy("grp", "text", "y", "is_train").agg(F.count("*").alias("n")))
-    before = F.sum("n").over(Window.partitionBy("grp").orderBy(F.xxhash64("text", "y", F.lit("fit")), "text", "y").rowsBetween(Window.unboundedPreceding, -1))
-    some = d.where("is_train").withColumn("n", F.least("n", fit_rows - F.coalesce(before, F.lit(0)))).where("n > 0")  # equal rows stand together in that order
 
     def fit(key, table):
         texts, labels, counts = (table[c].to_pylist() for c in ("text", "y", "n"))
-        body = pickle.dumps(fit_text(texts, labels, counts)) if len(set(labels)) > 1 else None
+        body = pickle.dumps(fit_text(texts, labels, counts, direct=fit_rows)) if len(set(labels)) > 1 else None
         return pa.table({"grp": pa.array([key[0].as_py()], pa.string()), "model": pa.array([body], pa.binary())})
 
-    models = cut(some.select("grp", "text", "y", "n").groupBy("grp").applyInArrow(fit, "grp string, model binary").where("model is not null"))
+    models = cut(d.where("is_train").select("grp", "text", "y", "n").groupBy("grp").applyInArrow(fit, "grp string, model binary").where("model is not null"))
     parts, size = [[]], 0
     for r in models.select("grp", F.octet_length("model").alias("n")).orderBy("grp").collect():  # a row per group
         if parts[-1] and size + r.n > MODEL_MB * 1e6:

@@ -59,3 +59,23 @@ def test_rows_counted_are_rows_repeated():
     once = Q.fit_text(*map(list, zip(*pairs)))
     many = Q.fit_text(*map(list, zip(*[(t, y, 1) for t, y, n in pairs for _ in range(n)])))
     assert once[0] == many[0] and all(abs(a - b).max() < 1e-5 for a, b in ((once[1], many[1]), (once[3], many[3]), (once[4], many[4])))
+
+
+def test_all_train_rows_are_fitted(spark):
+    """Every word tells its answer, and only all 6,000 train rows hold all words."""
+    rows = [("g", f"which is word{k:03d}", f"own {k}", True) for k in range(300) for _ in range(20)] + [("g", f"which is word{k:03d}", f"own {k}", False) for k in range(300)]
+    d = spark.createDataFrame(rows, "g string, q string, y string, t boolean")
+    (r,) = Q.text_baseline(d, "g", F.col("q"), "y", F.col("t")).collect()
+    assert r.rows == 300 and r.accuracy > 0.95
+
+
+def test_many_texts_fit_alike_in_blocks():
+    """Above ``direct`` texts the weights are moved themselves, in blocks of texts and parts of the classes: the same scores."""
+    rng = random.Random(9)
+    words = "when does the second bar begin and which note sounds longest here or there".split()
+    pairs = [(" ".join(rng.sample(words, 5)), f"answer {rng.randrange(600)}", rng.randrange(1, 4)) for _ in range(700)]
+    texts, labels, counts = map(list, zip(*pairs))
+    one, two = (Q.fit_text(texts, labels, counts, rounds=8, direct=n) for n in (4000, 100))
+    assert one[0] == two[0] and len(one[0]) > 300 and two[3].shape == (Q.FIT_TERMS, len(two[0])) and abs(one[1] - two[1]).max() < 1e-6
+    a, b = Q._weights(one[2], one[3]), Q._weights(two[2], two[3])
+    assert abs(a - b).max() < 1e-4 * abs(a).max() and abs(one[4] - two[4]).max() < 1e-4 * abs(one[4]).max()
